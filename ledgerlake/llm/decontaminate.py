@@ -35,6 +35,8 @@ LEAST_COSINE, SLACK = 0.2, 4.0
 SIMILARITY = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.8
+#: Documents are compared together until they have so many blocks of STRIDE words.
+BATCH_BLOCKS = 512
 #: Benchmark items are searched in groups of this size, so that what a task holds of them is bounded.
 ITEM_GROUP = 2_000
 _WORD = re.compile(r"\w+")
@@ -205,33 +207,60 @@ def search(sequences: DataFrame, items: Items, idf: np.ndarray, directions: np.n
             sought.setdefault(size, []).append(i)
     sought = {size: np.array(members) for size, members in sought.items()}
 
+    widest = max(sought, default=STRIDE) // STRIDE
+    sets = [set(w.tolist()) for w in weights]
+    holds = [np.isin(np.arange(len(items.vocabulary) + 1), w).astype(np.float32) for w in weights]  # the last place is for -1
+
+    def batch_pairs(texts: list[np.ndarray]) -> dict[tuple[int, int], float]:
+        """(document, item) to similarity. Documents stand in one row of blocks, with empty ones between that no window can span."""
+        first = np.cumsum([0, *(-(-len(t) // STRIDE) + widest for t in texts)])
+        words = np.concatenate(texts)
+        rows = np.concatenate([np.arange(len(t)) // STRIDE + f for t, f in zip(texts, first)])
+        known = np.nonzero(words >= 0)[0]
+        known = known[idf[words[known]] > 0]
+        by_block = _sums(words[known], rows[known], int(first[-1]), table)
+        zero = np.zeros((1, by_block.shape[1]), np.float32)
+        rolled = np.concatenate((zero, np.cumsum(by_block, axis=0)))
+        scores = np.concatenate((np.zeros((1, len(latent)), np.float32), np.cumsum(by_block @ latent.T, axis=0)))
+        best: dict[tuple[int, int], float] = {}
+        counted: dict[int, np.ndarray] = {}
+        for size, members in sought.items():
+            wide = size // STRIDE
+            window = rolled[wide:] - rolled[:-wide]
+            length = np.sqrt(np.einsum("ij,ij->i", window, window))
+            near = scores[wide:, members] - scores[:-wide, members]
+            close = (near >= np.maximum(length, 1e-3)[:, None] * least[members]) | blind[members]
+            for m in np.nonzero(close.any(axis=0))[0]:
+                item = int(members[m])
+                starts = np.nonzero(close[:, m])[0]
+                if item not in counted:  # words of the item in the blocks so far
+                    counted[item] = np.r_[0, np.cumsum(np.bincount(rows, holds[item][words], int(first[-1])))]
+                inside = counted[item][np.minimum(starts + wide + 1, len(counted[item]) - 1)] - counted[item][np.maximum(starts - 1, 0)]
+                for s in starts[inside >= PARAPHRASE * len(weights[item])].tolist():
+                    doc = int(np.searchsorted(first, s, side="right")) - 1
+                    at = (s - int(first[doc])) * STRIDE
+                    text = texts[doc][max(0, at - STRIDE) : at + size + STRIDE]
+                    if len(sets[item].intersection(text.tolist())) >= len(sets[item]) - (1 - PARAPHRASE) * len(weights[item]):
+                        share = _verified(weights[item], items.answers[item], text)
+                        if share > best.get((doc, item), 0.0):
+                            best[doc, item] = share
+        return best
+
     def run(batches):
         for batch in batches:
             docs, found_items, shares = [], [], []
-            for doc, words in zip(batch.column(0).to_pylist(), _arrays(batch)):
-                blocks = -(-len(words) // STRIDE)
-                known = np.nonzero(words >= 0)[0]
-                known = known[idf[words[known]] > 0]
-                by_block = _sums(words[known], known // STRIDE, blocks, table)
-                rolled = np.concatenate((np.zeros((1, by_block.shape[1]), np.float32), np.cumsum(by_block, axis=0)))
-                best: dict[int, float] = {}
-                for size, members in sought.items():
-                    wide = size // STRIDE
-                    starts = np.arange(max(1, blocks - wide + 1))
-                    window = rolled[np.minimum(starts + wide, blocks)] - rolled[starts]
-                    length = np.sqrt(np.einsum("ij,ij->i", window, window))
-                    near = (window @ latent[members].T) / np.maximum(length, 1e-6)[:, None]
-                    for s, m in zip(*np.nonzero((near >= least[members]) | blind[members])):
-                        item = int(members[m])
-                        at = int(starts[s]) * STRIDE
-                        text = words[max(0, at - STRIDE) : at + size + STRIDE]
-                        share = _verified(weights[item], items.answers[item], text)
-                        if share > best.get(item, 0.0):
-                            best[item] = share
-                for item, share in best.items():
-                    docs.append(doc)
-                    found_items.append(items.ids[item])
-                    shares.append(share)
+            ids, texts, blocks = [], [], 0
+            for doc, words in [*zip(batch.column(0).to_pylist(), _arrays(batch)), (None, None)]:
+                if texts and (words is None or blocks >= BATCH_BLOCKS):
+                    for (d, item), share in batch_pairs(texts).items():
+                        docs.append(ids[d])
+                        found_items.append(items.ids[item])
+                        shares.append(share)
+                    ids, texts, blocks = [], [], 0
+                if words is not None:
+                    ids.append(doc)
+                    texts.append(words)
+                    blocks += len(words) // STRIDE + widest
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found_items, pa.int64()), pa.array(shares, pa.float64())], ["doc_id", "item_id", "similarity"])
 
     return sequences.select("doc_id", "words").mapInArrow(run, "doc_id long, item_id long, similarity double")
