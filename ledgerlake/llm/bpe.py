@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pre-tokens of the byte-level scheme, for texts of PLAIN characters only; there it splits as the library does.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Anything but ASCII, Latin letters and common typographic marks; such texts go to the library whole.
-UNUSUAL = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ‐-‧€]")
-MEMO_ENTRIES = 400_000
+#: Texts with anything but ASCII, Latin letters and common typographic marks, with white space other than
+#: single spaces and line feeds between words, or with a stop or comma after another sign, go to the library whole.
+IRREGULAR = r"[^\n -~À-ÖØ-öø-ɏ‐-‧€]|[ \n][ \n]|[ \n]\z|\A[ \n]|[^\pL\pN\n][.,]|[.,][^\pL\pN \n]"
+#: Chunks remembered in each of two generations.
+MEMO_ENTRIES = 200_000
+BATCH = 512
+MARK = "\x01"
+SIGNS = (f"{MARK}.", f"{MARK},")
+STOP, COMMA, LINE = f" {MARK}.", f" {MARK},", f" {MARK}\n"
 
 
 class Encoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    Byte-level BPE never merges across pre-tokens, so each different pre-token is encoded by the library
-    once and remembered, for at most MEMO_ENTRIES pre-tokens; a text with a special token's string or an
-    unusual character is encoded by the library as a whole.
+    Byte-level BPE never merges across pre-tokens, and in a regular text a pre-token starts at each single
+    space, line feed, stop or comma. So each different chunk (one of these and what follows up to the next)
+    is encoded by the library once and remembered, for at most MEMO_ENTRIES chunks; the new chunks of a batch
+    are encoded together. Texts that are irregular or hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -28,29 +34,79 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that start with a space or line feed
+        self.starts[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
+        #: By chunk; one that doesn't start with a space starts with MARK in its place.
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; none for null."""
-        if not text:
-            return b""
-        if UNUSUAL.search(text) or any(t in text for t in self.special):
-            return self._whole([text])[0]
-        words, memo = WORDS.findall(text), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        missing = [w for w in set(words) if w not in memo]
+    def _learn(self, chunks: set[str]) -> None:
+        signs = [c for c in chunks if c[:2] in SIGNS]  # side by side, these could merge
+        self.memo.update(zip(signs, self._whole([c[1:] for c in signs])))
+        words = list(chunks.difference(signs))
+        if not words:
+            return
+        spelt = [c[1:] if c[0] == MARK else " " + c for c in words]
+        data = self._whole(["".join(spelt)])[0]
+        starts = np.nonzero(self.starts[np.frombuffer(data, dtype="<u4")])[0] * 4
+        if len(starts) == len(words):
+            bounds = [*starts.tolist(), len(data)]
+            self.memo.update(zip(words, [data[i:j] for i, j in zip(bounds, bounds[1:])]))
+        else:
+            self.memo.update(zip(words, self._whole(spelt)))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers; none for null."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), BATCH):
+            out += self._batch(texts[i : i + BATCH])
+        return out
+
+    def _batch(self, texts: list[str | None]) -> list[bytes]:
+        held = pa.array(texts, pa.string())
+        regular = pc.and_(pc.invert(pc.match_substring_regex(held, IRREGULAR)), pc.not_equal(pc.binary_length(held), 0))
+        for name in self.special:
+            regular = pc.and_(regular, pc.invert(pc.match_substring(held, name)))
+        regular = pc.fill_null(regular, False)
+        held = pc.binary_join_element_wise("", held.filter(regular), "\n")
+        for sign, place in ((".", STOP), (",", COMMA), ("\n", LINE)):
+            held = pc.replace_substring(held, sign, place)
+        split = pc.split_pattern(pc.utf8_slice_codeunits(held, 1), " ")
+        chunks = split.flatten().dictionary_encode()
+        ids, ends = self._joined(chunks.dictionary.to_pylist(), chunks.indices.to_numpy(), split.offsets.to_numpy())
+        parts = iter(zip([0, *ends], ends))
+        out = []
+        for text, r in zip(texts, regular.to_pylist()):
+            if r:
+                i, j = next(parts)
+                out.append(ids[i + 4 : j])  # the line feed before the text is no part of it
+            else:
+                out.append(self._whole([text])[0] if text else b"")
+        return out
+
+    def _joined(self, distinct: list[str], order: np.ndarray, offsets: np.ndarray) -> tuple[bytes, list[int]]:
+        """(the ids of the chunks ``distinct[order]``, the bytes up to the end of each text), given where texts start in ``order``."""
+        memo = self.memo
+        missing = {c for c in distinct if c not in memo}
         if len(memo) + len(missing) > MEMO_ENTRIES:
-            memo.clear()
-            missing = list(set(words))
-        memo.update(zip(missing, self._whole(missing)))
-        return b"".join([memo[w] for w in words])
+            self.old, self.memo = memo, {}
+            memo, missing = self.memo, set(distinct)
+        known = missing.intersection(self.old)
+        memo.update({c: self.old[c] for c in known})
+        self._learn(missing - known)
+        data = [memo[c] for c in distinct]
+        lengths = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
+        starts = np.cumsum(lengths) - lengths
+        spread = lengths[order]
+        ends = np.r_[0, np.cumsum(spread)]
+        flat = np.frombuffer(b"".join(data), dtype="<u4")
+        ids = flat[np.repeat(starts[order] - ends[:-1], spread) + np.arange(ends[-1])]
+        return ids.tobytes(), (ends[offsets[1:]] * 4).tolist()
 
 
 _encoders: dict[str, Encoder] = {}

@@ -24,7 +24,7 @@ WINDOW = 2048
 END_ID = 1
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("chunk", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-BATCH = 256
+BATCH = 512
 
 
 def narrowed(ids: bytes) -> tuple[int, bytes]:
@@ -47,8 +47,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
                 rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encode(text) + end
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                    ids += end
                     width, data = narrowed(ids)
                     rows.append((doc, chunk, before, len(ids) // 4, width, data))
                     before += len(ids) // 4

@@ -99,8 +99,8 @@ def linked_classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Equal fingerprints form a class first, so copies never meet in a join. Before pairs are sought, each
     class is compared with the smallest class that shares a whole segment: that contracts dense groups in
-    linear work. Pairs are then sought only where a variant joins different components, so a dense group
-    isn't spelt out pair by pair; every pair within reach that isn't already connected is found.
+    linear work. Pairs are then sought between different components only, so a dense group isn't spelt out
+    pair by pair; every pair within reach that isn't already connected is found, once.
     """
     if max_bits > 4:
         raise ValueError("three segments prove pairs of up to four bits only")
@@ -112,10 +112,9 @@ def linked_classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     roots = components(stars.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")))
     contracted = written(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("root")), "contracted")
     index = _variants(contracted)
-    mixed = index.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    near = written(index.join(mixed, "key"), "variants")
-    other = near.select("key", F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
-    pairs = near.join(other, (near["key"] == other["key"]) & (F.col("root") < F.col("root_b")) & (_distance("fp", "fp_b") <= max_bits) & _first_shared_variant())
+    other = index.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
+    near = (F.col("key") == F.col("key_b")) & (F.col("root") < F.col("root_b")) & (_distance("fp", "fp_b") <= max_bits)
+    pairs = index.join(other, near & _first_shared_variant())  # only verified pairs leave the join
     merged = components(pairs.select(F.col("root").alias("a"), F.col("root_b").alias("b")))
     merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
     return contracted.join(merged, "root", "left").select("fp", F.coalesce("top", "root").alias("component_id"))

@@ -20,8 +20,6 @@ data bytes            each document's own
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,24 +33,38 @@ MAGIC = b"VBT1"
 END_ID = 0
 SHARD_IDS = 4_000_000
 FILE_BYTES = 2_000_000
+BATCH = 256
 _ENTRY = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("n", "<u4"), ("bytes", "<u8")])
 #: For each control byte, the data bytes of its four ranks.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit ranks."""
+def _slots(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first of each document's slots, each rank's slot): a document starts at a new control byte, so at a multiple of four."""
+    room = -(-counts // 4) * 4
+    first = np.cumsum(room) - room
+    return first, np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(control bytes, data bytes) of each document; ``ranks`` (unsigned, 32 bits) are those of all, ``counts`` says how many each has."""
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    padded[: len(ranks)] = extra
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
+    first, slot = _slots(counts)
+    padded = np.zeros(int((-(-counts // 4) * 4).sum()), dtype=np.uint8)
+    padded[slot] = extra
+    four = padded.reshape(-1, 4)
+    control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
     spread = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), spread[np.arange(4) <= extra[:, None]].tobytes()
+    data = spread[np.arange(4, dtype=np.uint8) <= extra[:, None]].tobytes()
+    data_ends = np.cumsum(np.r_[0, extra + np.int64(1)])[np.cumsum(np.r_[0, counts])].tolist()
+    control_ends = [*(first // 4).tolist(), len(control)]
+    cut = lambda x, ends: [x[i:j] for i, j in zip(ends, ends[1:])]
+    return cut(control, control_ends), cut(data, data_ends)
 
 
-def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` ranks that ``pack`` made ``control`` and ``data`` (of bytes) from."""
-    lengths = LENGTHS[control].reshape(-1)[:n]
+def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranks of all documents that ``pack`` made the joined ``control`` and ``data`` (of bytes) from."""
+    lengths = LENGTHS[control].reshape(-1)[_slots(counts)[1]]
     starts = np.cumsum(lengths, dtype=np.int64) - lengths
     ranks = data[starts].astype("<u4")
     for k in range(1, 4):
@@ -69,14 +81,20 @@ def _write(contents: DataFrame, path: str, compression: str = "none") -> None:
     lines.write.option("maxRecordsPerFile", 1).option("compression", compression).text(path)
 
 
+def _joined(widths: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of all documents, how many each has)."""
+    each = [widened(w, d.as_buffer()) for w, d in zip(widths.to_pylist(), ids)]
+    return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
+
+
 def frequency_ranks(tokens: DataFrame) -> np.ndarray:
     """Ids by rank: all ids that ``tokens`` holds, by falling count, ties to the smaller id. As many as the vocabulary at most."""
 
     def count(batches):
         sums = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for width, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.bincount(widened(width, data.as_buffer()))
+            for i in range(0, batch.num_rows, BATCH):
+                found = np.bincount(_joined(*batch.slice(i, BATCH).columns)[0])
                 if len(found) > len(sums):
                     found, sums = sums, found
                 sums[: len(found)] += found
@@ -118,10 +136,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, id_c
 
     def code(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                coded = [pack(ranks[widened(w, d)]) for w, d in zip(part.column(3).to_pylist(), part.column(4).to_pylist())]
-                control, data = zip(*coded)
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                ids, counts = _joined(part.column(3), part.column(4))
+                control, data = pack(ranks[ids], counts)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["shard", "doc_id", "n_tokens", "control", "data"])
 
     coded = sharded.select("shard", "doc_id", "n_tokens", "width", "ids").mapInArrow(code, "shard int, doc_id long, n_tokens long, control binary, data binary")
@@ -171,15 +189,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError("not a token file")
                 n_docs, start = int(raw[4:8].view("<u4")[0]), int(raw[8:16].view("<u8")[0])
                 entries = raw[16 : 16 + n_docs * _ENTRY.itemsize].view(_ENTRY)
+                counts = entries["n"].astype(np.int64)
                 at = 16 + entries.nbytes
-                data_at = at + int((-(-entries["n"].astype(np.int64) // 4)).sum())
-                rows = []
-                for null, doc, n, size in entries.tolist():
-                    width = -(-n // 4)
-                    ranks = unpack(raw[at : at + width], raw[data_at : data_at + size], n)
-                    rows.append((None if null else doc, start, n, by_rank[ranks].tobytes()))
-                    at, data_at, start = at + width, data_at + size, start + n
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "n_tokens", "ids"])
+                data_at = at + int((-(-counts // 4)).sum())
+                ids = by_rank[unpack(raw[at:data_at], raw[data_at : data_at + int(entries["bytes"].sum())], counts)].tobytes()
+                ends = np.cumsum(np.r_[0, counts])
+                docs = pa.array(entries["doc_id"], pa.int64(), mask=entries["null"].astype(bool))
+                cut = pa.array([ids[4 * i : 4 * j] for i, j in zip(ends.tolist(), ends[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([docs, pa.array(start + ends[:-1]), pa.array(counts), cut], ["doc_id", "start", "n_tokens", "ids"])
 
     return _contents(spark, f"{path}/files").mapInArrow(parse, "doc_id long, start long, n_tokens long, ids binary")
 
