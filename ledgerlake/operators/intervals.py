@@ -70,7 +70,7 @@ def held_ranges(postings: DataFrame, today: str, extend: bool = True) -> DataFra
     daily = postings.where("account_type = 'USER' and instrument_id is not null").groupBy("user_id", "instrument_id", F.col("order_date").alias("day")).agg(F.sum("quantity").alias("net"))
     by = Window.partitionBy("user_id", "instrument_id").orderBy("day")
     held = daily.withColumn("held", F.sum("net").over(by.rowsBetween(Window.unboundedPreceding, 0)) != 0)
-    changed = held.where(F.col("held") != F.coalesce(F.lag("held").over(by), F.lit(False)))
+    changed = held.withColumn("_was", F.coalesce(F.lag("held").over(by), F.lit(False))).where("held <> _was")
     last = F.date_add(F.lit(today).cast("date"), 1) if extend else F.date_add("day", 1)
     runs = changed.withColumn("before_date", F.coalesce(F.lead("day").over(by), last)).where("held")
     return merge_ranges(runs.select("instrument_id", F.col("day").alias("from_date"), "before_date"), ["instrument_id"])
