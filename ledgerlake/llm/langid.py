@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.shared import bounded_batches
+
 UNDETERMINED = "und"
 DIMS = 4096
 CLUSTERS = 4
@@ -94,6 +96,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Document frequencies cover all of them; each language's clusters come from at most SAMPLE texts, those
     with the smallest hash of the id among a random share. Without such rows the model knows no language.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 

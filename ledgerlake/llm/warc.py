@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.shared import new_path, written
+from ledgerlake.llm.shared import bounded_batches, new_path, written
 
 FILE_BYTES = 4_000_000
 MIN_REVISIT = 1000
@@ -304,6 +304,7 @@ def round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     Repeated rows with one page_id and one payload are all responses, as none has a larger key.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
     convert(spark, arc, warc, min_revisit)
