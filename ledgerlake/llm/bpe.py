@@ -8,24 +8,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts with anything but ASCII, Latin letters and common typographic marks, with white space other than
-#: single spaces and line feeds between words, or with a stop or comma after another sign, go to the library whole.
-IRREGULAR = r"[^\n -~À-ÖØ-öø-ɏ‐-‧€]|[ \n][ \n]|[ \n]\z|\A[ \n]|[^\pL\pN\n][.,]|[.,][^\pL\pN \n]"
+#: Texts with anything but ASCII, Latin letters and common typographic marks, or with white space other than
+#: single spaces and line feeds between words, go to the library whole.
+IRREGULAR = r"[^\n -~À-ÖØ-öø-ɏ‐-‧€]|[ \n][ \n]|[ \n]\z|\A[ \n]"
+#: Where a run of signs follows a letter or digit; an apostrophe may start a contraction, so it starts no chunk.
+BORDER = r"([\pL\pN])([^\pL\pN\s'])"
 #: Chunks remembered in each of two generations.
 MEMO_ENTRIES = 200_000
 BATCH = 512
 MARK = "\x01"
-SIGNS = (f"{MARK}.", f"{MARK},")
-STOP, COMMA, LINE = f" {MARK}.", f" {MARK},", f" {MARK}\n"
+LINE = f" {MARK}\n"
 
 
 class Encoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     Byte-level BPE never merges across pre-tokens, and in a regular text a pre-token starts at each single
-    space, line feed, stop or comma. So each different chunk (one of these and what follows up to the next)
-    is encoded by the library once and remembered, for at most MEMO_ENTRIES chunks; the new chunks of a batch
-    are encoded together. Texts that are irregular or hold a special token's string are encoded whole.
+    space and line feed and where signs follow a letter or digit. So each different chunk (from one such
+    place up to the next) is encoded by the library once and remembered, for at most MEMO_ENTRIES chunks; the
+    new chunks of a batch are encoded together. Texts that are irregular or hold a special token's string are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -46,7 +48,7 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _learn(self, chunks: set[str]) -> None:
-        signs = [c for c in chunks if c[:2] in SIGNS]  # side by side, these could merge
+        signs = [c for c in chunks if c[0] == MARK and c[1] != "\n"]  # side by side, these could merge
         self.memo.update(zip(signs, self._whole([c[1:] for c in signs])))
         words = list(chunks.difference(signs))
         if not words:
@@ -60,6 +62,11 @@ class Encoder:
         else:
             self.memo.update(zip(words, self._whole(spelt)))
 
+    def forget(self) -> None:
+        """Frees what a task has remembered: a worker stays for other tasks."""
+        self.memo, self.old = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; none for null."""
         out: list[bytes] = []
@@ -74,8 +81,7 @@ class Encoder:
             regular = pc.and_(regular, pc.invert(pc.match_substring(held, name)))
         regular = pc.fill_null(regular, False)
         held = pc.binary_join_element_wise("", held.filter(regular), "\n")
-        for sign, place in ((".", STOP), (",", COMMA), ("\n", LINE)):
-            held = pc.replace_substring(held, sign, place)
+        held = pc.replace_substring(pc.replace_substring_regex(held, BORDER, rf"\1 {MARK}\2"), "\n", LINE)
         split = pc.split_pattern(pc.utf8_slice_codeunits(held, 1), " ")
         chunks = split.flatten().dictionary_encode()
         ids, ends = self._joined(chunks.dictionary.to_pylist(), chunks.indices.to_numpy(), split.offsets.to_numpy())

@@ -53,6 +53,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
                     rows.append((doc, chunk, before, len(ids) // 4, width, data))
                     before += len(ids) // 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TOKENS)], schema=_TOKENS)
+        encoder(tokenizer).forget()
 
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return pairs.mapInArrow(run, "doc_id long, chunk int, before long, n_tokens long, width int, ids binary")

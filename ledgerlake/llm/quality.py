@@ -177,12 +177,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sc
     named = [(p, float(g), float(min(1.0, (1.2 * SAMPLE + 50) / sides[int(g >= 0.5)]))) for p, g in zip(found["pattern"], good)]
     known = docs.sparkSession.createDataFrame(named, "pattern string, good double, share double")
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.withColumn("draw", draw).where(F.col("draw") < max(s for _, _, s in named))
-    picked = picked.withColumn("pattern", pattern_of("text")).join(F.broadcast(known), "pattern").where("draw < share")  # one row for each pattern
 
-    @F.pandas_udf("binary")
-    def features(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hashed(t).tobytes())
+    @F.pandas_udf("pattern string, x binary")
+    def features(texts: pd.Series) -> pd.DataFrame:
+        x = [hashed(t) for t in texts]
+        given = [v[-3 * len(LABELLERS) :].reshape(-1, 3).argmax(axis=1) for v in x]
+        return pd.DataFrame({"pattern": ["".join(map(str, g)) for g in given], "x": [v.tobytes() for v in x]})
+
+    picked = rows.withColumn("draw", draw).where(F.col("draw") < max(s for _, _, s in named))
+    picked = picked.select("id", "draw", features("text").alias("f")).select("id", "draw", "f.pattern", "f.x")
+    picked = picked.join(F.broadcast(known), "pattern").where("draw < share")  # one row for each pattern
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["draw", "id", "x"])
@@ -190,7 +194,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sc
         w, b = _trained(np.stack([np.frombuffer(x, np.float32) for x in taken["x"]]), taken["good"].to_numpy())
         return pd.DataFrame({"weights": [w.tobytes()], "bias": [b]})
 
-    got = picked.select("id", "draw", "good", features("text").alias("x")).groupBy().applyInPandas(fit, "weights binary, bias double").first()
+    got = picked.select("id", "draw", "good", "x").groupBy().applyInPandas(fit, "weights binary, bias double").first()
     return Scorer(np.frombuffer(got["weights"], np.float64), got["bias"], model) if got else Scorer(np.zeros(DIMS), 50.0, model)
 
 
