@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,11 @@ IRREGULAR = r"[^\n -~À-ÖØ-öø-ɏ‐-‧€]|[ \n][ \n]|[ \n]\z|\A[ \n]"
 BORDER = r"([\pL\pN])([^\pL\pN\s'])"
 #: Chunks remembered in each of two generations.
 MEMO_ENTRIES = 200_000
-BATCH = 512
+BATCH = 2048
 MARK = "\x01"
+#: Fixed values of byte-level BPE: the characters that stand for the bytes 0 to 255; bytes without a printable one follow from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELT = {b: b if b in _PRINTED else 256 + b - sum(p < b for p in _PRINTED) for b in range(256)}
 LINE = f" {MARK}\n"
 
 
@@ -50,7 +54,12 @@ class Encoder:
     def _learn(self, chunks: set[str]) -> None:
         signs = [c for c in chunks if c[0] == MARK and c[1] != "\n"]  # side by side, these could merge
         self.memo.update(zip(signs, self._whole([c[1:] for c in signs])))
-        words = list(chunks.difference(signs))
+        tokenize = self.tokenizer.model.tokenize  # a space and letters are one pre-token, so the model alone can take them
+        plain = [c for c in chunks if c.isalpha()]
+        for c in plain:
+            ids = [i.id for i in tokenize("Ġ" + (c if c.isascii() else c.encode().decode("latin-1").translate(SPELT)))]
+            self.memo[c] = struct.pack(f"<{len(ids)}I", *ids)
+        words = list(chunks.difference(signs, plain))
         if not words:
             return
         spelt = [c[1:] if c[0] == MARK else " " + c for c in words]

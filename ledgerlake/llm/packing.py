@@ -24,7 +24,7 @@ WINDOW = 2048
 END_ID = 1
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("chunk", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-BATCH = 512
+BATCH = 2048
 
 
 def narrowed(ids: bytes) -> tuple[int, bytes]:

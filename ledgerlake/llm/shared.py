@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Arrow batches of whole texts and pages stay small, as a worker holds several forms of one batch at a time.
-BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
