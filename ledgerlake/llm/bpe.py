@@ -106,15 +106,15 @@ class Encoder:
 
     def _joined(self, distinct: list[str], order: np.ndarray, offsets: np.ndarray) -> tuple[bytes, list[int]]:
         """(the ids of the chunks ``distinct[order]``, the bytes up to the end of each text), given where texts start in ``order``."""
-        memo = self.memo
-        missing = {c for c in distinct if c not in memo}
-        if len(memo) + len(missing) > MEMO_ENTRIES:
-            self.old, self.memo = memo, {}
-            memo, missing = self.memo, set(distinct)
-        known = missing.intersection(self.old)
-        memo.update({c: self.old[c] for c in known})
-        self._learn(missing - known)
-        data = [memo[c] for c in distinct]
+        data = list(map(self.memo.get, distinct))
+        missing = [c for c, d in zip(distinct, data) if d is None]
+        if missing:
+            if len(self.memo) + len(missing) > MEMO_ENTRIES:
+                self.old, self.memo = self.memo, {c: d for c, d in zip(distinct, data) if d is not None}
+            known = {c: self.old[c] for c in missing if c in self.old}
+            self.memo.update(known)
+            self._learn(set(missing).difference(known))
+            data = list(map(self.memo.__getitem__, distinct))
         lengths = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
         starts = np.cumsum(lengths) - lengths
         spread = lengths[order]

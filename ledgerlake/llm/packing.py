@@ -27,10 +27,14 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 BATCH = 2048
 
 
-def narrowed(ids: bytes) -> tuple[int, bytes]:
-    """Ids of four bytes in two where all fit: (bytes an id, data)."""
-    values = np.frombuffer(ids, dtype="<u4")
-    return (2, values.astype("<u2").tobytes()) if not len(values) or values.max() < 1 << 16 else (4, ids)
+def narrowed(texts: list[bytes]) -> tuple[int, list[int], list[bytes]]:
+    """Texts' ids of four bytes in two where all fit: (bytes an id, ids of each text, data of each)."""
+    counts = [len(x) // 4 for x in texts]
+    values = np.frombuffer(b"".join(texts), dtype="<u4")
+    if len(values) and values.max() >= 1 << 16:
+        return 4, counts, texts
+    data, ends = values.astype("<u2").tobytes(), [0, *(2 * np.cumsum(counts)).tolist()]
+    return 2, counts, [data[i:j] for i, j in zip(ends, ends[1:])]
 
 
 def widened(width: int, data: bytes) -> np.ndarray:
@@ -46,13 +50,11 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    ids += end
-                    width, data = narrowed(ids)
-                    rows.append((doc, chunk, before, len(ids) // 4, width, data))
-                    before += len(ids) // 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TOKENS)], schema=_TOKENS)
+                width, counts, data = narrowed([x + end for x in encode(part.column(1).to_pylist())])
+                ends = before + np.cumsum(counts)
+                columns = (part.column(0), [chunk] * len(counts), ends - counts, counts, [width] * len(counts), data)
+                before = int(ends[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TOKENS)], schema=_TOKENS)
         encoder(tokenizer).forget()
 
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -21,7 +21,6 @@ data bytes            each document's own
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,7 +82,11 @@ def _write(contents: DataFrame, path: str, compression: str = "none") -> None:
 
 def _joined(widths: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(the ids of all documents, how many each has)."""
-    each = [widened(w, d.as_buffer()) for w, d in zip(widths.to_pylist(), ids)]
+    widths = widths.to_numpy()
+    if len(widths) and (widths == widths[0]).all():  # then the ids lie side by side
+        ends = np.frombuffer(ids.buffers()[1], dtype="<i4")[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+        return widened(int(widths[0]), ids.buffers()[2][int(ends[0]) : int(ends[-1])]), np.diff(ends) // int(widths[0])
+    each = [widened(int(w), d.as_buffer()) for w, d in zip(widths, ids)]
     return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
 
 
@@ -126,23 +129,29 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, id_c
     found = tokens.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), F.lit(max(10_000, 20 * shards)))).first()[0] if cuts else []
     bounds = np.array(found or [], dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def shard_of(doc: pd.Series) -> pd.Series:
-        return pd.Series(np.where(doc.isna(), 0, np.searchsorted(bounds, doc.fillna(0).to_numpy().astype(np.int64), side="left")).astype("int32"))
+    def shard_of(docs: pa.Array) -> np.ndarray:
+        found = np.searchsorted(bounds, docs.fill_null(0).to_numpy(), side="left")
+        return np.where(docs.is_null().to_numpy(zero_copy_only=False), 0, found).astype(np.int32)
 
-    sharded = tokens.withColumn("shard", shard_of("doc_id"))
-    totals = sharded.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
+    def sum_up(batches):
+        sums = np.zeros(shards, dtype=np.int64)
+        for batch in batches:
+            np.add.at(sums, shard_of(batch.column(0)), batch.column(1).to_numpy())
+        held = np.nonzero(sums)[0].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[held])], ["shard", "total"])
+
+    totals = tokens.select("doc_id", "n_tokens").mapInArrow(sum_up, "shard int, total long").groupBy("shard").agg(F.sum("total").alias("total"))
     bases = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
 
     def code(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
-                ids, counts = _joined(part.column(3), part.column(4))
+                ids, counts = _joined(part.column(2), part.column(3))
                 control, data = pack(ranks[ids], counts)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["shard", "doc_id", "n_tokens", "control", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard_of(part.column(0))), *part.columns[:2], pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["shard", "doc_id", "n_tokens", "control", "data"])
 
-    coded = sharded.select("shard", "doc_id", "n_tokens", "width", "ids").mapInArrow(code, "shard int, doc_id long, n_tokens long, control binary, data binary")
+    coded = tokens.select("doc_id", "n_tokens", "width", "ids").mapInArrow(code, "shard int, doc_id long, n_tokens long, control binary, data binary")
     ordered = coded.repartitionById(shards, F.col("shard")).join(F.broadcast(bases), "shard")  # one row for each shard
     ordered = ordered.select("doc_id", "n_tokens", "control", "data", "base").sortWithinPartitions("doc_id", "n_tokens", "data")
 
