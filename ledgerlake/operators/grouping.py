@@ -69,13 +69,24 @@ def trade_pairs(postings: DataFrame) -> DataFrame:
     first, then the smallest ids; a posting is claimed once. Buckets are an account's days.
     """
 
-    def pair(bucket: pd.DataFrame) -> pd.DataFrame:
-        rows = bucket.astype(object).where(bucket.notna(), None).to_dict("records")
-        return pd.DataFrame(_pair_trades(rows), columns=["asset_tx_id", "cash_tx_id", "rule"])
+    def pair(batches):
+        """Walks a partition sorted by bucket; holds one bucket at a time."""
+        key, rows = None, []
+        for batch in batches:
+            found = []
+            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+                if rows and (row["account"], row["order_date"]) != key:
+                    found += _pair_trades(rows)
+                    rows = []
+                key = (row["account"], row["order_date"])
+                rows.append(row)
+            yield pd.DataFrame(found, columns=["asset_tx_id", "cash_tx_id", "rule"])
+        yield pd.DataFrame(_pair_trades(rows), columns=["asset_tx_id", "cash_tx_id", "rule"])
 
     double = lambda c: F.col(c).cast("double").alias(c)
     rows = postings.where("tx_type in ('TRADE_ASSET', 'TRADE_CASH')").select("tx_id", "account", "order_date", "tx_type", double("quantity"), double("unit_price"), double("settlement_amount"), double("ordinal"))
-    return rows.groupBy("account", "order_date").applyInPandas(pair, "asset_tx_id long, cash_tx_id long, rule string")
+    buckets = rows.repartition("account", "order_date").sortWithinPartitions("account", "order_date", "tx_id")
+    return buckets.mapInPandas(pair, "asset_tx_id long, cash_tx_id long, rule string")
 
 
 def deposit_runs(postings: DataFrame) -> DataFrame:
