@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.llm import jaccard
 from ledgerlake.llm.graph import components
 from ledgerlake.llm.shared import written
 
@@ -133,12 +134,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = jaccard.SIMILARITY) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, whole.
 
+    Texts are linked by the Jaccard similarity of their word shingles, every pair of ``similarity`` or more
+    (``jaccard``); fingerprints of MAX_BITS reach such pairs in part only.
     Of rows that repeat that doc_id the one with the smallest text stays. Rows with a null doc_id stay.
     """
-    found = near_duplicates(docs, shingle=shingle, max_bits=max_bits)
+    found = jaccard.similar_documents(docs, shingle, similarity)
     best = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     columns = docs.columns
     named = docs.where("doc_id is not null")
