@@ -1,37 +1,29 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination: every window that could hold an item is found by an exact bound and verified.
 
 Only words of the benchmark can make a passage like a benchmark item, so the vocabulary is the benchmark's
-and every document becomes a sequence of word numbers (-1 for other words), once. Document frequencies and
-the randomised SVD of the TF-IDF passages cover all documents: with Gaussian test vectors O the sum of
-a (a O) over passages a is one distributed pass, and the leading directions follow from that and O alone
-(Nystroem). Items and windows of every document are compared by cosine in that latent space. A window near
-an item is a candidate only: the longest common subsequence of words decides, with a check of the item's
-answer (its last sentence) where the wording was changed.
+and every document becomes a sequence of word numbers (-1 for other words), once. A copy or paraphrase has
+at least PARAPHRASE of an item's words in its window; words are counted for all items by blocks of STRIDE,
+so a window's count for every item is one difference of running sums. A window with too few words can't
+be verified and any other is a candidate: the longest common subsequence of words decides, with a check of
+the item's answer (its last sentence) where the wording was changed.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.shared import written
 
-RANK = 192
-#: Words in a larger share of the documents say nothing about a passage.
-COMMON = 0.1
-PASSAGE = 32
 STRIDE = 8
 #: Lengths of windows in words; an item is sought in the first that holds it and in the next.
 WINDOWS = (*range(8, 64, 8), *range(64, 128, 16), *range(128, 257, 32))
-COSINE = 0.65
-#: An item with a short latent vector is sought from a lower cosine on: what SLACK times the usual energy of the other words leaves.
-LEAST_COSINE, SLACK = 0.2, 4.0
 SIMILARITY = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.8
@@ -105,79 +97,6 @@ def _arrays(batch) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in batch.column(batch.schema.get_field_index("words"))]
 
 
-def inverse_frequencies(sequences: DataFrame, size: int, documents: int) -> np.ndarray:
-    """log((1 + documents) / (1 + documents with the word)) for each word number, over all documents; 0 for common words."""
-
-    def run(batches):
-        found = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for words in _arrays(batch):
-                seen = np.zeros(size + 1, dtype=bool)
-                seen[words] = True  # -1 marks the last place
-                found += seen[:-1]
-        at = np.nonzero(found)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at])], ["word", "n"])
-
-    counts = sequences.select("words").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(size)
-    n[counts["word"].to_numpy(dtype=int)] = counts["n"]
-    return np.where(n > COMMON * documents, 0.0, np.log((1 + documents) / (1 + n))).astype(np.float32)
-
-
-def _sums(words: np.ndarray, rows: np.ndarray, n_rows: int, table: np.ndarray) -> np.ndarray:
-    """For each row the sum of ``table[word]`` over its words (rows rising)."""
-    out = np.zeros((n_rows, table.shape[1]), dtype=np.float32)
-    if len(words):
-        starts = np.nonzero(np.r_[True, rows[1:] != rows[:-1]])[0]
-        out[rows[starts]] = np.add.reduceat(table[words], starts, axis=0)
-    return out
-
-
-def latent_directions(sequences: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(directions [word, rank], singular values) of the TF-IDF passages (PASSAGE words each) of all documents."""
-    size = len(idf)
-    rank = min(rank, size)
-    test = np.random.default_rng(seed).standard_normal((size, rank)).astype(np.float32)
-    table = idf[:, None] * test
-
-    def run(batches):
-        total = np.zeros((size, rank), dtype=np.float64)
-        for batch in batches:
-            arrays = _arrays(batch)
-            for i in range(0, len(arrays), 64):
-                part = arrays[i : i + 64]
-                lengths = [-(-len(a) // PASSAGE) for a in part]
-                first = np.cumsum([0, *lengths])
-                rows = np.concatenate([np.arange(len(a)) // PASSAGE + f for a, f in zip(part, first)])
-                words = np.concatenate(part)
-                known = np.nonzero((words >= 0) & (idf[words] > 0))[0]
-                words, rows = words[known], rows[known]
-                projected = _sums(words, rows, int(first[-1]), table)
-                order = np.argsort(words, kind="stable")
-                words, rows = words[order], rows[order]
-                if len(words):
-                    starts = np.nonzero(np.r_[True, words[1:] != words[:-1]])[0]
-                    total[words[starts]] += np.add.reduceat(projected[rows], starts, axis=0) * idf[words[starts], None]
-        at = np.nonzero(np.abs(total).sum(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].tolist(), pa.list_(pa.float64()))], ["word", "row"])
-
-    parts = sequences.select("words").mapInArrow(run, "word long, row array<double>")
-    sums = parts.groupBy("word").agg(F.array(*(F.sum(F.col("row")[i]) for i in range(rank))).alias("row")).toPandas()  # benchmark words
-    y = np.zeros((size, rank))
-    for word, row in zip(sums["word"], sums["row"]):
-        y[word] = row
-    values, vectors = np.linalg.eigh((test.T @ y + y.T @ test) / 2)
-    kept = values > max(values.max(initial=0.0), 1e-12) * 1e-9
-    half = y @ (vectors[:, kept] / np.sqrt(values[kept]))
-    left, singular, _ = np.linalg.svd(half, full_matrices=False) if kept.any() else (y[:, :0], np.zeros(0), None)
-    return left.astype(np.float32), singular
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norms > 0, norms, 1)
-
-
 def _verified(item: np.ndarray, answer: np.ndarray, text: np.ndarray) -> float:
     """The share of the item's words in a common subsequence with ``text``; 0 if it's no copy or paraphrase."""
     share = lcs_length(item, text) / len(item)
@@ -188,62 +107,50 @@ def _verified(item: np.ndarray, answer: np.ndarray, text: np.ndarray) -> float:
     return 0.0
 
 
-def search(sequences: DataFrame, items: Items, idf: np.ndarray, directions: np.ndarray, energy: float) -> DataFrame:
-    """Rows (doc_id, item_id, similarity) of verified pairs: every window of every document against every item.
-
-    ``energy`` is the mean square that a word of the corpus adds to a passage's latent vector. A window holds
-    an item and up to 2 * STRIDE other words, so an item whose own vector is short gets a lower threshold.
-    """
-    table = idf[:, None] * directions
-    weights = [np.asarray(w) for w in items.words]
-    latent = np.stack([table[w].sum(axis=0) for w in weights])
-    squares = (latent * latent).sum(axis=1)
-    least = np.clip(np.sqrt(squares / (squares + SLACK * 2 * STRIDE * energy + 1e-12)), LEAST_COSINE, COSINE).astype(np.float32)
-    latent = _unit(latent)
-    blind = squares == 0  # items that the latent space doesn't see are checked against every window
+def search(sequences: DataFrame, items: Items) -> DataFrame:
+    """Rows (doc_id, item_id, similarity) of verified pairs: every window of every document against every item."""
+    weights = items.words
     sought: dict[int, list[int]] = {}
     for i, w in enumerate(weights):
         for size in [x for x in WINDOWS if x >= len(w)][:2] or [-(-len(w) // 64) * 64 + 64]:
             sought.setdefault(size, []).append(i)
     sought = {size: np.array(members) for size, members in sought.items()}
-
     widest = max(sought, default=STRIDE) // STRIDE
+    distinct = [np.unique(w) for w in weights]
+    least = np.array([math.ceil(PARAPHRASE * len(w) - 1e-9) for w in weights], dtype=np.int32)
+    #: So many of an item's words may be missing from a window.
+    missing = [(1 - PARAPHRASE) * len(w) + 1e-9 for w in weights]
     sets = [set(w.tolist()) for w in weights]
-    holds = [np.isin(np.arange(len(items.vocabulary) + 1), w).astype(np.float32) for w in weights]  # the last place is for -1
+    narrow = np.int16 if (widest + 2) * STRIDE < 1 << 15 else np.int32  # holds the words of a window
+    holds = np.zeros((len(items.vocabulary) + 1, len(weights)), dtype=narrow)  # whether an item has a word; the last row is for -1
+    for i, w in enumerate(distinct):
+        holds[w, i] = 1
 
     def batch_pairs(texts: list[np.ndarray]) -> dict[tuple[int, int], float]:
         """(document, item) to similarity. Documents stand in one row of blocks, with empty ones between that no window can span."""
         first = np.cumsum([0, *(-(-len(t) // STRIDE) + widest for t in texts)])
         words = np.concatenate(texts)
         rows = np.concatenate([np.arange(len(t)) // STRIDE + f for t, f in zip(texts, first)])
-        known = np.nonzero(words >= 0)[0]
-        known = known[idf[words[known]] > 0]
-        by_block = _sums(words[known], rows[known], int(first[-1]), table)
-        zero = np.zeros((1, by_block.shape[1]), np.float32)
-        rolled = np.concatenate((zero, np.cumsum(by_block, axis=0)))
-        scores = np.concatenate((np.zeros((1, len(latent)), np.float32), np.cumsum(by_block @ latent.T, axis=0)))
+        known = words >= 0
+        words, rows = words[known], rows[known]
+        starts = np.nonzero(np.r_[True, rows[1:] != rows[:-1]])[0]
+        counts = np.zeros((int(first[-1]) + 3, len(weights)), dtype=holds.dtype)  # an empty block before the first and after the last
+        counts[rows[starts] + 2] = np.add.reduceat(holds[words], starts, axis=0)
+        np.cumsum(counts, axis=0, out=counts)  # sums may wrap around; a window's difference doesn't
         best: dict[tuple[int, int], float] = {}
-        counted: dict[int, np.ndarray] = {}
         for size, members in sought.items():
             wide = size // STRIDE
-            window = rolled[wide:] - rolled[:-wide]
-            length = np.sqrt(np.einsum("ij,ij->i", window, window))
-            near = scores[wide:, members] - scores[:-wide, members]
-            close = (near >= np.maximum(length, 1e-3)[:, None] * least[members]) | blind[members]
-            for m in np.nonzero(close.any(axis=0))[0]:
-                item = int(members[m])
-                starts = np.nonzero(close[:, m])[0]
-                if item not in counted:  # words of the item in the blocks so far
-                    counted[item] = np.r_[0, np.cumsum(np.bincount(rows, holds[item][words], int(first[-1])))]
-                inside = counted[item][np.minimum(starts + wide + 1, len(counted[item]) - 1)] - counted[item][np.maximum(starts - 1, 0)]
-                for s in starts[inside >= PARAPHRASE * len(weights[item])].tolist():
-                    doc = int(np.searchsorted(first, s, side="right")) - 1
-                    at = (s - int(first[doc])) * STRIDE
-                    text = texts[doc][max(0, at - STRIDE) : at + size + STRIDE]
-                    if len(sets[item].intersection(text.tolist())) >= len(sets[item]) - (1 - PARAPHRASE) * len(weights[item]):
-                        share = _verified(weights[item], items.answers[item], text)
-                        if share > best.get((doc, item), 0.0):
-                            best[doc, item] = share
+            mine = counts[:, members]
+            enough = mine[wide + 2 :] - mine[: -wide - 2] >= least[members].astype(narrow)  # a window and STRIDE words on either side
+            at_start, of_member = np.nonzero(enough)
+            in_doc = np.searchsorted(first, at_start, side="right") - 1
+            for s, item, doc in zip(at_start.tolist(), members[of_member].tolist(), in_doc.tolist()):
+                at = (s - int(first[doc])) * STRIDE
+                text = texts[doc][max(0, at - STRIDE) : at + size + STRIDE]
+                if len(sets[item].intersection(text.tolist())) >= len(sets[item]) - missing[item]:
+                    share = _verified(weights[item], items.answers[item], text)
+                    if share > best.get((doc, item), 0.0):
+                        best[doc, item] = share
         return best
 
     def run(batches):
@@ -277,7 +184,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     asked = written(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")), "items")
     groups = max(1, -(-asked.count() // ITEM_GROUP))
-    documents = docs.count()
     found = None
     for group in range(groups):
         rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group).orderBy("item_id", "text").collect()
@@ -285,10 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if not items.ids:
             continue
         sequences = written(numbered(docs, items.vocabulary, id_col, text_col), "sequences")
-        idf = inverse_frequencies(sequences, len(items.vocabulary), documents)
-        directions, singular = latent_directions(sequences, idf)
-        words = sequences.agg(F.sum(F.octet_length("words") / 4)).first()[0] or 1
-        part = search(sequences, items, idf, directions, float((singular**2).sum() / words))
+        part = search(sequences, items)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, similarity double")
 
