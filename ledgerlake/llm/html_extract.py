@@ -33,6 +33,15 @@ SKIPPED = frozenset("nav footer aside form script style noscript template svg ma
 CONTAINERS = frozenset("article main section div td body".split())
 #: Words in class or id that mark an element as no part of the article.
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar widget pagination pager skip".split())
+#: Words that make a class or id a layout's state ("has-sidebar", "comments-open"), not the part's name.
+STATES = frozenset("has no with without is open opened closed enabled disabled".split())
+#: A marked element that holds so many times the text outside of all marks is the page's content.
+MOST = 5
+#: A block of so many characters is running text.
+RUNNING = 80
+#: A part that is named for comments may be longer than the article.
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
@@ -40,9 +49,18 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html_lib.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(raw)} if raw and "=" in raw else {}
 
 
-def _marked(attributes: dict[str, str]) -> bool:
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return bool(attributes) and (not BOILERPLATE.isdisjoint(_WORD.findall(named)) or attributes.get("role", "").lower() in _ROLES or attributes.get("aria-hidden", "").lower() == "true" or "hidden" in attributes)
+def _hidden(attributes: dict[str, str]) -> bool:
+    return bool(attributes) and (attributes.get("role", "").lower() in _ROLES or attributes.get("aria-hidden", "").lower() == "true" or "hidden" in attributes)
+
+
+def _marked(attributes: dict[str, str]) -> int:
+    """Whether class or id mark an element as boilerplate: 2 if one is such a word or is about comments, 1 if one has such a word in it, or 0."""
+    found = 0
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split() if attributes else ():
+        words = _WORD.findall(token)
+        if not BOILERPLATE.isdisjoint(words) and STATES.isdisjoint(words):
+            found = max(found, 2 if token in BOILERPLATE or not COMMENTS.isdisjoint(words) else 1)
+    return found
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -53,13 +71,33 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 
 
 class Page:
-    """The containers of a page: for each its path, its score and where its blocks start and end."""
+    """The containers of a page: for each its score, its path, where its blocks start and end, its characters and those in links.
+
+    Elements whose class or id mark them are skipped. Where one of them turns out to hold the page's content,
+    the page is parsed again with it, and with all of them where nothing else is left.
+    """
 
     def __init__(self, page: str):
+        marks = self._parse(page, frozenset())
+        kept = frozenset(at for at, mark, inside, mains, articles in marks if mains or (mark == 1 and (inside > MOST * self.plain or (articles and not self.articles and inside > self.plain))))
+        if kept:
+            marks = self._parse(page, kept)
+        if marks and not self.blocks:
+            self._parse(page, None)
+
+    def _parse(self, page: str, kept: frozenset[int] | None) -> list[tuple[int, int, int, int, int]]:
+        """Reads the page; marked elements that start at ``kept`` aren't skipped, with None no marked ones are.
+
+        Returns for each skipped one (start, mark, characters, main elements, article elements).
+        """
         self.blocks: list[str] = []
-        self.containers: list[tuple[float, str, int, int]] = []
-        stack: list[tuple[str, str, int, bool, int, list[float]]] = []  # tag, path, first block, skipped, links, scores
-        skipped = links = 0
+        self.headings: set[int] = set()
+        self.containers: list[tuple[float, str, int, int, int, int]] = []
+        self.parents: dict[int, int] = {}
+        self.plain = self.linked = self.articles = 0
+        marks: list[tuple[int, int, int, int, int]] = []
+        stack: list[tuple] = []  # tag, path, first block, skipped, links, scores, counts so far, containers inside
+        skipped = links = hard = hidden_text = mains = articles = 0
         pending: list[str] = []
         blocks = self.blocks
 
@@ -71,19 +109,28 @@ class Page:
                     blocks.append(text)
 
         def close() -> None:
-            nonlocal skipped, links
-            tag, path, first, off, link, scores = stack.pop()
+            nonlocal skipped, links, hard
+            tag, path, first, off, link, scores, (at, mark, plain, linked, hidden, n_mains, n_articles), inner = stack.pop()
             if tag in BLOCKS and not skipped:
                 flush()
+                if tag in HEADINGS and len(blocks) > first:
+                    self.headings.add(len(blocks) - 1)
             skipped -= off
+            if off and mark:
+                marks.append((at, mark, hidden_text - hidden, mains - n_mains, articles - n_articles))
+            elif off:
+                hard -= 1
             links -= link
             own = scores[0] - 2 * scores[1]
             if tag in CONTAINERS and not off and not skipped and len(blocks) > first:
-                self.containers.append((own, path, first, len(blocks)))
+                self.parents.update((x, len(self.containers)) for x in inner)
+                inner = [len(self.containers)]
+                self.containers.append((own, path, first, len(blocks), self.plain - plain, self.linked - linked))
             if stack:  # a paragraph's text counts in full for its parent, by half further up
                 parent, share = stack[-1][5], 1.0 if tag not in CONTAINERS else 0.5
                 parent[0] += scores[0] * share
                 parent[1] += scores[1] * share
+                stack[-1][7].extend(inner)
 
         for found in _TOKEN.finditer(page):
             name = found["tag"]
@@ -94,11 +141,15 @@ class Page:
                 if not skipped:
                     plain = html_lib.unescape(text) if "&" in text else text
                     pending.append(plain)
+                    n = len(plain.strip())
+                    self.plain += n
+                    self.linked += n if links else 0
                     if stack:
-                        n = len(plain.strip())
                         stack[-1][5][0] += n
                         if links:
                             stack[-1][5][1] += n
+                elif not hard:
+                    hidden_text += len(text.strip())
                 continue
             tag = name.lower()
             if found["end"]:
@@ -127,23 +178,32 @@ class Page:
                 continue
             attributes = _attributes(found["attributes"])
             inside = any(x[0] in ("article", "main") for x in stack)
-            off = tag in SKIPPED or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and _marked(attributes))
+            whole = tag in ("html", "body", "article", "main")
+            hides = tag in SKIPPED or (tag == "header" and not inside) or (not whole and _hidden(attributes))
+            mark = 0 if hides or whole or kept is None or found.start() in kept else _marked(attributes)
+            off = hides or mark > 0
             path = f"{stack[-1][1]}>{_step(tag, attributes)}" if stack and tag in BLOCKS else _step(tag, attributes) if tag in BLOCKS else stack[-1][1] if stack else ""
             if found["attributes"].endswith("/") and tag not in BLOCKS:
                 continue
             if off and not skipped and tag in BLOCKS:
                 flush()
-            stack.append((tag, path, len(blocks), off, tag == "a", [0.0, 0.0]))
+            stack.append((tag, path, len(blocks), off, tag == "a", [0.0, 0.0], (found.start(), mark, self.plain, self.linked, hidden_text, mains, articles), []))
             skipped += off
+            hard += hides
+            if not hard:
+                mains += tag == "main"
+                articles += tag == "article"
+                self.articles += tag == "article" and not skipped
             links += tag == "a"
         while stack:
             close()
         flush()
+        return marks
 
     def best(self, n: int) -> list[tuple[float, str]]:
         """(score, path) of the ``n`` best containers; of one path the sum of its containers."""
         by_path: dict[str, float] = {}
-        for score, path, _, _ in self.containers:
+        for score, path, *_ in self.containers:
             by_path[path] = by_path.get(path, 0.0) + max(score, 0.0)
         preferred = lambda path: path.rpartition(">")[2].split(".")[0] in ("article", "main")
         weighed = {p: s * (2 if preferred(p) else 1) for p, s in by_path.items()}
@@ -151,7 +211,7 @@ class Page:
 
     def text(self, paths: list[str]) -> str:
         """The blocks of the containers with the first of ``paths`` that the page has, in page order; else of its own best, else all."""
-        have = {path for _, path, _, _ in self.containers}
+        have = {path for _, path, *_ in self.containers}
         chosen = next((p for p in paths if p in have), None)
         if chosen is None:
             own = self.best(1)
@@ -159,7 +219,7 @@ class Page:
         if chosen is None:
             return "\n".join(self.blocks)
         out, at = [], 0
-        for _, path, first, end in sorted(self.containers, key=lambda x: (x[2], -x[3])):
+        for _, path, first, end, *_ in sorted(self.containers, key=lambda x: (x[2], -x[3])):
             if path == chosen and end > at:
                 out += self.blocks[max(first, at) : end]
                 at = end
