@@ -3,7 +3,8 @@
 First pass: each page's containers are scored by their own running text less its links, and the best few
 vote for their generalised tag-class path (digits and ids left out). Spark sums the votes by host and path,
 which gives each host's ranking. Second pass: each page takes the container with its host's best path that
-it has, so one odd page follows its host's template; without one it takes its own best.
+it has, so one odd page follows its host's template; without one it takes its own best. From there it climbs
+to ancestors while what they add is running text, so an article split over siblings stays whole.
 
 Parsing is one regular expression over tags and text with a stack of open elements; it never backtracks
 over a page and keeps only what stands open.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -218,13 +220,34 @@ class Page:
             chosen = own[0][1] if own else None
         if chosen is None:
             return "\n".join(self.blocks)
+        climbs = chosen.rpartition(">")[2].split(".")[0] not in ("article", "main")  # those are whole
+        running = [0, *accumulate(len(x) >= RUNNING for x in self.blocks)]
+        headings = [0, *accumulate(i in self.headings for i in range(len(self.blocks)))]
+        spans, at = [], 0
+        for i in sorted((i for i, x in enumerate(self.containers) if x[1] == chosen), key=lambda i: (self.containers[i][2], -self.containers[i][3])):
+            if self.containers[i][3] > at:
+                spans.append(self._climbed(i, running, headings) if climbs else self.containers[i][2:4])
+                at = spans[-1][1]
         out, at = [], 0
-        for _, path, first, end, *_ in sorted(self.containers, key=lambda x: (x[2], -x[3])):
-            if path == chosen and end > at:
+        for first, end in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if end > at:
                 out += self.blocks[max(first, at) : end]
                 at = end
         return "\n".join(out)
 
+    def _climbed(self, i: int, running: list[int], headings: list[int]) -> tuple[int, int]:
+        """The blocks (start, end) of a container, or of an ancestor as long as what each adds is running text or headings with few links."""
+        _, _, first, end, plain, linked = self.containers[i]
+        while (i := self.parents.get(i, -1)) >= 0:
+            _, path, start, stop, text, links = self.containers[i]
+            if (start, stop) != (first, end):
+                added = lambda n: n[first] - n[start] + n[stop] - n[end]
+                body = path.rpartition(">")[2].split(".")[0] == "body"  # a heading beside the article may be the site's name
+                if not (added(running) or (added(headings) and not body)) or 5 * (links - linked) > text - plain:
+                    break
+            first, end, plain, linked = start, stop, text, links
+        return first, end
+
 
 def host_of(url: Column) -> Column:
     """The host of a URL in lower case, without port or user; empty for null."""

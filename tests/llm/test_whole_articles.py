@@ -15,6 +15,13 @@ def texts(spark, *pages):
     return [r["text"] for r in sorted(found, key=lambda r: r["page_id"])]
 
 
+def test_an_article_split_over_siblings_stays_whole(spark):
+    links = "<div class='more'>" + "<p><a href='x'>Another page that one could read as well, with a long name of its own to show</a></p>" * 3 + "</div>"
+    post = f"<div class='post'><h1>Head</h1><div class='lead'><p>{LEAD}</p></div><div class='body'><p>{BODY}</p></div></div>"
+    want = f"Head\n{LEAD}\n{BODY.strip()}"
+    assert texts(spark, f"<body>{post}{ASIDE}</body>", f"<body><div class='page'>{post}{links}</div></body>") == [want] * 2
+
+
 def test_layout_wrappers_with_boilerplate_words_keep_their_article(spark):
     wrappers = ["class='layout has-sidebar'", "class='no-sidebar'", "class='comments-open'", "id='search-content'", "class='widget'"]
     pages = [f"<body><div>Site</div><div {w}><article><p>{BODY}</p></article>{ASIDE}</div></body>" for w in wrappers[:4]]
