@@ -1,12 +1,43 @@
-"""Connected components by repeated contraction."""
+"""Pairs of rows that share a key, and connected components by repeated contraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.shared import written
 
+#: Rows of one key that one task compares with one another.
+BLOCK = 1_000
+
+
+def meeting(index: DataFrame, key: str = "key", root: str = "root") -> DataFrame:
+    """The rows of ``index`` whose key is held under at least two roots, with ``blocks``: how many blocks of BLOCK rows the key fills.
+
+    The index is shuffled once; keys under one root (copies, or what is linked already) end here.
+    """
+    dealt = index.repartition(F.col(key))
+    held = dealt.groupBy(key).agg(F.min(root).alias("low"), F.max(root).alias("high"), F.count("*").alias("n"))
+    held = held.where("low <> high").select(key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return dealt.join(held, key)
+
+
+def meeting_pairs(rows: DataFrame, near: Column, payload: list[str], key: str = "key", root: str = "root") -> DataFrame:
+    """Pairs of ``rows`` (of ``meeting``) of one key with root < root_b for which ``near`` holds; ``payload`` columns come as they are and with _b.
+
+    A key of many rows is cut into blocks that meet two by two, each in a cell of its own: no task compares
+    more than BLOCK rows with BLOCK others, and every pair meets in exactly one cell.
+    """
+    own = F.pmod(F.xxhash64(*payload), F.col("blocks")).cast("int")
+    cells = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high")))
+    )
+    dealt = rows.select(key, root, *payload, own.alias("block"), F.explode(cells).alias("cell"))
+    other = dealt.select(F.col(key).alias("key_b"), F.col(root).alias(f"{root}_b"), *(F.col(c).alias(f"{c}_b") for c in payload), F.col("block").alias("block_b"), F.col("cell").alias("cell_b"))
+    # in a cell of two blocks, rows of one block don't meet: they do in their block's own cell
+    apart = (F.col("block") != F.col("block_b")) | (F.col("cell.low") == F.col("cell.high"))
+    return dealt.join(other, (F.col(key) == F.col("key_b")) & (F.col("cell") == F.col("cell_b")) & (F.col(root) < F.col(f"{root}_b")) & apart & near)
+
 
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of ``links`` (a, b: long); root is the smallest node of its component.

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import jaccard
-from ledgerlake.llm.graph import components
+from ledgerlake.llm.graph import components, meeting, meeting_pairs
 from ledgerlake.llm.shared import written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -101,7 +101,8 @@ def linked_classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Equal fingerprints form a class first, so copies never meet in a join. Before pairs are sought, each
     class is compared with the smallest class that shares a whole segment: that contracts dense groups in
     linear work. Pairs are then sought between different components only, so a dense group isn't spelt out
-    pair by pair; every pair within reach that isn't already connected is found, once.
+    pair by pair; every pair within reach that isn't already connected is found, once. Variants of one
+    component only are left out of the join, and those of many fingerprints meet block by block.
     """
     if max_bits > 4:
         raise ValueError("three segments prove pairs of up to four bits only")
@@ -112,10 +113,8 @@ def linked_classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     stars = whole.join(pivots, ["segment", "key"]).where((F.col("rep") != F.col("rep_b")) & (_distance("fp", "fp_b") <= max_bits))
     roots = components(stars.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")))
     contracted = written(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("root")), "contracted")
-    index = _variants(contracted)
-    other = index.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
-    near = (F.col("key") == F.col("key_b")) & (F.col("root") < F.col("root_b")) & (_distance("fp", "fp_b") <= max_bits)
-    pairs = index.join(other, near & _first_shared_variant())  # only verified pairs leave the join
+    shared = written(meeting(_variants(contracted)), "variants")
+    pairs = meeting_pairs(shared, (_distance("fp", "fp_b") <= max_bits) & _first_shared_variant(), ["fp", "bit"])  # only verified pairs leave the join
     merged = components(pairs.select(F.col("root").alias("a"), F.col("root_b").alias("b")))
     merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
     return contracted.join(merged, "root", "left").select("fp", F.coalesce("top", "root").alias("component_id"))
@@ -135,17 +134,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = jaccard.SIMILARITY) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, whole.
+    """``docs`` (doc_id, text) without near-duplicates: of each component the row with the smallest doc_id stays, whole.
 
     Texts are linked by the Jaccard similarity of their word shingles, every pair of ``similarity`` or more
-    (``jaccard``); fingerprints of MAX_BITS reach such pairs in part only.
-    Of rows that repeat that doc_id the one with the smallest text stays. Rows with a null doc_id stay.
+    (``jaccard``): at 0.8 fingerprints of 64 bits differ in about 10, which MAX_BITS reach in part only.
+    Of rows that repeat that doc_id the one with the smallest text stays (null first). Rows with a null doc_id
+    stay. Columns of any name stay as they are. No rows give none.
     """
     found = jaccard.similar_documents(docs, shingle, similarity)
-    best = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    columns = docs.columns
-    named = docs.where("doc_id is not null")
-    kept = named.join(best, named["doc_id"] == best["_kept_id"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn("_kept_row", F.row_number().over(order)).where("_kept_row = 1").select(*columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    best = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct(), "kept")
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("words"), row)
+    kept = rows.join(best, rows["id"] == best["kept"], "left_semi")
+    first = kept.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("words"))).where("at = 1")
+    return first.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")
