@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 QUANTITY = "decimal(18,6)"
 ADJUSTED = "decimal(38,12)"
-FACTOR = "decimal(9,0)"
+#: Whole numbers that split factors are made of; a product beyond them raises.
+FACTOR = "decimal(18,0)"
 #: One unit in the last place of an adjusted quantity.
 ULP = "0.000000000001"
 
@@ -18,6 +19,13 @@ def qty_is_zero(quantity: Column, inexact: Column) -> Column:
     return quantity.isNull() | (F.abs(quantity) <= bound)
 
 
+def whole_ratio(first: Column, second: Column) -> tuple[Column, Column]:
+    """Two decimals of up to six places as whole numbers in the same ratio: both times the least power of ten that makes them whole."""
+    places = lambda x: F.length(F.regexp_extract(x.cast(QUANTITY).cast("string"), r"\.(\d*?)0*$", 1))
+    power = F.element_at(F.array(*(F.lit(10**i) for i in range(7))), F.greatest(places(first), places(second)) + 1)
+    return tuple((x.cast(QUANTITY) * power).cast(FACTOR) for x in (first, second))
+
+
 def exact_product(values: Column) -> Column:
     """The product of an array of whole decimals; 1 for an empty one; nulls count as 1. Overflow raises."""
     one = F.lit(1).cast(FACTOR)
@@ -25,8 +33,23 @@ def exact_product(values: Column) -> Column:
 
 
 def scaled(value: Column, numerator: Column, denominator: Column, kind: str = ADJUSTED) -> Column:
-    """value * numerator / denominator, multiplied first, divided and rounded once."""
-    return ((value.cast(QUANTITY) * numerator.cast(FACTOR)) / denominator.cast(FACTOR)).cast(kind)
+    """value * numerator / denominator, rounded once, half away from zero, to twelve places.
+
+    All steps are of whole numbers: millionths of the value are multiplied, divided, and the remainder gives
+    the six places more. A result beyond nine trillion raises.
+    """
+    top, bottom = numerator.cast(FACTOR), denominator.cast(FACTOR)
+    million = F.lit(1_000_000).cast("decimal(7,0)")
+    product = ((F.abs(value.cast(QUANTITY)) * million).cast(FACTOR) * top).cast("decimal(37,0)")
+    rest = ((product % bottom).cast(FACTOR) * million).cast("decimal(25,0)")
+    left = (rest % bottom).cast(FACTOR)
+    below = F.call_function("div", rest, bottom) + F.when(left * 2 >= bottom, 1).otherwise(0)
+    units = (F.call_function("div", product, bottom).cast("decimal(19,0)") * million + below).cast("decimal(26,0)")
+    trillion = F.lit(10**12).cast("decimal(13,0)")
+    parts = (units % trillion).cast("decimal(12,0)") * F.lit("0.000000000001").cast("decimal(12,12)")
+    exact = F.call_function("div", units, trillion).cast("decimal(26,12)") + parts
+    sign = F.when(value < 0, F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+    return F.when(top == bottom, value.cast(QUANTITY).cast(ADJUSTED)).otherwise((exact * sign).cast(ADJUSTED)).cast(kind)
 
 
 def shown(value: Column) -> Column:

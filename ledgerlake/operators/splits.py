@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.decimals import ADJUSTED, FACTOR, exact_product, scaled
+from ledgerlake.functions.decimals import FACTOR, exact_product, scaled, whole_ratio
 from ledgerlake.functions.symbols import occ_build
 
 
 def effective_splits(splits: DataFrame, instruments: DataFrame, today: str) -> DataFrame:
-    """Splits up to ``today`` by the instrument they change: its own and its underlying's."""
-    done = splits.where(F.col("ex_date") <= F.lit(today).cast("date")).select("instrument_id", "ex_date", F.col("split_from").cast(FACTOR).alias("split_from"), F.col("split_to").cast(FACTOR).alias("split_to"))
+    """Splits up to ``today`` by the instrument they change, its own and its underlying's, in whole numbers."""
+    down, up = whole_ratio(F.col("split_from"), F.col("split_to"))
+    done = splits.where(F.col("ex_date") <= F.lit(today).cast("date")).select("instrument_id", "ex_date", down.alias("split_from"), up.alias("split_to"))
     derived = instruments.where("underlying_id is not null").select(F.col("instrument_id").alias("derived_id"), F.col("underlying_id").alias("instrument_id"))
     return done.unionByName(done.join(derived, "instrument_id").select(F.col("derived_id").alias("instrument_id"), "ex_date", "split_from", "split_to"))
 
@@ -87,14 +88,15 @@ def restate_options(pending: DataFrame, instruments: DataFrame) -> DataFrame:
     Strikes move by the cumulative factor, rounded to three places; an option with any split that isn't
     whole and forward is left out, as its terms follow no rule.
     """
-    flagged = pending.withColumn("whole", is_whole_forward(F.col("split_from"), F.col("split_to")))
+    down, up = whole_ratio(F.col("split_from"), F.col("split_to"))
+    flagged = pending.withColumn("split_from", down).withColumn("split_to", up).withColumn("whole", is_whole_forward(F.col("split_from"), F.col("split_to")))
     every = Window.partitionBy("instrument_id")
     by = every.orderBy("ex_date")
     usable = flagged.withColumn("ok", F.min("whole").over(every)).where("ok")
     run = by.rowsBetween(Window.unboundedPreceding, 0)
     moved = usable.withColumn("num", exact_product(F.collect_list("split_to").over(run))).withColumn("den", exact_product(F.collect_list("split_from").over(run))).withColumn("valid_before", F.lead("ex_date").over(by))
     terms = moved.join(instruments.select("instrument_id", "underlying_id", "expiry", "put_call", F.col("strike").alias("old")), "instrument_id")
-    strike = F.round((F.col("old").cast("decimal(18,6)") * F.col("den") / F.col("num")).cast(ADJUSTED), 3)
+    strike = F.round(scaled(F.col("old"), F.col("den"), F.col("num")), 3)
     terms = terms.withColumn("strike", strike.cast("decimal(18,3)"))
     return terms.select("instrument_id", F.col("ex_date").alias("valid_from"), "valid_before", "strike", occ_build(F.concat(F.lit("U"), F.col("underlying_id").cast("string")), F.col("expiry"), F.col("put_call"), F.col("strike")).alias("symbol"))
 

@@ -205,16 +205,16 @@ PARTS: dict[str, tuple[str, list[str], str]] = {
     "r12_plugin_outstanding": ("postings coverage", [held(True), f"eod AS ({merged(chr(39).join(['SELECT instrument_id, covered_from AS from_date, covered_before AS before_date FROM coverage WHERE plugin_id = ', 'eod', '']), 'instrument_id')})", f"gaps AS ({less('SELECT * FROM held', 'SELECT * FROM eod', 'instrument_id')})", "gap_of AS (SELECT g.*, plugin_id FROM gaps g CROSS JOIN (SELECT DISTINCT plugin_id FROM coverage))", f"outstanding AS ({less('SELECT * FROM gap_of', 'SELECT instrument_id, plugin_id, covered_from AS from_date, covered_before AS before_date FROM coverage', 'instrument_id, plugin_id')})"], f"SELECT instrument_id, plugin_id, from_date, least(before_date, DATE '{CUTOFF}') AS before_date, false AS reachable FROM outstanding WHERE from_date < DATE '{CUTOFF}' UNION ALL SELECT instrument_id, plugin_id, greatest(from_date, DATE '{CUTOFF}'), before_date, true FROM outstanding WHERE before_date > DATE '{CUTOFF}'"),
     "r13_identifier_overlaps": ("identifiers", ["n AS (SELECT row_number() OVER () AS k, identifier_type, coalesce(domain, '') AS domain, value, coalesce(valid_from, DATE '0001-01-01') AS a, coalesce(valid_before, DATE '9999-12-31') AS b FROM identifiers)"], "SELECT DISTINCT x.identifier_type, x.domain, x.value FROM n x JOIN n y ON x.identifier_type = y.identifier_type AND x.domain = y.domain AND x.value = y.value AND x.k < y.k AND x.a < y.b AND y.a < x.b"),
     "r15_chunked_ranges": ("coverage", [COVERED], "SELECT instrument_id, CAST(c AS DATE) AS from_date, least(CAST(c + INTERVAL 365 DAY AS DATE), before_date) AS before_date FROM (SELECT *, unnest(generate_series(from_date, before_date - INTERVAL 1 DAY, INTERVAL 365 DAY)) AS c FROM covered)"),
-    "c1_split_spans": ("instruments splits", [EFFECTIVE, "edges AS (SELECT DISTINCT instrument_id, ex_date FROM effective)"], "SELECT e.instrument_id, coalesce((SELECT max(x.ex_date) FROM edges x WHERE x.instrument_id = e.instrument_id AND x.ex_date < e.ex_date), DATE '0001-01-01') AS basis_from, e.ex_date AS basis_before, CAST(product(s.split_to) AS BIGINT) AS num, CAST(product(s.split_from) AS BIGINT) AS den FROM edges e JOIN effective s ON s.instrument_id = e.instrument_id AND s.ex_date >= e.ex_date GROUP BY e.instrument_id, e.ex_date"),
+    "c1_split_spans": ("instruments splits", [EFFECTIVE, "edges AS (SELECT DISTINCT instrument_id, ex_date FROM effective)"], "SELECT e.instrument_id, coalesce((SELECT max(x.ex_date) FROM edges x WHERE x.instrument_id = e.instrument_id AND x.ex_date < e.ex_date), DATE '0001-01-01') AS basis_from, e.ex_date AS basis_before, CAST(product(s.split_to * CASE WHEN s.split_to % 1 <> 0 OR s.split_from % 1 <> 0 THEN 10 ELSE 1 END) AS BIGINT) AS num, CAST(product(s.split_from * CASE WHEN s.split_to % 1 <> 0 OR s.split_from % 1 <> 0 THEN 10 ELSE 1 END) AS BIGINT) AS den FROM edges e JOIN effective s ON s.instrument_id = e.instrument_id AND s.ex_date >= e.ex_date GROUP BY e.instrument_id, e.ex_date"),
     "c2_adjusted_postings": ("instruments postings splits", [ADJUSTED], f"SELECT tx_id, instrument_id, {shown('own', 'split_adjusted_quantity')}, {shown('own_price', 'split_adjusted_unit_price')} FROM adjusted"),
     "c3_adjusted_bars": ("instruments bars splits", [BARS], f"SELECT instrument_id, price_date, {shown('close', 'close')}, {shown('own_close', 'split_adjusted_close')} FROM adjusted_bars"),
-    "c6_pending_option_splits": ("instruments splits postings", [PENDING], "SELECT * FROM pending"),
+    "c6_pending_option_splits": ("instruments splits postings", [PENDING], f"SELECT instrument_id, ex_date, {shown('split_from', 'split_from')}, {shown('split_to', 'split_to')} FROM pending"),
     "c8_restated_options": ("instruments splits postings", [PENDING, f"""usable AS (SELECT * FROM pending p WHERE NOT EXISTS (SELECT 1 FROM pending q WHERE q.instrument_id = p.instrument_id AND NOT ({WHOLE}))),
 moved AS (SELECT u.instrument_id, u.ex_date AS valid_from, lead(u.ex_date) OVER (PARTITION BY u.instrument_id ORDER BY u.ex_date) AS valid_before,
   (SELECT product(v.split_from) / product(v.split_to) FROM usable v WHERE v.instrument_id = u.instrument_id AND v.ex_date <= u.ex_date) AS f FROM usable u),
 terms AS (SELECT m.*, underlying_id, expiry, put_call, CAST(CAST(i.strike AS DOUBLE) * f AS DECIMAL(18,3)) AS moved_strike FROM moved m JOIN instruments i USING (instrument_id))"""], f"SELECT instrument_id, valid_from, valid_before, {shown('moved_strike', 'strike')}, {_symbol('moved_strike')} AS symbol FROM terms"),
     "c9_option_symbols": ("instruments", [f"named AS (SELECT *, {_symbol('strike')} AS symbol FROM instruments WHERE asset_class = 'OPTION')"], f"SELECT instrument_id, symbol, rpad('U' || CAST(underlying_id AS VARCHAR), 6, ' ') || right(symbol, 15) AS padded, CASE WHEN symbol IS NOT NULL THEN 'U' || CAST(underlying_id AS VARCHAR) END AS root, CASE WHEN symbol IS NOT NULL THEN expiry END AS expiry, CASE WHEN symbol IS NOT NULL THEN put_call END AS put_call, {shown('CASE WHEN symbol IS NOT NULL THEN strike END', 'strike')} FROM named"),
-    "c11_unhandled_splits": ("splits", [], f"SELECT *, CASE WHEN split_to < split_from THEN 'REVERSE_SPLIT' ELSE 'NON_WHOLE_SPLIT' END AS event_type FROM splits WHERE NOT ({WHOLE})"),
+    "c11_unhandled_splits": ("splits", [], f"SELECT instrument_id, ex_date, {shown('split_from', 'split_from')}, {shown('split_to', 'split_to')}, CASE WHEN split_to < split_from THEN 'REVERSE_SPLIT' ELSE 'NON_WHOLE_SPLIT' END AS event_type FROM splits WHERE NOT ({WHOLE})"),
     "c12_instruments_with_splits": ("instruments splits", [EFFECTIVE], "SELECT DISTINCT instrument_id FROM effective"),
     "p1_portfolio_members": ("instruments postings splits filters", [ADJUSTED, MEMBERS], "SELECT portfolio_id, tx_id FROM members"),
     "p2_in_flight": ("instruments postings splits filters matches", [ADJUSTED, MEMBERS, SIDES, FLIGHT], "SELECT * FROM flight"),

@@ -158,7 +158,7 @@ def c3_adjusted_bars(x):
 
 
 def c6_pending_option_splits(x):
-    return splits.pending_option_splits(x["instruments"], x["splits"], first_traded(x), TODAY)
+    return _amounts(splits.pending_option_splits(x["instruments"], x["splits"], first_traded(x), TODAY), "split_from", "split_to")
 
 
 def c8_restated_options(x):
@@ -173,7 +173,7 @@ def c9_option_symbols(x):
 
 
 def c11_unhandled_splits(x):
-    return splits.unhandled_splits(x["splits"])
+    return _amounts(splits.unhandled_splits(x["splits"]), "split_from", "split_to")
 
 
 def c12_instruments_with_splits(x):

@@ -44,7 +44,11 @@ SELECT p_partkey AS instrument_id, CAST(DATE '1998-01-01' + (p_partkey % 365) *
        CASE p_partkey % 30 WHEN 20 THEN 3 ELSE 1 END AS split_from, CASE p_partkey % 30 WHEN 0 THEN 2 WHEN 10 THEN 3 ELSE 1 END AS split_to
 FROM part WHERE p_partkey % 10 = 0
 UNION ALL
-SELECT p_partkey, DATE '2000-06-01', 2, 3 FROM part WHERE p_partkey % 40 = 0""",
+SELECT p_partkey, DATE '2000-06-01', 2, 3 FROM part WHERE p_partkey % 40 = 0
+UNION ALL
+SELECT p_partkey, DATE '1999-03-10', 1, CAST('1.5' AS DECIMAL(9,2)) FROM part WHERE p_partkey % 70 = 0
+UNION ALL
+SELECT p_partkey, DATE '1999-09-10', CAST('0.1' AS DECIMAL(9,2)), 1 FROM part WHERE p_partkey % 110 = 0""",
     "bars": """
 SELECT l_partkey AS instrument_id, CAST(l_shipdate AS DATE) AS price_date,
        MAX(CAST(l_extendedprice AS DECIMAL(18,2))) AS close, CAST(MAX(l_shipdate) AS DATE) AS share_count_basis

@@ -124,3 +124,19 @@ def test_a_stream_gives_what_a_batch_gives(spark, sf_dir, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = {tuple(r) for r in hourly_totals(events).collect()}
     assert got and got <= want
+
+
+def test_scaling_is_exact_and_rounds_once(spark):
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+    from ledgerlake.functions.decimals import scaled, whole_ratio
+
+    rnd = random.Random(7)
+    ratios = [("1", "1.5"), ("0.1", "1"), ("3", "1"), ("1.25", "0.333333"), ("7", "7"), ("999999", "0.000001")]
+    rows = [(Decimal(rnd.randint(-(10**9), 10**9)).scaleb(-6), Decimal(a), Decimal(b)) for a, b in ratios for _ in range(20)] + [(Decimal(0), Decimal(1), Decimal(3)), (Decimal("0.000001"), Decimal(2), Decimal(1))]
+    df = spark.createDataFrame(rows, "v decimal(18,6), a decimal(18,6), b decimal(18,6)")
+    down, up = whole_ratio(F.col("a"), F.col("b"))
+    with localcontext() as exact:
+        exact.prec = 80
+        for r in df.select("v", "a", "b", scaled(F.col("v"), up, down).alias("got")).collect():
+            assert r["got"] == (r["v"] * r["b"] / r["a"]).quantize(Decimal("1e-12"), ROUND_HALF_UP), r
