@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.txtypes import PARENTS, lineage
+
 
 def page_size(asked: int | None) -> int:
     """A page's size: 50 unless between 1 and 100 were asked for."""
@@ -72,12 +74,33 @@ def export_windows(postings: DataFrame) -> DataFrame:
     return postings.where("account_type = 'USER'").groupBy("user_id", "broker").agg(F.min("order_date").alias("period_from"), F.date_add(F.max("order_date"), 1).alias("period_before"), F.count("*").alias("n_postings"))
 
 
+#: How strong a claim a type has to stand for its event, and in which order the other legs are read.
+PRINCIPAL_ORDER = {"TRADE_ASSET": 1, "TRADE": 2, "INCOME": 3, "TRANSFER": 4, "EXPENSE": 5, "TRADE_CASH": 6, "AMBIGUOUS": 7}
+LEG_ORDER = {"TRADE_CASH": 1, "TRADE_ASSET": 2, "TRADE": 2, "INCOME": 3, "TRANSFER": 4, "EXPENSE": 5, "AMBIGUOUS": 6}
+#: Account types of legs that balancing routes.
+ROUTED = ("TRANSFER_CLEARING", "IMBALANCE", "SOURCE_ROUNDING")
+
+
+def _place(order: dict[str, int]) -> Column:
+    """The place of a type: its own, or that of its nearest ancestor; unknown ones come last."""
+    places = {kind: next(order[k] for k in lineage(kind) if k in order) for kind in PARENTS}
+    known = F.create_map(*(F.lit(x) for pair in places.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.col("tx_type")), F.lit(max(order.values()) + 1))
+
+
 def principal_legs(postings: DataFrame) -> DataFrame:
-    """Each group's legs ranked for display: trades of assets, then cash, income, costs, transfers; larger before smaller; routed legs last."""
-    kind = F.when(F.col("tx_type") == "TRADE_ASSET", 1).when(F.col("tx_type") == "TRADE_CASH", 2).when(F.col("tx_type") == "DIVIDEND", 3).when(F.col("tx_type") == "TRANSACTION_COST", 4).otherwise(5)
-    routed = F.when(F.col("account_type") == "USER", 0).otherwise(1)
-    by = Window.partitionBy("group_id").orderBy(routed, kind, F.desc(F.abs("quantity")), "tx_id")
-    return postings.withColumn("leg_rank", F.row_number().over(by))
+    """Postings with leg_rank: 1 for the leg that a group is shown as, the others in the order they are read in.
+
+    The principal is the user's own leg of the strongest type, then of the largest amount, then the smallest
+    tx_id; a group without a leg of its user's chooses among all. The others go stated before routed, by kind
+    of leg, larger amounts first.
+    """
+    size, group = F.desc(F.abs("quantity")), Window.partitionBy("group_id")
+    own = F.when(F.coalesce("account_type", F.lit("USER")) == "USER", 0).otherwise(1)
+    routed = F.when(F.col("account_type").isin(*ROUTED), 1).otherwise(0)
+    shown = postings.withColumn("_first", F.row_number().over(group.orderBy(own, _place(PRINCIPAL_ORDER), size, "tx_id")))
+    order = group.orderBy(F.when(F.col("_first") == 1, 0).otherwise(1), routed, _place(LEG_ORDER), size, "tx_id")
+    return shown.withColumn("leg_rank", F.row_number().over(order)).drop("_first")
 
 
 def latest_supplied(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -65,16 +65,20 @@ def instruments_with_splits(splits: DataFrame, instruments: DataFrame, today: st
     return effective_splits(splits, instruments, today).select("instrument_id").distinct()
 
 
-def pending_option_splits(instruments: DataFrame, splits: DataFrame, first_traded: DataFrame, today: str) -> DataFrame:
+def pending_option_splits(instruments: DataFrame, splits: DataFrame, identifiers: DataFrame, first_traded: DataFrame, today: str) -> DataFrame:
     """Rows (instrument_id, ex_date, split_from, split_to) of splits that change an option's terms.
 
-    The split is its underlying's, up to ``today`` and the option's expiry, and after the option's first
-    trade (``first_traded``: instrument_id, first_date) if it has one.
+    The split is its underlying's, up to ``today`` and the option's expiry, and after the option's name: the
+    day from which its OCC name in force is valid, or else its first trade date (``first_traded``:
+    instrument_id, first_date), or no day at all. So a restated option isn't restated again, while a split
+    learnt of late still is due.
     """
     options = instruments.where("asset_class = 'OPTION'").select("instrument_id", "underlying_id", "expiry")
     due = splits.where(F.col("ex_date") <= F.lit(today).cast("date")).select(F.col("instrument_id").alias("underlying_id"), "ex_date", "split_from", "split_to")
-    met = options.join(due, "underlying_id").join(first_traded, "instrument_id", "left")
-    return met.where("ex_date <= expiry and (first_date is null or ex_date > first_date)").select("instrument_id", "ex_date", "split_from", "split_to")
+    names = identifiers.where("identifier_type = 'OCC' and valid_before is null").groupBy("instrument_id").agg(F.max("valid_from").alias("named"))
+    met = options.join(due, "underlying_id").join(names, "instrument_id", "left").join(first_traded, "instrument_id", "left")
+    since = F.coalesce("named", "first_date")
+    return met.where((F.col("ex_date") <= F.col("expiry")) & (since.isNull() | (F.col("ex_date") > since))).select("instrument_id", "ex_date", "split_from", "split_to")
 
 
 def is_whole_forward(split_from, split_to):

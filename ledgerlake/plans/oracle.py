@@ -1,6 +1,6 @@
 """DuckDB SQL for the ledger queries, written apart from the Spark plans: intervals by single days, positions by summing all earlier postings.
 
-Greedy rules (transfer matching, trade pairing) have none; tests hold them against brute force.
+Transfer matching is a walk over sorted candidates here, and rounds of joins there.
 """
 
 from __future__ import annotations
@@ -168,10 +168,13 @@ exposure AS (
   FROM totals t JOIN (SELECT broker, CAST(row_number() OVER (ORDER BY w DESC, broker) AS INTEGER) AS broker_rank FROM widest) r USING (broker))"""
 EVENT_ROWS = "rows AS (SELECT user_id AS key, CAST(ts AS DATE) AS day, event_id, value FROM events)"
 WHOLE = "split_to % split_from = 0 AND split_to > split_from"
-PENDING = f"""first_traded AS (SELECT instrument_id, min(order_date) AS first_date FROM postings WHERE instrument_id IS NOT NULL GROUP BY ALL),
+PENDING = f"""since AS (
+  SELECT instrument_id, coalesce((SELECT d.valid_from FROM identifiers d WHERE d.instrument_id = o.instrument_id AND d.identifier_type = 'OCC' AND d.valid_before IS NULL ORDER BY d.valid_from DESC NULLS LAST LIMIT 1),
+         (SELECT min(t.trade_date) FROM postings t WHERE t.instrument_id = o.instrument_id), DATE '0001-01-01') AS since
+  FROM instruments o WHERE o.asset_class = 'OPTION'),
 pending AS (
-  SELECT o.instrument_id, s.ex_date, s.split_from, s.split_to FROM instruments o JOIN splits s ON s.instrument_id = o.underlying_id LEFT JOIN first_traded f ON f.instrument_id = o.instrument_id
-  WHERE o.asset_class = 'OPTION' AND s.ex_date <= DATE '{TODAY}' AND s.ex_date <= o.expiry AND (f.first_date IS NULL OR s.ex_date > f.first_date))"""
+  SELECT o.instrument_id, s.ex_date, s.split_from, s.split_to FROM instruments o JOIN splits s ON s.instrument_id = o.underlying_id JOIN since n ON n.instrument_id = o.instrument_id
+  WHERE s.ex_date <= DATE '{TODAY}' AND s.ex_date <= o.expiry AND s.ex_date > n.since)"""
 
 
 def _symbol(strike: str) -> str:
@@ -179,6 +182,32 @@ def _symbol(strike: str) -> str:
     return f"CASE WHEN length({root}) <= 6 THEN {root} || strftime(expiry, '%y%m%d') || put_call || lpad(CAST(CAST(round({strike} * 1000) AS BIGINT) AS VARCHAR), 8, '0') END"
 
 
+#: A walk over the sorted candidates of each user and instrument, one at a time; ``rivals`` are later ones of equal evidence that share a side.
+TRANSFERS = """side AS (
+  SELECT user_id, instrument_id, group_id, broker, account, order_date AS day, split_adjusted_quantity AS amount,
+         (SELECT list(e.ordinal) FROM journal_evidence e WHERE e.group_id = j.group_id AND list_contains(e.matches, 'ORDINAL')) AS ordinals,
+         (SELECT list(lower(trim(e.token))) FROM journal_evidence e WHERE e.group_id = j.group_id AND list_contains(e.matches, 'ACCOUNT')) AS names
+  FROM journals j
+), pairs AS (
+  SELECT a.user_id, a.instrument_id, a.group_id AS f, b.group_id AS t, abs(a.day - b.day) AS days, a.broker = b.broker AS same,
+         coalesce(list_contains(a.names, lower(trim(b.account))), false) OR coalesce(list_contains(b.names, lower(trim(a.account))), false) AS named,
+         (SELECT min(abs(x - y)) FROM (SELECT unnest(a.ordinals) AS x), (SELECT unnest(b.ordinals) AS y)) AS apart
+  FROM side a JOIN side b ON a.user_id = b.user_id AND a.instrument_id = b.instrument_id AND a.amount > 0 AND a.amount = -b.amount
+  WHERE abs(a.day - b.day) <= 7 AND NOT (a.broker = b.broker AND lower(a.account) = lower(b.account))
+), cands AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, instrument_id ORDER BY pass, apart, days, f, t) AS k
+  FROM (SELECT user_id, instrument_id, f, t, days, 1 AS pass, 0 AS apart FROM pairs WHERE same AND named UNION ALL SELECT user_id, instrument_id, f, t, days, 2, apart FROM pairs WHERE same AND apart <= 64)
+), ready AS (
+  SELECT c.*, (SELECT coalesce(list({'f': r.f, 't': r.t}), []) FROM cands r WHERE r.user_id = c.user_id AND r.instrument_id = c.instrument_id AND r.pass = c.pass AND r.apart = c.apart AND r.days = c.days AND r.k > c.k AND (r.f = c.f OR r.t = c.t)) AS rivals FROM cands c
+), walk AS (
+  SELECT DISTINCT user_id, instrument_id, CAST(0 AS BIGINT) AS k, 1 AS pass, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS f, CAST(NULL AS BIGINT) AS t, false AS won FROM cands
+  UNION ALL
+  SELECT user_id, instrument_id, k, pass, CASE WHEN free AND clear THEN list_concat(taken, [f, t]) ELSE taken END, CASE WHEN free AND NOT clear THEN list_concat(gone, [f, t]) ELSE gone END, f, t, free AND clear
+  FROM (SELECT *, NOT list_contains(list_concat(taken, gone), f) AND NOT list_contains(list_concat(taken, gone), t) AS free,
+               len(list_filter(rivals, lambda r: NOT list_contains(list_concat(taken, gone), r.f) AND NOT list_contains(list_concat(taken, gone), r.t))) = 0 AS clear
+        FROM (SELECT w.user_id, w.instrument_id, c.k, c.pass, w.taken, CASE WHEN w.pass = c.pass THEN w.gone ELSE [] END AS gone, c.f, c.t, c.rivals
+              FROM walk w JOIN ready c ON c.user_id = w.user_id AND c.instrument_id = w.instrument_id AND c.k = w.k + 1))
+), proposed AS (SELECT user_id, instrument_id, f AS from_group_id, t AS to_group_id, CASE pass WHEN 1 THEN 'POINTER' ELSE 'REFERENCE' END AS method FROM walk WHERE won)"""
 #: By query: the views it needs, its steps and its last statement.
 PARTS: dict[str, tuple[str, list[str], str]] = {
     "a1_holdings": ("instruments postings splits", [ADJUSTED], f"SELECT user_id, broker, account, instrument_id, coalesce(name, max(description)) AS name, {shown('sum(own)', 'quantity')} FROM adjusted LEFT JOIN (SELECT instrument_id, name FROM instruments) USING (instrument_id) WHERE account_type = 'USER' AND order_date <= DATE '{AS_OF}' GROUP BY user_id, broker, account, instrument_id, name {OPEN}"),
@@ -208,8 +237,8 @@ PARTS: dict[str, tuple[str, list[str], str]] = {
     "c1_split_spans": ("instruments splits", [EFFECTIVE, "edges AS (SELECT DISTINCT instrument_id, ex_date FROM effective)"], "SELECT e.instrument_id, coalesce((SELECT max(x.ex_date) FROM edges x WHERE x.instrument_id = e.instrument_id AND x.ex_date < e.ex_date), DATE '0001-01-01') AS basis_from, e.ex_date AS basis_before, CAST(product(s.split_to * CASE WHEN s.split_to % 1 <> 0 OR s.split_from % 1 <> 0 THEN 10 ELSE 1 END) AS BIGINT) AS num, CAST(product(s.split_from * CASE WHEN s.split_to % 1 <> 0 OR s.split_from % 1 <> 0 THEN 10 ELSE 1 END) AS BIGINT) AS den FROM edges e JOIN effective s ON s.instrument_id = e.instrument_id AND s.ex_date >= e.ex_date GROUP BY e.instrument_id, e.ex_date"),
     "c2_adjusted_postings": ("instruments postings splits", [ADJUSTED], f"SELECT tx_id, instrument_id, {shown('own', 'split_adjusted_quantity')}, {shown('own_price', 'split_adjusted_unit_price')} FROM adjusted"),
     "c3_adjusted_bars": ("instruments bars splits", [BARS], f"SELECT instrument_id, price_date, {shown('close', 'close')}, {shown('own_close', 'split_adjusted_close')} FROM adjusted_bars"),
-    "c6_pending_option_splits": ("instruments splits postings", [PENDING], f"SELECT instrument_id, ex_date, {shown('split_from', 'split_from')}, {shown('split_to', 'split_to')} FROM pending"),
-    "c8_restated_options": ("instruments splits postings", [PENDING, f"""usable AS (SELECT * FROM pending p WHERE NOT EXISTS (SELECT 1 FROM pending q WHERE q.instrument_id = p.instrument_id AND NOT ({WHOLE}))),
+    "c6_pending_option_splits": ("instruments splits postings identifiers", [PENDING], f"SELECT instrument_id, ex_date, {shown('split_from', 'split_from')}, {shown('split_to', 'split_to')} FROM pending"),
+    "c8_restated_options": ("instruments splits postings identifiers", [PENDING, f"""usable AS (SELECT * FROM pending p WHERE NOT EXISTS (SELECT 1 FROM pending q WHERE q.instrument_id = p.instrument_id AND NOT ({WHOLE}))),
 moved AS (SELECT u.instrument_id, u.ex_date AS valid_from, lead(u.ex_date) OVER (PARTITION BY u.instrument_id ORDER BY u.ex_date) AS valid_before,
   (SELECT product(v.split_from) / product(v.split_to) FROM usable v WHERE v.instrument_id = u.instrument_id AND v.ex_date <= u.ex_date) AS f FROM usable u),
 terms AS (SELECT m.*, underlying_id, expiry, put_call, CAST(CAST(i.strike AS DOUBLE) * f AS DECIMAL(18,3)) AS moved_strike FROM moved m JOIN instruments i USING (instrument_id))"""], f"SELECT instrument_id, valid_from, valid_before, {shown('moved_strike', 'strike')}, {_symbol('moved_strike')} AS symbol FROM terms"),
@@ -221,7 +250,9 @@ terms AS (SELECT m.*, underlying_id, expiry, put_call, CAST(CAST(i.strike AS DOU
     "p3_portfolio_external_flows": ("instruments postings splits filters matches", [ADJUSTED, MEMBERS, SIDES, FLIGHT, f"""touched AS (SELECT DISTINCT portfolio_id, group_id FROM members WHERE account_type = 'USER'),
 legs AS (SELECT t.portfolio_id, p.* FROM adjusted p JOIN touched t USING (group_id) WHERE order_date >= DATE '{FLOW_START}' AND order_date < DATE '{FLOW_BEFORE}')"""], f"SELECT portfolio_id, order_date AS flow_date, instrument_id, {shown('-sum(own)', 'amount')} FROM legs l WHERE account_type = 'EQUITY' OR account_type = 'USER' AND NOT EXISTS (SELECT 1 FROM members m WHERE m.portfolio_id = l.portfolio_id AND m.tx_id = l.tx_id) OR account_type = 'TRANSFER_CLEARING' AND NOT EXISTS (SELECT 1 FROM flight f WHERE f.portfolio_id = l.portfolio_id AND f.tx_id = l.tx_id) GROUP BY ALL {OPEN}"),
     "p4_user_external_flows": ("instruments postings splits matches", [ADJUSTED, SIDES], f"SELECT user_id, order_date AS flow_date, instrument_id, {shown('-sum(own)', 'amount')} FROM adjusted p WHERE order_date >= DATE '{FLOW_START}' AND order_date < DATE '{FLOW_BEFORE}' AND (account_type = 'EQUITY' OR account_type = 'TRANSFER_CLEARING' AND {UNMATCHED}) GROUP BY ALL {OPEN}"),
-    "p5_principal_legs": ("postings", [], "SELECT group_id, tx_id, tx_type, account_type FROM postings QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY account_type <> 'USER', CASE tx_type WHEN 'TRADE_ASSET' THEN 1 WHEN 'TRADE_CASH' THEN 2 WHEN 'DIVIDEND' THEN 3 WHEN 'TRANSACTION_COST' THEN 4 ELSE 5 END, abs(quantity) DESC, tx_id) = 1"),
+    "p5_principal_legs": ("postings", ["""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY account_type <> 'USER', CASE tx_type WHEN 'TRADE_ASSET' THEN 1 WHEN 'DIVIDEND' THEN 3 WHEN 'TRANSFER_INTERNAL' THEN 4 WHEN 'TRANSACTION_COST' THEN 5 WHEN 'TRADE_CASH' THEN 6 ELSE 9 END, abs(quantity) DESC, tx_id) AS first,
+         CASE tx_type WHEN 'TRADE_CASH' THEN 1 WHEN 'TRADE_ASSET' THEN 2 WHEN 'DIVIDEND' THEN 3 WHEN 'TRANSFER_INTERNAL' THEN 4 WHEN 'TRANSACTION_COST' THEN 5 ELSE 8 END AS leg FROM postings)"""], "SELECT group_id, tx_id, tx_type, account_type, CAST(CASE WHEN first = 1 THEN 1 ELSE 1 + row_number() OVER (PARTITION BY group_id, first = 1 ORDER BY account_type IN ('TRANSFER_CLEARING', 'IMBALANCE', 'SOURCE_ROUNDING'), leg, abs(quantity) DESC, tx_id) END AS INTEGER) AS leg_rank FROM ranked"),
     "p6_residual_ages": ("instruments postings splits matches", [ADJUSTED, SIDES, BALANCES], "SELECT broker, CASE WHEN DATE '2001-11-10' - oldest >= 30 THEN 'loud' WHEN DATE '2001-11-10' - oldest >= 7 THEN 'stale' ELSE 'fresh' END AS age, count(*) AS n FROM balances GROUP BY ALL"),
     "p7_residual_exposure": ("instruments postings splits matches", [ADJUSTED, SIDES, BALANCES, EXPOSURE], f"SELECT broker, instrument_id, {shown('total', 'total')}, row_rank, broker_rank FROM exposure"),
     "v1_valuation_usd": ("instruments postings splits matches bars coverage identifiers", [ADJUSTED, SIDES, USER_SOURCE, FILLED.replace(EFFECTIVE + ", ", ""), POSITIONS, priced("USD")], "SELECT * FROM totals"),
@@ -268,7 +299,11 @@ mapping AS (SELECT instrument_id, survivor_id FROM counted JOIN survivor USING (
     "s15_latest_supplied": ("", [EVENT_ROWS], "SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY key, day ORDER BY event_id DESC) = 1"),
     "s16_earliest_by_key": ("", [EVENT_ROWS], "SELECT key, min(day) AS first_known FROM rows GROUP BY ALL"),
     "s17_insert_absent": ("", ["rows AS (SELECT DISTINCT CASE WHEN user_id % 5 <> 0 THEN user_id END AS key, event_type, CAST(ts AS DATE) AS day FROM events)", "old AS (SELECT * FROM rows WHERE event_type IN ('click', 'view'))"], "SELECT * FROM old UNION ALL SELECT * FROM rows r WHERE event_type NOT IN ('click', 'view') AND NOT EXISTS (SELECT 1 FROM old o WHERE o.key IS NOT DISTINCT FROM r.key AND o.day = r.day)"),
-    "m1_unmatched_sides": ("postings matches", [SIDES, "tokens AS (SELECT group_id, string_agg(DISTINCT token, ',' ORDER BY token) AS tokens FROM (SELECT group_id, CAST(group_id * 10 + tx_id % 7 AS VARCHAR) AS token FROM postings WHERE account_type = 'TRANSFER_CLEARING') GROUP BY ALL)"], f"SELECT user_id, broker, account, p.group_id, instrument_id, min(order_date) AS day, {shown('sum(quantity)', 'amount')}, any_value(tokens) AS tokens FROM postings p LEFT JOIN tokens t ON t.group_id = p.group_id WHERE account_type = 'TRANSFER_CLEARING' AND instrument_id IS NOT NULL AND {UNMATCHED} GROUP BY user_id, broker, account, p.group_id, instrument_id HAVING sum(quantity) <> 0"),
+    "m1_unmatched_sides": ("instruments postings splits matches correlations", [ADJUSTED, SIDES, """evidence AS (
+  SELECT group_id, string_agg(DISTINCT CAST(ordinal AS VARCHAR), ',' ORDER BY CAST(ordinal AS VARCHAR)) FILTER (list_contains(matches, 'ORDINAL')) AS ordinals, string_agg(DISTINCT token, ',' ORDER BY token) FILTER (list_contains(matches, 'ACCOUNT')) AS tokens FROM correlations GROUP BY ALL)"""], f"SELECT user_id, broker, account, p.group_id, instrument_id, min(order_date) AS day, {shown('sum(own)', 'amount')}, coalesce(any_value(ordinals), '') AS ordinals, coalesce(any_value(tokens), '') AS tokens FROM adjusted p LEFT JOIN evidence e ON e.group_id = p.group_id WHERE account_type = 'TRANSFER_CLEARING' AND instrument_id IS NOT NULL AND {UNMATCHED} GROUP BY user_id, broker, account, p.group_id, instrument_id HAVING sum(own) <> 0"),
+    "m2_match_transfers": ("journals journal_evidence", [TRANSFERS], "SELECT user_id, instrument_id, from_group_id, to_group_id, method FROM proposed"),
+    "m3_create_matches": ("journals journal_evidence", [TRANSFERS, """held AS (SELECT user_id, instrument_id, from_group_id, to_group_id + 2 AS to_group_id, 'POINTER' AS method FROM proposed WHERE user_id % 2 = 0 AND from_group_id % 3 = 0)"""], """SELECT * FROM held UNION ALL SELECT * FROM proposed p WHERE NOT EXISTS (
+  SELECT 1 FROM held m WHERE m.instrument_id = p.instrument_id AND (m.from_group_id IN (p.from_group_id, p.to_group_id) OR m.to_group_id IN (p.from_group_id, p.to_group_id)))"""),
     "g2_exact_groups": ("postings", ["keyed AS (SELECT tx_id, broker, group_id % 500 AS token FROM postings WHERE account_type = 'TRANSFER_CLEARING')"], "SELECT tx_id, event_id FROM (SELECT tx_id, min(tx_id) OVER w AS event_id, count(*) OVER w AS n FROM keyed WINDOW w AS (PARTITION BY broker, token)) WHERE n > 1"),
     "g11_membership_diff": ("postings", ["named AS (SELECT tx_id, min(tx_id) OVER (PARTITION BY group_id) AS old_event_id, min(tx_id) OVER (PARTITION BY CASE WHEN tx_id % 1000 > 4 THEN group_id + 1 ELSE group_id END) AS new_event_id FROM postings)"], "SELECT * FROM named WHERE old_event_id <> new_event_id"),
     "t5_broker_exposure": ("instruments postings splits matches", [ADJUSTED, SIDES, BALANCES, EXPOSURE], f"SELECT broker, broker_rank, {shown('sum(total)', 'total')} FROM exposure WHERE row_rank <= 3 GROUP BY ALL"),
@@ -281,5 +316,6 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (views, steps, last) in PARTS.items():
         body = f"WITH {', '.join(steps)} {last}" if steps else last
-        out[name] = with_views(views.split(), body) if views else body
+        text = with_views(views.split(), body) if views else body
+        out[name] = f"WITH RECURSIVE{text[4:]}" if TRANSFERS in steps else text
     return out

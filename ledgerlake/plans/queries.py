@@ -28,7 +28,7 @@ def adjusted_bars(x: Ledger) -> DataFrame:
 
 
 def first_traded(x: Ledger) -> DataFrame:
-    return x["postings"].where("instrument_id is not null").groupBy("instrument_id").agg(F.min("order_date").alias("first_date"))
+    return x["postings"].where("instrument_id is not null").groupBy("instrument_id").agg(F.min("trade_date").alias("first_date"))
 
 
 def weighted(x: Ledger) -> DataFrame:
@@ -158,11 +158,11 @@ def c3_adjusted_bars(x):
 
 
 def c6_pending_option_splits(x):
-    return _amounts(splits.pending_option_splits(x["instruments"], x["splits"], first_traded(x), TODAY), "split_from", "split_to")
+    return _amounts(splits.pending_option_splits(x["instruments"], x["splits"], x["identifiers"], first_traded(x), TODAY), "split_from", "split_to")
 
 
 def c8_restated_options(x):
-    pending = splits.pending_option_splits(x["instruments"], x["splits"], first_traded(x), TODAY)
+    pending = splits.pending_option_splits(x["instruments"], x["splits"], x["identifiers"], first_traded(x), TODAY)
     return _amounts(splits.restate_options(pending, x["instruments"]), "strike")
 
 
@@ -197,7 +197,7 @@ def p4_user_external_flows(x):
 
 
 def p5_principal_legs(x):
-    return listings.principal_legs(x["postings"]).where("leg_rank = 1").select("group_id", "tx_id", "tx_type", "account_type")
+    return listings.principal_legs(x["postings"]).select("group_id", "tx_id", "tx_type", "account_type", "leg_rank")
 
 
 def p6_residual_ages(x):
@@ -394,13 +394,23 @@ def s17_insert_absent(x):
 
 
 def m1_unmatched_sides(x):
-    found = matching.unmatched_sides(x["postings"], x["correlations"], _matches(x))
-    return _amounts(found.select("user_id", "broker", "account", "group_id", "instrument_id", "day", "amount", F.array_join(F.col("tokens"), ",").alias("tokens")), "amount")
+    found = matching.unmatched_sides(adjusted(x), x["correlations"], _matches(x))
+    text = lambda c: F.array_join(F.coalesce(F.col(c), F.array()).cast("array<string>"), ",").alias(c)
+    return _amounts(found.select("user_id", "broker", "account", "group_id", "instrument_id", "day", "amount", text("ordinals"), text("tokens")), "amount")
+
+
+def _proposed(x: Ledger) -> DataFrame:
+    return matching.match_transfers(matching.unmatched_sides(x["journals"], x["journal_evidence"], _matches(x).where("false")))
 
 
 def m2_match_transfers(x):
-    sides = matching.unmatched_sides(x["postings"], x["correlations"], _matches(x).where("false"))
-    return matching.match_transfers(sides)
+    return _proposed(x)
+
+
+def m3_create_matches(x):
+    proposed = _proposed(x)
+    held = proposed.where("user_id % 2 = 0 and from_group_id % 3 = 0").withColumn("to_group_id", F.col("to_group_id") + 2).withColumn("method", F.lit("POINTER"))
+    return matching.create_matches(held, proposed)
 
 
 def g2_exact_groups(x):

@@ -93,6 +93,8 @@ UNION ALL SELECT p_partkey, 'MIC_TICKER', 'XNAS', 'N' || CAST(p_partkey AS STRIN
 UNION ALL SELECT p_partkey, 'OPENFIGI_TICKER', 'US', 'F.' || CAST(p_partkey % 500 AS STRING), true, NULL, NULL FROM part WHERE p_partkey % 3 = 0
 UNION ALL SELECT p_partkey, 'ISIN', NULL, 'US' || lpad(CAST(p_partkey AS STRING), 9, '0') || CAST(p_partkey % 10 AS STRING), true, NULL, NULL FROM part WHERE p_partkey % 4 = 0
 UNION ALL SELECT p_partkey, 'BROKER_DESCRIPTION', 'IBKR', 'PART ' || CAST(p_partkey AS STRING), false, NULL, NULL FROM part
+UNION ALL SELECT p_partkey, 'OCC', NULL, 'U' || CAST(p_partkey - 1 AS STRING) || ' OLD', true, NULL, DATE '1998-07-01' FROM part WHERE p_partkey % 20 = 1
+UNION ALL SELECT p_partkey, 'OCC', NULL, 'U' || CAST(p_partkey - 1 AS STRING) || ' NEW', true, CASE WHEN p_partkey % 40 = 1 THEN DATE '1998-07-01' END, NULL FROM part WHERE p_partkey % 20 = 1
 UNION ALL SELECT -1, 'FX_PAIR', NULL, 'EURUSD', true, NULL, NULL
 UNION ALL SELECT -2, 'FX_PAIR', NULL, 'GBPUSD', true, NULL, NULL""",
     "inflation": """
@@ -102,10 +104,28 @@ CROSS JOIN (SELECT 'USD' AS ccy UNION ALL SELECT 'GBP') c
 WHERE c.ccy = 'USD' OR m.n % 5 <> 0""",
     "users": "SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'GBP' WHEN 2 THEN 'EUR' ELSE '' END AS display_currency FROM customer",
     "correlations": """
-SELECT user_id, group_id, tx_id, 'ref' AS label, CAST(group_id * 10 + tx_id % 7 AS STRING) AS token, group_id * 10 + tx_id % 7 AS ordinal, broker, account
-FROM postings WHERE account_type = 'TRANSFER_CLEARING'""",
+SELECT user_id, group_id, tx_id, 'ref' AS label, CAST(group_id * 10 + tx_id % 7 AS STRING) AS token, group_id * 10 + tx_id % 7 AS ordinal, 'BROKER' AS scope, broker, account, CAST(1 AS BIGINT) AS job_id, split('ORDINAL', ',') AS matches
+FROM postings WHERE account_type = 'TRANSFER_CLEARING'
+UNION ALL
+SELECT user_id, group_id, tx_id, 'to', ' acc-' || CAST((tx_id + 1) % 4 AS STRING) || ' ', CAST(NULL AS BIGINT), 'BROKER', broker, account, CAST(1 AS BIGINT), split('ACCOUNT', ',')
+FROM postings WHERE account_type = 'TRANSFER_CLEARING' AND group_id % 3 = 0""",
+    "journals": """
+SELECT c_custkey * 100000 + n.i * 10 + s.side AS tx_id, CAST(c_custkey AS BIGINT) AS user_id, CASE WHEN n.i % 6 = 5 AND s.side = 1 THEN 'SCHB' ELSE 'IBKR' END AS broker,
+       CASE WHEN n.i % 7 = 6 THEN CASE s.side WHEN 0 THEN 'Acc-1' ELSE 'ACC-1' END ELSE 'Acc-' || CAST((c_custkey + n.i * s.side + s.side) % 4 AS STRING) END AS account,
+       CAST(DATE '1998-05-01' + (CAST(floor(n.i / 4) AS INT) * 9 + (c_custkey + n.i) % 3 * s.side + CASE WHEN n.i % 11 = 10 THEN 20 * s.side ELSE 0 END) * INTERVAL 1 DAY AS DATE) AS order_date,
+       CAST(n.i % 2 + 10 AS BIGINT) AS instrument_id, 'TRANSFER_CLEARING' AS account_type,
+       CAST((1 - 2 * s.side) * (100 + n.i % 3) AS DECIMAL(18,6)) AS quantity, CAST((1 - 2 * s.side) * (100 + n.i % 3) AS DECIMAL(38,12)) AS split_adjusted_quantity,
+       c_custkey * 100000 + n.i * 10 + s.side AS group_id,
+       CASE WHEN n.i % 5 <> 0 THEN c_custkey * 1000 + n.i * 20 + CASE n.i % 4 WHEN 0 THEN 0 ELSE s.side * (c_custkey % 5 + 1) END END AS ordinal,
+       CASE WHEN n.i % 5 < 2 AND s.side = 1 THEN 'acc-' || CAST((c_custkey + n.i) % 4 AS STRING) END AS points_to
+FROM customer CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS n(i) CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) s
+WHERE c_custkey % 3 = 0""",
+    "journal_evidence": """
+SELECT group_id, '' AS token, ordinal, split('ORDINAL', ',') AS matches FROM journals WHERE ordinal IS NOT NULL
+UNION ALL SELECT group_id, points_to, NULL, split('ACCOUNT', ',') FROM journals WHERE points_to IS NOT NULL
+UNION ALL SELECT group_id, 'acc-0', CAST(5 AS BIGINT), split('TOKEN', ',') FROM journals WHERE group_id % 4 = 0""",
 }
-DEPENDS = {"matches": ["postings"], "declarations": ["postings"], "correlations": ["postings"]}
+DEPENDS = {"matches": ["postings"], "declarations": ["postings"], "correlations": ["postings"], "journal_evidence": ["journals"]}
 
 
 def closure(names) -> list[str]:

@@ -27,14 +27,45 @@ def test_transfers_pair_best_first_and_refuse_ties(spark):
         side(3, "x", 0, 20, [200], []), side(4, "y", 2, -20, [203], []), side(5, "z", 1, -20, [240], []),  # the nearest reference
         side(6, "x", 0, 30, [1], []), side(7, "y", 0, -30, [2], []), side(8, "z", 0, -30, [2], []),  # a tie
         side(9, "x", 0, 40, [1], []), side(10, "y", 9, -40, [1], []),  # too late
-        side(11, "x", 0, 50, [1], []), side(12, "x ", 0, -50, [1], []),  # the same account
+        side(11, "x", 0, 50, [1], []), side(12, "X", 0, -50, [1], []),  # the same account
+        side(15, "x", 0, 70, [1], []), side(16, "x ", 0, -70, [1], []),  # other accounts: only case is folded
+        side(17, "x", 0, 80, [1], []), side(18, "y", 0, -80, [2], []), side(19, "z", 0, -80, [2], []), side(20, "w", 0, 80, [9], []),  # a tie leaves its second arrival to another
         side(13, "x", 0, 60, [1], []), side(14, "y", 0, -60, [1], [], "C"),  # another broker, no pointer
     ]
     found = matching.match_transfers(spark.createDataFrame(rows, SIDES)).collect()
-    assert {(r["from_group_id"], r["to_group_id"], r["method"]) for r in found} == {(1, 2, "POINTER"), (3, 4, "REFERENCE")}
+    assert {(r["from_group_id"], r["to_group_id"], r["method"]) for r in found} == {(1, 2, "POINTER"), (3, 4, "REFERENCE"), (15, 16, "REFERENCE"), (20, 19, "REFERENCE")}
     assert matching.match_transfers(spark.createDataFrame([], SIDES)).count() == 0
 
 
+def test_rounds_take_what_a_walk_takes(spark):
+    from ledgerlake.operators.rounds import best_first
+
+    rnd = random.Random(9)
+    rows = list({(a, b): (a, b, rnd.randrange(4)) for a in range(40) for b in rnd.sample(range(40), 6)}.values())
+    for refuse in (False, True):
+        used, want = set(), set()
+        order = sorted(rows, key=lambda r: (r[2], r[0], r[1]))
+        for i, (a, b, e) in enumerate(order):
+            if ("l", a) in used or ("r", b) in used:
+                continue
+            tied = any(r[2] == e and (r[0] == a or r[1] == b) and not {("l", r[0]), ("r", r[1])} & used for r in order[i + 1 :])
+            used |= {("l", a), ("r", b)}
+            if not (refuse and tied):
+                want.add((a, b))
+        found = best_first(spark.createDataFrame(rows, "a int, b int, e int"), ["a"], ["b"], ["e"], refuse_ties=refuse)
+        assert {(r["a"], r["b"]) for r in found.collect()} == want
+
+
+def test_matches_are_written_once(spark):
+    schema = "user_id long, instrument_id long, from_group_id long, to_group_id long, method string"
+    held = spark.createDataFrame([(1, 5, 1, 2, "POINTER")], schema)
+    new = spark.createDataFrame([(1, 5, 2, 3, "REFERENCE"), (1, 6, 2, 3, "REFERENCE"), (1, 5, 7, 8, "REFERENCE"), (1, 5, 8, 9, "REFERENCE")], schema)
+    once = matching.create_matches(held, new)
+    want = {(5, 1, 2), (6, 2, 3), (5, 7, 8)}
+    assert {(r["instrument_id"], r["from_group_id"], r["to_group_id"]) for r in once.collect()} == want
+    assert {(r["instrument_id"], r["from_group_id"], r["to_group_id"]) for r in matching.create_matches(once, new).collect()} == want
+
+
 def test_trade_pairs(spark):
     schema = "tx_id long, account string, order_date date, tx_type string, quantity double, unit_price double, settlement_amount double, ordinal long"
     rows = [
