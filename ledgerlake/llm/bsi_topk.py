@@ -1,12 +1,12 @@
 """Exact top-k inner-product search over a bit-sliced index.
 
-Rows are cut into blocks. In a block each dimension is shifted to start at 0 and its values are cut to
-their ``levels`` most significant bits; bit j of a dimension over the block's rows is one bitmap (a
-slice). For a query, weights are cut likewise; slices of equal weight are added with bitmap full adders
-(carry-save, three slices to a sum and a carry), which leaves the coarse score of every row as slices.
-From the most significant slice downward the k-th largest coarse score is found by bitmap intersection
-and count. What the cuts can have hidden is bounded, so all rows whose coarse score comes within that
-bound of the k-th are boundary rows: their exact integer scores decide, and no other row can.
+Rows are cut into blocks. In a block each dimension is shifted to start at 0; bit j of a dimension over the
+block's rows is one bitmap (a slice). A query's weights are written in signed digits of which no two neighbours
+are other than 0, so a third of them count; a slice of a negative digit is taken inverted, which changes all
+sums alike. Slices of equal weight are added with bitmap full adders (carry-save, three slices to a sum and a
+carry, many at once), which leaves the score of every row as slices. From the most significant slice
+downward the k-th largest score is found by bitmap intersection and count. Rows above it are in; those equal to
+it are the boundary, which the smaller id decides. Scores themselves are worked out for these rows only.
 """
 
 from __future__ import annotations
@@ -22,41 +22,42 @@ from ledgerlake.llm.shared import written
 SCALE = 1024
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
-LEVELS = 4
-WEIGHT_BITS = 3
 
 
-def build_slices(values: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, int]:
-    """(slices [dim, level, bytes] from the least significant level, minimum by dimension, bits cut off) of integers [row, dim]."""
-    low = values.min(axis=0)
-    raised = values - low
-    shift = max(0, int(raised.max()).bit_length() - levels)
-    coarse = raised >> shift
-    bits = [np.packbits((coarse >> j & 1).astype(np.uint8).T, axis=1, bitorder="little") for j in range(levels)]
-    return np.stack(bits, axis=1), low, shift
+def build_slices(values: np.ndarray) -> np.ndarray:
+    """Slices [level, dim, bytes], from the least significant level, of integers [row, dim] less each dimension's minimum."""
+    raised = values - values.min(axis=0)
+    levels = max(1, int(raised.max()).bit_length())
+    return np.stack([np.packbits((raised >> j & 1).astype(np.uint8).T, axis=1, bitorder="little") for j in range(levels)])
 
 
-def add_slices(columns: dict[int, list[np.ndarray]], width: int) -> list[np.ndarray]:
-    """Sums bitmaps by weight: ``columns[w]`` holds those that count 2^w each; returns the sum's slices, least significant first."""
-    out = []
-    weight = 0
-    last = max(columns, default=-1)
-    while weight <= last:
-        held = columns.get(weight, [])
+def signed_digits(weights: np.ndarray) -> np.ndarray:
+    """Digits [place, weight] of -1, 0 or 1 that stand for integers, no two neighbours other than 0."""
+    size = np.abs(weights)
+    three = 3 * size
+    up, down = (three & ~size) >> 1, (size & ~three) >> 1
+    places = np.arange(max(1, int(three.max(initial=0)).bit_length()))[:, None]
+    return ((up >> places & 1) - (down >> places & 1)) * np.sign(weights)
+
+
+def add_slices(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums bitmaps by weight: ``columns[w]`` [any, bytes] holds those that count 2^w each; returns the sum's slices, least significant first."""
+    out, columns = [], list(columns)
+    for weight, held in enumerate(columns):  # grows while carries are left
         while len(held) > 1:
-            a, b = held.pop(), held.pop()
-            half = a ^ b
-            if held:
-                c = held.pop()
+            third = len(held) // 3
+            if third:
+                a, b, c = held[:third], held[third : 2 * third], held[2 * third : 3 * third]
+                half = a ^ b
                 carry = (a & b) | (half & c)
-                half = half ^ c
+                held = np.concatenate((half ^ c, held[3 * third :]))
+            else:
+                carry, held = held[:1] & held[1:], held[:1] ^ held[1:]
+            if weight + 1 == len(columns):
+                columns.append(carry)
             else:
-                carry = a & b
-            held.insert(0, half)
-            columns.setdefault(weight + 1, []).append(carry)
-            last = max(last, weight + 1)
-        out.append(held[0] if held else np.zeros(width, dtype=np.uint8))
-        weight += 1
+                columns[weight + 1] = np.concatenate((columns[weight + 1], carry))
+        out.append(held[0] if len(held) else np.zeros(held.shape[1], dtype=np.uint8))
     return out
 
 
@@ -90,36 +91,28 @@ def at_least(sums: list[np.ndarray], rows: np.ndarray, bound: int) -> np.ndarray
     return above | equal
 
 
+def best_rows(slices: np.ndarray, every: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
+    """The bitmap of those rows (of ``every``, at least k) whose inner product with ``query`` is the k-th largest or more."""
+    digits = signed_digits(query)
+    columns = [np.zeros((0, slices.shape[2]), dtype=np.uint8)] * (len(digits) + len(slices) - 1)
+    for place, row in enumerate(digits):
+        plus, minus = np.nonzero(row > 0)[0], np.nonzero(row < 0)[0]
+        for level, own in enumerate(slices):
+            columns[place + level] = np.concatenate((columns[place + level], own[plus], ~own[minus]))
+    sums = add_slices(columns)
+    return at_least(sums, every, kth_largest(sums, every, k))
+
+
 def block_top(values: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple]:
     """(query_id, vec_id, score) of each query's best k rows of one block, own rows left out; ties to the smaller id."""
-    n, dims = values.shape
-    slices, low, shift = build_slices(values)
+    n = len(values)
+    slices = build_slices(values)
     every = np.packbits(np.ones(n, dtype=np.uint8), bitorder="little")
-    inverse = ~slices
     out = []
     own = pd.Series(ids).groupby(ids).size().to_dict()
     for query, query_id in zip(queries, query_ids):
         wanted = k + own.get(query_id, 0)
-        magnitude = np.abs(query)
-        cut = max(0, int(magnitude.max(initial=0)).bit_length() - WEIGHT_BITS)
-        weights = magnitude >> cut
-        if wanted >= n:
-            near = np.arange(n)
-        else:
-            columns: dict[int, list[np.ndarray]] = {}
-            for d in np.nonzero(weights)[0]:
-                source = slices[d] if query[d] > 0 else inverse[d]
-                w, i = int(weights[d]), 0
-                while w >> i:
-                    if w >> i & 1:
-                        for j in range(LEVELS):
-                            columns.setdefault(i + j, []).append(source[j])
-                    i += 1
-            sums = add_slices(columns, len(every))
-            hidden = int(magnitude.sum()) * ((1 << shift) - 1) + ((1 << LEVELS) - 1) * int((magnitude - (weights << cut)).sum() << shift)
-            slack = -(-hidden // (1 << (shift + cut)))
-            found = at_least(sums, every, kth_largest(sums, every, wanted) - slack)
-            near = np.nonzero(np.unpackbits(found, count=n, bitorder="little"))[0]
+        near = np.arange(n) if wanted >= n else np.nonzero(np.unpackbits(best_rows(slices, every, query, wanted), count=n, bitorder="little"))[0]
         scores = values[near] @ query
         others = ids[near] != query_id
         near, scores = near[others], scores[others]
@@ -144,7 +137,9 @@ def top_k(vectors: DataFrame, k: int = 10, query_step: int = 100, id_col: str =
     are candidates of other ids' queries, and its first row (by values) is the query.
 
     Blocks of at most BLOCK_ROWS rows, dealt by a hash of the id, each meet all queries, in groups of
-    QUERY_ROWS: a group is one block with its queries, whatever the table's size.
+    QUERY_ROWS: a group is one block with its queries, whatever the table's size. So every row is sent once
+    for each QUERY_ROWS queries, and each query once for each block; a stated query set keeps both in bounds.
+    No rows give none; extra columns are ignored.
     """
     rows = quantised(vectors, id_col, vector_col)
     rows = written(rows.withColumn("dims", F.size("values")), "quantised")

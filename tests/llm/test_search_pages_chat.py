@@ -32,6 +32,20 @@ def test_top_k_of_odd_vectors(spark):
     assert bsi_topk.top_k(table.where("false")).count() == 0
 
 
+def test_the_index_leaves_only_the_best_rows_and_their_ties():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = rng.integers(-500, 600, (3000, 24))
+    values[100:110] = values[90]
+    slices, every = bsi_topk.build_slices(values), np.packbits(np.ones(3000, dtype=np.uint8), bitorder="little")
+    for query in (values[7], -values[90], np.zeros(24, dtype=np.int64), np.eye(24, dtype=np.int64)[3] * -1023):
+        assert (bsi_topk.signed_digits(query) * (1 << np.arange(len(bsi_topk.signed_digits(query))))[:, None]).sum(axis=0).tolist() == query.tolist()
+        found = np.unpackbits(bsi_topk.best_rows(slices, every, query, 10), count=3000, bitorder="little")
+        scores = values @ query
+        assert (found == (scores >= np.sort(scores)[-10])).all()
+
+
 PAGE = """<html><head><title>No</title><style>x{}</style></head><body><header class="site-header">Top</header><nav><ul><li>Menu</li></ul></nav>
 <div class="layout"><div class="post-%d"><h1>Head &amp; line</h1><p>First   paragraph with <b>some</b> words that
 go on for a while, long enough to score.</p><p>Second paragraph, also long enough to count as text of an article.</p></div>
