@@ -6,25 +6,33 @@ which gives each host's ranking. Second pass: each page takes the container with
 it has, so one odd page follows its host's template; without one it takes its own best. From there it climbs
 to ancestors while what they add is running text, so an article split over siblings stays whole.
 
-Parsing is one regular expression over tags and text with a stack of open elements; it never backtracks
-over a page and keeps only what stands open.
+Parsing is a scan that only moves forward, with a stack of open elements and counts of them by tag: its time
+grows with the page's length and nothing else, whatever the page holds.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.shared import written
 
 VOTES = 3
-_TOKEN = re.compile(r"""<(?P<raw>script|style|textarea|title|xmp|iframe|noembed|noframes|noscript)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: Winning paths up to this size go to every executor; beyond, pages meet them by host and salt.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
+#: Elements whose content is no markup.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+#: A path holds so many of the nearest elements.
+STEPS = 12
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+_STOP = re.compile(r"""=\s*+["']|>""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""")
 _WORD = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements without content, and elements that start a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,6 +80,56 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return f"{tag}.{name}" if name else tag
 
 
+class Tokens:
+    """The texts and tags of a page in order, as (start, text, name, attributes, ends): name is None for text, ends says whether it's an end tag."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ignore_quotes = False  # after a tag that only the page's end would end
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag that ``at`` lies in ends (its ``>``), or -1. Only values in quotes may hold a ``>``."""
+        page = self.page
+        if not self.ignore_quotes:
+            i = at
+            while found := _STOP.search(page, i):
+                if found[0] == ">":
+                    return found.start()
+                close = page.find(found[0][-1], found.end())
+                i = close + 1 if close >= 0 else found.end()
+            self.ignore_quotes = True
+        return page.find(">", at)
+
+    def __iter__(self):
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            if page[at] != "<":
+                end = page.find("<", at)
+                end = n if end < 0 else end
+                yield at, page[at:end], None, "", False
+                at = end
+                continue
+            after = page[at + 1 : at + 2]
+            if after in ("!", "?"):
+                mark = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+                end = page.find(mark, at + 2)
+                at = n if end < 0 else end + len(mark)
+                continue
+            ends = after == "/"
+            name = _NAME.match(page, at + 1 + ends)
+            end = self._tag_end(name.end()) if name else -1
+            if end < 0:
+                yield at, "<", None, "", False
+                at += 1
+                continue
+            tag = name[0].lower()
+            yield at, "", tag, page[name.end() : end], ends
+            at = end + 1
+            if tag in RAW and not ends:
+                close = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+                at = close.start() if close else n
+
+
 class Page:
     """The containers of a page: for each its score, its path, where its blocks start and end, its characters and those in links.
 
@@ -98,7 +156,11 @@ class Page:
         self.parents: dict[int, int] = {}
         self.plain = self.linked = self.articles = 0
         marks: list[tuple[int, int, int, int, int]] = []
-        stack: list[tuple] = []  # tag, path, first block, skipped, links, scores, counts so far, containers inside
+        stack: list[tuple] = []  # tag, steps, first block, skipped, links, scores, counts so far, number as a container
+        open_tags: Counter[str] = Counter()
+        around: list[int] = []  # numbers of the open containers
+        above: dict[int, int] = {}  # the container that each stands in
+        kept_as: dict[int, int] = {}  # places in ``containers``
         skipped = links = hard = hidden_text = mains = articles = 0
         pending: list[str] = []
         blocks = self.blocks
@@ -112,7 +174,10 @@ class Page:
 
         def close() -> None:
             nonlocal skipped, links, hard
-            tag, path, first, off, link, scores, (at, mark, plain, linked, hidden, n_mains, n_articles), inner = stack.pop()
+            tag, steps, first, off, link, scores, (at, mark, plain, linked, hidden, n_mains, n_articles), number = stack.pop()
+            open_tags[tag] -= 1
+            if number >= 0:
+                around.pop()
             if tag in BLOCKS and not skipped:
                 flush()
                 if tag in HEADINGS and len(blocks) > first:
@@ -124,22 +189,16 @@ class Page:
                 hard -= 1
             links -= link
             own = scores[0] - 2 * scores[1]
-            if tag in CONTAINERS and not off and not skipped and len(blocks) > first:
-                self.parents.update((x, len(self.containers)) for x in inner)
-                inner = [len(self.containers)]
-                self.containers.append((own, path, first, len(blocks), self.plain - plain, self.linked - linked))
+            if number >= 0 and not off and not skipped and len(blocks) > first:
+                kept_as[number] = len(self.containers)
+                self.containers.append((own, ">".join(steps), first, len(blocks), self.plain - plain, self.linked - linked))
             if stack:  # a paragraph's text counts in full for its parent, by half further up
                 parent, share = stack[-1][5], 1.0 if tag not in CONTAINERS else 0.5
                 parent[0] += scores[0] * share
                 parent[1] += scores[1] * share
-                stack[-1][7].extend(inner)
-
-        for found in _TOKEN.finditer(page):
-            name = found["tag"]
-            if name is None:
-                text = found[0]
-                if text[0] == "<" and len(text) > 1:  # a comment, a declaration or a whole element without markup
-                    continue
+
+        for at, text, tag, raw, ends in Tokens(page):
+            if tag is None:
                 if not skipped:
                     plain = html_lib.unescape(text) if "&" in text else text
                     pending.append(plain)
@@ -153,11 +212,10 @@ class Page:
                 elif not hard:
                     hidden_text += len(text.strip())
                 continue
-            tag = name.lower()
-            if found["end"]:
-                if tag == "p" and all(x[0] != "p" for x in stack):
+            if ends:
+                if tag == "p" and not open_tags["p"]:
                     flush()
-                if any(x[0] == tag for x in stack):
+                if open_tags[tag]:
                     while stack[-1][0] != tag:
                         close()
                     close()
@@ -178,18 +236,26 @@ class Page:
                 if tag == "br" and not skipped:
                     pending.append(" ")
                 continue
-            attributes = _attributes(found["attributes"])
-            inside = any(x[0] in ("article", "main") for x in stack)
+            attributes = _attributes(raw)
+            inside = open_tags["article"] or open_tags["main"]
             whole = tag in ("html", "body", "article", "main")
             hides = tag in SKIPPED or (tag == "header" and not inside) or (not whole and _hidden(attributes))
-            mark = 0 if hides or whole or kept is None or found.start() in kept else _marked(attributes)
+            mark = 0 if hides or whole or kept is None or at in kept else _marked(attributes)
             off = hides or mark > 0
-            path = f"{stack[-1][1]}>{_step(tag, attributes)}" if stack and tag in BLOCKS else _step(tag, attributes) if tag in BLOCKS else stack[-1][1] if stack else ""
-            if found["attributes"].endswith("/") and tag not in BLOCKS:
+            if raw.endswith("/") and tag not in BLOCKS:
                 continue
+            steps = stack[-1][1] if stack else ()
+            if tag in BLOCKS:
+                steps = (*steps[1 - STEPS :], _step(tag, attributes))
             if off and not skipped and tag in BLOCKS:
                 flush()
-            stack.append((tag, path, len(blocks), off, tag == "a", [0.0, 0.0], (found.start(), mark, self.plain, self.linked, hidden_text, mains, articles), []))
+            number = -1
+            if tag in CONTAINERS:
+                number = len(above)
+                above[number] = around[-1] if around else -1
+                around.append(number)
+            stack.append((tag, steps, len(blocks), off, tag == "a", [0.0, 0.0], (at, mark, self.plain, self.linked, hidden_text, mains, articles), number))
+            open_tags[tag] += 1
             skipped += off
             hard += hides
             if not hard:
@@ -200,6 +266,11 @@ class Page:
         while stack:
             close()
         flush()
+        nearest = {-1: -1}  # the next container kept, itself included; outer ones have smaller numbers
+        for number, outer in above.items():
+            if number in kept_as:
+                self.parents[kept_as[number]] = nearest[outer]
+            nearest[number] = kept_as.get(number, nearest[outer])
         return marks
 
     def best(self, n: int) -> list[tuple[float, str]]:
@@ -274,11 +345,21 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     summed = rows.mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    order = F.struct((-F.col("votes")).alias("n"), "path")
-    ranked = summed.groupBy("host").agg(F.slice(F.array_sort(F.collect_list(order)), 1, VOTES).alias("best"))  # as many as a host has templates
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
+    best = summed.withColumn("place", place).where(F.col("place") <= VOTES)  # each task keeps VOTES paths of a host
+    ranked = best.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("best"))
     return ranked.select("host", F.col("best.path").alias("paths"))
 
 
+def with_paths(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """``rows`` with the ``paths`` of their host. The winners are broadcast up to BROADCAST_BYTES; beyond, a host's pages are dealt to SALTS tasks."""
+    size = winners.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("paths", "")) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(winners), "host", "left")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return dealt.join(winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (page_id, url, text, n_chars), one per row of ``pages``.
 
@@ -288,7 +369,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     winners = written(host_paths(pages, url_col, html_col), "host-paths")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths")
+    joined = with_paths(rows, winners).select("page_id", "url", "html", "paths")
 
     def run(batches):
         for batch in batches:
