@@ -3,21 +3,22 @@
 A text's letters in lower case, all else one space, give hashed 1- to 3-grams; counts are weighed by
 inverse document frequency over all training texts, and vectors normalised. For each language a
 bounded sample is clustered (spherical k-means) into a few centroids. A text takes the language of the
-centroid with the largest cosine; it is rejected when it lies further from it than the sample's texts of
-its length ever did, by a margin.
+centroid with the largest cosine; it is rejected when it lies further from it than nearly all of the language's
+texts of its length that the clustering hasn't seen, by a margin.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.shared import bounded_batches
+from ledgerlake.llm.shared import bounded_batches, whole_row
 
 UNDETERMINED = "und"
 DIMS = 4096
@@ -25,16 +26,22 @@ CLUSTERS = 4
 ROUNDS = 10
 #: Texts of each language that clustering sees at most; document frequencies cover all.
 SAMPLE = 400
-#: A text is rejected below this share of the lowest cosine in the sample among texts of its length (in powers of two).
-MARGIN = 0.5
+#: One text of so many of the sample isn't clustered but shows how far from the centroids a language's texts lie.
+HELD = 4
+#: A text is rejected below MARGIN times the cosine under which LOWEST of those texts of its length (in powers of two) lie.
+MARGIN, LOWEST = 0.9, 0.01
 LENGTHS = 24
-_LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+
+
+@cache
+def _letters() -> np.ndarray:
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=bool, count=0x110000)
 
 
 def ngram_counts(text: str | None) -> tuple[np.ndarray, int]:
     """(counts by hashed n-gram [DIMS], letters) of a whole text."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), dtype="<u4")
-    letter = np.where(points < 1 << 16, _LETTER[np.minimum(points, (1 << 16) - 1)], points < 0xE0000)
+    letter = _letters()[points]
     n = int(letter.sum())
     if not n:
         return np.zeros(DIMS, dtype=np.int64), 0
@@ -71,20 +78,22 @@ def _length_class(letters: np.ndarray) -> np.ndarray:
 
 
 def _clustered(vectors: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, floors) of one language's vectors, in a given order."""
+    """(centroids, floors) of one language's vectors, in a given order; few vectors are all clustered and all measured."""
+    held = np.arange(len(vectors)) % HELD == HELD - 1 if len(vectors) >= 10 * HELD else np.ones(len(vectors), dtype=bool)
+    seen = vectors if held.all() else vectors[~held]
     seeds = [0]
-    for _ in range(min(CLUSTERS, len(vectors)) - 1):  # each next seed is the vector furthest from all before
-        seeds.append(int((vectors @ vectors[seeds].T).max(axis=1).argmin()))
-    centroids = vectors[sorted(set(seeds))]
+    for _ in range(min(CLUSTERS, len(seen)) - 1):  # each next seed is the vector furthest from all before
+        seeds.append(int((seen @ seen[seeds].T).max(axis=1).argmin()))
+    centroids = seen[sorted(set(seeds))]
     for _ in range(ROUNDS):
-        own = (vectors @ centroids.T).argmax(axis=1)
-        sums = np.stack([vectors[own == c].sum(axis=0) if (own == c).any() else centroids[c] for c in range(len(centroids))])
+        own = (seen @ centroids.T).argmax(axis=1)
+        sums = np.stack([seen[own == c].sum(axis=0) if (own == c).any() else centroids[c] for c in range(len(centroids))])
         centroids = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-    nearest = (vectors @ centroids.T).max(axis=1)
-    classes = _length_class(letters)
+    nearest = (vectors[held] @ centroids.T).max(axis=1)
+    classes = _length_class(letters[held])
     least = np.full(LENGTHS, np.nan)
     for b in np.unique(classes):
-        least[b] = nearest[classes == b].min()
+        least[b] = np.quantile(nearest[classes == b], LOWEST)
     floors = pd.Series(least).ffill().bfill().to_numpy()
     floors = np.minimum.accumulate(floors[::-1])[::-1]  # a shorter text is never held to more than a longer one
     return centroids.astype(np.float32), np.tile(MARGIN * floors, (len(centroids), 1))
@@ -94,7 +103,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learns from the rows of ``docs`` whose language isn't null and whose text has a letter.
 
     Document frequencies cover all of them; each language's clusters come from at most SAMPLE texts, those
-    with the smallest hash of the id among a random share. Without such rows the model knows no language.
+    with the smallest hash of id and text among a random share, however many rows have no id or the same. Without
+    such rows the model knows no language.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -120,12 +130,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not per_lang:
         return Model(idf, [], np.zeros((0, DIMS), np.float32), np.zeros((0, LENGTHS)))
     share = F.create_map(*(F.lit(x) for lang, n in per_lang.items() for x in (lang, min(1.0, (1.2 * SAMPLE + 20) / n))))
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < share[F.col("lang")]).withColumn("draw", draw)
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
+    sample = rows.where((draw < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).withColumn("draw", draw)
+    sample = sample.withColumn("first", first).where(F.col("first") <= SAMPLE)  # each task keeps no more than SAMPLE of a language
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["draw", "id", "text"])
-        counted = [(c, n) for c, n in map(ngram_counts, group["text"]) if n][:SAMPLE]
+        group = group.sort_values("first")
+        counted = [(c, n) for c, n in map(ngram_counts, group["text"]) if n]
         if not counted:
             return pd.DataFrame({"lang": [], "centroid": [], "floor": []})
         centroids, floors = _clustered(weighted(np.stack([c for c, _ in counted]), idf), np.array([n for _, n in counted]))
@@ -171,7 +183,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score, rejected), one per row of ``docs``; see ``train`` and ``predicted``.
 
-    The model learns from the rows that aren't held out; a null id isn't.
+    The model learns from the rows that aren't held out; a null id isn't. Repeated rows come like others, long
+    texts count whole, other columns are ignored, and no rows give none.
     """
     model = train(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), predicted(model, F.col(text_col)).alias("p"))
@@ -179,7 +192,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is rejected, whole; the model learns from all labelled rows of ``docs``."""
+    """``docs`` (doc_id, text, lang) without the rows whose language is rejected, whole; the model learns from all labelled rows.
+
+    A null text or one without a letter is rejected, as is every text where no row is labelled. Repeated rows
+    share their fate; columns of any name stay as they are; no rows give none.
+    """
     model = train(docs)
-    known = docs.withColumn("_langid", predicted(model, F.col("text")))
-    return known.where(~F.col("_langid.rejected")).select(*docs.columns)
+    known = docs.select(whole_row(docs), predicted(model, docs["text"]).alias("p"))
+    return known.where(~F.col("p.rejected")).select("row.*")

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.shared import written
+from ledgerlake.llm.shared import whole_row, written
 
 GOOD, BAD, NOTHING = 1, 0, 2
 #: (name, at most this is good, from this on bad) of each statistic; between them a labeller says nothing.
@@ -156,8 +156,9 @@ def _trained(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Fits the label model on the vote patterns of all ``docs`` and the scorer on at most SAMPLE texts of either class.
 
-    Samples are the rows with the smallest hash of the id in a random share of their class. If all texts
-    fall into one class the scorer keeps its side: everything is then good, or bad.
+    Samples are the rows with the smallest hash of id and text in a random share of their class, however many
+    rows have no id or the same. If all texts fall into one class the scorer keeps its side: everything is then
+    good, or bad.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -176,7 +177,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sc
         return Scorer(np.zeros(DIMS), 50.0 if sides[1] >= sides[0] else -50.0, model)
     named = [(p, float(g), float(min(1.0, (1.2 * SAMPLE + 50) / sides[int(g >= 0.5)]))) for p, g in zip(found["pattern"], good)]
     known = docs.sparkSession.createDataFrame(named, "pattern string, good double, share double")
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
 
     @F.pandas_udf("pattern string, x binary")
     def features(texts: pd.Series) -> pd.DataFrame:
@@ -187,11 +188,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sc
     picked = rows.withColumn("draw", draw).where(F.col("draw") < max(s for _, _, s in named))
     picked = picked.select("id", "draw", features("text").alias("f")).select("id", "draw", "f.pattern", "f.x")
     picked = picked.join(F.broadcast(known), "pattern").where("draw < share")  # one row for each pattern
+    first = F.row_number().over(Window.partitionBy(F.col("good") >= 0.5).orderBy("draw", "id", "x"))
+    picked = picked.withColumn("first", first).where(F.col("first") <= SAMPLE)  # each task keeps no more than SAMPLE of a class
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["draw", "id", "x"])
-        taken = pd.concat([g.head(SAMPLE) for _, g in group.groupby(group["good"] >= 0.5)])
-        w, b = _trained(np.stack([np.frombuffer(x, np.float32) for x in taken["x"]]), taken["good"].to_numpy())
+        w, b = _trained(np.stack([np.frombuffer(x, np.float32) for x in group["x"]]), group["good"].to_numpy())
         return pd.DataFrame({"weights": [w.tobytes()], "bias": [b]})
 
     got = picked.select("id", "draw", "good", "x").groupBy().applyInPandas(fit, "weights binary, bias double").first()
@@ -221,13 +223,20 @@ def scored(model: Scorer, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, quality_score, weak_label, keep), one per row of ``docs``; keep is quality_score >= THRESHOLD."""
+    """Rows (doc_id, quality_score, weak_label, keep), one per row of ``docs``; keep is quality_score >= THRESHOLD.
+
+    A null text or one without a word scores 0 and isn't kept. Repeated rows score alike, null ids score by
+    their text, long texts count whole, other columns are ignored, and no rows give none.
+    """
     model = train(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), scored(model, F.col(text_col)).alias("q"))
     return rows.select("doc_id", "q.quality_score", "q.weak_label", (F.col("q.quality_score") >= THRESHOLD).alias("keep"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects, whole."""
-    known = docs.withColumn("_quality", scored(train(docs), F.col("text")))
-    return known.where(F.col("_quality.quality_score") >= THRESHOLD).select(*docs.columns)
+    """``docs`` (doc_id, text) without the rows that the classifier, trained on their own weak labels, rejects; whole.
+
+    Columns of any name stay as they are; other cases as in ``classify``.
+    """
+    known = docs.select(whole_row(docs), scored(train(docs), docs["text"]).alias("q"))
+    return known.where(F.col("q.quality_score") >= THRESHOLD).select("row.*")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches of whole texts and pages stay small, as a worker holds several forms of one batch at a time.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
@@ -22,9 +23,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark is local (tests).
+
+    What operators write there stays for as long as their results may be read; it expires like checkpoints do.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -51,3 +57,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``row``, so that helper columns beside it can't clash with any of them."""
+    return F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import jaccard
 from ledgerlake.llm.graph import components, meeting, meeting_pairs
-from ledgerlake.llm.shared import written
+from ledgerlake.llm.shared import whole_row, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
@@ -143,8 +143,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = jaccard.SIMI
     """
     found = jaccard.similar_documents(docs, shingle, similarity)
     best = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct(), "kept")
-    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
-    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("words"), row)
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("words"), whole_row(docs))
     kept = rows.join(best, rows["id"] == best["kept"], "left_semi")
     first = kept.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("words"))).where("at = 1")
     return first.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")
