@@ -56,3 +56,35 @@ def best_first(candidates: DataFrame, left: list[str], right: list[str], evidenc
             rest = rest.join(done.select(*keys).distinct(), keys, "left_anti").select(*candidates.columns)
         rows = settled(rest)
     return candidates.limit(0) if taken is None else taken
+
+
+def first_come(members: DataFrame, rank: list[str], item: str) -> DataFrame:
+    """The rows of ``members`` (rank..., item) of those sets that a walk by ``rank`` takes: a set is taken whole, if no item of it is gone.
+
+    A round takes every set that is first on all of its items, and drops the sets that share an item with one.
+    """
+    order = F.struct(*(F.col(c) for c in rank))
+    rows = settled(members.select(*rank, item).distinct())
+    taken = rows.limit(0)
+    while not rows.isEmpty():
+        first = rows.withColumn("_order", order).withColumn("_first", F.min("_order").over(Window.partitionBy(item)))
+        judged = settled(first.withColumn("_won", F.min(F.col("_order") == F.col("_first")).over(Window.partitionBy(*rank))))
+        won = judged.where("_won").select(*rank, item)
+        taken = taken.unionByName(won)
+        lost = judged.where("not _won").join(won.select(item).distinct(), item, "left_semi").select(*rank).distinct()
+        rows = settled(judged.where("not _won").select(*rank, item).join(lost, rank, "left_anti").select(*rank, item))
+    return taken
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Rows (node, root) for every node of ``links`` (a, b): root is the smallest node it is linked to, over any number of links."""
+    both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    roots = settled(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
+    while True:
+        near = both.join(roots.withColumnsRenamed({"node": "b", "root": "near"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        hooked = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
+        jump = roots.withColumnsRenamed({"node": "low", "root": "lower"})  # what the smaller node has been led to itself
+        moved = settled(hooked.join(jump, "low").select("node", "root", F.least("low", "lower").alias("now")))
+        if moved.where("now <> root").isEmpty():
+            return roots
+        roots = moved.select("node", F.col("now").alias("root"))

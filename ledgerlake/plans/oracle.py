@@ -182,6 +182,10 @@ def _symbol(strike: str) -> str:
     return f"CASE WHEN length({root}) <= 6 THEN {root} || strftime(expiry, '%y%m%d') || put_call || lpad(CAST(CAST(round({strike} * 1000) AS BIGINT) AS VARCHAR), 8, '0') END"
 
 
+#: Stated postings in the groups that g15 gives them, of groups that changed only: those with postings on either side of the cut, or named otherwise than by their smallest posting.
+MOVED = """derived AS (SELECT *, CASE WHEN tx_id % 1000 > 3 THEN group_id * 1000 + 4 ELSE group_id * 1000 + 1 END AS event_id, min(tx_id) OVER (PARTITION BY group_id) AS old_group FROM postings WHERE account_type = 'USER'),
+changed AS (SELECT event_id AS id FROM derived WHERE event_id <> old_group UNION SELECT old_group FROM derived WHERE event_id <> old_group),
+moved AS (SELECT * EXCLUDE (group_id, event_id, old_group), event_id AS group_id FROM derived WHERE event_id IN (SELECT id FROM changed))"""
 #: A walk over the sorted candidates of each user and instrument, one at a time; ``rivals`` are later ones of equal evidence that share a side.
 TRANSFERS = """side AS (
   SELECT user_id, instrument_id, group_id, broker, account, order_date AS day, split_adjusted_quantity AS amount,
@@ -304,7 +308,28 @@ mapping AS (SELECT instrument_id, survivor_id FROM counted JOIN survivor USING (
     "m2_match_transfers": ("journals journal_evidence", [TRANSFERS], "SELECT user_id, instrument_id, from_group_id, to_group_id, method FROM proposed"),
     "m3_create_matches": ("journals journal_evidence", [TRANSFERS, """held AS (SELECT user_id, instrument_id, from_group_id, to_group_id + 2 AS to_group_id, 'POINTER' AS method FROM proposed WHERE user_id % 2 = 0 AND from_group_id % 3 = 0)"""], """SELECT * FROM held UNION ALL SELECT * FROM proposed p WHERE NOT EXISTS (
   SELECT 1 FROM held m WHERE m.instrument_id = p.instrument_id AND (m.from_group_id IN (p.from_group_id, p.to_group_id) OR m.to_group_id IN (p.from_group_id, p.to_group_id)))"""),
-    "g2_exact_groups": ("postings", ["keyed AS (SELECT tx_id, broker, group_id % 500 AS token FROM postings WHERE account_type = 'TRANSFER_CLEARING')"], "SELECT tx_id, event_id FROM (SELECT tx_id, min(tx_id) OVER w AS event_id, count(*) OVER w AS n FROM keyed WINDOW w AS (PARTITION BY broker, token)) WHERE n > 1"),
+    "g2_exact_groups": ("postings", ["keyed AS (SELECT tx_id, user_id, broker, group_id % 500 AS token FROM postings WHERE account_type = 'TRANSFER_CLEARING')"], "SELECT tx_id, event_id FROM (SELECT tx_id, min(tx_id) OVER w AS event_id, count(*) OVER w AS n FROM keyed WINDOW w AS (PARTITION BY user_id, broker, token)) WHERE n > 1"),
+    "g1_neighbourhood": ("statements evidence", ["""said AS (SELECT s.tx_id, user_id, broker, account, order_date, e.* EXCLUDE (tx_id) FROM statements s LEFT JOIN evidence e USING (tx_id)),
+steps AS (
+  SELECT DISTINCT a.tx_id, b.tx_id AS other FROM said a JOIN said b ON a.user_id = b.user_id AND a.broker = b.broker AND (
+    a.account = b.account AND a.order_date = b.order_date
+    OR a.label = b.label AND a.token = b.token AND (list_contains(a.matches, 'EXACT') OR list_contains(a.matches, 'ATTACHES')) AND list_contains(b.matches, 'EXACT') AND (a.scope <> 'ACCOUNT' OR a.account = b.account)
+    OR a.label = b.label AND a.account = b.account AND b.ordinal BETWEEN a.ordinal - a.ordinal_span AND a.ordinal + a.ordinal_span)),
+reach AS (SELECT tx_id FROM statements WHERE tx_id % 10000 = 108 UNION SELECT other FROM reach JOIN steps USING (tx_id))"""], "SELECT tx_id FROM reach"),
+    "g10_explaining_charges": ("statements", ["""charges AS (SELECT user_id, broker, account, order_date, tx_id, abs(quantity) AS amount FROM statements WHERE list_contains(tx_types, 'TRANSACTION_COST')),
+gaps AS (SELECT user_id, broker, account, order_date, tx_id AS anchor, settlement_amount - 50 + tx_id % 3 AS gap FROM statements WHERE settlement_amount IS NOT NULL AND quantity > 0),
+sums AS (
+  SELECT anchor, 1 AS size, [a.tx_id] AS ids FROM gaps g JOIN charges a USING (user_id, broker, account, order_date) WHERE abs(gap - a.amount) < 0.005
+  UNION ALL SELECT anchor, 2, [a.tx_id, b.tx_id] FROM gaps g JOIN charges a USING (user_id, broker, account, order_date) JOIN charges b USING (user_id, broker, account, order_date) WHERE a.tx_id < b.tx_id AND abs(gap - a.amount - b.amount) < 0.005
+  UNION ALL SELECT anchor, 3, [a.tx_id, b.tx_id, c.tx_id] FROM gaps g JOIN charges a USING (user_id, broker, account, order_date) JOIN charges b USING (user_id, broker, account, order_date) JOIN charges c USING (user_id, broker, account, order_date)
+    WHERE a.tx_id < b.tx_id AND b.tx_id < c.tx_id AND abs(gap - a.amount - b.amount - c.amount) < 0.005
+), best AS (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY size, ids) = 1)"""], "SELECT anchor, size, unnest(ids) AS tx_id FROM best"),
+    "g12_divergence": ("postings", ["""derived AS (SELECT tx_id, group_id, CASE WHEN tx_id % 1000 > 3 THEN group_id * 1000 + 4 ELSE group_id * 1000 + 1 END AS event_id FROM postings WHERE account_type = 'USER')""", "by_event AS (SELECT event_id, count(DISTINCT group_id) AS n, count(*) AS size, min(group_id) AS group_id FROM derived GROUP BY ALL)", "by_group AS (SELECT group_id, count(DISTINCT event_id) AS n, count(*) AS size FROM derived GROUP BY ALL)"], "SELECT (SELECT count(*) FROM by_event) AS n_derived, (SELECT count(*) FROM by_group) AS n_stored, (SELECT count(*) FROM by_event e JOIN by_group g USING (group_id) WHERE e.n = 1 AND e.size = g.size) AS agreed, (SELECT count(*) FROM by_event WHERE n > 1) AS joined, (SELECT count(*) FROM by_group WHERE n > 1) AS split"),
+    "g13_seeds": ("postings matches", [SIDES], "SELECT tx_id FROM postings u WHERE account_type = 'USER' AND EXISTS (SELECT 1 FROM postings p WHERE p.group_id = u.group_id AND p.account_type IN ('IMBALANCE', 'TRANSFER_CLEARING') AND " + UNMATCHED + ")"),
+    "g14_readers": ("statements evidence", ["said AS (SELECT s.tx_id, user_id, broker, account, e.* EXCLUDE (tx_id) FROM statements s JOIN evidence e USING (tx_id))"], """SELECT DISTINCT 'token' AS reader, b.tx_id FROM said a JOIN said b ON a.user_id = b.user_id AND a.broker = b.broker AND a.label = b.label AND a.token = b.token WHERE a.user_id % 5 = 0 AND a.ordinal IS NULL AND list_contains(b.matches, 'EXACT') AND (a.tx_id % 2 = 0 OR a.account = b.account)
+UNION ALL SELECT DISTINCT 'ordinal', b.tx_id FROM said a JOIN said b ON a.user_id = b.user_id AND a.broker = b.broker AND a.account = b.account AND a.label = b.label WHERE a.user_id % 5 = 0 AND b.ordinal BETWEEN a.ordinal - a.ordinal_span AND a.ordinal + a.ordinal_span
+UNION ALL SELECT 'day', tx_id FROM statements s WHERE EXISTS (SELECT 1 FROM statements a WHERE a.user_id % 11 = 0 AND a.user_id = s.user_id AND a.broker = s.broker AND a.account = s.account AND a.order_date = s.order_date)"""),
+    "g15_apply_partition": ("instruments postings", [WEIGHTED.replace("FROM postings p LEFT JOIN", "FROM moved p LEFT JOIN").replace("FROM postings GROUP BY ALL", "FROM moved GROUP BY ALL")], f"SELECT group_id, commodity, account_type, {shown('amount', 'amount')} FROM closing"),
     "g11_membership_diff": ("postings", ["named AS (SELECT tx_id, min(tx_id) OVER (PARTITION BY group_id) AS old_event_id, min(tx_id) OVER (PARTITION BY CASE WHEN tx_id % 1000 > 4 THEN group_id + 1 ELSE group_id END) AS new_event_id FROM postings)"], "SELECT * FROM named WHERE old_event_id <> new_event_id"),
     "t5_broker_exposure": ("instruments postings splits matches", [ADJUSTED, SIDES, BALANCES, EXPOSURE], f"SELECT broker, broker_rank, {shown('sum(total)', 'total')} FROM exposure WHERE row_rank <= 3 GROUP BY ALL"),
     "st1_event_windows": ("", [], "SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL"),
@@ -316,6 +341,8 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (views, steps, last) in PARTS.items():
         body = f"WITH {', '.join(steps)} {last}" if steps else last
+        if name == "g15_apply_partition":
+            body = body.replace("WITH valued", f"WITH {MOVED}, valued", 1)
         text = with_views(views.split(), body) if views else body
-        out[name] = f"WITH RECURSIVE{text[4:]}" if TRANSFERS in steps else text
+        out[name] = f"WITH RECURSIVE{text[4:]}" if TRANSFERS in steps or name == "g1_neighbourhood" else text
     return out

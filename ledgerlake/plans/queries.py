@@ -413,15 +413,37 @@ def m3_create_matches(x):
     return matching.create_matches(held, proposed)
 
 
+def _derived(x: Ledger) -> DataFrame:
+    """A partition that takes the fifth and later lines of an order out of its group."""
+    return x["postings"].where("account_type = 'USER'").select("tx_id", F.when(F.col("tx_id") % 1000 > 3, F.col("group_id") * 1000 + 4).otherwise(F.col("group_id") * 1000 + 1).alias("event_id"), F.lit(None).cast("string").alias("resolved"))
+
+
+def g0_partition(x):
+    return grouping.partition(x["statements"], x["evidence"])
+
+
+def g1_neighbourhood(x):
+    return grouping.neighbourhood(x["statements"].where("tx_id % 10000 = 108"), x["statements"], x["evidence"])
+
+
 def g2_exact_groups(x):
-    rows = x["correlations"].select("tx_id", "label", (F.col("group_id") % 500).cast("string").alias("token"), F.lit("BROKER").alias("scope"), F.lit(1).alias("job_id"))
+    rows = x["correlations"].where("label = 'ref'").select("tx_id", F.lit(0).alias("position"), "label", (F.col("group_id") % 500).cast("string").alias("token"), F.lit("BROKER").alias("scope"), "job_id", F.array(F.lit("EXACT")).alias("matches"))
     return grouping.exact_groups(x["postings"], rows)
 
 
 def g3_trade_pairs(x):
-    rows = x["postings"].where("account_type = 'USER'").withColumn("account", F.concat_ws("/", F.col("user_id").cast("string"), "account")).withColumn("ordinal", F.col("tx_id"))
-    rows = rows.withColumn("quantity", F.when(F.col("tx_type") == "TRADE_CASH", F.when(F.col("quantity") < 0, F.col("settlement_amount")).otherwise(-F.col("settlement_amount"))).otherwise(F.col("quantity"))).withColumn("unit_price", F.lit(None).cast("double"))
-    return grouping.trade_pairs(rows)
+    return grouping.trade_pairs(x["statements"], x["evidence"])
+
+
+def g8_deposit_runs(x):
+    rows = grouping.with_ordinals(x["statements"], x["evidence"])
+    return grouping.deposit_runs(rows)
+
+
+def g10_explaining_charges(x):
+    charges = x["statements"].where("array_contains(tx_types, 'TRANSACTION_COST')").select(*grouping.BUCKET, "tx_id", F.abs("quantity").alias("amount"))
+    gaps = x["statements"].where("settlement_amount is not null and quantity > 0").select(*grouping.BUCKET, F.col("tx_id").alias("anchor"), (F.col("settlement_amount") - 50 + F.col("tx_id") % 3).cast("decimal(28,6)").alias("gap"))
+    return grouping.explaining_charges(gaps, charges)
 
 
 def g11_membership_diff(x):
@@ -430,6 +452,33 @@ def g11_membership_diff(x):
     return grouping.membership_diff(rows, moved)
 
 
+def g12_divergence(x):
+    stored = x["postings"].where("account_type = 'USER'").select("tx_id", F.col("group_id").alias("event_id"))
+    return grouping.divergence(stored, _derived(x).select("tx_id", "event_id"))
+
+
+def g13_seeds(x):
+    return grouping.seeds(x["postings"], _matches(x))
+
+
+def g14_readers(x):
+    ask = x["evidence"].join(x["statements"].select("tx_id", "user_id", "broker", "account"), "tx_id").where("user_id % 5 = 0")
+    tokens = grouping.by_tokens(x["statements"], x["evidence"], ask.where("ordinal is null").withColumn("any_account", F.col("tx_id") % 2 == 0))
+    spans = ask.where("ordinal_span is not null").withColumn("low", F.col("ordinal") - F.col("ordinal_span")).withColumn("high", F.col("ordinal") + F.col("ordinal_span"))
+    days = grouping.by_days(x["statements"], x["statements"].where("user_id % 11 = 0"))
+    named = {"token": tokens, "ordinal": grouping.by_ordinals(x["statements"], x["evidence"], spans), "day": days}
+    out = None
+    for reader, rows in named.items():
+        part = rows.select(F.lit(reader).alias("reader"), "tx_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def g15_apply_partition(x):
+    _, legs = grouping.apply_partition(weighted(x), _derived(x))
+    return _amounts(legs, "amount")
+
+
 def t5_broker_exposure(x):
     rows = holdings.residual_exposure(holdings.residual_balances(adjusted(x), _matches(x)))
     top = rows.where("row_rank <= 3").groupBy("broker", "broker_rank").agg(F.sum("total").alias("total"))

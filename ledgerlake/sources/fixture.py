@@ -124,8 +124,23 @@ WHERE c_custkey % 3 = 0""",
 SELECT group_id, '' AS token, ordinal, split('ORDINAL', ',') AS matches FROM journals WHERE ordinal IS NOT NULL
 UNION ALL SELECT group_id, points_to, NULL, split('ACCOUNT', ',') FROM journals WHERE points_to IS NOT NULL
 UNION ALL SELECT group_id, 'acc-0', CAST(5 AS BIGINT), split('TOKEN', ',') FROM journals WHERE group_id % 4 = 0""",
+    "statements": """
+SELECT c_custkey * 100 + n.i AS tx_id, CAST(floor(c_custkey / 4) AS BIGINT) AS user_id, CASE c_nationkey % 2 WHEN 0 THEN 'IBKR' ELSE 'SCHB' END AS broker, 'ACC-' || CAST(c_custkey % 2 AS STRING) AS account,
+       CAST(DATE '1999-01-04' + c_custkey % 4 * INTERVAL 1 DAY AS DATE) AS order_date, split(n.types, ',') AS tx_types,
+       CAST(n.quantity * CASE WHEN n.i = 9 AND c_custkey % 5 = 0 THEN 2 ELSE 1 END AS DECIMAL(18,6)) AS quantity, CAST(n.price AS DECIMAL(18,6)) AS unit_price, CAST(n.settled AS DECIMAL(18,2)) AS settlement_amount
+FROM customer CROSS JOIN (VALUES
+  (0, 'TRADE_ASSET', -10, 10, 100), (1, 'TRADE_CASH', 100, NULL, NULL), (2, 'TRADE_ASSET', 5, 10, 53), (3, 'TRADE_CASH', -50, NULL, NULL),
+  (4, 'TRANSACTION_COST', -2, NULL, NULL), (5, 'TRANSACTION_COST', -1, NULL, NULL), (6, 'TRADE_CASH', 7, NULL, NULL), (7, 'TRADE_CASH', -7, NULL, NULL),
+  (8, 'TRANSFER_EXTERNAL', 200, NULL, NULL), (9, 'TRADE_CASH', -200, NULL, NULL), (10, 'TRADE_CASH,TRANSFER_INTERNAL', 200, NULL, NULL),
+  (11, 'DIVIDEND', 12, NULL, NULL), (12, 'TRADE_CASH', 12, NULL, NULL), (13, 'HOLDING_COST', -3, NULL, NULL), (14, 'INTEREST,DIVIDEND', 1, NULL, NULL)
+) AS n(i, types, quantity, price, settled)""",
+    "evidence": """
+SELECT tx_id, 0 AS position, 'ref' AS label, '' AS token, CAST(tx_id % 100 + user_id % 3 * CAST(floor(tx_id / 100) AS BIGINT) AS BIGINT) AS ordinal, CASE WHEN tx_id % 100 = 8 THEN CAST(3 AS BIGINT) END AS ordinal_span, 'ACCOUNT' AS scope, CAST(1 AS BIGINT) AS job_id, split('ORDINAL', ',') AS matches
+FROM statements WHERE tx_id % 100 < 11 AND user_id % 7 <> 0
+UNION ALL SELECT tx_id, 1, 'id', CAST(floor(tx_id / 100) AS STRING), NULL, NULL, 'BROKER', CAST(1 AS BIGINT), split(CASE WHEN tx_id % 100 = 13 THEN 'ATTACHES' ELSE 'EXACT' END, ',')
+FROM statements WHERE tx_id % 100 IN (11, 12, 13)""",
 }
-DEPENDS = {"matches": ["postings"], "declarations": ["postings"], "correlations": ["postings"], "journal_evidence": ["journals"]}
+DEPENDS = {"matches": ["postings"], "declarations": ["postings"], "correlations": ["postings"], "journal_evidence": ["journals"], "evidence": ["statements"]}
 
 
 def closure(names) -> list[str]:

@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.symbols import is_isin, occ_padded, parse_option
-from ledgerlake.operators import grouping, identity, intervals, matching, splits, valuation
+from ledgerlake.operators import identity, intervals, matching, splits, valuation
 from ledgerlake.streaming.events import drain, hourly_totals, read_events
 
 SIDES = "user_id long, broker string, account string, group_id long, instrument_id long, day date, amount decimal(18,6), ordinals array<long>, tokens array<string>"
@@ -66,26 +66,6 @@ def test_matches_are_written_once(spark):
     assert {(r["instrument_id"], r["from_group_id"], r["to_group_id"]) for r in matching.create_matches(once, new).collect()} == want
 
 
-def test_trade_pairs(spark):
-    schema = "tx_id long, account string, order_date date, tx_type string, quantity double, unit_price double, settlement_amount double, ordinal long"
-    rows = [
-        (1, "a", day(0), "TRADE_ASSET", -10.0, 10.0, 100.0, 1), (2, "a", day(0), "TRADE_CASH", 100.0, None, None, 9), (3, "a", day(0), "TRADE_CASH", 100.0, None, None, 2),
-        (4, "a", day(1), "TRADE_ASSET", 5.0, 10.0, 50.3, 1), (5, "a", day(1), "TRADE_CASH", -50.0, None, None, 2), (6, "a", day(1), "TRADE_CASH", -51.0, None, None, 2),
-        (7, "b", day(0), "TRADE_CASH", 7.0, None, None, 1), (8, "b", day(0), "TRADE_CASH", -7.0, None, None, 5), (9, "c", day(0), "TRADE_CASH", 7.0, None, None, 1),
-        (10, None, day(0), "TRADE_CASH", 3.0, None, None, None), (11, None, day(0), "TRADE_CASH", -3.0, None, None, None),
-    ]
-    found = grouping.trade_pairs(spark.createDataFrame(rows, schema)).collect()
-    assert {tuple(r) for r in found} == {(1, 3, "disposal"), (4, 5, "acquisition"), (7, 8, "cash_trade"), (10, 11, "cash_trade")}
-
-
-def test_charges_and_deposit_runs(spark):
-    assert grouping.explaining_charges(15.0, [(3, -5.0), (1, -10.0), (2, -5.0)]) == (1, 2)
-    assert grouping.explaining_charges(15.0, [(1, -4.0)]) == ()
-    rows = [(1, "a", "TRANSFER", 50.0, 1, 10), (2, "a", "TRADE_CASH", -50.0, 3, None), (3, "a", "TRADE_CASH", 50.0, 5, None), (4, "a", "TRANSFER", 20.0, 6, 2), (5, "a", "TRADE_CASH", -20.0, 60, None)]
-    found = grouping.deposit_runs(spark.createDataFrame(rows, "tx_id long, account string, tx_type string, quantity double, ordinal long, ordinal_span long")).collect()
-    assert [tuple(r) for r in found] == [(1, 2, 3)]
-
-
 def test_ranges_against_single_days(spark):
     rnd = random.Random(1)
     make = lambda n: [(rnd.randint(0, 5), a := rnd.randint(0, 90), a + rnd.randint(-1, 12)) for _ in range(n)]
