@@ -1,18 +1,22 @@
 """Daily valuation in a display currency, with prices carried forward inside coverage only.
 
-Positions are spans between a holding's days of change and prices are spans of coverage, so only days that
-exist are spelt out, by ``sequence``; there is no range join. Decimals stay exact up to the value of one
-holding on one day, which is the one place where a figure becomes a double.
+Positions are spans between a holding's days of change, and an instrument's prices in the window are one array
+by day. A span meets its instrument once, by a join on the instrument, and takes its slice of the array: days
+are spelt out only behind that join, in front of the sum by scope and day. Decimals stay exact up to the value
+of one holding on one day, which is the one place where a figure becomes a double.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.decimals import qty_is_zero
 from ledgerlake.operators.holdings import in_flight, matched_sides, portfolio_members
 from ledgerlake.operators.intervals import merged_coverage
+from ledgerlake.operators.rounds import settled
 
 
 def user_source(postings: DataFrame, matches: DataFrame) -> DataFrame:
@@ -29,35 +33,44 @@ def portfolio_source(postings: DataFrame, filters: DataFrame, matches: DataFrame
     return both.withColumn("scope_id", F.col("portfolio_id"))
 
 
-def daily_positions(source: DataFrame, start: str, before: str) -> DataFrame:
-    """Rows (scope_id, instrument_id, description, day, quantity, inexact) for every day in [start, before) a position is open.
+def position_spans(source: DataFrame, start: str, before: str) -> DataFrame:
+    """Rows (scope_id, instrument_id, description, quantity, inexact, from_date, before_date): an open position's spans in [start, before).
 
     Postings without an instrument are kept apart by description.
     """
     first, last = F.lit(start).cast("date"), F.lit(before).cast("date")
     unknown = F.when(F.col("instrument_id").isNull(), F.col("description"))
     inexact = F.count_if(F.col("split_adjusted_quantity") != F.col("quantity").cast("decimal(38,12)"))
-    daily = source.where(F.col("order_date") < last).groupBy("scope_id", "instrument_id", unknown.alias("description"), F.col("order_date").alias("day")).agg(F.sum("split_adjusted_quantity").alias("net"), inexact.alias("n"))
+    daily = source.where(F.col("order_date") < last).groupBy("scope_id", "instrument_id", unknown.alias("description"), F.greatest("order_date", first).alias("day")).agg(F.sum("split_adjusted_quantity").alias("net"), inexact.alias("n"))
     by = Window.partitionBy("scope_id", "instrument_id", "description").orderBy("day")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    spans = daily.select("scope_id", "instrument_id", "description", F.sum("net").over(so_far).alias("quantity"), F.sum("n").over(so_far).alias("inexact"), F.greatest("day", first).alias("from_date"), F.coalesce(F.lead("day").over(by), last).alias("before_date"))
-    still = spans.where((F.col("from_date") < F.col("before_date")) & ~qty_is_zero(F.col("quantity"), F.col("inexact")))
+    spans = daily.select("scope_id", "instrument_id", "description", F.sum("net").over(so_far).alias("quantity"), F.sum("n").over(so_far).alias("inexact"), F.col("day").alias("from_date"), F.coalesce(F.lead("day").over(by), last).alias("before_date"))
+    return spans.where((F.col("from_date") < F.col("before_date")) & ~qty_is_zero(F.col("quantity"), F.col("inexact")))
+
+
+def daily_positions(source: DataFrame, start: str, before: str) -> DataFrame:
+    """Rows (scope_id, instrument_id, description, day, quantity, inexact) for every day in [start, before) a position is open."""
+    still = position_spans(source, start, before)
     return still.withColumn("day", F.explode(F.sequence("from_date", F.date_sub("before_date", 1)))).drop("from_date", "before_date")
 
 
-def filled_prices(bars: DataFrame, coverage: DataFrame, wanted: DataFrame, start: str, before: str) -> DataFrame:
+def filled_prices(bars: DataFrame, coverage: DataFrame, wanted: DataFrame, start: str, before: str, adjust: Callable[[DataFrame], DataFrame] = lambda bars: bars) -> DataFrame:
     """Rows (instrument_id, day, close, split_adjusted_close) for covered days in [start, before).
 
     Each day has the last bar so far of its own merged span of coverage, the last before ``start`` included;
-    nothing crosses the edge of a span. ``wanted`` (instrument_id) says for which instruments.
+    nothing crosses the edge of a span. ``wanted`` (instrument_id) says for which instruments. ``adjust`` adds
+    split_adjusted_close to bars; it sees only those that are shown: one before ``start`` for each span at most.
     """
     first, last = F.lit(start).cast("date"), F.lit(before).cast("date")
     spans = merged_coverage(coverage.join(wanted, "instrument_id", "left_semi")).select("instrument_id", F.col("from_date").alias("span_from"), F.col("before_date").alias("span_before"))
     spans = spans.where((F.col("span_from") < last) & (F.col("span_before") > first))
-    inside = bars.join(spans, "instrument_id").where("price_date >= span_from and price_date < span_before")
-    seeds = inside.where(F.col("price_date") < first).groupBy("instrument_id", "span_from").agg(F.max_by(F.struct("close", "split_adjusted_close"), "price_date").alias("bar"))
-    seeds = seeds.select("instrument_id", "span_from", F.date_sub(first, 1).alias("day"), "bar")
-    now = inside.where((F.col("price_date") >= first) & (F.col("price_date") < last)).select("instrument_id", "span_from", F.col("price_date").alias("day"), F.struct("close", "split_adjusted_close").alias("bar"))
+    inside = bars.where(F.col("price_date") < last).join(spans, "instrument_id").where("price_date >= span_from and price_date < span_before")
+    columns = [c for c in ("close", "share_count_basis", "split_adjusted_close") if c in bars.columns]
+    seeds = inside.where(F.col("price_date") < first).groupBy("instrument_id", "span_from").agg(F.max_by(F.struct("price_date", *columns), "price_date").alias("bar"))
+    shown = seeds.select("instrument_id", "span_from", "bar.*").unionByName(inside.where(F.col("price_date") >= first).select("instrument_id", "span_from", "price_date", *columns))
+    bar = F.struct("close", "split_adjusted_close").alias("bar")
+    points = adjust(shown).select("instrument_id", "span_from", F.greatest("price_date", F.date_sub(first, 1)).alias("day"), bar)
+    seeds, now = points.where(F.col("day") < first), points.where(F.col("day") >= first)
     grid = spans.withColumn("day", F.explode(F.sequence(F.greatest("span_from", first), F.date_sub(F.least("span_before", last), 1)))).select("instrument_id", "span_from", "day")
     points = grid.join(now, ["instrument_id", "span_from", "day"], "left").unionByName(seeds)
     by = Window.partitionBy("instrument_id", "span_from").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
@@ -71,24 +84,38 @@ def currency_pairs(identifiers: DataFrame) -> DataFrame:
     return rows.select("instrument_id", F.substring("value", 1, 3).alias("currency"))
 
 
-def valued_positions(source: DataFrame, instruments: DataFrame, pairs: DataFrame, bars: DataFrame, coverage: DataFrame, start: str, before: str, display: str) -> DataFrame:
+def price_arrays(filled: DataFrame, start: str, before: str) -> DataFrame:
+    """Rows (instrument_id, prices, rates): adjusted and plain closes of each day in [start, before) as doubles, null where there are none; an array is as long as the window."""
+    days = F.explode(F.sequence(F.lit(start).cast("date"), F.date_sub(F.lit(before).cast("date"), 1))).alias("day")
+    grid = filled.select("instrument_id").distinct().select("instrument_id", days)
+    both = grid.join(filled, ["instrument_id", "day"], "left").select("instrument_id", F.struct("day", F.col("split_adjusted_close").cast("double").alias("price"), F.col("close").cast("double").alias("rate")).alias("p"))
+    ordered = both.groupBy("instrument_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return ordered.select("instrument_id", F.col("p.price").alias("prices"), F.col("p.rate").alias("rates"))
+
+
+def valued_positions(source: DataFrame, instruments: DataFrame, pairs: DataFrame, bars: DataFrame, coverage: DataFrame, start: str, before: str, display: str, adjust: Callable[[DataFrame], DataFrame] = lambda bars: bars, wanted: DataFrame | None = None) -> DataFrame:
     """Rows (scope_id, day, label, value, unpriced): each open position's value on each day.
 
-    value is null where a price or a needed rate is missing; unpriced then says so.
+    value is null where a price or a needed rate is missing; unpriced then says so. Prices and rates are filled
+    once, for ``wanted`` (instrument_id; those of ``source`` if it isn't given) and the pairs, and written.
     """
-    held = daily_positions(source, start, before)
-    known = instruments.select("instrument_id", "name", "asset_class", "currency")
-    named = held.join(known, "instrument_id", "left")
-    ids = source.where("instrument_id is not null").select("instrument_id").distinct()
-    prices = filled_prices(bars, coverage, ids, start, before).select("instrument_id", "day", F.col("split_adjusted_close").alias("price"))
-    rates = filled_prices(bars, coverage, pairs.select("instrument_id"), start, before).join(pairs, "instrument_id").select("currency", "day", F.col("close").cast("double").alias("rate"))
-    found = named.join(prices, ["instrument_id", "day"], "left").join(rates, ["currency", "day"], "left")
-    shown_rates = rates.where(F.col("currency") == display).select("day", F.col("rate").alias("shown_rate"))
-    found = found.join(shown_rates, "day", "left")
+    first = F.lit(start).cast("date")
+    ids = (source if wanted is None else wanted).where("instrument_id is not null").select("instrument_id")
+    ids = ids.unionByName(pairs.select("instrument_id")).distinct()
+    arrays = settled(price_arrays(filled_prices(bars, coverage, ids, start, before, adjust), start, before))
+    rates = settled(arrays.join(pairs, "instrument_id").select("currency", "rates"))  # one row for each currency
+    shown = rates.where(F.col("currency") == display).agg(F.max("rates").alias("shown_rates"))
+    known = instruments.select("instrument_id", "name", "asset_class", "currency").join(arrays.select("instrument_id", "prices"), "instrument_id", "left")
+    held = position_spans(source, start, before).join(known, "instrument_id", "left").join(rates, "currency", "left")
+    named = held.crossJoin(F.broadcast(shown))  # one row
+    at, n = F.datediff("from_date", first), F.datediff("before_date", "from_date")
+    cut = lambda c: F.coalesce(F.slice(F.col(c), at + 1, n), F.array_repeat(F.lit(None).cast("double"), n))
+    days = named.select("scope_id", "instrument_id", F.coalesce("name", "description").alias("label"), "asset_class", "currency", F.col("quantity").cast("double").alias("quantity"), "from_date", F.posexplode(F.arrays_zip(cut("prices").alias("price"), cut("rates").alias("rate"), cut("shown_rates").alias("shown_rate"))).alias("pos", "p"))
+    found = days.select("scope_id", "instrument_id", "label", "asset_class", "currency", "quantity", F.date_add("from_date", F.col("pos")).alias("day"), "p.price", "p.rate", "p.shown_rate")
     cash = F.coalesce(F.col("asset_class") == "CASH", F.lit(False))
     priced = cash | F.col("price").isNotNull()
     own = F.coalesce("currency", F.lit(display)) == display
-    in_own = F.col("quantity").cast("double") * F.when(cash, F.lit(1.0)).otherwise(F.col("price").cast("double"))
+    in_own = F.col("quantity") * F.when(cash, F.lit(1.0)).otherwise(F.col("price"))
     base = F.coalesce("currency", F.lit("USD")) == "USD"
     if display == "USD":
         convertible = F.col("rate").isNotNull()
@@ -98,16 +125,16 @@ def valued_positions(source: DataFrame, instruments: DataFrame, pairs: DataFrame
         converted = in_own * F.coalesce("rate", F.lit(1.0)) / F.col("shown_rate")
     value = F.when(F.col("instrument_id").isNotNull() & priced, F.when(own, in_own).when(convertible, converted))
     lost = F.col("instrument_id").isNull() | ~priced | (~own & ~convertible)
-    return found.select("scope_id", "day", F.coalesce("name", "description").alias("label"), value.alias("value"), lost.alias("unpriced"))
+    return found.select("scope_id", "day", "label", value.alias("value"), lost.alias("unpriced"))
 
 
-def valuation(source: DataFrame, instruments: DataFrame, pairs: DataFrame, bars: DataFrame, coverage: DataFrame, start: str, before: str, display: str) -> DataFrame:
+def valuation(source: DataFrame, instruments: DataFrame, pairs: DataFrame, bars: DataFrame, coverage: DataFrame, start: str, before: str, display: str, adjust: Callable[[DataFrame], DataFrame] = lambda bars: bars, wanted: DataFrame | None = None) -> DataFrame:
     """Rows (scope_id, val_date, total_value, unpriced): each scope's total on each day it holds anything.
 
     unpriced lists, sorted, the names whose price or rate is missing; empty names are left out. Values are
     summed as decimals of four places, so the total doesn't depend on the order of rows.
     """
-    rows = valued_positions(source, instruments, pairs, bars, coverage, start, before, display)
+    rows = valued_positions(source, instruments, pairs, bars, coverage, start, before, display, adjust, wanted)
     total = F.coalesce(F.sum(F.col("value").cast("decimal(38,4)")), F.lit(0).cast("decimal(38,4)")).cast("double")
     names = F.array_sort(F.collect_set(F.when(F.col("unpriced") & (F.col("label") != ""), F.col("label"))))
     return rows.groupBy("scope_id", F.col("day").alias("val_date")).agg(total.alias("total_value"), names.alias("unpriced"))

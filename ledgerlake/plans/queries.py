@@ -40,7 +40,9 @@ def _amounts(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _valued(x: Ledger, source: DataFrame, display: str) -> DataFrame:
-    found = valuation.valuation(source, x["instruments"], valuation.currency_pairs(x["identifiers"]), adjusted_bars(x), x["coverage"], START, BEFORE, display)
+    adjust = lambda bars: splits.adjust_bars(bars, x["splits"], x["instruments"], TODAY)
+    held = x["postings"].select("instrument_id")
+    found = valuation.valuation(source, x["instruments"], valuation.currency_pairs(x["identifiers"]), x["bars"], x["coverage"], START, BEFORE, display, adjust, held)
     return found.withColumn("unpriced", F.array_join("unpriced", "|"))
 
 
