@@ -30,9 +30,11 @@ from ledgerlake.llm.shared import new_path, written
 
 MAGIC = b"VBT1"
 END_ID = 0
-SHARD_IDS = 4_000_000
-FILE_BYTES = 2_000_000
-BATCH = 256
+#: A shard is sorted by one task and makes files of its own: between these many ids, and no more shards than MOST_SHARDS below the upper bound.
+LEAST_SHARD_IDS, SHARD_IDS, MOST_SHARDS = 4_000_000, 64_000_000, 10_000
+FILE_BYTES = 64 << 20
+#: Documents, and ids, that are coded or decoded at a time.
+BATCH, SLICE_IDS = 256, 1 << 18
 _ENTRY = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("n", "<u4"), ("bytes", "<u8")])
 #: For each control byte, the data bytes of its four ranks.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -42,7 +44,8 @@ def _slots(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the first of each document's slots, each rank's slot): a document starts at a new control byte, so at a multiple of four."""
     room = -(-counts // 4) * 4
     first = np.cumsum(room) - room
-    return first, np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    kind = np.int32 if room.sum() < 1 << 31 else np.int64
+    return first, np.repeat((first - (np.cumsum(counts) - counts)).astype(kind), counts) + np.arange(counts.sum(), dtype=kind)
 
 
 def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -64,7 +67,7 @@ def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes
 def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The ranks of all documents that ``pack`` made the joined ``control`` and ``data`` (of bytes) from."""
     lengths = LENGTHS[control].reshape(-1)[_slots(counts)[1]]
-    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    starts = np.cumsum(lengths, dtype=np.int32 if len(data) < 1 << 31 else np.int64) - lengths
     ranks = data[starts].astype("<u4")
     for k in range(1, 4):
         longer = np.nonzero(lengths > k)[0]
@@ -124,34 +127,38 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, id_c
     ranks[ids] = np.arange(len(ids), dtype="<u4")
 
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_IDS))
+    shards = max(1, -(-total // min(SHARD_IDS, max(LEAST_SHARD_IDS, total // MOST_SHARDS))))
     cuts = [i / shards for i in range(1, shards)]
-    found = tokens.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), F.lit(max(10_000, 20 * shards)))).first()[0] if cuts else []
+    lowest = -(1 << 63)  # null ids come first
+    found = tokens.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(lowest)), F.array(*map(F.lit, cuts)), F.lit(max(10_000, 20 * shards)))).first()[0] if cuts else []
     bounds = np.array(found or [], dtype=np.int64)
 
-    def shard_of(docs: pa.Array) -> np.ndarray:
-        found = np.searchsorted(bounds, docs.fill_null(0).to_numpy(), side="left")
-        return np.where(docs.is_null().to_numpy(zero_copy_only=False), 0, found).astype(np.int32)
+    def shard_of(docs: pa.Array, chunks: pa.Array, before: pa.Array) -> np.ndarray:
+        """Shards by doc_id; the rows of one id that fills several shards are dealt to these by their place in the first pass."""
+        ids = docs.fill_null(lowest).to_numpy()
+        low, high = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+        return (low + (chunks.to_numpy() + before.to_numpy()) % np.maximum(high - low, 1)).astype(np.int32)
 
     def sum_up(batches):
         sums = np.zeros(shards, dtype=np.int64)
         for batch in batches:
-            np.add.at(sums, shard_of(batch.column(0)), batch.column(1).to_numpy())
+            np.add.at(sums, shard_of(*batch.columns[:3]), batch.column(3).to_numpy())
         held = np.nonzero(sums)[0].astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[held])], ["shard", "total"])
 
-    totals = tokens.select("doc_id", "n_tokens").mapInArrow(sum_up, "shard int, total long").groupBy("shard").agg(F.sum("total").alias("total"))
+    totals = tokens.select("doc_id", "chunk", "before", "n_tokens").mapInArrow(sum_up, "shard int, total long").groupBy("shard").agg(F.sum("total").alias("total"))
     bases = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
 
     def code(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
-                ids, counts = _joined(part.column(2), part.column(3))
+                ids, counts = _joined(part.column(4), part.column(5))
                 control, data = pack(ranks[ids], counts)
-                yield pa.RecordBatch.from_arrays([pa.array(shard_of(part.column(0))), *part.columns[:2], pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["shard", "doc_id", "n_tokens", "control", "data"])
+                columns = [pa.array(shard_of(*part.columns[:3])), part.column(0), part.column(3), pa.array(control, pa.binary()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "n_tokens", "control", "data"])
 
-    coded = tokens.select("doc_id", "n_tokens", "width", "ids").mapInArrow(code, "shard int, doc_id long, n_tokens long, control binary, data binary")
+    coded = tokens.select("doc_id", "chunk", "before", "n_tokens", "width", "ids").mapInArrow(code, "shard int, doc_id long, n_tokens long, control binary, data binary")
     ordered = coded.repartitionById(shards, F.col("shard")).join(F.broadcast(bases), "shard")  # one row for each shard
     ordered = ordered.select("doc_id", "n_tokens", "control", "data", "base").sortWithinPartitions("doc_id", "n_tokens", "data")
 
@@ -199,13 +206,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 n_docs, start = int(raw[4:8].view("<u4")[0]), int(raw[8:16].view("<u8")[0])
                 entries = raw[16 : 16 + n_docs * _ENTRY.itemsize].view(_ENTRY)
                 counts = entries["n"].astype(np.int64)
-                at = 16 + entries.nbytes
-                data_at = at + int((-(-counts // 4)).sum())
-                ids = by_rank[unpack(raw[at:data_at], raw[data_at : data_at + int(entries["bytes"].sum())], counts)].tobytes()
                 ends = np.cumsum(np.r_[0, counts])
-                docs = pa.array(entries["doc_id"], pa.int64(), mask=entries["null"].astype(bool))
-                cut = pa.array([ids[4 * i : 4 * j] for i, j in zip(ends.tolist(), ends[1:].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([docs, pa.array(start + ends[:-1]), pa.array(counts), cut], ["doc_id", "start", "n_tokens", "ids"])
+                control_ends = 16 + entries.nbytes + np.cumsum(np.r_[0, -(-counts // 4)])
+                data_ends = int(control_ends[-1]) + np.cumsum(np.r_[0, entries["bytes"].astype(np.int64)])
+                i = 0
+                while i < n_docs:  # some documents at a time, however many a file holds
+                    j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_IDS, side="right")) - 1)
+                    own = counts[i:j]
+                    ids = by_rank[unpack(raw[control_ends[i] : control_ends[j]], raw[data_ends[i] : data_ends[j]], own)].tobytes()
+                    places = (4 * (ends[i : j + 1] - ends[i])).tolist()
+                    docs = pa.array(entries["doc_id"][i:j], pa.int64(), mask=entries["null"][i:j].astype(bool))
+                    cut = pa.array([ids[x:y] for x, y in zip(places, places[1:])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(start + ends[i:j]), pa.array(own), cut], ["doc_id", "start", "n_tokens", "ids"])
+                    i = j
+            pa.default_memory_pool().release_unused()
 
     return _contents(spark, f"{path}/files").mapInArrow(parse, "doc_id long, start long, n_tokens long, ids binary")
 

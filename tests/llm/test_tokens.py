@@ -47,6 +47,20 @@ def test_token_files_of_odd_rows(odd_docs, no_docs):
     assert token_files.round_trip(no_docs, TOKENIZER()).count() == 0
 
 
+def test_one_id_on_most_rows_fills_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "LEAST_SHARD_IDS", 500)
+    monkeypatch.setattr(token_files, "SLICE_IDS", 64)
+    docs = spark.range(400).selectExpr("CASE WHEN id % 4 > 0 THEN CASE WHEN id % 8 > 4 THEN 9 END ELSE id END AS doc_id", "concat('word number ', id, repeat(' and more', id % 5)) AS text").repartition(5)
+    path = token_files.new_path(spark, "test")
+    token_files.write(docs, TOKENIZER(), path)
+    files = [r["n"] for r in token_files._contents(spark, f"{path}/files").selectExpr("length(content) as n").collect()]
+    assert len(files) >= 6 and max(files) < 3 * sum(files) / len(files)
+    found = sorted(token_files.read(spark, path).collect(), key=lambda r: r["start"])
+    assert [a["start"] + a["n_tokens"] for a in found[:-1]] == [b["start"] for b in found[1:]]
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in found]
+    assert len(ids) == 400 and ids == sorted(ids)
+
+
 def test_control_bytes_round_trip():
     rnd = np.random.default_rng(1)
     counts = np.array([0, 1, 5, 4, 1000, 3])
