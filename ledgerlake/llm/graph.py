@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.shared import written
 
 #: Rows of one key that one task compares with one another.
-BLOCK = 1_000
+BLOCK = 4_000
 
 
 def meeting(index: DataFrame, key: str = "key", root: str = "root") -> DataFrame:
