@@ -29,7 +29,7 @@ SAMPLE = 400
 #: One text of so many of the sample isn't clustered but shows how far from the centroids a language's texts lie.
 HELD = 4
 #: A text is rejected below MARGIN times the cosine under which LOWEST of those texts of its length (in powers of two) lie.
-MARGIN, LOWEST = 0.9, 0.01
+MARGIN, LOWEST = 0.8, 0.01
 LENGTHS = 24
 
 
