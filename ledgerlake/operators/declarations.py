@@ -59,3 +59,21 @@ def opening_pads(declarations: DataFrame, postings: DataFrame, splits: DataFrame
     pads = declaration_checks(live, postings, splits, instruments, today).where("kind = 'PAD'")
     legs = F.array(F.struct(F.lit("USER").alias("t"), (-F.col("delta")).alias("q")), F.struct(F.lit("EQUITY").alias("t"), F.col("delta").alias("q")))
     return pads.withColumn("_leg", F.explode(legs)).select(*KEY, F.lit(start).cast("date").alias("order_date"), F.col("_leg.t").alias("account_type"), F.col("_leg.q").alias("quantity"))
+
+
+def recalculated_pads(declarations: DataFrame, postings: DataFrame, splits: DataFrame, instruments: DataFrame, today: str) -> DataFrame:
+    """The pads of every user after their history changed: (key, order_date, account_type, quantity, share_count_basis).
+
+    A user's start is the first day of a stated posting. Declarations before it are gone, a holding without any
+    left has no pad, and a user without postings has none at all. The earliest declaration left pads its holding
+    on the start day, in its own share count; a pad of zero is kept.
+    """
+    start = postings.where("account_type = 'USER'").groupBy("user_id").agg(F.min("order_date").alias("_start"))
+    live = declarations.join(start, "user_id").where("as_of_date >= _start")
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy("as_of_date", "declared_qty"))
+    pads = live.withColumn("_n", first).where("_n = 1").select(*declarations.columns)
+    found = quantities_in_basis(pads, postings, splits, instruments, today)
+    found = found.join(pads.select(*declarations_key(pads), "share_count_basis"), declarations_key(pads)).join(start, "user_id")
+    short = (F.col("declared_qty") - F.col("computed")).cast(ADJUSTED)
+    legs = F.array(F.struct(F.lit("USER").alias("t"), short.alias("q")), F.struct(F.lit("EQUITY").alias("t"), (-short).alias("q")))
+    return found.withColumn("_leg", F.explode(legs)).select(*KEY, F.col("_start").alias("order_date"), F.col("_leg.t").alias("account_type"), F.col("_leg.q").alias("quantity"), "share_count_basis")

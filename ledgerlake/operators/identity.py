@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.symbols import bare_ticker
+from ledgerlake.operators.rounds import components
 
 #: Orders of preference for export, display and price lookup.
 EXPORT_ORDER = "MIC_TICKER OPENFIGI_TICKER OCC ISIN OPENFIGI_SHARE_CLASS OPENFIGI_COMPOSITE CUSIP SEDOL OPRA BROKER_DESCRIPTION".split()
@@ -113,3 +114,38 @@ def eligible(plugins: DataFrame, asked: DataFrame) -> DataFrame:
     for held, value in (("asset_classes", "asset_class"), ("exchanges", "exchange_mic"), ("currencies", "currency")):
         passes = passes & (F.col(held).isNull() | (F.size(held) == 0) | F.col(value).isNull() | F.array_contains(held, F.col(value)))
     return asked.join(F.broadcast(plugins), passes)  # one row for each configured plugin
+
+
+def operating_mic(rows: DataFrame, exchanges: DataFrame, column: str = "exchange_mic") -> DataFrame:
+    """``rows`` with ``column`` as the operating MIC (an unknown one stays) and country_code (empty for an unknown one).
+
+    ``exchanges`` (mic, operating_mic, country_code) has a row for each venue of the ISO list.
+    """
+    known = exchanges.select(F.col("mic").alias(column), "operating_mic", "country_code")
+    found = rows.join(F.broadcast(known), column, "left")
+    return found.withColumn(column, F.coalesce("operating_mic", column)).withColumn("country_code", F.coalesce("country_code", F.lit(""))).drop("operating_mic")
+
+
+def ensure_instruments(asked: DataFrame, identifiers: DataFrame, last_id: int) -> tuple[DataFrame, DataFrame]:
+    """(request_id, instrument_id) for ``asked`` (request_id, identifier_type, domain, value), and the mapping (instrument_id, survivor_id) of merged ones.
+
+    A request names its instrument by any identifier. Instruments that one request, or requests with an
+    identifier in common, name together are one: the one with most identifiers survives, of equals the smallest
+    id. Requests that name none share a new instrument if they share an identifier; its id is ``last_id`` plus
+    the smallest of their request_ids.
+    """
+    keys = ["identifier_type", "domain", "value"]
+    rows = asked.withColumn("domain", F.coalesce("domain", F.lit("")))
+    found = find_by_identifier(identifiers, rows.select(*keys).distinct()).where("instrument_id is not null")
+    node = lambda column: F.shiftleft(F.col(column), 1) + 1  # noqa: E731  requests are odd nodes, instruments even ones
+    named = rows.join(found, keys).select(node("request_id").alias("a"), F.shiftleft("instrument_id", 1).alias("b"))
+    shared = rows.join(rows.groupBy(*keys).agg(F.min("request_id").alias("first")), keys).select(node("request_id").alias("a"), node("first").alias("b"))
+    alone = rows.select(node("request_id").alias("node")).distinct().withColumn("root", F.col("node"))
+    roots = components(named.unionByName(shared)).unionByName(alone).groupBy("node").agg(F.min("root").alias("root"))
+    roots = roots.select("root", F.col("node").bitwiseAND(1).alias("asks"), F.shiftright("node", 1).alias("id"))
+    clusters = roots.where("asks = 0").select(F.col("root").alias("cluster"), F.col("id").alias("instrument_id"))
+    best = survivors(identifiers, clusters)
+    owner = clusters.join(best, "instrument_id").groupBy(F.col("cluster").alias("root")).agg(F.min("survivor_id").alias("survivor_id"))
+    first = roots.where("asks = 1").groupBy("root").agg(F.min("id").alias("first"))
+    placed = roots.where("asks = 1").join(first, "root").join(owner, "root", "left")
+    return placed.select(F.col("id").alias("request_id"), F.coalesce("survivor_id", F.col("first") + last_id).alias("instrument_id")), best.where("instrument_id <> survivor_id")

@@ -109,3 +109,25 @@ def unhandled_splits(splits: DataFrame) -> DataFrame:
     """Splits that need a person: reverse ones, and forward ones whose ratio isn't whole."""
     kind = F.when(F.col("split_to") < F.col("split_from"), "REVERSE_SPLIT").when(~is_whole_forward(F.col("split_from"), F.col("split_to")), "NON_WHOLE_SPLIT")
     return splits.withColumn("event_type", kind).where("event_type is not null")
+
+
+def apply_restatement(restated: DataFrame, instruments: DataFrame, identifiers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(instruments, identifiers, mapping of merged instruments) after ``restated`` (instrument_id, valid_from, valid_before, strike, symbol) is written.
+
+    Another instrument that already holds a new name at that time is a duplicate of the option and merges into
+    it: mapping (instrument_id, survivor_id). OCC names from the first restatement on are replaced, the one in
+    force until then is closed, not deleted, and the last strike becomes the option's.
+    """
+    first = restated.groupBy("instrument_id").agg(F.min("valid_from").alias("_first"), F.max_by("strike", "valid_from").alias("_strike"))
+    names = identifiers.where("identifier_type = 'OCC'").select(F.col("instrument_id").alias("holder"), F.col("value").alias("symbol"), F.col("valid_from").alias("_from"), F.col("valid_before").alias("_before"))
+    met = restated.join(names, "symbol").where((F.col("holder") != F.col("instrument_id")) & (F.col("_from").isNull() | F.col("valid_before").isNull() | (F.col("_from") < F.col("valid_before"))) & (F.col("_before").isNull() | (F.col("_before") > F.col("valid_from"))))
+    mapping = met.groupBy(F.col("holder").alias("instrument_id")).agg(F.min(F.col("instrument_id")).alias("survivor_id"))
+    moved = identifiers.join(mapping, "instrument_id", "left").withColumn("instrument_id", F.coalesce("survivor_id", "instrument_id")).drop("survivor_id")
+    occ = F.col("identifier_type") == "OCC"
+    held = moved.join(first.select("instrument_id", "_first"), "instrument_id", "left")
+    kept = held.where(~(occ & F.col("_first").isNotNull() & F.coalesce(F.col("valid_from") >= F.col("_first"), F.lit(False))))
+    closed = kept.withColumn("valid_before", F.when(occ & F.col("valid_before").isNull(), F.col("_first")).otherwise(F.col("valid_before")))
+    minted = restated.select("instrument_id", F.lit("OCC").alias("identifier_type"), F.lit(None).cast("string").alias("domain"), F.col("symbol").alias("value"), F.lit(True).alias("canonical"), "valid_from", "valid_before")
+    names = closed.select(*minted.columns).unionByName(minted).distinct()
+    left = instruments.join(mapping.select("instrument_id"), "instrument_id", "left_anti").join(first.select("instrument_id", "_strike"), "instrument_id", "left")
+    return left.withColumn("strike", F.coalesce("_strike", "strike")).select(*instruments.columns), names, mapping

@@ -182,6 +182,11 @@ def _symbol(strike: str) -> str:
     return f"CASE WHEN length({root}) <= 6 THEN {root} || strftime(expiry, '%y%m%d') || put_call || lpad(CAST(CAST(round({strike} * 1000) AS BIGINT) AS VARCHAR), 8, '0') END"
 
 
+RESTATED = f"""usable AS (SELECT * FROM pending p WHERE NOT EXISTS (SELECT 1 FROM pending q WHERE q.instrument_id = p.instrument_id AND NOT ({WHOLE}))),
+moved AS (SELECT u.instrument_id, u.ex_date AS valid_from, lead(u.ex_date) OVER (PARTITION BY u.instrument_id ORDER BY u.ex_date) AS valid_before,
+  (SELECT product(v.split_from) / product(v.split_to) FROM usable v WHERE v.instrument_id = u.instrument_id AND v.ex_date <= u.ex_date) AS f FROM usable u),
+terms AS (SELECT m.*, underlying_id, expiry, put_call, CAST(CAST(i.strike AS DOUBLE) * f AS DECIMAL(18,3)) AS moved_strike FROM moved m JOIN instruments i USING (instrument_id)),
+named AS (SELECT *, {_symbol('moved_strike')} AS symbol FROM terms)"""
 #: Stated postings in the groups that g15 gives them, of groups that changed only: those with postings on either side of the cut, or named otherwise than by their smallest posting.
 MOVED = """derived AS (SELECT *, CASE WHEN tx_id % 1000 > 3 THEN group_id * 1000 + 4 ELSE group_id * 1000 + 1 END AS event_id, min(tx_id) OVER (PARTITION BY group_id) AS old_group FROM postings WHERE account_type = 'USER'),
 changed AS (SELECT event_id AS id FROM derived WHERE event_id <> old_group UNION SELECT old_group FROM derived WHERE event_id <> old_group),
@@ -242,10 +247,7 @@ PARTS: dict[str, tuple[str, list[str], str]] = {
     "c2_adjusted_postings": ("instruments postings splits", [ADJUSTED], f"SELECT tx_id, instrument_id, {shown('own', 'split_adjusted_quantity')}, {shown('own_price', 'split_adjusted_unit_price')} FROM adjusted"),
     "c3_adjusted_bars": ("instruments bars splits", [BARS], f"SELECT instrument_id, price_date, {shown('close', 'close')}, {shown('own_close', 'split_adjusted_close')} FROM adjusted_bars"),
     "c6_pending_option_splits": ("instruments splits postings identifiers", [PENDING], f"SELECT instrument_id, ex_date, {shown('split_from', 'split_from')}, {shown('split_to', 'split_to')} FROM pending"),
-    "c8_restated_options": ("instruments splits postings identifiers", [PENDING, f"""usable AS (SELECT * FROM pending p WHERE NOT EXISTS (SELECT 1 FROM pending q WHERE q.instrument_id = p.instrument_id AND NOT ({WHOLE}))),
-moved AS (SELECT u.instrument_id, u.ex_date AS valid_from, lead(u.ex_date) OVER (PARTITION BY u.instrument_id ORDER BY u.ex_date) AS valid_before,
-  (SELECT product(v.split_from) / product(v.split_to) FROM usable v WHERE v.instrument_id = u.instrument_id AND v.ex_date <= u.ex_date) AS f FROM usable u),
-terms AS (SELECT m.*, underlying_id, expiry, put_call, CAST(CAST(i.strike AS DOUBLE) * f AS DECIMAL(18,3)) AS moved_strike FROM moved m JOIN instruments i USING (instrument_id))"""], f"SELECT instrument_id, valid_from, valid_before, {shown('moved_strike', 'strike')}, {_symbol('moved_strike')} AS symbol FROM terms"),
+    "c8_restated_options": ("instruments splits postings identifiers", [PENDING, RESTATED], f"SELECT instrument_id, valid_from, valid_before, {shown('moved_strike', 'strike')}, symbol FROM named"),
     "c9_option_symbols": ("instruments", [f"named AS (SELECT *, {_symbol('strike')} AS symbol FROM instruments WHERE asset_class = 'OPTION')"], f"SELECT instrument_id, symbol, rpad('U' || CAST(underlying_id AS VARCHAR), 6, ' ') || right(symbol, 15) AS padded, CASE WHEN symbol IS NOT NULL THEN 'U' || CAST(underlying_id AS VARCHAR) END AS root, CASE WHEN symbol IS NOT NULL THEN expiry END AS expiry, CASE WHEN symbol IS NOT NULL THEN put_call END AS put_call, {shown('CASE WHEN symbol IS NOT NULL THEN strike END', 'strike')} FROM named"),
     "c11_unhandled_splits": ("splits", [], f"SELECT instrument_id, ex_date, {shown('split_from', 'split_from')}, {shown('split_to', 'split_to')}, CASE WHEN split_to < split_from THEN 'REVERSE_SPLIT' ELSE 'NON_WHOLE_SPLIT' END AS event_type FROM splits WHERE NOT ({WHOLE})"),
     "c12_instruments_with_splits": ("instruments splits", [EFFECTIVE], "SELECT DISTINCT instrument_id FROM effective"),
@@ -333,6 +335,26 @@ UNION ALL SELECT 'day', tx_id FROM statements s WHERE EXISTS (SELECT 1 FROM stat
     "g11_membership_diff": ("postings", ["named AS (SELECT tx_id, min(tx_id) OVER (PARTITION BY group_id) AS old_event_id, min(tx_id) OVER (PARTITION BY CASE WHEN tx_id % 1000 > 4 THEN group_id + 1 ELSE group_id END) AS new_event_id FROM postings)"], "SELECT * FROM named WHERE old_event_id <> new_event_id"),
     "t5_broker_exposure": ("instruments postings splits matches", [ADJUSTED, SIDES, BALANCES, EXPOSURE], f"SELECT broker, broker_rank, {shown('sum(total)', 'total')} FROM exposure WHERE row_rank <= 3 GROUP BY ALL"),
     "st1_event_windows": ("", [], "SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL"),
+    "s6_ofx_datetimes": (None, ["t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '20011' ELSE strftime(o_orderdate, '%Y%m%d') || CASE WHEN o_orderkey % 3 > 0 THEN lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || '3015.000' ELSE '' END || ['', '[-5:EST]', '[+5.5:IST]', '[0:GMT]'][o_orderkey % 4 + 1] END AS stated FROM orders)"], "SELECT o_orderkey, stated, CASE WHEN length(stated) >= 8 THEN make_timestamp(CAST(stated[1:4] AS BIGINT), CAST(stated[5:6] AS BIGINT), CAST(stated[7:8] AS BIGINT), CASE WHEN stated LIKE '________3015%' OR stated LIKE '__________3015%' THEN CAST(stated[9:10] AS BIGINT) ELSE 0 END, CASE WHEN stated LIKE '__________3015%' THEN 30 ELSE 0 END, CASE WHEN stated LIKE '__________3015%' THEN 15 ELSE 0 END) - CASE WHEN stated LIKE '%EST%' THEN INTERVAL (-300) MINUTE WHEN stated LIKE '%IST%' THEN INTERVAL 330 MINUTE ELSE INTERVAL 0 MINUTE END END AS at FROM t"),
+    "s7_csv_fields": (None, [], "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS key, p_name || ', the \"' || p_brand || '\"' AS name, p_type AS type FROM part"),
+    "s12_derived_legs": ("postings", [], f"SELECT tx_id, settlement_currency AS currency, 'fee' AS leg, 'TRANSACTION_COST' AS tx_type, 'USER' AS account_type, CAST(-7.5 AS DOUBLE) AS quantity FROM postings WHERE tx_id % 4 = 0 UNION ALL SELECT tx_id, settlement_currency, 'reinvested', 'DIVIDEND', 'INCOME', {shown('-quantity * coalesce(unit_price, 0)', 'quantity')} FROM postings WHERE tx_type = 'DIVIDEND' AND abs(quantity * coalesce(unit_price, 0)) >= 0.005"),
+    "s22_upload_vintage": (None, [], "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '2001-05-05' WHEN o_orderkey % 3 = 0 THEN o_orderdate WHEN o_orderkey % 2 = 0 THEN date_trunc('day', o_orderdate) - INTERVAL 1 DAY END AS vintage FROM orders"),
+    "b3_weight_divergence": ("instruments postings", [WEIGHTED.split("), edges AS")[0].replace("FROM valued)", "FROM candidates)").replace("valued AS (", "valued AS (", 1).replace("), weighted AS", "), candidates AS (SELECT * EXCLUDE (tx_type), unnest(CASE WHEN tx_id % 3 = 0 THEN [tx_type, 'TRADE_ASSET'] ELSE ['TRADE_ASSET', 'TRADE_CASH', 'TRANSFER_INTERNAL'] END) AS tx_type, unnest(CASE WHEN tx_id % 3 = 0 THEN [0, 1] ELSE [0, 1, 2] END) AS place FROM valued WHERE tx_id % 3 < 2), weighted AS") + ")"], "SELECT a.tx_id, a.tx_type AS first_type, arg_min(b.tx_type, b.place) AS other_type FROM weighted a JOIN weighted b ON a.tx_id = b.tx_id AND a.place = 0 AND (a.weight <> b.weight OR a.commodity <> b.commodity) GROUP BY ALL"),
+    "b7_routed_legs": ("instruments postings", [WEIGHTED], f"SELECT group_id, user_id, broker, account, order_date, trade_date, tx_type, c.account_type, CASE WHEN commodity LIKE 'cur:%' THEN (SELECT min(i.instrument_id) FROM instruments i WHERE i.asset_class = 'CASH' AND i.currency = commodity[5:]) ELSE (SELECT arg_min(w.instrument_id, (w.order_date, w.tx_id)) FROM weighted w WHERE w.group_id = c.group_id AND w.commodity = c.commodity AND w.account_type = 'USER') END AS instrument_id, CASE WHEN commodity LIKE 'cur:%' THEN commodity[5:] ELSE (SELECT arg_min(w.description, (w.order_date, w.tx_id)) FROM weighted w WHERE w.group_id = c.group_id AND w.commodity = c.commodity AND w.account_type = 'USER') END AS description, {shown('amount', 'quantity')}, commodity FROM closing c JOIN (SELECT * EXCLUDE (account_type, quantity, description, instrument_id) FROM postings WHERE account_type = 'USER' QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY order_date, tx_id) = 1) p USING (group_id)"),
+    "c5_defaults": ("postings", [], f"SELECT tx_id, {shown('quantity', 'quantity')}, {shown('unit_price', 'unit_price')}, CASE WHEN tx_id % 2 = 0 THEN CAST(share_count_basis + INTERVAL 3 DAY AS DATE) ELSE trade_date END AS share_count_basis, {shown('CASE WHEN tx_id % 3 = 0 THEN 2 ELSE 1 END * quantity', 'split_adjusted_quantity')}, {shown('unit_price', 'split_adjusted_unit_price')} FROM postings"),
+    "c10_applied_restatement": ("instruments splits postings identifiers", [PENDING, RESTATED, """mints AS (SELECT instrument_id, symbol, valid_from, valid_before, min(valid_from) OVER (PARTITION BY instrument_id) AS first FROM named)"""], """SELECT instrument_id, symbol AS value, valid_from, valid_before FROM mints UNION
+SELECT d.instrument_id, d.value, d.valid_from, CASE WHEN d.valid_before IS NULL THEN m.first ELSE d.valid_before END FROM identifiers d LEFT JOIN (SELECT DISTINCT instrument_id, first FROM mints) m USING (instrument_id) WHERE d.identifier_type = 'OCC' AND NOT coalesce(d.valid_from >= m.first, false)"""),
+    "d5_recalculated_pads": ("declarations instruments splits postings", ["starts AS (SELECT user_id, min(order_date) AS start FROM postings WHERE account_type = 'USER' AND (user_id % 14 > 0 OR order_date >= DATE '1999-01-01') GROUP BY ALL)", "declared AS (SELECT d.* FROM declarations d JOIN starts USING (user_id) WHERE as_of_date >= start QUALIFY row_number() OVER (PARTITION BY user_id, broker, account, instrument_id ORDER BY as_of_date, declared_qty) = 1)", CHECKED.replace("WHERE account_type = 'USER' AND user_id % 7 = 0", "WHERE account_type = 'USER' AND (user_id % 14 > 0 OR order_date >= DATE '1999-01-01')")], f"SELECT user_id, broker, account, instrument_id, start AS order_date, account_type, {shown('sign * (declared_qty - computed)', 'quantity')}, share_count_basis FROM checked c JOIN starts USING (user_id) JOIN declared d USING (user_id, broker, account, instrument_id, as_of_date, declared_qty) CROSS JOIN (VALUES ('USER', 1), ('EQUITY', -1)) AS s(account_type, sign)"),
+    "i7_ensure_instruments": ("identifiers", ["""asked AS (SELECT p_partkey AS r, 'MIC_TICKER' AS t, 'XNAS' AS d, 'T' || p_partkey % 1000 AS v FROM part UNION ALL SELECT p_partkey, 'OPENFIGI_TICKER', 'US', 'F.' || p_partkey % 700 FROM part)""",
+        """known AS (SELECT identifier_type AS t, domain AS d, value AS v, instrument_id AS i FROM identifiers WHERE domain IS NOT NULL QUALIFY row_number() OVER (PARTITION BY identifier_type, domain, value ORDER BY valid_before DESC NULLS FIRST, instrument_id) = 1)""",
+        """edges AS (SELECT 'r' || a.r AS x, 'i' || k.i AS y FROM asked a JOIN known k USING (t, d, v) UNION SELECT 'r' || a.r, 'r' || b.r FROM asked a JOIN asked b USING (t, d, v))""", "both_ways AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges)",
+        "reach AS (SELECT DISTINCT x, x AS y FROM both_ways UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON e.x = r.y)",
+        "sizes AS (SELECT 'i' || instrument_id AS y, count(*) AS n FROM identifiers GROUP BY ALL)"], "SELECT CAST(r.x[2:] AS BIGINT) AS request_id, coalesce(arg_min(CAST(r.y[2:] AS BIGINT), (-coalesce(n, 0), CAST(r.y[2:] AS BIGINT))) FILTER (r.y LIKE 'i%'), 1000000 + min(CAST(r.y[2:] AS BIGINT)) FILTER (r.y LIKE 'r%')) AS instrument_id FROM reach r LEFT JOIN sizes USING (y) WHERE r.x LIKE 'r%' GROUP BY r.x"),
+    "i8_operating_mic": ("instruments", [], "SELECT instrument_id, CASE exchange_mic WHEN 'XLON' THEN 'XLOM' ELSE exchange_mic END AS exchange_mic, CASE WHEN exchange_mic IN ('XNAS', 'XNYS') THEN 'US' WHEN exchange_mic = 'XLON' THEN 'GB' ELSE '' END AS country_code FROM instruments"),
+    "f14_page_tokens": (None, [], "SELECT c_custkey, to_base64(encode(CAST(c_custkey * 7 AS VARCHAR))) AS token, CASE WHEN c_custkey % 5 < 2 THEN 0 ELSE c_custkey * 7 END AS offset FROM customer"),
+    "a12_dashboard_counts": ("instruments postings splits matches coverage", [ADJUSTED, SIDES, BALANCES, held(True), COVERED, f"gaps AS ({less('SELECT * FROM held', 'SELECT instrument_id, from_date, before_date FROM covered', 'instrument_id')})"], f"SELECT 'balances' AS key, count(*) AS n FROM balances WHERE account_type <> 'SOURCE_ROUNDING' UNION ALL SELECT 'imbalances', count(*) FROM balances WHERE account_type = 'IMBALANCE' UNION ALL SELECT 'gap_instruments', count(DISTINCT instrument_id) FROM gaps UNION ALL SELECT 'unhandled_events', count(*) FROM splits WHERE NOT ({WHOLE})"),
+    "e8_gap_outcomes": (None, ["calls AS (SELECT l_orderkey AS gap_id, l_linenumber AS r, l_returnflag <> 'R' AS ok, CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS bars FROM lineitem WHERE l_suppkey % 3 > 0)", "sums AS (SELECT o_orderkey AS gap_id, CAST(o_orderkey % 4 AS BIGINT) AS n_ranges, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END AS BIGINT) AS n_eligible, count(c.r) AS n_calls, CAST(coalesce(sum(bars) FILTER (ok), 0) AS BIGINT) AS n_bars, count(DISTINCT r) FILTER (ok) AS covered FROM orders LEFT JOIN calls c ON c.gap_id = o_orderkey GROUP BY o_orderkey)"], "SELECT gap_id, n_ranges, n_eligible, n_calls, n_bars, CASE WHEN n_ranges > 0 AND covered >= n_ranges THEN CASE WHEN n_bars > 0 THEN 'filled' ELSE 'settled_empty' END WHEN n_eligible = 0 THEN 'no_eligible_plugin' WHEN n_calls = 0 THEN 'settled_empty' ELSE 'all_plugins_failed' END AS outcome FROM sums"),
+    "e7_kept_runs": (None, [], "SELECT event_id AS run_id, CASE WHEN event_id % 4 > 0 THEN 'DONE' ELSE 'INCOMPLETE' END AS status, CASE WHEN event_id % 4 > 0 THEN ts ELSE TIMESTAMP '2030-01-01' END AS ended_at FROM events WHERE ts >= TIMESTAMP '1970-01-01'"),
 }
 
 
@@ -344,5 +366,5 @@ def oracle_sql() -> dict[str, str]:
         if name == "g15_apply_partition":
             body = body.replace("WITH valued", f"WITH {MOVED}, valued", 1)
         text = with_views(views.split(), body) if views else body
-        out[name] = f"WITH RECURSIVE{text[4:]}" if TRANSFERS in steps or name == "g1_neighbourhood" else text
+        out[name] = f"WITH RECURSIVE{text[4:]}" if TRANSFERS in steps or name in ("g1_neighbourhood", "i7_ensure_instruments") else text
     return out

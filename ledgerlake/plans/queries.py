@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.decimals import shown
 from ledgerlake.functions.symbols import bare_ticker, is_isin, occ_padded, parse_option
 from ledgerlake.operators import declarations as decl
-from ledgerlake.operators import grouping, holdings, identity, intervals, ledger, listings, matching, splits, valuation
+from ledgerlake.functions import texts
+from ledgerlake.operators import grouping, holdings, identity, intervals, ledger, listings, matching, splits, telemetry, uploads, valuation
 from ledgerlake.sources.fixture import TODAY, Ledger
 
 AS_OF = "1999-12-31"
@@ -492,6 +493,91 @@ def i14_plugin_order(x):
     return identity.reorder_plugins(plugins, ["c", "a"])
 
 
+def s6_ofx_datetimes(x):
+    stamp = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit("3015.000"))).otherwise(F.lit("")), F.element_at(F.array(F.lit(""), F.lit("[-5:EST]"), F.lit("[+5.5:IST]"), F.lit("[0:GMT]")), (F.col("o_orderkey") % 4 + 1).cast("int")))
+    rows = x.table("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, F.lit("20011")).otherwise(stamp).alias("stated"))
+    return rows.select("o_orderkey", "stated", texts.ofx_datetime(F.col("stated")).alias("at"))
+
+
+def s7_csv_fields(x):
+    line = F.concat(F.col("p_partkey").cast("string"), F.lit(',"'), F.col("p_name"), F.lit(', the ""'), F.col("p_brand"), F.lit('""",'), F.col("p_type"))
+    f = x.table("part").select("p_partkey", texts.csv_fields(line, 3).alias("f"))
+    return f.select("p_partkey", F.col("f")[0].alias("key"), F.col("f")[1].alias("name"), F.col("f")[2].alias("type"))
+
+
+def s12_derived_legs(x):
+    rows = x["postings"].withColumn("fee", F.when(F.col("tx_id") % 4 == 0, F.lit("7.50").cast("decimal(18,6)")).when(F.col("tx_id") % 4 == 1, F.lit("0.004").cast("decimal(18,6)"))).withColumn("reinvests", F.col("tx_type") == "DIVIDEND")
+    return _amounts(uploads.derived_legs(rows), "quantity")
+
+
+def s22_upload_vintage(x):
+    stated = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate"))
+    before = F.when(F.col("o_orderkey") % 2 == 0, F.to_date("o_orderdate"))
+    edited = F.when(F.col("o_orderkey") % 7 == 0, F.lit("2001-05-05").cast("date"))
+    return x.table("orders").select("o_orderkey", uploads.upload_vintage(stated, before, edited).alias("vintage"))
+
+
+def b3_weight_divergence(x):
+    kinds = F.when(F.col("tx_id") % 3 == 0, F.array("tx_type", F.lit("TRADE_ASSET"))).when(F.col("tx_id") % 3 == 1, F.array(F.lit("TRADE_ASSET"), F.lit("TRADE_CASH"), F.lit("TRANSFER_INTERNAL"))).otherwise(F.array("tx_type"))
+    return uploads.weight_divergence(x["postings"].withColumn("tx_types", kinds), x["instruments"])
+
+
+def b7_routed_legs(x):
+    rows = weighted(x)
+    found = uploads.routed_legs(ledger.residual_legs(ledger.group_residuals(rows)), rows.where("account_type = 'USER'"), x["instruments"])
+    return _amounts(found, "quantity")
+
+
+def c5_defaults(x):
+    rows = x["postings"].select("tx_id", "trade_date", "quantity", "unit_price", F.when(F.col("tx_id") % 2 == 0, F.date_add("share_count_basis", 3)).alias("share_count_basis"), F.when(F.col("tx_id") % 3 == 0, F.col("quantity") * 2).cast("decimal(38,12)").alias("split_adjusted_quantity"), F.lit(None).cast("decimal(38,12)").alias("split_adjusted_unit_price"))
+    return _amounts(uploads.with_defaults(rows).drop("trade_date"), "quantity", "unit_price", "split_adjusted_quantity", "split_adjusted_unit_price")
+
+
+def c10_applied_restatement(x):
+    pending = splits.pending_option_splits(x["instruments"], x["splits"], x["identifiers"], first_traded(x), TODAY)
+    _, names, _ = splits.apply_restatement(splits.restate_options(pending, x["instruments"]), x["instruments"], x["identifiers"])
+    return names.where("identifier_type = 'OCC'").select("instrument_id", "value", "valid_from", "valid_before")
+
+
+def d5_recalculated_pads(x):
+    moved = x["postings"].where("user_id % 14 > 0 or order_date >= date '1999-01-01'")
+    return _amounts(decl.recalculated_pads(x["declarations"], moved, x["splits"], x["instruments"], TODAY), "quantity")
+
+
+def i7_ensure_instruments(x):
+    named = lambda kind, domain, letter, n: x.table("part").select(F.col("p_partkey").alias("request_id"), F.lit(kind).alias("identifier_type"), F.lit(domain).alias("domain"), F.concat(F.lit(letter), (F.col("p_partkey") % n).cast("string")).alias("value"))
+    asked = named("MIC_TICKER", "XNAS", "T", 1000).unionByName(named("OPENFIGI_TICKER", "US", "F.", 700))
+    found, _ = identity.ensure_instruments(asked, x["identifiers"], 1_000_000)
+    return found
+
+
+def i8_operating_mic(x):
+    venues = x.spark.sql("SELECT * FROM VALUES ('XNAS', 'XNAS', 'US'), ('XNYS', 'XNYS', 'US'), ('XLON', 'XLOM', 'GB') AS e(mic, operating_mic, country_code)")
+    return identity.operating_mic(x["instruments"].select("instrument_id", "exchange_mic"), venues)
+
+
+def f14_page_tokens(x):
+    rows = x.table("customer").select("c_custkey", texts.page_token(F.col("c_custkey") * 7).alias("token"))
+    odd = rows.withColumn("given", F.when(F.col("c_custkey") % 5 == 0, F.lit("%%%")).when(F.col("c_custkey") % 5 == 1, F.lit("")).otherwise(F.col("token")))
+    return odd.select("c_custkey", "token", texts.page_offset(F.col("given")).alias("offset"))
+
+
+def a12_dashboard_counts(x):
+    balances = holdings.residual_balances(adjusted(x), _matches(x))
+    return telemetry.dashboard_counts(balances, intervals.price_gaps(x["postings"], x["coverage"], TODAY), splits.unhandled_splits(x["splits"]))
+
+
+def e8_gap_outcomes(x):
+    gaps = x.table("orders").select(F.col("o_orderkey").alias("gap_id"), (F.col("o_orderkey") % 4).cast("long").alias("n_ranges"), F.when(F.col("o_orderkey") % 5 == 0, 0).otherwise(2).cast("long").alias("n_eligible"))
+    calls = x.table("lineitem").where("l_suppkey % 3 > 0").select(F.col("l_orderkey").alias("gap_id"), F.col("l_linenumber").alias("range"), (F.col("l_returnflag") != "R").alias("ok"), F.when(F.col("l_linestatus") == "F", F.col("l_quantity").cast("long")).otherwise(0).cast("long").alias("bars"))
+    return telemetry.gap_outcomes(gaps, calls)
+
+
+def e7_kept_runs(x):
+    runs = x.table("events").select(F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), F.when(F.col("event_id") % 4 > 0, F.col("ts")).alias("ended_at"), F.lit("DONE").alias("status"))
+    return telemetry.kept_runs(runs, "1970-01-01", "2030-01-01").select("run_id", "status", "ended_at")
+
+
 def st1_event_windows(x):
     from ledgerlake.streaming.events import hourly_totals
 
