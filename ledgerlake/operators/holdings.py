@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.decimals import qty_is_zero
+from ledgerlake.operators.rounds import settled
 
 RESIDUAL_TYPES = ("IMBALANCE", "TRANSFER_CLEARING", "SOURCE_ROUNDING")
 
@@ -81,7 +82,8 @@ def user_external_flows(postings: DataFrame, matches: DataFrame, start: str, bef
 
 def portfolio_external_flows(postings: DataFrame, filters: DataFrame, matches: DataFrame, start: str, before: str) -> DataFrame:
     """What crossed each portfolio's boundary: in groups with a member USER leg, equity legs, USER legs of non-members, and clearing legs that aren't in flight inside it."""
-    members = portfolio_members(postings, filters)
+    held = portfolio_members(postings, filters).where("account_type in ('USER', 'TRANSFER_CLEARING')")
+    members = settled(held.select("portfolio_id", "tx_id", "group_id", "instrument_id", "account_type"))  # asked for four times
     touched = members.where("account_type = 'USER'").select("portfolio_id", "group_id").distinct()
     legs = postings.where((F.col("order_date") >= F.lit(start).cast("date")) & (F.col("order_date") < F.lit(before).cast("date"))).join(touched, "group_id")
     mine = members.where("account_type = 'USER'").select("portfolio_id", "tx_id")

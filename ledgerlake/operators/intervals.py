@@ -125,3 +125,14 @@ def inflation_gap(indices: DataFrame, first_month: str, today: str) -> DataFrame
     wanted = indices.select("currency").distinct().withColumn("month", F.explode(months))
     missing = wanted.join(indices.select("currency", "month"), ["currency", "month"], "left_anti")
     return missing.groupBy("currency").agg(F.min("month").alias("from_date"), F.trunc(F.lit(today).cast("date"), "month").alias("before_date"))
+
+
+def overlap_probe(rows: DataFrame, asked: DataFrame, keys: list[str], start: str, end: str, holder: str) -> DataFrame:
+    """``asked`` (keys, holder, start, end) with other_holder: another holder of the same keys at an overlapping time, the smallest if several.
+
+    A null bound is open; what no other holds isn't returned.
+    """
+    low, high = F.lit("0001-01-01").cast("date"), F.lit(FOREVER).cast("date")
+    held = rows.select(*keys, F.col(holder).alias("other_holder"), F.coalesce(start, low).alias("_from"), F.coalesce(end, high).alias("_before"))
+    met = asked.join(held, keys).where((F.col("other_holder") != F.col(holder)) & (F.col("_from") < F.coalesce(end, high)) & (F.col("_before") > F.coalesce(start, low)))
+    return met.groupBy(*asked.columns).agg(F.min("other_holder").alias("other_holder"))

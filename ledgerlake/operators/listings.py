@@ -114,3 +114,27 @@ def fetch_windows(postings: DataFrame, today: str, lookback: int, history_start:
     latest = postings.where("account_type = 'USER'").groupBy("user_id", "broker").agg(F.max("order_date").alias("latest"))
     start = F.greatest(F.date_sub("latest", lookback), F.lit(history_start).cast("date"))
     return latest.select("user_id", "broker", start.alias("from_date"), F.lit(today).cast("date").alias("before_date")).where("from_date < before_date")
+
+
+def export_events(splits: DataFrame, coverage: DataFrame, best: DataFrame) -> DataFrame:
+    """Rows (instrument_id, identifier_type, value, splits, spans): each instrument's splits by day and its coverage, by its best identifier.
+
+    Instruments with coverage and no splits are listed too; one without an identifier isn't.
+    """
+    ratio = F.struct("ex_date", F.col("split_from").cast("decimal(18,6)").alias("split_from"), F.col("split_to").cast("decimal(18,6)").alias("split_to"))
+    events = splits.groupBy("instrument_id").agg(F.array_sort(F.collect_list(ratio)).alias("splits"))
+    spans = coverage.groupBy("instrument_id").agg(F.array_sort(F.collect_list(F.struct("from_date", "before_date"))).alias("spans"))
+    rows = events.join(spans, "instrument_id", "full").join(best.select("instrument_id", "identifier_type", "value"), "instrument_id")
+    return rows.withColumn("splits", F.coalesce("splits", F.array())).withColumn("spans", F.coalesce("spans", F.array()))
+
+
+def list_unhandled_events(events: DataFrame, instruments: DataFrame, include_resolved: bool = False) -> DataFrame:
+    """Events that need a person, with instrument names, latest first: ``events`` (event_id, instrument_id, ex_date, event_type, resolved)."""
+    rows = events if include_resolved else events.where("not resolved")
+    return rows.join(instruments.select("instrument_id", "name"), "instrument_id", "left").orderBy(F.desc("ex_date"), "event_id")
+
+
+def list_jobs(jobs: DataFrame, errors: DataFrame, kinds: list[str]) -> DataFrame:
+    """``jobs`` (job_id, ...) with n_<kind> for each of ``kinds``: how many rows of ``errors`` (job_id, kind) each has."""
+    counts = errors.groupBy("job_id").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
+    return jobs.join(counts, "job_id", "left").fillna(0, [f"n_{k}" for k in kinds])

@@ -28,7 +28,8 @@ def user_source(postings: DataFrame, matches: DataFrame) -> DataFrame:
 
 def portfolio_source(postings: DataFrame, filters: DataFrame, matches: DataFrame) -> DataFrame:
     """What a portfolio owns: its members' USER postings, and transfers under way inside it; scope is the portfolio."""
-    members = portfolio_members(postings, filters)
+    members = portfolio_members(postings, filters).where("account_type in ('USER', 'TRANSFER_CLEARING')")
+    members = settled(members.select("portfolio_id", "tx_id", "group_id", "instrument_id", "account_type", "order_date", "description", "quantity", "split_adjusted_quantity"))  # asked for four times
     both = members.where("account_type = 'USER'").unionByName(in_flight(members, matches).select(*members.columns))
     return both.withColumn("scope_id", F.col("portfolio_id"))
 

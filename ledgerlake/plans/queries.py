@@ -578,6 +578,30 @@ def e7_kept_runs(x):
     return telemetry.kept_runs(runs, "1970-01-01", "2030-01-01").select("run_id", "status", "ended_at")
 
 
+def e2_export_events(x):
+    rows = listings.export_events(x["splits"], intervals.merged_coverage(x["coverage"]), identity.best_identifier(x["identifiers"]))
+    day = lambda d: d.cast("string")
+    said = F.transform("splits", lambda e: F.concat_ws(" ", day(e["ex_date"]), e["split_from"].cast("double").cast("string"), e["split_to"].cast("double").cast("string")))
+    spans = F.transform("spans", lambda e: F.concat_ws("/", day(e["from_date"]), day(e["before_date"])))
+    return rows.select("instrument_id", "identifier_type", "value", F.array_join(said, "|").alias("splits"), F.array_join(spans, "|").alias("spans"))
+
+
+def f5_unhandled_events(x):
+    events = splits.unhandled_splits(x["splits"]).select((F.col("instrument_id") * 10 + F.dayofweek("ex_date")).alias("event_id"), "instrument_id", "ex_date", "event_type", (F.col("instrument_id") % 4 == 0).alias("resolved"))
+    return listings.list_unhandled_events(events, x["instruments"])
+
+
+def f6_jobs(x):
+    jobs = x.table("orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"))
+    errors = x.table("lineitem").where("l_suppkey % 7 = 0").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_returnflag") == "R", "row").otherwise("file").alias("kind"))
+    return listings.list_jobs(jobs, errors, ["row", "file"])
+
+
+def r14_overlap_probe(x):
+    rows = x["identifiers"].withColumn("domain", F.coalesce("domain", F.lit("")))
+    return intervals.overlap_probe(rows, rows.select("identifier_type", "domain", "value", "instrument_id", "valid_from", "valid_before"), ["identifier_type", "domain", "value"], "valid_from", "valid_before", "instrument_id")
+
+
 def st1_event_windows(x):
     from ledgerlake.streaming.events import hourly_totals
 
