@@ -339,6 +339,8 @@ UNION ALL SELECT 'day', tx_id FROM statements s WHERE EXISTS (SELECT 1 FROM stat
     "f5_unhandled_events": ("splits instruments", [], f"SELECT s.instrument_id * 10 + dayofweek(ex_date) + 1 AS event_id, s.instrument_id, ex_date, CASE WHEN split_to < split_from THEN 'REVERSE_SPLIT' ELSE 'NON_WHOLE_SPLIT' END AS event_type, false AS resolved, name FROM splits s JOIN instruments USING (instrument_id) WHERE NOT ({WHOLE}) AND s.instrument_id % 4 <> 0"),
     "f6_jobs": (None, [], "SELECT o_orderkey AS job_id, o_orderstatus AS status, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey % 7 = 0 AND l_returnflag = 'R') AS n_row, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey % 7 = 0 AND l_returnflag <> 'R') AS n_file FROM orders"),
     "r14_overlap_probe": ("identifiers", ["n AS (SELECT identifier_type, coalesce(domain, '') AS domain, value, instrument_id, valid_from, valid_before FROM identifiers)"], "SELECT a.identifier_type, a.domain, a.value, a.instrument_id, a.valid_from, a.valid_before, min(b.instrument_id) AS other_holder FROM n a JOIN n b ON a.identifier_type = b.identifier_type AND a.domain = b.domain AND a.value = b.value AND a.instrument_id <> b.instrument_id AND coalesce(b.valid_from, DATE '0001-01-01') < coalesce(a.valid_before, DATE '9999-12-31') AND coalesce(b.valid_before, DATE '9999-12-31') > coalesce(a.valid_from, DATE '0001-01-01') GROUP BY ALL"),
+    "st3_session_totals": (None, ["marked AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS opens FROM events)", "numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM marked)"], "SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM numbered GROUP BY user_id, session"),
+    "i11_identifier_types": ("identifiers", [], "SELECT identifier_type, count(*) AS n, true AS known, identifier_type LIKE '%TICKER' AS listing, identifier_type = 'ISIN' AS mediates FROM identifiers GROUP BY ALL UNION ALL SELECT 'CUSIP', 0, true, false, true UNION ALL SELECT 'NO_SUCH', 0, false, false, false"),
     "s6_ofx_datetimes": (None, ["t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '20011' ELSE strftime(o_orderdate, '%Y%m%d') || CASE WHEN o_orderkey % 3 > 0 THEN lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || '3015.000' ELSE '' END || ['', '[-5:EST]', '[+5.5:IST]', '[0:GMT]'][o_orderkey % 4 + 1] END AS stated FROM orders)"], "SELECT o_orderkey, stated, CASE WHEN length(stated) >= 8 THEN make_timestamp(CAST(stated[1:4] AS BIGINT), CAST(stated[5:6] AS BIGINT), CAST(stated[7:8] AS BIGINT), CASE WHEN stated LIKE '________3015%' OR stated LIKE '__________3015%' THEN CAST(stated[9:10] AS BIGINT) ELSE 0 END, CASE WHEN stated LIKE '__________3015%' THEN 30 ELSE 0 END, CASE WHEN stated LIKE '__________3015%' THEN 15 ELSE 0 END) - CASE WHEN stated LIKE '%EST%' THEN INTERVAL (-300) MINUTE WHEN stated LIKE '%IST%' THEN INTERVAL 330 MINUTE ELSE INTERVAL 0 MINUTE END END AS at FROM t"),
     "s7_csv_fields": (None, [], "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS key, p_name || ', the \"' || p_brand || '\"' AS name, p_type AS type FROM part"),
     "s12_derived_legs": ("postings", [], f"SELECT tx_id, settlement_currency AS currency, 'fee' AS leg, 'TRANSACTION_COST' AS tx_type, 'USER' AS account_type, CAST(-7.5 AS DOUBLE) AS quantity FROM postings WHERE tx_id % 4 = 0 UNION ALL SELECT tx_id, settlement_currency, 'reinvested', 'DIVIDEND', 'INCOME', {shown('-quantity * coalesce(unit_price, 0)', 'quantity')} FROM postings WHERE tx_type = 'DIVIDEND' AND abs(quantity * coalesce(unit_price, 0)) >= 0.005"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.decimals import shown
 from ledgerlake.functions.symbols import bare_ticker, is_isin, occ_padded, parse_option
 from ledgerlake.operators import declarations as decl
-from ledgerlake.functions import texts
+from ledgerlake.functions import idtypes, texts
 from ledgerlake.operators import grouping, holdings, identity, intervals, ledger, listings, matching, splits, telemetry, uploads, valuation
 from ledgerlake.sources.fixture import TODAY, Ledger
 
@@ -608,7 +608,19 @@ def st1_event_windows(x):
     return hourly_totals(x.table("events"))
 
 
-NAMES = [k for k in list(globals()) if k.split("_")[0][:1] in "awrcpvbdifesmgt" and k.split("_")[0][1:].isdigit()] + ["st1_event_windows"]
+def st3_session_totals(x):
+    from ledgerlake.streaming.events import session_totals
+
+    return session_totals(x.table("events"), "12 hours")
+
+
+def i11_identifier_types(x):
+    kinds = x["identifiers"].groupBy("identifier_type").agg(F.count("*").alias("n")).unionByName(x.spark.sql("SELECT 'CUSIP' AS identifier_type, 0L AS n UNION ALL SELECT 'NO_SUCH', 0L"))
+    kind = F.col("identifier_type")
+    return kinds.select("identifier_type", "n", idtypes.is_known(kind).alias("known"), idtypes.names_a_listing(kind).alias("listing"), idtypes.may_mediate(kind, F.col("n") < 100_000).alias("mediates"))
+
+
+NAMES = [k for k in list(globals()) if k.split("_")[0][:1] in "awrcpvbdifesmgt" and k.split("_")[0][1:].isdigit()] + ["st1_event_windows", "st3_session_totals"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,6 +16,14 @@ def hourly_totals(events: DataFrame, watermark: str | None = None) -> DataFrame:
     return sums.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total")
 
 
+def session_totals(events: DataFrame, gap: str = "30 minutes", watermark: str | None = None) -> DataFrame:
+    """Totals by user and session: (user_id, started, ended, n, total). A session ends where ``gap`` passes without an event; the reference has no such windows."""
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", watermark) if watermark else rows
+    sums = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"), F.max("ts").alias("last"))
+    return sums.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), F.col("last").cast("timestamp_ntz").alias("ended"), "n", "total")
+
+
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
     """A folder of Parquet files as a stream; new files are new events."""
     return spark.readStream.schema(schema).parquet(path)

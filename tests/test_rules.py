@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.symbols import is_isin, occ_padded, parse_option
 from ledgerlake.operators import identity, intervals, matching, splits, valuation
-from ledgerlake.streaming.events import drain, hourly_totals, read_events
+from ledgerlake.operators import ledger
+from ledgerlake.streaming.events import drain, hourly_totals, read_events, replay_uploads, session_totals
 
 SIDES = "user_id long, broker string, account string, group_id long, instrument_id long, day date, amount decimal(18,6), ordinals array<long>, tokens array<string>"
 
@@ -151,3 +152,31 @@ def test_scaling_is_exact_and_rounds_once(spark):
         exact.prec = 80
         for r in df.select("v", "a", "b", scaled(F.col("v"), up, down).alias("got")).collect():
             assert r["got"] == (r["v"] * r["b"] / r["a"]).quantize(Decimal("1e-12"), ROUND_HALF_UP), r
+
+
+def test_sessions_of_a_stream_and_late_events(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.write.parquet(f"{tmp_path}/in")
+    drain(session_totals(read_events(spark, f"{tmp_path}/in", events.schema), "12 hours", "1 day"), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {tuple(r) for r in session_totals(events, "12 hours").collect()}
+    assert got and got <= want
+    late = events.limit(1).withColumn("ts", F.lit("1971-01-01").cast("timestamp_ntz"))
+    late.write.mode("append").parquet(f"{tmp_path}/in")
+    drain(session_totals(read_events(spark, f"{tmp_path}/in", events.schema), "12 hours", "1 day"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()} <= want
+
+
+def test_a_replayed_upload_changes_nothing(spark, tmp_path):
+    schema = "tx_id long, user_id long, broker string, order_date date, account_type string, group_id long, quantity double"
+    ledger_rows = [(1, 7, "B", day(1), "USER", 1, 1.0), (2, 7, "B", day(1), "IMBALANCE", 1, -1.0), (3, 7, "B", day(9), "USER", 3, 5.0), (4, 8, "B", day(1), "USER", 4, 1.0)]
+    state = {"now": spark.createDataFrame(ledger_rows, schema)}
+    spark.createDataFrame([(10, 7, "B", day(2), "USER", 10, 2.0)], schema).write.parquet(f"{tmp_path}/in")
+
+    def apply(batch, number):
+        new = batch.sparkSession.createDataFrame(batch.collect(), schema)
+        for _ in range(2):
+            state["now"] = ledger.replace_by_period(state["now"], new, 7, "B", str(day(0)), str(day(5)))
+
+    replay_uploads(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), apply, f"{tmp_path}/state")
+    assert {r["tx_id"] for r in state["now"].collect()} == {3, 4, 10} and state["now"].count() == 3
