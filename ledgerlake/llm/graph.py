@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.shared import written
@@ -16,10 +16,9 @@ def meeting(index: DataFrame, key: str = "key", root: str = "root") -> DataFrame
 
     The index is shuffled once; keys under one root (copies, or what is linked already) end here.
     """
-    dealt = index.repartition(F.col(key))
-    held = dealt.groupBy(key).agg(F.min(root).alias("low"), F.max(root).alias("high"), F.count("*").alias("n"))
-    held = held.where("low <> high").select(key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    return dealt.join(held, key)
+    held = Window.partitionBy(key)
+    counted = index.withColumns({"_low": F.min(root).over(held), "_high": F.max(root).over(held), "_held": F.count("*").over(held)})
+    return counted.where("_low <> _high").withColumn("blocks", F.ceil(F.col("_held") / BLOCK).cast("int")).drop("_low", "_high", "_held")
 
 
 def meeting_pairs(rows: DataFrame, near: Column, payload: list[str], key: str = "key", root: str = "root") -> DataFrame:
@@ -28,15 +27,17 @@ def meeting_pairs(rows: DataFrame, near: Column, payload: list[str], key: str =
     A key of many rows is cut into blocks that meet two by two, each in a cell of its own: no task compares
     more than BLOCK rows with BLOCK others, and every pair meets in exactly one cell.
     """
+    columns = [key, root, *payload]
+    other = lambda df: df.select(*(F.col(c).alias(f"{c}_b") for c in df.columns))
+    few = rows.where("blocks = 1").select(*columns)
+    same = (F.col(key) == F.col(f"{key}_b")) & (F.col(root) < F.col(f"{root}_b")) & near
+    pairs = few.join(other(few), same)
     own = F.pmod(F.xxhash64(*payload), F.col("blocks")).cast("int")
-    cells = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("low"), F.greatest(own, other).alias("high")))
-    )
-    dealt = rows.select(key, root, *payload, own.alias("block"), F.explode(cells).alias("cell"))
-    other = dealt.select(F.col(key).alias("key_b"), F.col(root).alias(f"{root}_b"), *(F.col(c).alias(f"{c}_b") for c in payload), F.col("block").alias("block_b"), F.col("cell").alias("cell_b"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(own, x).alias("low"), F.greatest(own, x).alias("high")))
+    many = rows.where("blocks > 1").select(*columns, own.alias("block"), F.explode(cells).alias("cell"))
     # in a cell of two blocks, rows of one block don't meet: they do in their block's own cell
     apart = (F.col("block") != F.col("block_b")) | (F.col("cell.low") == F.col("cell.high"))
-    return dealt.join(other, (F.col(key) == F.col("key_b")) & (F.col("cell") == F.col("cell_b")) & (F.col(root) < F.col(f"{root}_b")) & apart & near)
+    return pairs.unionByName(many.join(other(many), same & (F.col("cell") == F.col("cell_b")) & apart).select(*pairs.columns))
 
 
 def components(links: DataFrame) -> DataFrame:
