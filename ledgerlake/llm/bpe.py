@@ -71,11 +71,6 @@ class Encoder:
         else:
             self.memo.update(zip(words, self._whole(spelt)))
 
-    def forget(self) -> None:
-        """Frees what a task has remembered: a worker stays for other tasks."""
-        self.memo, self.old = {}, {}
-        pa.default_memory_pool().release_unused()
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; none for null."""
         out: list[bytes] = []
@@ -128,7 +123,12 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The Encoder of ``path``, made once in each Python worker."""
+    """The Encoder of ``path``, made once in each task of a Python worker."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Drops the worker's encoders with all that they remember: it stays for other tasks."""
+    _encoders.clear()

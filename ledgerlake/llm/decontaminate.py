@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.shared import written
+from ledgerlake.llm.shared import freed, written
 from ledgerlake.llm.words import in_groups, word_hashes
 
 RANK = 48
@@ -104,7 +104,7 @@ def numbered(docs: DataFrame, hashes: np.ndarray, id_col: str, text_col: str) ->
                 yield pa.RecordBatch.from_arrays([docs.slice(i, j - i).take(pa.array(kept)), pa.array(data, pa.binary()), pa.array([kind.itemsize] * len(kept), pa.int32())], ["doc_id", "words", "width"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, words binary, width int")
+    return rows.mapInArrow(freed(run), "doc_id long, words binary, width int")
 
 
 def _arrays(batch) -> list[np.ndarray]:
@@ -112,14 +112,14 @@ def _arrays(batch) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype=np.int16 if w == 2 else np.int32) for x, w in zip(column, width.to_pylist())]
 
 
-def _in_batches(arrays: list[np.ndarray]):
-    """(from, to) of consecutive documents of about BATCH_WORDS words together."""
+def _in_batches(arrays: list[np.ndarray], spare: int = 0):
+    """(from, to) of consecutive documents of about BATCH_WORDS words together, ``spare`` for each document counted."""
     start, held = 0, 0
     for i, a in enumerate(arrays):
-        if held and held + len(a) > BATCH_WORDS:
+        if held and held + len(a) + spare > BATCH_WORDS:
             yield start, i
             start, held = i, 0
-        held += len(a)
+        held += len(a) + spare
     if start < len(arrays):
         yield start, len(arrays)
 
@@ -137,7 +137,7 @@ def document_frequencies(sequences: DataFrame, size: int) -> np.ndarray:
         at = np.nonzero(found)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at])], ["word", "n"])
 
-    counts = sequences.select("words", "width").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()  # words of one group of items
+    counts = sequences.select("words", "width").mapInArrow(freed(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()  # words of one group of items
     n = np.zeros(size, dtype=np.int64)
     n[counts["word"].to_numpy(dtype=int)] = counts["n"]
     return n
@@ -185,7 +185,7 @@ def latent_directions(sequences: DataFrame, idf: np.ndarray, rank: int = RANK, s
         at = np.nonzero(np.abs(total).sum(axis=1))[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].tolist(), pa.list_(pa.float64()))], ["word", "row"])
 
-    parts = sequences.select("words", "width").mapInArrow(run, "word long, row array<double>")
+    parts = sequences.select("words", "width").mapInArrow(freed(run), "word long, row array<double>")
     sums = parts.groupBy("word").agg(F.array(*(F.sum(F.col("row")[i]) for i in range(rank))).alias("row")).toPandas()  # words of one group of items
     y = np.zeros((size, rank))
     for word, row in zip(sums["word"], sums["row"]):
@@ -308,14 +308,14 @@ def search(sequences: DataFrame, items: Items, idf: np.ndarray, directions: np.n
         for batch in batches:
             ids, arrays = batch.column(0).to_pylist(), _arrays(batch)
             docs, found_items, shares = [], [], []
-            for i, j in _in_batches(arrays):
+            for i, j in _in_batches(arrays, widest * STRIDE):
                 for (d, item), share in pairs_of(arrays[i:j]).items():
                     docs.append(ids[i + d])
                     found_items.append(items.ids[item])
                     shares.append(share)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found_items, pa.int64()), pa.array(shares, pa.float64())], ["doc_id", "item_id", "similarity"])
 
-    return sequences.select("doc_id", "words", "width").mapInArrow(run, "doc_id long, item_id long, similarity double")
+    return sequences.select("doc_id", "words", "width").mapInArrow(freed(run), "doc_id long, item_id long, similarity double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

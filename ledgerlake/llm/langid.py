@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.shared import bounded_batches, whole_row
+from ledgerlake.llm.shared import bounded_batches, free_memory, freed, whole_row
 
 UNDETERMINED = "und"
 DIMS = 4096
@@ -122,7 +122,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         grams = np.nonzero(found)[0]
         yield pa.RecordBatch.from_arrays([pa.array([f"g{i}" for i in grams] + [f"l{x}" for x in langs] + ["n"]), pa.array([*found[grams].tolist(), *langs.values(), docs_seen], pa.int64())], ["name", "n"])
 
-    sums = dict(rows.mapInArrow(frequencies, "name string, n long").groupBy("name").agg(F.sum("n")).collect())  # DIMS and languages
+    sums = dict(rows.mapInArrow(freed(frequencies), "name string, n long").groupBy("name").agg(F.sum("n")).collect())  # DIMS and languages
     total = sums.pop("n", 0)
     per_lang = {k[1:]: n for k, n in sums.items() if k[0] == "l"}
     df = np.array([sums.get(f"g{i}", 0) for i in range(DIMS)])
@@ -170,6 +170,7 @@ def predicted(model: Model, text: Column) -> Column:
             langs += [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known)]
             scores += np.where(known, cosine, 0.0).tolist()
             rejected += (~known | (cosine < floors)).tolist()
+        free_memory()
         return pd.DataFrame({"lang_pred": langs, "score": scores, "rejected": rejected})
 
     return predict(text.cast("string"))

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from ledgerlake.llm.bpe import encoder
-from ledgerlake.llm.shared import written
+from ledgerlake.llm.bpe import encoder, forget
+from ledgerlake.llm.shared import freed, written
 
 WINDOW = 2048
 END_ID = 1
@@ -55,10 +55,10 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
                 columns = (part.column(0), [chunk] * len(counts), ends - counts, counts, [width] * len(counts), data)
                 before = int(ends[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TOKENS)], schema=_TOKENS)
-        encoder(tokenizer).forget()
+        forget()
 
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return pairs.mapInArrow(run, "doc_id long, chunk int, before long, n_tokens long, width int, ids binary")
+    return pairs.mapInArrow(freed(run), "doc_id long, chunk int, before long, n_tokens long, width int, ids binary")
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
                         at += len(part) // 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(freed(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def sequences(parts: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.shared import whole_row, written
+from ledgerlake.llm.shared import free_memory, whole_row, written
 
 GOOD, BAD, NOTHING = 1, 0, 2
 #: (name, at most this is good, from this on bad) of each statistic; between them a labeller says nothing.
@@ -217,6 +217,7 @@ def scored(model: Scorer, text: Column) -> Column:
             empty = np.array([not (t or "").split() for t in part])
             scores += np.where(empty, 0.0, p).tolist()
             weak += model.labels.posterior(given).tolist()
+        free_memory()
         return pd.DataFrame({"quality_score": scores, "weak_label": weak})
 
     return score(text.cast("string"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,24 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def free_memory() -> None:
+    """Gives the memory that this Python worker has no use for back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` (over a task's batches), followed by ``free_memory``."""
+
+    def until_the_end(batches):
+        yield from run(batches)
+        free_memory()
+
+    return until_the_end
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark is local (tests).
 

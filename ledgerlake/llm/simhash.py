@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import jaccard
 from ledgerlake.llm.graph import components, meeting, meeting_pairs
-from ledgerlake.llm.shared import whole_row, written
+from ledgerlake.llm.shared import freed, whole_row, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return pairs.mapInArrow(run, "doc_id long, fp long")
+    return pairs.mapInArrow(freed(run), "doc_id long, fp long")
 
 
 def _mask(start: int, length: int) -> int:

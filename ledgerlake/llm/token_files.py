@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.packing import tokenised, widened
-from ledgerlake.llm.shared import new_path, written
+from ledgerlake.llm.shared import freed, new_path, written
 
 MAGIC = b"VBT1"
 END_ID = 0
@@ -107,7 +107,7 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
         ids = np.nonzero(sums)[0]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums[ids], pa.int64())], ["id", "n"])
 
-    counts = tokens.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("width", "ids").mapInArrow(freed(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])
     return found["id"].to_numpy().astype("<u4")
 
@@ -146,7 +146,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, id_c
         held = np.nonzero(sums)[0].astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[held])], ["shard", "total"])
 
-    totals = tokens.select("doc_id", "chunk", "before", "n_tokens").mapInArrow(sum_up, "shard int, total long").groupBy("shard").agg(F.sum("total").alias("total"))
+    totals = tokens.select("doc_id", "chunk", "before", "n_tokens").mapInArrow(freed(sum_up), "shard int, total long").groupBy("shard").agg(F.sum("total").alias("total"))
     bases = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
 
     def code(batches):
@@ -158,7 +158,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, id_c
                 columns = [pa.array(shard_of(*part.columns[:3])), part.column(0), part.column(3), pa.array(control, pa.binary()), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "n_tokens", "control", "data"])
 
-    coded = tokens.select("doc_id", "chunk", "before", "n_tokens", "width", "ids").mapInArrow(code, "shard int, doc_id long, n_tokens long, control binary, data binary")
+    coded = tokens.select("doc_id", "chunk", "before", "n_tokens", "width", "ids").mapInArrow(freed(code), "shard int, doc_id long, n_tokens long, control binary, data binary")
     ordered = coded.repartitionById(shards, F.col("shard")).join(F.broadcast(bases), "shard")  # one row for each shard
     ordered = ordered.select("doc_id", "n_tokens", "control", "data", "base").sortWithinPartitions("doc_id", "n_tokens", "data")
 
@@ -184,7 +184,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, id_c
         if entries:
             yield file()
 
-    _write(ordered.mapInArrow(assemble, "content binary"), f"{path}/files")
+    _write(ordered.mapInArrow(freed(assemble), "content binary"), f"{path}/files")
 
 
 def _contents(spark: SparkSession, path: str) -> DataFrame:
@@ -219,9 +219,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     cut = pa.array([ids[x:y] for x, y in zip(places, places[1:])], pa.binary())
                     yield pa.RecordBatch.from_arrays([docs, pa.array(start + ends[i:j]), pa.array(own), cut], ["doc_id", "start", "n_tokens", "ids"])
                     i = j
-            pa.default_memory_pool().release_unused()
 
-    return _contents(spark, f"{path}/files").mapInArrow(parse, "doc_id long, start long, n_tokens long, ids binary")
+    return _contents(spark, f"{path}/files").mapInArrow(freed(parse), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digests(rows: DataFrame) -> DataFrame:
