@@ -289,8 +289,8 @@ survivor AS (SELECT cluster, instrument_id AS survivor_id FROM counted QUALIFY r
 mapping AS (SELECT instrument_id, survivor_id FROM counted JOIN survivor USING (cluster))"""], f"SELECT coalesce(survivor_id, p.instrument_id) AS instrument_id, count(*) AS n, {shown('sum(quantity)', 'quantity')} FROM postings p LEFT JOIN mapping m ON m.instrument_id = p.instrument_id WHERE p.instrument_id IS NOT NULL GROUP BY 1"),
     "i7_shared_identifiers": ("identifiers", ["shared AS (SELECT instrument_id AS b, min(instrument_id) OVER (PARTITION BY identifier_type, coalesce(domain, ''), value) AS a FROM identifiers WHERE identifier_type IN ('OPENFIGI_TICKER', 'ISIN'))"], "SELECT DISTINCT a, b FROM shared WHERE a <> b"),
     "i8_isin_check": ("identifiers", ["digits AS (SELECT instrument_id, value, reverse('3028' || substr(value, 3)) AS d FROM identifiers WHERE identifier_type = 'ISIN')", "sums AS (SELECT *, list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) * 2 - CASE WHEN CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) END)) AS total FROM digits)"], "SELECT instrument_id, value, total % 10 = 0 AND length(value) = 12 AS valid FROM sums"),
-    "i14_plugin_order": ("", [], "SELECT * FROM (VALUES ('a', 2), ('b', 3), ('c', 1), ('d', 4)) t(plugin_id, precedence)"),
-    "i15_export_closure": ("instruments postings", ["chosen AS (SELECT DISTINCT instrument_id FROM postings WHERE instrument_id IS NOT NULL AND user_id % 10 = 0)"], "SELECT instrument_id, name, asset_class, underlying_id FROM instruments WHERE instrument_id IN (SELECT instrument_id FROM chosen UNION SELECT underlying_id FROM instruments JOIN chosen USING (instrument_id) WHERE underlying_id IS NOT NULL)"),
+    "i14_plugin_order": (None, [], "SELECT s_name AS plugin_id, CAST(row_number() OVER (ORDER BY CASE s_suppkey WHEN 7 THEN 1 WHEN 3 THEN 2 ELSE 3 END, s_nationkey, s_name) AS INTEGER) AS precedence FROM supplier"),
+    "i15_export_closure": ("instruments postings", ["chosen AS (SELECT DISTINCT instrument_id FROM postings WHERE instrument_id IS NOT NULL)"], "SELECT instrument_id, name, asset_class, underlying_id FROM instruments WHERE instrument_id IN (SELECT instrument_id FROM chosen UNION SELECT underlying_id FROM instruments JOIN chosen USING (instrument_id) WHERE underlying_id IS NOT NULL)"),
     "f1_list_prices": ("bars instruments", [], f"SELECT instrument_id, name, price_date, {shown('close', 'close')} FROM bars JOIN instruments USING (instrument_id) WHERE name ILIKE '%1%' AND price_date >= DATE '1999-01-01' AND price_date < DATE '1999-02-01'"),
     "f2_list_instruments": ("instruments", [], "SELECT instrument_id, name, asset_class, currency FROM instruments WHERE name ILIKE '%7%' AND (asset_class IN ('STOCK', 'UNKNOWN') OR coalesce(asset_class, '') = '')"),
     "f3_list_inflation": ("inflation", [], f"SELECT currency, month, {shown('index_value', 'index_value')} FROM inflation WHERE currency = 'GBP' AND month >= DATE '1996-01-01' AND month < DATE '2000-01-01'"),

@@ -332,7 +332,7 @@ def i8_isin_check(x):
 
 
 def i15_export_closure(x):
-    held = x["postings"].where("instrument_id is not null and user_id % 10 = 0").select("instrument_id")
+    held = x["postings"].where("instrument_id is not null").select("instrument_id")
     return identity.export_closure(x["instruments"], held).select("instrument_id", "name", "asset_class", "underlying_id")
 
 
@@ -489,8 +489,9 @@ def t5_broker_exposure(x):
 
 
 def i14_plugin_order(x):
-    plugins = x.spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "plugin_id string, precedence int")
-    return identity.reorder_plugins(plugins, ["c", "a"])
+    suppliers = x.table("supplier")
+    named = [r["s_name"] for r in suppliers.where("s_suppkey in (3, 7)").orderBy(F.desc("s_suppkey")).collect()]  # two plugins
+    return identity.reorder_plugins(suppliers.select(F.col("s_name").alias("plugin_id"), F.col("s_nationkey").alias("precedence")), named)
 
 
 def s6_ofx_datetimes(x):
