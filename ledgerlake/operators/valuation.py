@@ -104,10 +104,10 @@ def valued_positions(source: DataFrame, instruments: DataFrame, pairs: DataFrame
     ids = (source if wanted is None else wanted).where("instrument_id is not null").select("instrument_id")
     ids = ids.unionByName(pairs.select("instrument_id")).distinct()
     arrays = settled(price_arrays(filled_prices(bars, coverage, ids, start, before, adjust), start, before))
-    rates = settled(arrays.join(pairs, "instrument_id").select("currency", "rates"))  # one row for each currency
+    rates = settled(arrays.join(pairs, "instrument_id").select("currency", "rates"))
     shown = rates.where(F.col("currency") == display).agg(F.max("rates").alias("shown_rates"))
     known = instruments.select("instrument_id", "name", "asset_class", "currency").join(arrays.select("instrument_id", "prices"), "instrument_id", "left")
-    held = position_spans(source, start, before).join(known, "instrument_id", "left").join(rates, "currency", "left")
+    held = position_spans(source, start, before).join(known, "instrument_id", "left").join(F.broadcast(rates), "currency", "left")  # one row for each currency
     named = held.crossJoin(F.broadcast(shown))  # one row
     at, n = F.datediff("from_date", first), F.datediff("before_date", "from_date")
     cut = lambda c: F.coalesce(F.slice(F.col(c), at + 1, n), F.array_repeat(F.lit(None).cast("double"), n))
