@@ -31,15 +31,18 @@ class Encoder:
     space and line feed and where signs follow a letter or digit. So each different chunk (from one such
     place up to the next) is encoded by the library once and remembered, for at most MEMO_ENTRIES chunks; the
     new chunks of a batch are encoded together. Texts that are irregular or hold a special token's string are
-    encoded whole.
+    encoded whole. With ``special`` off, special tokens' strings are ordinary text. ``lead``, a single space or
+    nothing, is put before every text but empty ones.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True, lead: str = ""):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.lead = lead
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that start with a space or line feed
         self.starts[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
@@ -84,19 +87,20 @@ class Encoder:
         for name in self.special:
             regular = pc.and_(regular, pc.invert(pc.match_substring(held, name)))
         regular = pc.fill_null(regular, False)
-        held = pc.binary_join_element_wise("", held.filter(regular), "\n")
+        held = pc.binary_join_element_wise("", held.filter(regular), self.lead or "\n")
         held = pc.replace_substring(pc.replace_substring_regex(held, BORDER, rf"\1 {MARK}\2"), "\n", LINE)
         split = pc.split_pattern(pc.utf8_slice_codeunits(held, 1), " ")
         chunks = split.flatten().dictionary_encode()
         ids, ends = self._joined(chunks.dictionary.to_pylist(), chunks.indices.to_numpy(), split.offsets.to_numpy())
         parts = iter(zip([0, *ends], ends))
+        skipped = 0 if self.lead else 4  # without a space there is a line feed before the text, which is no part of it
         out = []
         for text, r in zip(texts, regular.to_pylist()):
             if r:
                 i, j = next(parts)
-                out.append(ids[i + 4 : j])  # the line feed before the text is no part of it
+                out.append(ids[i + skipped : j])
             else:
-                out.append(self._whole([text])[0] if text else b"")
+                out.append(self._whole([self.lead + text])[0] if text else b"")
         return out
 
     def _joined(self, distinct: list[str], order: np.ndarray, offsets: np.ndarray) -> tuple[bytes, list[int]]:

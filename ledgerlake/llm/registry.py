@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import bsi_topk, chat, decontaminate, html_extract, langid, packing, quality, simhash, token_files, warc
+from ledgerlake.llm import alignment, bsi_topk, chat, decontaminate, fim, html_extract, langid, packing, quality, rules, simhash, token_files, warc
 from ledgerlake.llm.shared import table
 
 
-def TOKENIZER() -> str:
-    """The path of the byte-level BPE file; the same place on every machine."""
+def TOKENIZER(name: str = "byte_bpe_50k.json") -> str:
+    """The path of a public tokenizer's file; the same place on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.with_text_content(rows)))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), TOKENIZER(), TOKENIZER("piece_bpe_32k.model"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_simhash_near_dedup, op2_language_id, op3_decontamination, op4_exact_top_k, op5_html_extraction, op6_token_files, op7_warc, op8_packing, op9_quality_classifier, op10_chat_formatting, pipeline)
+    named = (op1_simhash_near_dedup, op2_language_id, op3_decontamination, op4_exact_top_k, op5_html_extraction, op6_token_files, op7_warc, op8_packing, op9_quality_classifier, op10_chat_formatting, op11_fill_in_middle, op12_tokenizer_alignment, op13_quality_rules, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -121,5 +133,27 @@ FROM e GROUP BY conv_id
 """
 
 
+#: A text's cuts by its id's draws; the restored text is the text.
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS i, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS j,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), cut AS (
+  SELECT *, substr(t, 1, least(i, j)) AS prefix, substr(t, least(i, j) + 1, abs(i - j)) AS middle, substr(t, greatest(i, j) + 1) AS suffix FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(least(i, j) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(abs(i - j) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL, "op7_warc": OP7_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op4_exact_top_k": OP4_SQL, "op7_warc": OP7_SQL, "op10_chat_formatting": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
