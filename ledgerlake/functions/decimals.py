@@ -52,6 +52,21 @@ def scaled(value: Column, numerator: Column, denominator: Column, kind: str = AD
     return F.when(top == bottom, value.cast(QUANTITY).cast(ADJUSTED)).otherwise((exact * sign).cast(ADJUSTED)).cast(kind)
 
 
+def stated(text: Column, kind: str = QUANTITY) -> Column:
+    """A struct (value, scale) of a decimal as text: its number, and the places that its source wrote, trailing zeros too; null if it's none."""
+    plain = F.trim(text)
+    whole, places = F.regexp_replace(F.split_part(plain, F.lit("."), F.lit(1)), "^[+-]", ""), F.split_part(plain, F.lit("."), F.lit(2))
+    digits = F.concat(whole, places)
+    fits = (digits != "") & (F.translate(digits, "0123456789", "") == "") & (F.length(plain) - F.length(F.replace(plain, F.lit("."), F.lit(""))) <= 1)
+    return F.when(fits, F.struct(plain.try_cast(kind).alias("value"), F.length(places).alias("scale")))
+
+
+def half_unit(scale: Column, floor: int = 2, most: int = 9) -> Column:
+    """Half of one unit in the last of ``scale`` places, with at least ``floor`` places and at most ``most``."""
+    halves = F.array(*(F.lit(f"{5 * 10 ** -(n + 1):.10f}").cast("decimal(11,10)") for n in range(floor, most + 1)))
+    return F.element_at(halves, F.least(F.greatest(F.coalesce(scale, F.lit(floor)), F.lit(floor)), F.lit(most)) - floor + 1)
+
+
 def shown(value: Column) -> Column:
     """A decimal as a double of six places, for results."""
     return value.cast("decimal(18,6)").cast("double")

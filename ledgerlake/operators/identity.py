@@ -57,22 +57,71 @@ def described_only(instruments: DataFrame, identifiers: DataFrame) -> DataFrame:
 
 
 def survivors(identifiers: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """Rows (instrument_id, survivor_id) for ``duplicates`` (cluster, instrument_id): the one with most identifiers survives, of equals the smallest id."""
+    """Rows (instrument_id, survivor_id) for ``duplicates`` (cluster, instrument_id, and created_at if known).
+
+    The one with most identifiers survives, of equals the oldest, then the smallest id.
+    """
     counts = identifiers.groupBy("instrument_id").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("cluster").orderBy(F.desc(F.coalesce("n", F.lit(0))), "instrument_id")
+    age = ["created_at"] if "created_at" in duplicates.columns else []
+    by = Window.partitionBy("cluster").orderBy(F.desc(F.coalesce("n", F.lit(0))), *(F.col(c).asc_nulls_last() for c in age), "instrument_id")
     rows = duplicates.join(counts, "instrument_id", "left")
     return rows.withColumn("survivor_id", F.first("instrument_id").over(by)).select("instrument_id", "survivor_id")
 
 
+def repointed(rows: DataFrame, mapping: DataFrame, column: str = "instrument_id") -> DataFrame:
+    """``rows`` with the instruments that ``column`` names replaced by their survivors in ``mapping`` (instrument_id, survivor_id)."""
+    into = mapping.where("instrument_id <> survivor_id").select(F.col("instrument_id").alias("_gone"), F.col("survivor_id").alias("_into"))
+    joined = rows.join(into, rows[column] == into["_gone"], "left")
+    return joined.withColumn(column, F.coalesce("_into", column)).select(*rows.columns)
+
+
+def merged_names(identifiers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Identifiers after the merge: a survivor keeps its own rows, and takes those of a merged instrument that hold at no time at which it bears that name already.
+
+    Validity moves with the name, so a name that was given up stays history and one in force stays in force.
+    Merged instruments give theirs in order of id; an unset domain is an empty one. Nobody bears one name twice
+    over overlapping times: of such rows, equal ones too, the first stays.
+    """
+    into = mapping.select("instrument_id", F.col("survivor_id"))
+    rows = identifiers.join(into, "instrument_id", "left").withColumn("_owner", F.coalesce("survivor_id", "instrument_id")).drop("survivor_id")
+    start, end = F.coalesce("valid_from", F.lit("0001-01-01").cast("date")), F.coalesce("valid_before", F.lit("9999-12-31").cast("date"))
+    rest = [c for c in identifiers.columns if c not in ("instrument_id", "identifier_type", "domain", "value")]
+    entry = F.struct((F.col("instrument_id") != F.col("_owner")).alias("foreign"), F.col("instrument_id").alias("giver"), start.alias("start"), end.alias("end"), "domain", *rest)
+    held = rows.groupBy("_owner", "identifier_type", F.coalesce("domain", F.lit("")).alias("_domain"), "value").agg(F.array_sort(F.collect_list(entry)).alias("held"))  # the times of one name of one instrument
+    apart = lambda kept, x: ~F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+    kept = F.aggregate("held", F.slice("held", 1, 0), lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    flat = held.select(F.col("_owner").alias("instrument_id"), "identifier_type", "value", F.explode(kept).alias("k"))
+    return flat.select("instrument_id", "identifier_type", "value", "k.domain", *(f"k.{c}" for c in rest)).select(*identifiers.columns)
+
+
 def merge_instruments(postings: DataFrame, identifiers: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings and identifiers after instruments of ``mapping`` (instrument_id, survivor_id) became their survivors; identifiers that the survivor holds already aren't repeated."""
-    def moved(rows: DataFrame) -> DataFrame:
-        joined = rows.join(mapping, "instrument_id", "left")
-        return joined.withColumn("instrument_id", F.coalesce("survivor_id", "instrument_id")).select(*rows.columns)
-
-    ids = moved(identifiers)
-    by = Window.partitionBy("instrument_id", "identifier_type", "domain", "value").orderBy(F.col("valid_from").asc_nulls_first(), F.col("valid_before").desc_nulls_first())
-    return moved(postings), ids.withColumn("_row", F.row_number().over(by)).where("_row = 1").drop("_row")
+    """Postings and identifiers after instruments of ``mapping`` (instrument_id, survivor_id) became their survivors.
+
+    A posting that weighs in its own instrument (commodity ``inst:ID``, where it has one) names the survivor there too.
+    """
+    moved = repointed(postings.withColumn("_was", F.col("instrument_id")), mapping)
+    if "commodity" in postings.columns:
+        own = F.col("commodity") == F.concat(F.lit("inst:"), F.col("_was").cast("string"))
+        moved = moved.withColumn("commodity", F.when(own, F.concat(F.lit("inst:"), F.col("instrument_id").cast("string"))).otherwise(F.col("commodity")))
+    return moved.select(*postings.columns), merged_names(identifiers, mapping)
+
+
+def merged_instruments(instruments: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Instruments without those that were merged away; underlyings are the survivors."""
+    gone = mapping.where("instrument_id <> survivor_id").select("instrument_id")
+    return repointed(instruments.join(gone, "instrument_id", "left_anti").select(*instruments.columns), mapping, "underlying_id")
+
+
+def merged_matches(matches: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(transfer matches with their survivors' instruments, those among them that now share a group and instrument with another).
+
+    The second must be empty for the merge to be written: dropping one of two links would leave a side open
+    with nothing to say why.
+    """
+    moved = repointed(matches, mapping)
+    shared = lambda side: moved.groupBy(side, "instrument_id").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    parts = [moved.join(shared(side), [side, "instrument_id"], "left_semi").select(*matches.columns) for side in ("from_group_id", "to_group_id")]
+    return moved, parts[0].unionByName(parts[1]).distinct()
 
 
 def shared_identifier_pairs(identifiers: DataFrame, kinds: list[str]) -> DataFrame:

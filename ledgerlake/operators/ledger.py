@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.decimals import QUANTITY
+from ledgerlake.functions.decimals import QUANTITY, half_unit
 from ledgerlake.functions.txtypes import PARENTS, is_antichain, may_be, must_be, resolve
 
 MONEY_TOLERANCE, COMMODITY_TOLERANCE = "0.005", "0.000001"
@@ -53,16 +53,19 @@ def boundary_legs(weighted: DataFrame) -> DataFrame:
 def group_residuals(weighted: DataFrame, price_scale: int = 2) -> DataFrame:
     """Rows (group_id, commodity, residual, rounding, transfers): what each group leaves over, boundary legs counted.
 
-    rounding is what half a unit in the last place of its converted legs' prices can amount to.
+    rounding is what half a unit in the last place of its converted legs' prices can amount to. A price has as
+    many places as its source stated (unit_price_scale, where ``weighted`` has it), and at least ``price_scale``.
     """
-    converted = F.col("unit_price").isNotNull() & F.col("commodity").startswith("cur:") & (F.col("unit_price") != 0)
-    half = F.lit(f"{0.5 * 10 ** -max(price_scale, 2):.6f}").cast("decimal(18,6)")
-    shaken = F.when(converted, (F.abs(F.col("weight").cast("decimal(28,6)")) / F.abs(F.col("unit_price").cast("decimal(18,2)"))).cast("decimal(28,6)") * half).cast("decimal(38,12)")
+    converted = F.col("unit_price").isNotNull() & (F.col("weight") != F.col("quantity")) & (F.col("unit_price") != 0)
+    scale = F.col("unit_price_scale") if "unit_price_scale" in weighted.columns else F.lit(price_scale)
+    units = (F.abs(F.col("weight").cast("decimal(28,6)")) / F.abs(F.col("unit_price").cast(QUANTITY))).cast("decimal(25,9)")
+    shaken = F.when(converted, (units * half_unit(scale, price_scale)).cast("decimal(38,12)"))
     legs = weighted.where("account_type = 'USER'").select("group_id", "commodity", F.col("weight").alias("amount"), shaken.alias("shaken"))
     out = legs.unionByName(boundary_legs(weighted).select("group_id", "commodity", "amount", F.lit(None).cast("decimal(38,12)").alias("shaken")))
-    sums = out.groupBy("group_id", "commodity").agg(F.sum("amount").alias("residual"), F.coalesce(F.sum("shaken"), F.lit(0).cast("decimal(38,12)")).alias("rounding")).where("residual <> 0")
+    sums = out.groupBy("group_id", "commodity").agg(F.sum("amount").alias("residual")).where("residual <> 0")
+    odd = legs.groupBy("group_id").agg(F.coalesce(F.sum("shaken"), F.lit(0)).cast("decimal(38,12)").alias("rounding"))
     moves = weighted.groupBy("group_id").agg(F.max(must_be(F.array("tx_type"), "TRANSFER")).alias("transfers"))
-    return sums.join(moves, "group_id")
+    return sums.join(odd, "group_id").join(moves, "group_id").select("group_id", "commodity", "residual", "rounding", "transfers")
 
 
 def residual_legs(residuals: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.decimals import FACTOR, exact_product, scaled, whole_ratio
-from ledgerlake.functions.symbols import occ_build
+from ledgerlake.functions.symbols import occ_build, parse_option
 
 
 def effective_splits(splits: DataFrame, instruments: DataFrame, today: str) -> DataFrame:
@@ -83,26 +83,58 @@ def pending_option_splits(instruments: DataFrame, splits: DataFrame, identifiers
 
 def is_whole_forward(split_from, split_to):
     """Whether a split multiplies shares by a whole number above one."""
-    return (F.pmod(split_to, split_from) == 0) & (split_to > split_from)
+    return F.when((split_from > 0) & (split_to > split_from), F.pmod(split_to, split_from) == 0).otherwise(False)
 
 
-def restate_options(pending: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Rows (instrument_id, valid_from, valid_before, strike, symbol): an option's terms after each pending split.
+def _restated(pending: DataFrame, instruments: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """``pending`` in whole numbers with each option's terms after the split, and what stands against restating the option (fault).
 
-    Strikes move by the cumulative factor, rounded to three places; an option with any split that isn't
-    whole and forward is left out, as its terms follow no rule.
+    Terms build on the OCC name in force: its root, expiry and side; strikes move from the stored one by the
+    factor of all splits up to this one, rounded once to three places. Options without such a name, or without
+    a stored strike, expiry or side, have nothing to restate and are left out.
     """
     down, up = whole_ratio(F.col("split_from"), F.col("split_to"))
-    flagged = pending.withColumn("split_from", down).withColumn("split_to", up).withColumn("whole", is_whole_forward(F.col("split_from"), F.col("split_to")))
+    whole = pending.select("instrument_id", "ex_date", down.alias("split_from"), up.alias("split_to"))
+    names = identifiers.where("identifier_type = 'OCC' and valid_before is null and value <> ''").groupBy("instrument_id").agg(F.max_by("value", F.struct("valid_from", "value")).alias("name"))
+    terms = instruments.where("strike is not null and expiry is not null and put_call is not null").select("instrument_id", "underlying_id", F.col("strike").alias("old"))
+    named = whole.join(terms, "instrument_id").join(names, "instrument_id").withColumn("p", parse_option(F.col("name")))
     every = Window.partitionBy("instrument_id")
     by = every.orderBy("ex_date")
-    usable = flagged.withColumn("ok", F.min("whole").over(every)).where("ok")
     run = by.rowsBetween(Window.unboundedPreceding, 0)
-    moved = usable.withColumn("num", exact_product(F.collect_list("split_to").over(run))).withColumn("den", exact_product(F.collect_list("split_from").over(run))).withColumn("valid_before", F.lead("ex_date").over(by))
-    terms = moved.join(instruments.select("instrument_id", "underlying_id", "expiry", "put_call", F.col("strike").alias("old")), "instrument_id")
-    strike = F.round(scaled(F.col("old"), F.col("den"), F.col("num")), 3)
-    terms = terms.withColumn("strike", strike.cast("decimal(18,3)"))
-    return terms.select("instrument_id", F.col("ex_date").alias("valid_from"), "valid_before", "strike", occ_build(F.concat(F.lit("U"), F.col("underlying_id").cast("string")), F.col("expiry"), F.col("put_call"), F.col("strike")).alias("symbol"))
+    moved = named.withColumns({"num": exact_product(F.collect_list("split_to").over(run)), "den": exact_product(F.collect_list("split_from").over(run)), "valid_before": F.lead("ex_date").over(by)})
+    moved = moved.withColumn("strike", F.round(scaled(F.col("old"), F.col("den"), F.col("num")), 3).cast("decimal(18,3)"))
+    moved = moved.withColumn("symbol", occ_build(F.col("p.symbol"), F.col("p.expiry"), F.col("p.put_call"), F.col("strike")))
+    odd = ~is_whole_forward(F.col("split_from"), F.col("split_to"))
+    blocked = F.max(odd).over(every)
+    # splits that follow no rule are told of first, then a name that can't be read, then the first symbol that can't be built
+    fault = F.when(blocked, F.when(odd, F.when(F.col("split_to") < F.col("split_from"), "REVERSE_SPLIT").otherwise("NON_WHOLE_SPLIT")))
+    fault = fault.when(F.col("p").isNull(), F.when(F.lead("ex_date").over(by).isNull(), "UNREADABLE_NAME")).when(F.col("symbol").isNull(), "NO_SUCH_SYMBOL")
+    return moved.withColumn("fault", fault).withColumn("ok", ~blocked & F.min(F.col("symbol").isNotNull()).over(every))
+
+
+def restate_options(pending: DataFrame, instruments: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """Rows (instrument_id, valid_from, valid_before, strike, symbol): an option's terms after each pending split.
+
+    An option is restated wholly or not at all: one with any split that isn't whole and forward is left out, as
+    its terms follow no rule, and so is one whose OCC name in force is missing or can't be read, or any of whose
+    new symbols can't be built.
+    """
+    rows = _restated(pending, instruments, identifiers).where("ok")
+    return rows.select("instrument_id", F.col("ex_date").alias("valid_from"), "valid_before", "strike", "symbol")
+
+
+def option_faults(pending: DataFrame, instruments: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """Rows (instrument_id, ex_date, event_type, options) of what needs a person before options can be restated.
+
+    A split without a rule is its underlying's, once with all options that wait for it; a name that can't be read
+    (told of at the last split) and a symbol that can't be built (at the first such split) are the option's own.
+    """
+    rows = _restated(pending, instruments, identifiers).where("fault is not null")
+    shared = F.col("fault").isin("REVERSE_SPLIT", "NON_WHOLE_SPLIT")
+    own = Window.partitionBy("instrument_id", "fault").orderBy("ex_date")
+    rows = rows.withColumn("nth", F.row_number().over(own)).where(shared | (F.col("nth") == 1))
+    rows = rows.select(F.when(shared, F.col("underlying_id")).otherwise(F.col("instrument_id")).alias("instrument_id"), "ex_date", F.col("fault").alias("event_type"), F.col("instrument_id").alias("option_id"))
+    return rows.groupBy("instrument_id", "ex_date", "event_type").agg(F.array_sort(F.collect_set("option_id")).alias("options"))
 
 
 def unhandled_splits(splits: DataFrame) -> DataFrame:

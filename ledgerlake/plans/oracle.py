@@ -68,7 +68,7 @@ BALANCES = f"""balances AS (
   FROM adjusted p WHERE account_type IN ('IMBALANCE', 'TRANSFER_CLEARING', 'SOURCE_ROUNDING') AND {UNMATCHED}
   GROUP BY ALL {OPEN})"""
 WEIGHTED = """valued AS (
-  SELECT p.*, i.asset_class, CASE WHEN i.asset_class = 'CASH' THEN i.currency END AS money FROM postings p LEFT JOIN instruments i USING (instrument_id)
+  SELECT p.*, i.asset_class, CASE WHEN i.asset_class = 'CASH' THEN i.currency END AS money, 2 AS price_scale FROM postings p LEFT JOIN instruments i USING (instrument_id)
 ), weighted AS (
   SELECT *, CASE WHEN converts THEN 'cur:' || settlement_currency WHEN money IS NOT NULL THEN 'cur:' || money WHEN instrument_id IS NOT NULL THEN 'inst:' || instrument_id ELSE 'desc:' || description END AS commodity,
          CASE WHEN converts THEN CAST(quantity AS DECIMAL(18,2)) * CASE WHEN asset_class = 'OPTION' THEN 100 ELSE 1 END * unit_price ELSE quantity END AS weight
@@ -76,10 +76,12 @@ WEIGHTED = """valued AS (
 ), edges AS (
   SELECT group_id, tx_id, CASE tx_type WHEN 'DIVIDEND' THEN 'INCOME' ELSE 'EXPENSE' END AS account_type, -weight AS amount, commodity
   FROM weighted WHERE account_type = 'USER' AND weight <> 0 AND tx_type IN ('DIVIDEND', 'TRANSACTION_COST')
+), shaken AS (
+  SELECT group_id, sum(CAST(CAST(abs(weight) AS DOUBLE) / abs(unit_price) * 0.5 * power(10, -greatest(price_scale, 2)) AS DECIMAL(28,10))) AS rounding FROM weighted WHERE account_type = 'USER' AND unit_price <> 0 AND weight <> quantity GROUP BY ALL
 ), residuals AS (
-  SELECT group_id, commodity, sum(amount) AS residual, coalesce(sum(shaken), 0) AS rounding FROM (
-    SELECT group_id, commodity, weight AS amount, CASE WHEN unit_price <> 0 AND commodity LIKE 'cur:%' THEN CAST(CAST(abs(weight) AS DOUBLE) / abs(unit_price) AS DECIMAL(18,6)) * 0.005 END AS shaken FROM weighted WHERE account_type = 'USER'
-    UNION ALL SELECT group_id, commodity, amount, NULL FROM edges) GROUP BY ALL HAVING sum(amount) <> 0
+  SELECT s.*, coalesce(rounding, 0) AS rounding FROM (SELECT group_id, commodity, sum(amount) AS residual FROM (
+    SELECT group_id, commodity, weight AS amount FROM weighted WHERE account_type = 'USER'
+    UNION ALL SELECT group_id, commodity, amount FROM edges) GROUP BY ALL HAVING sum(amount) <> 0) s LEFT JOIN shaken USING (group_id)
 ), moves AS (SELECT group_id, bool_or(tx_type = 'TRANSFER_INTERNAL') AS transfers FROM postings GROUP BY ALL
 ), closing AS (
   SELECT group_id, commodity, -residual AS amount, CASE WHEN abs(residual) < CASE WHEN commodity LIKE 'cur:%' THEN 0.005 + rounding ELSE 0.000001 END THEN 'SOURCE_ROUNDING' WHEN transfers THEN 'TRANSFER_CLEARING' ELSE 'IMBALANCE' END AS account_type
@@ -182,11 +184,22 @@ def _symbol(strike: str) -> str:
     return f"CASE WHEN length({root}) <= 6 THEN {root} || strftime(expiry, '%y%m%d') || put_call || lpad(CAST(CAST(round({strike} * 1000) AS BIGINT) AS VARCHAR), 8, '0') END"
 
 
-RESTATED = f"""usable AS (SELECT * FROM pending p WHERE NOT EXISTS (SELECT 1 FROM pending q WHERE q.instrument_id = p.instrument_id AND NOT ({WHOLE}))),
-moved AS (SELECT u.instrument_id, u.ex_date AS valid_from, lead(u.ex_date) OVER (PARTITION BY u.instrument_id ORDER BY u.ex_date) AS valid_before,
-  (SELECT product(v.split_from) / product(v.split_to) FROM usable v WHERE v.instrument_id = u.instrument_id AND v.ex_date <= u.ex_date) AS f FROM usable u),
-terms AS (SELECT m.*, underlying_id, expiry, put_call, CAST(CAST(i.strike AS DOUBLE) * f AS DECIMAL(18,3)) AS moved_strike FROM moved m JOIN instruments i USING (instrument_id)),
-named AS (SELECT *, {_symbol('moved_strike')} AS symbol FROM terms)"""
+#: Options by the OCC name in force, read by a pattern; each pending split's strike from the product of all up to it.
+RESTATED = f"""in_force AS (
+  SELECT instrument_id, replace(upper(trim(value)), ' ', '') AS name FROM identifiers WHERE identifier_type = 'OCC' AND valid_before IS NULL
+  QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY valid_from DESC NULLS LAST, value DESC) = 1),
+waiting AS (
+  SELECT p.*, i.underlying_id, n.name, NOT ({WHOLE}) AS odd, bool_or(NOT ({WHOLE})) OVER (PARTITION BY p.instrument_id) AS blocked,
+         regexp_matches(n.name, '^.{{1,6}}[0-9]{{6}}[CP][0-9]{{8}}$') AS readable, lead(ex_date) OVER (PARTITION BY p.instrument_id ORDER BY ex_date) AS valid_before,
+         CAST(CAST(i.strike AS DOUBLE) * (SELECT product(q.split_from) / product(q.split_to) FROM pending q WHERE q.instrument_id = p.instrument_id AND q.ex_date <= p.ex_date) AS DECIMAL(18,3)) AS moved_strike
+  FROM pending p JOIN instruments i USING (instrument_id) JOIN in_force n USING (instrument_id) WHERE i.strike IS NOT NULL),
+named AS (
+  SELECT instrument_id, ex_date AS valid_from, valid_before, moved_strike, name[1:len(name) - 8] || lpad(CAST(CAST(round(moved_strike * 1000) AS BIGINT) AS VARCHAR), 8, '0') AS symbol
+  FROM waiting WHERE NOT blocked AND readable)"""
+#: Instruments by number modulo 700 are one; the one with most identifiers, then the oldest, survives.
+MERGE = """counted AS (SELECT i.instrument_id, i.instrument_id % 700 AS cluster, i.instrument_id % 13 AS created_at, count(d.instrument_id) AS n FROM instruments i LEFT JOIN identifiers d USING (instrument_id) WHERE i.instrument_id > 0 GROUP BY ALL),
+survivor AS (SELECT cluster, instrument_id AS survivor_id FROM counted QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, created_at, instrument_id) = 1),
+mapping AS (SELECT instrument_id, survivor_id FROM counted JOIN survivor USING (cluster))"""
 #: Stated postings in the groups that g15 gives them, of groups that changed only: those with postings on either side of the cut, or named otherwise than by their smallest posting.
 MOVED = """derived AS (SELECT *, CASE WHEN tx_id % 1000 > 3 THEN group_id * 1000 + 4 ELSE group_id * 1000 + 1 END AS event_id, min(tx_id) OVER (PARTITION BY group_id) AS old_group FROM postings WHERE account_type = 'USER'),
 changed AS (SELECT event_id AS id FROM derived WHERE event_id <> old_group UNION SELECT old_group FROM derived WHERE event_id <> old_group),
@@ -269,7 +282,7 @@ legs AS (SELECT t.portfolio_id, p.* FROM adjusted p JOIN touched t USING (group_
     "v19_derived_pair": ("bars", [], f"SELECT CAST(-3 AS BIGINT) AS instrument_id, price_date, {shown('close * 0.01', 'close')} FROM bars WHERE instrument_id = -2"),
     "b1_weights": ("instruments postings", [WEIGHTED], f"SELECT tx_id, {shown('weight', 'weight')}, commodity FROM weighted"),
     "b4_boundary_legs": ("instruments postings", [WEIGHTED], f"SELECT group_id, tx_id, account_type, {shown('amount', 'amount')}, commodity FROM edges"),
-    "b5_group_residuals": ("instruments postings", [WEIGHTED], f"SELECT group_id, commodity, {shown('residual', 'residual')}, transfers FROM residuals JOIN moves USING (group_id)"),
+    "b5_group_residuals": ("instruments postings stated_prices", [WEIGHTED.replace("2 AS price_scale FROM postings p", "len(split_part(p.price, '.', 2)) AS price_scale FROM (SELECT t.* EXCLUDE (unit_price), CAST(trim(s.price) AS DECIMAL(18,6)) AS unit_price, s.price FROM postings t LEFT JOIN stated_prices s USING (tx_id)) p")], f"SELECT group_id, commodity, {shown('residual', 'residual')}, {shown('rounding', 'rounding')}, transfers FROM residuals JOIN moves USING (group_id)"),
     "b6_residual_legs": ("instruments postings", [WEIGHTED], f"SELECT group_id, commodity, account_type, {shown('amount', 'amount')} FROM closing"),
     "b8_settled_balance": ("instruments postings", [WEIGHTED], f"SELECT group_id, commodity, {shown('sum(amount)', 'left_over')}, count(*) AS n_legs FROM (SELECT group_id, commodity, weight AS amount FROM weighted WHERE account_type = 'USER' UNION ALL SELECT group_id, commodity, amount FROM edges UNION ALL SELECT group_id, commodity, amount FROM closing) GROUP BY ALL"),
     "b9_replace_by_period": ("postings", ["mine AS (SELECT * FROM postings WHERE user_id = 7 AND broker = 'IBKR' AND order_date >= DATE '1996-01-01' AND order_date < DATE '1999-01-01' AND account_type = 'USER')"], f"SELECT tx_id, user_id, broker, account, order_date, account_type, group_id, {shown('quantity', 'quantity')} FROM postings WHERE tx_id NOT IN (SELECT tx_id FROM mine) AND NOT (group_id IN (SELECT group_id FROM mine) AND account_type IN ('TRANSFER_CLEARING', 'IMBALANCE', 'SOURCE_ROUNDING', 'INCOME', 'EXPENSE')) UNION ALL SELECT tx_id, user_id, broker, account, order_date, account_type, group_id, {shown('quantity * 2', 'quantity')} FROM mine"),
@@ -284,9 +297,12 @@ legs AS (SELECT t.portfolio_id, p.* FROM adjusted p JOIN touched t USING (group_
     "i3_described_only": ("instruments identifiers", [], "SELECT instrument_id, name FROM instruments WHERE instrument_id NOT IN (SELECT instrument_id FROM identifiers WHERE canonical)"),
     "i4_best_identifier": ("identifiers", [BEST], "SELECT * FROM best"),
     "i5_display_names": ("instruments identifiers", [SHOWN_NAMES], "SELECT i.instrument_id, coalesce(b.value, nullif(i.name, ''), CAST(i.instrument_id AS VARCHAR)) AS display_name, coalesce(f.domain, '') AS exchange FROM instruments i LEFT JOIN (SELECT instrument_id, value FROM ranked WHERE r < 99 QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY r, coalesce(domain, ''), value) = 1) b USING (instrument_id) LEFT JOIN (SELECT instrument_id, min(domain) AS domain FROM ranked WHERE identifier_type = 'OPENFIGI_TICKER' AND domain <> '' GROUP BY ALL) f USING (instrument_id)"),
-    "i6_merge_instruments": ("instruments identifiers postings", ["""counted AS (SELECT i.instrument_id, i.instrument_id % 700 AS cluster, count(d.instrument_id) AS n FROM instruments i LEFT JOIN identifiers d USING (instrument_id) WHERE i.instrument_id > 0 GROUP BY ALL),
-survivor AS (SELECT cluster, instrument_id AS survivor_id FROM counted QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, instrument_id) = 1),
-mapping AS (SELECT instrument_id, survivor_id FROM counted JOIN survivor USING (cluster))"""], f"SELECT coalesce(survivor_id, p.instrument_id) AS instrument_id, count(*) AS n, {shown('sum(quantity)', 'quantity')} FROM postings p LEFT JOIN mapping m ON m.instrument_id = p.instrument_id WHERE p.instrument_id IS NOT NULL GROUP BY 1"),
+    "i6_merge_instruments": ("instruments identifiers postings", [WEIGHTED, MERGE], f"SELECT coalesce(survivor_id, p.instrument_id) AS instrument_id, CASE WHEN commodity = 'inst:' || p.instrument_id THEN 'inst:' || coalesce(survivor_id, p.instrument_id) ELSE commodity END AS commodity, count(*) AS n, {shown('sum(quantity)', 'quantity')} FROM weighted p LEFT JOIN mapping m ON m.instrument_id = p.instrument_id WHERE p.instrument_id IS NOT NULL GROUP BY 1, 2"),
+    "i6_merged_names": ("instruments identifiers", [MERGE, """placed AS (SELECT d.* EXCLUDE (instrument_id), coalesce(survivor_id, d.instrument_id) AS owner, d.instrument_id AS giver, coalesce(d.domain, '') AS dom, coalesce(valid_from, DATE '0001-01-01') AS a, coalesce(valid_before, DATE '9999-12-31') AS b FROM identifiers d LEFT JOIN mapping m ON m.instrument_id = d.instrument_id)"""],
+        "SELECT owner AS instrument_id, identifier_type, domain, value, canonical, valid_from, valid_before FROM placed p WHERE NOT EXISTS (SELECT 1 FROM placed q WHERE q.owner = p.owner AND q.identifier_type = p.identifier_type AND q.dom = p.dom AND q.value = p.value AND q.a < p.b AND p.a < q.b AND (q.giver <> q.owner, q.giver, q.a, q.b) < (p.giver <> p.owner, p.giver, p.a, p.b))"),
+    "i6_merged_matches": ("instruments identifiers postings matches", [MERGE, "moved AS (SELECT user_id, from_group_id, to_group_id, coalesce(survivor_id, t.instrument_id) AS instrument_id FROM matches t LEFT JOIN mapping m ON m.instrument_id = t.instrument_id)"],
+        "SELECT *, false AS conflict FROM moved UNION ALL SELECT *, true FROM (SELECT DISTINCT * FROM moved a WHERE (SELECT count(*) FROM moved b WHERE b.from_group_id = a.from_group_id AND b.instrument_id = a.instrument_id) > 1 OR (SELECT count(*) FROM moved b WHERE b.to_group_id = a.to_group_id AND b.instrument_id = a.instrument_id) > 1)"),
+    "i6_merged_instruments": ("instruments identifiers", [MERGE], "SELECT i.instrument_id, name, coalesce(u.survivor_id, underlying_id) AS underlying_id FROM instruments i LEFT JOIN mapping u ON u.instrument_id = i.underlying_id WHERE NOT EXISTS (SELECT 1 FROM mapping m WHERE m.instrument_id = i.instrument_id AND m.survivor_id <> m.instrument_id)"),
     "i7_shared_identifiers": ("identifiers", ["shared AS (SELECT instrument_id AS b, min(instrument_id) OVER (PARTITION BY identifier_type, coalesce(domain, ''), value) AS a FROM identifiers WHERE identifier_type IN ('OPENFIGI_TICKER', 'ISIN'))"], "SELECT DISTINCT a, b FROM shared WHERE a <> b"),
     "i8_isin_check": ("identifiers", ["digits AS (SELECT instrument_id, value, reverse('3028' || substr(value, 3)) AS d FROM identifiers WHERE identifier_type = 'ISIN')", "sums AS (SELECT *, list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) * 2 - CASE WHEN CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) END)) AS total FROM digits)"], "SELECT instrument_id, value, total % 10 = 0 AND length(value) = 12 AS valid FROM sums"),
     "i14_plugin_order": (None, [], "SELECT s_name AS plugin_id, CAST(row_number() OVER (ORDER BY CASE s_suppkey WHEN 7 THEN 1 WHEN 3 THEN 2 ELSE 3 END, s_nationkey, s_name) AS INTEGER) AS precedence FROM supplier"),
@@ -348,6 +364,9 @@ UNION ALL SELECT 'day', tx_id FROM statements s WHERE EXISTS (SELECT 1 FROM stat
     "b3_weight_divergence": ("instruments postings", [WEIGHTED.split("), edges AS")[0].replace("FROM valued)", "FROM candidates)").replace("valued AS (", "valued AS (", 1).replace("), weighted AS", "), candidates AS (SELECT * EXCLUDE (tx_type), unnest(CASE WHEN tx_id % 3 = 0 THEN [tx_type, 'TRADE_ASSET'] ELSE ['TRADE_ASSET', 'TRADE_CASH', 'TRANSFER_INTERNAL'] END) AS tx_type, unnest(CASE WHEN tx_id % 3 = 0 THEN [0, 1] ELSE [0, 1, 2] END) AS place FROM valued WHERE tx_id % 3 < 2), weighted AS") + ")"], "SELECT a.tx_id, a.tx_type AS first_type, arg_min(b.tx_type, b.place) AS other_type FROM weighted a JOIN weighted b ON a.tx_id = b.tx_id AND a.place = 0 AND (a.weight <> b.weight OR a.commodity <> b.commodity) GROUP BY ALL"),
     "b7_routed_legs": ("instruments postings", [WEIGHTED], f"SELECT group_id, user_id, broker, account, order_date, trade_date, tx_type, c.account_type, CASE WHEN commodity LIKE 'cur:%' THEN (SELECT min(i.instrument_id) FROM instruments i WHERE i.asset_class = 'CASH' AND i.currency = commodity[5:]) ELSE (SELECT arg_min(w.instrument_id, (w.order_date, w.tx_id)) FROM weighted w WHERE w.group_id = c.group_id AND w.commodity = c.commodity AND w.account_type = 'USER') END AS instrument_id, CASE WHEN commodity LIKE 'cur:%' THEN commodity[5:] ELSE (SELECT arg_min(w.description, (w.order_date, w.tx_id)) FROM weighted w WHERE w.group_id = c.group_id AND w.commodity = c.commodity AND w.account_type = 'USER') END AS description, {shown('amount', 'quantity')}, commodity FROM closing c JOIN (SELECT * EXCLUDE (account_type, quantity, description, instrument_id) FROM postings WHERE account_type = 'USER' QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY order_date, tx_id) = 1) p USING (group_id)"),
     "c5_defaults": ("postings", [], f"SELECT tx_id, {shown('quantity', 'quantity')}, {shown('unit_price', 'unit_price')}, CASE WHEN tx_id % 2 = 0 THEN CAST(share_count_basis + INTERVAL 3 DAY AS DATE) ELSE trade_date END AS share_count_basis, {shown('CASE WHEN tx_id % 3 = 0 THEN 2 ELSE 1 END * quantity', 'split_adjusted_quantity')}, {shown('unit_price', 'split_adjusted_unit_price')} FROM postings"),
+    "c11_option_faults": ("instruments splits postings identifiers", [PENDING, RESTATED], """SELECT underlying_id AS instrument_id, ex_date, CASE WHEN split_to < split_from THEN 'REVERSE_SPLIT' ELSE 'NON_WHOLE_SPLIT' END AS event_type, string_agg(CAST(instrument_id AS VARCHAR), '|' ORDER BY instrument_id) AS options
+  FROM waiting WHERE odd GROUP BY ALL
+  UNION ALL SELECT instrument_id, max(ex_date), 'UNREADABLE_NAME', CAST(instrument_id AS VARCHAR) FROM waiting WHERE NOT blocked AND NOT readable GROUP BY instrument_id"""),
     "c10_applied_restatement": ("instruments splits postings identifiers", [PENDING, RESTATED, """mints AS (SELECT instrument_id, symbol, valid_from, valid_before, min(valid_from) OVER (PARTITION BY instrument_id) AS first FROM named)"""], """SELECT instrument_id, symbol AS value, valid_from, valid_before FROM mints UNION
 SELECT d.instrument_id, d.value, d.valid_from, CASE WHEN d.valid_before IS NULL THEN m.first ELSE d.valid_before END FROM identifiers d LEFT JOIN (SELECT DISTINCT instrument_id, first FROM mints) m USING (instrument_id) WHERE d.identifier_type = 'OCC' AND NOT coalesce(d.valid_from >= m.first, false)"""),
     "d5_recalculated_pads": ("declarations instruments splits postings", ["starts AS (SELECT user_id, min(order_date) AS start FROM postings WHERE account_type = 'USER' AND (user_id % 14 > 0 OR order_date >= DATE '1999-01-01') GROUP BY ALL)", "declared AS (SELECT d.* FROM declarations d JOIN starts USING (user_id) WHERE as_of_date >= start QUALIFY row_number() OVER (PARTITION BY user_id, broker, account, instrument_id ORDER BY as_of_date, declared_qty) = 1)", CHECKED.replace("WHERE account_type = 'USER' AND user_id % 7 = 0", "WHERE account_type = 'USER' AND (user_id % 14 > 0 OR order_date >= DATE '1999-01-01')")], f"SELECT user_id, broker, account, instrument_id, start AS order_date, account_type, {shown('sign * (declared_qty - computed)', 'quantity')}, share_count_basis FROM checked c JOIN starts USING (user_id) JOIN declared d USING (user_id, broker, account, instrument_id, as_of_date, declared_qty) CROSS JOIN (VALUES ('USER', 1), ('EQUITY', -1)) AS s(account_type, sign)"),

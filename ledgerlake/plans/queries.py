@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.decimals import shown
+from ledgerlake.functions.decimals import shown, stated
 from ledgerlake.functions.symbols import bare_ticker, is_isin, occ_padded, parse_option
 from ledgerlake.operators import declarations as decl
 from ledgerlake.functions import idtypes, texts
@@ -166,7 +166,13 @@ def c6_pending_option_splits(x):
 
 def c8_restated_options(x):
     pending = splits.pending_option_splits(x["instruments"], x["splits"], x["identifiers"], first_traded(x), TODAY)
-    return _amounts(splits.restate_options(pending, x["instruments"]), "strike")
+    return _amounts(splits.restate_options(pending, x["instruments"], x["identifiers"]), "strike")
+
+
+def c11_option_faults(x):
+    pending = splits.pending_option_splits(x["instruments"], x["splits"], x["identifiers"], first_traded(x), TODAY)
+    found = splits.option_faults(pending, x["instruments"], x["identifiers"])
+    return found.withColumn("options", F.array_join(F.col("options").cast("array<string>"), "|"))
 
 
 def c9_option_symbols(x):
@@ -246,7 +252,9 @@ def b4_boundary_legs(x):
 
 
 def b5_group_residuals(x):
-    return _amounts(ledger.group_residuals(weighted(x)).drop("rounding"), "residual")
+    price = x["stated_prices"].select("tx_id", stated(F.col("price")).alias("p"))
+    rows = x["postings"].drop("unit_price").join(price, "tx_id", "left").withColumns({"unit_price": F.col("p.value"), "unit_price_scale": F.col("p.scale")}).drop("p")
+    return _amounts(ledger.group_residuals(ledger.with_weights(rows, x["instruments"])), "residual", "rounding")
 
 
 def b6_residual_legs(x):
@@ -316,11 +324,27 @@ def i5_display_names(x):
     return identity.display_names(x["instruments"], x["identifiers"])
 
 
+def _merge(x: Ledger) -> DataFrame:
+    clusters = x["instruments"].where("instrument_id > 0").select((F.col("instrument_id") % 700).alias("cluster"), "instrument_id", (F.col("instrument_id") % 13).alias("created_at"))
+    return identity.survivors(x["identifiers"], clusters)
+
+
 def i6_merge_instruments(x):
-    clusters = x["instruments"].where("instrument_id > 0").select((F.col("instrument_id") % 700).alias("cluster"), "instrument_id")
-    mapping = identity.survivors(x["identifiers"], clusters)
-    moved, _ = identity.merge_instruments(x["postings"].select("tx_id", "instrument_id", "quantity"), x["identifiers"], mapping)
-    return _amounts(moved.where("instrument_id is not null").groupBy("instrument_id").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity")), "quantity")
+    moved, _ = identity.merge_instruments(weighted(x).select("tx_id", "instrument_id", "quantity", "commodity"), x["identifiers"], _merge(x))
+    return _amounts(moved.where("instrument_id is not null").groupBy("instrument_id", "commodity").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity")), "quantity")
+
+
+def i6_merged_names(x):
+    return identity.merged_names(x["identifiers"], _merge(x))
+
+
+def i6_merged_matches(x):
+    moved, conflicts = identity.merged_matches(_matches(x), _merge(x))
+    return moved.withColumn("conflict", F.lit(False)).unionByName(conflicts.withColumn("conflict", F.lit(True)))
+
+
+def i6_merged_instruments(x):
+    return identity.merged_instruments(x["instruments"], _merge(x)).select("instrument_id", "name", "underlying_id")
 
 
 def i7_shared_identifiers(x):
@@ -536,7 +560,7 @@ def c5_defaults(x):
 
 def c10_applied_restatement(x):
     pending = splits.pending_option_splits(x["instruments"], x["splits"], x["identifiers"], first_traded(x), TODAY)
-    _, names, _ = splits.apply_restatement(splits.restate_options(pending, x["instruments"]), x["instruments"], x["identifiers"])
+    _, names, _ = splits.apply_restatement(splits.restate_options(pending, x["instruments"], x["identifiers"]), x["instruments"], x["identifiers"])
     return names.where("identifier_type = 'OCC'").select("instrument_id", "value", "valid_from", "valid_before")
 
 

@@ -39,6 +39,10 @@ SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l
        CASE l_linenumber WHEN 6 THEN 'TRANSFER_CLEARING' WHEN 7 THEN 'IMBALANCE' ELSE CASE WHEN l_linenumber = 5 AND l_suppkey % 5 = 0 THEN 'EQUITY' ELSE 'USER' END END AS account_type,
        l_orderkey AS group_id, CAST(l_shipdate AS DATE) AS share_count_basis
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "stated_prices": """
+SELECT tx_id, CASE tx_id % 6 WHEN 0 THEN CAST(unit_price AS STRING) WHEN 1 THEN CAST(unit_price AS STRING) || '0' WHEN 2 THEN '0.' || lpad(CAST(tx_id % 9973 AS STRING), 4, '0')
+       WHEN 3 THEN ' 3.' || lpad(CAST(tx_id % 99991 AS STRING), 5, '0') WHEN 4 THEN '0.004' ELSE '1.234567' END AS price
+FROM postings WHERE unit_price IS NOT NULL""",
     "splits": """
 SELECT p_partkey AS instrument_id, CAST(DATE '1998-01-01' + (p_partkey % 365) * INTERVAL 1 DAY AS DATE) AS ex_date,
        CASE p_partkey % 30 WHEN 20 THEN 3 ELSE 1 END AS split_from, CASE p_partkey % 30 WHEN 0 THEN 2 WHEN 10 THEN 3 ELSE 1 END AS split_to
@@ -87,14 +91,19 @@ UNION ALL
 SELECT user_id, broker, account, instrument_id, CAST(sum(quantity) AS DECIMAL(18,6)), DATE '2000-06-30', DATE '2000-06-30'
 FROM postings WHERE user_id % 7 = 0 AND instrument_id IS NOT NULL AND account_type = 'USER'
 GROUP BY user_id, broker, account, instrument_id""",
+    "contracts": """
+SELECT instrument_id, strike, CASE WHEN instrument_id % 60 = 1 THEN 'Q' ELSE 'U' END || CAST(underlying_id AS STRING) AS root,
+       substr(CAST(expiry AS STRING), 3, 2) || substr(CAST(expiry AS STRING), 6, 2) || substr(CAST(expiry AS STRING), 9, 2) || put_call AS contract
+FROM instruments WHERE asset_class = 'OPTION' AND instrument_id % 20 = 1""",
     "identifiers": """
 SELECT p_partkey AS instrument_id, 'MIC_TICKER' AS identifier_type, 'XNAS' AS domain, 'T' || CAST(p_partkey AS STRING) AS value, true AS canonical, CAST(NULL AS DATE) AS valid_from, CASE WHEN p_partkey % 6 = 0 THEN DATE '1999-01-01' END AS valid_before FROM part WHERE p_partkey % 2 = 0
 UNION ALL SELECT p_partkey, 'MIC_TICKER', 'XNAS', 'N' || CAST(p_partkey AS STRING), true, DATE '1999-01-01', NULL FROM part WHERE p_partkey % 12 = 0
 UNION ALL SELECT p_partkey, 'OPENFIGI_TICKER', 'US', 'F.' || CAST(p_partkey % 500 AS STRING), true, NULL, NULL FROM part WHERE p_partkey % 3 = 0
 UNION ALL SELECT p_partkey, 'ISIN', NULL, 'US' || lpad(CAST(p_partkey AS STRING), 9, '0') || CAST(p_partkey % 10 AS STRING), true, NULL, NULL FROM part WHERE p_partkey % 4 = 0
-UNION ALL SELECT p_partkey, 'BROKER_DESCRIPTION', 'IBKR', 'PART ' || CAST(p_partkey AS STRING), false, NULL, NULL FROM part
-UNION ALL SELECT p_partkey, 'OCC', NULL, 'U' || CAST(p_partkey - 1 AS STRING) || ' OLD', true, NULL, DATE '1998-07-01' FROM part WHERE p_partkey % 20 = 1
-UNION ALL SELECT p_partkey, 'OCC', NULL, 'U' || CAST(p_partkey - 1 AS STRING) || ' NEW', true, CASE WHEN p_partkey % 40 = 1 THEN DATE '1998-07-01' END, NULL FROM part WHERE p_partkey % 20 = 1
+UNION ALL SELECT p_partkey, 'BROKER_DESCRIPTION', 'IBKR', 'PART ' || CAST(p_partkey AS STRING), false, NULL, CASE WHEN p_partkey % 9 = 0 THEN DATE '1996-01-01' END FROM part
+UNION ALL SELECT p_partkey, 'BROKER_DESCRIPTION', 'IBKR', 'PART ' || CAST(p_partkey AS STRING), false, DATE '1999-01-01', NULL FROM part WHERE p_partkey % 9 = 0
+UNION ALL SELECT instrument_id, 'OCC', NULL, root || contract || lpad(CAST(CAST(strike * 2000 AS BIGINT) AS STRING), 8, '0'), true, NULL, DATE '1998-07-01' FROM contracts
+UNION ALL SELECT instrument_id, 'OCC', NULL, CASE WHEN instrument_id % 300 = 21 THEN root || ' ADJ' ELSE root || contract || lpad(CAST(CAST(strike * 1000 AS BIGINT) AS STRING), 8, '0') END, true, CASE WHEN instrument_id % 40 = 1 THEN DATE '1998-07-01' END, NULL FROM contracts
 UNION ALL SELECT -1, 'FX_PAIR', NULL, 'EURUSD', true, NULL, NULL
 UNION ALL SELECT -2, 'FX_PAIR', NULL, 'GBPUSD', true, NULL, NULL""",
     "inflation": """
@@ -140,14 +149,15 @@ FROM statements WHERE tx_id % 100 < 11 AND user_id % 7 <> 0
 UNION ALL SELECT tx_id, 1, 'id', CAST(floor(tx_id / 100) AS STRING), NULL, NULL, 'BROKER', CAST(1 AS BIGINT), split(CASE WHEN tx_id % 100 = 13 THEN 'ATTACHES' ELSE 'EXACT' END, ',')
 FROM statements WHERE tx_id % 100 IN (11, 12, 13)""",
 }
-DEPENDS = {"matches": ["postings"], "declarations": ["postings"], "correlations": ["postings"], "journal_evidence": ["journals"], "evidence": ["statements"]}
+DEPENDS = {"stated_prices": ["postings"], "contracts": ["instruments"], "identifiers": ["contracts"], "matches": ["postings"], "declarations": ["postings"], "correlations": ["postings"], "journal_evidence": ["journals"], "evidence": ["statements"]}
 
 
 def closure(names) -> list[str]:
     """``names`` and what they build on, in order of definition."""
-    wanted = set(names)
-    for n in names:
-        wanted |= set(DEPENDS.get(n, ()))
+    wanted, new = set(), set(names)
+    while new:
+        wanted |= new
+        new = {d for n in new for d in DEPENDS.get(n, ())} - wanted
     return [n for n in VIEWS if n in wanted]
 
 

@@ -9,7 +9,7 @@ from ledgerlake.plans.oracle import oracle_sql
 from ledgerlake.plans.queries import queries
 
 #: Queries whose rule finds nothing in the smallest tables, so they run on the next larger ones.
-LARGER = {"r13_identifier_overlaps", "r14_overlap_probe", "p2_in_flight", "i7_shared_identifiers"}
+LARGER = {"r13_identifier_overlaps", "r14_overlap_probe", "p2_in_flight", "i7_shared_identifiers", "c8_restated_options", "c10_applied_restatement", "c11_option_faults", "i6_merged_names", "i6_merged_instruments", "i6_merge_instruments"}
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))

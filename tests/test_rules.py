@@ -180,3 +180,51 @@ def test_a_replayed_upload_changes_nothing(spark, tmp_path):
 
     replay_uploads(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), apply, f"{tmp_path}/state")
     assert {r["tx_id"] for r in state["now"].collect()} == {3, 4, 10} and state["now"].count() == 3
+
+
+def test_a_small_price_and_stated_places(spark):
+    from decimal import Decimal as D
+
+    from ledgerlake.functions.decimals import half_unit, stated
+
+    texts = [("0.004",), ("10.500",), ("-3",), (" 7.25 ",), (".5",), ("1e3",), ("1.2.3",), (".",), ("",), (None,)]
+    got = [(r["p"]["value"], r["p"]["scale"], r["h"]) if r["p"] else None for r in spark.createDataFrame(texts, "t string").select(stated(F.col("t")).alias("p")).select("p", half_unit(F.col("p.scale")).alias("h")).collect()]
+    assert got == [(D("0.004"), 3, D("0.0005")), (D("10.5"), 3, D("0.0005")), (D(-3), 0, D("0.005")), (D("7.25"), 2, D("0.005")), (D("0.5"), 1, D("0.005")), None, None, None, None, None]
+    schema = "tx_id long, group_id long, instrument_id long, description string, tx_type string, quantity decimal(18,6), unit_price decimal(18,6), settlement_currency string, account_type string"
+    rows = [(1, 1, 5, "x", "TRADE_ASSET", D(1000), D("0.004"), "USD", "USER"), (2, 1, None, "USD", "TRADE_CASH", D("-3.99"), None, None, "USER")]
+    instruments = spark.createDataFrame([(5, "STOCK", "USD")], "instrument_id long, asset_class string, currency string")
+    found = {r["commodity"]: r for r in ledger.group_residuals(ledger.with_weights(spark.createDataFrame(rows, schema), instruments).withColumn("unit_price_scale", F.lit(3))).collect()}
+    assert found["cur:USD"]["residual"] == D("4") and found["cur:USD"]["rounding"] == D("0.5")
+
+
+def test_merges_keep_names_in_force(spark):
+    none = None
+    schema = "instrument_id long, identifier_type string, domain string, value string, canonical boolean, valid_from date, valid_before date"
+    rows = [
+        (1, "T", none, "A", True, none, day(10)), (1, "T", none, "A", True, day(20), none),  # given up and taken again
+        (2, "T", "", "A", True, day(5), day(12)), (2, "T", "", "A", True, day(12), day(20)), (2, "T", none, "B", True, none, none),
+        (3, "T", none, "B", False, day(1), none), (3, "T", none, "C", False, day(1), none),
+    ]
+    mapping = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "instrument_id long, survivor_id long")
+    names = identity.merged_names(spark.createDataFrame(rows, schema), mapping).collect()
+    assert {(r["instrument_id"], r["value"], r["valid_from"], r["valid_before"]) for r in names} == {(1, "A", none, day(10)), (1, "A", day(20), none), (1, "A", day(12), day(20)), (1, "B", none, none), (1, "C", day(1), none)}
+    matches = spark.createDataFrame([(9, 1, 2, 2), (9, 1, 3, 3), (9, 5, 6, 2)], "user_id long, from_group_id long, to_group_id long, instrument_id long")
+    moved, conflicts = identity.merged_matches(matches, mapping)
+    assert {r["instrument_id"] for r in moved.collect()} == {1} and {r["to_group_id"] for r in conflicts.collect()} == {2, 3}
+
+
+def test_options_are_restated_from_the_name_in_force_or_not_at_all(spark):
+    from decimal import Decimal as D
+
+    pending = spark.createDataFrame([(i, day(n), D(a), D(b)) for i, n, a, b in [(1, 30, "1", "2"), (2, 30, "1", "2"), (3, 30, "1", "2"), (4, 30, "1", "2"), (4, 40, "2", "3"), (5, 30, "0.5", "1"), (5, 60, "1", "3"), (6, 30, "1", "2"), (7, 30, "2", "1")]], "instrument_id long, ex_date date, split_from decimal(18,6), split_to decimal(18,6)")
+    instruments = spark.createDataFrame([(i, 90, D(400 if i == 1 else 30), day(300), "C") for i in (1, 2, 3, 4, 5, 7)] + [(6, 90, None, day(300), "C")], "instrument_id long, underlying_id long, strike decimal(18,6), expiry date, put_call string")
+    name = lambda i, value, start=None, end=None: (i, "OCC", value, start, end)
+    names = [name(1, "OLD001027C00800000", None, day(9)), name(1, "NEW001027C00400000", day(9)), name(3, "NOTAVALIDOCC"), *(name(i, "ABC001027C00030000") for i in (4, 5, 6, 7)), (2, "MIC_TICKER", "X", None, None)]
+    identifiers = spark.createDataFrame(names, "instrument_id long, identifier_type string, value string, valid_from date, valid_before date")
+    found = splits.restate_options(pending, instruments, identifiers).orderBy("instrument_id", "valid_from").collect()
+    assert [(r["instrument_id"], r["symbol"], float(r["strike"]), r["valid_before"]) for r in found] == [(1, "NEW001027C00200000", 200.0, None), (5, "ABC001027C00015000", 15.0, day(60)), (5, "ABC001027C00005000", 5.0, None)]
+    faults = {(r["instrument_id"], r["ex_date"], r["event_type"], tuple(r["options"])) for r in splits.option_faults(pending, instruments, identifiers).collect()}
+    assert faults == {(3, day(30), "UNREADABLE_NAME", (3,)), (90, day(40), "NON_WHOLE_SPLIT", (4,)), (90, day(30), "REVERSE_SPLIT", (7,))}
+    odd = identifiers.withColumn("value", F.when(F.col("instrument_id") == 1, "NEW001027C00400000").otherwise(F.col("value")))
+    huge = instruments.withColumn("strike", F.when(F.col("instrument_id") == 1, F.lit("900000").cast("decimal(18,6)")).otherwise(F.col("strike")))
+    assert {r["event_type"] for r in splits.option_faults(pending.where("instrument_id = 1"), huge, odd).collect()} == {"NO_SUCH_SYMBOL"}
