@@ -71,11 +71,12 @@ def group_residuals(weighted: DataFrame, price_scale: int = 2) -> DataFrame:
 def residual_legs(residuals: DataFrame) -> DataFrame:
     """The leg that closes each residual: (group_id, commodity, account_type, amount).
 
-    Within tolerance it is the source's rounding; else a transfer's other side if any posting of the group
-    must be a transfer, or an imbalance.
+    Within tolerance it is the source's rounding, unless the group lost legs (lost, where ``residuals`` has it);
+    else a transfer's other side if any posting of the group must be a transfer, or an imbalance.
     """
+    whole = ~F.col("lost") if "lost" in residuals.columns else F.lit(True)
     tolerance = F.when(F.col("commodity").startswith("cur:"), F.lit(MONEY_TOLERANCE).cast("decimal(38,12)") + F.col("rounding")).otherwise(F.lit(COMMODITY_TOLERANCE).cast("decimal(38,12)"))
-    kind = F.when(F.abs("residual") < tolerance, "SOURCE_ROUNDING").when(F.col("transfers"), "TRANSFER_CLEARING").otherwise("IMBALANCE")
+    kind = F.when(whole & (F.abs("residual") < tolerance), "SOURCE_ROUNDING").when(F.col("transfers"), "TRANSFER_CLEARING").otherwise("IMBALANCE")
     return residuals.select("group_id", "commodity", kind.alias("account_type"), (-F.col("residual")).alias("amount"))
 
 

@@ -230,6 +230,26 @@ TRANSFERS = """side AS (
         FROM (SELECT w.user_id, w.instrument_id, c.k, c.pass, w.taken, CASE WHEN w.pass = c.pass THEN w.gone ELSE [] END AS gone, c.f, c.t, c.rivals
               FROM walk w JOIN ready c ON c.user_id = w.user_id AND c.instrument_id = w.instrument_id AND c.k = w.k + 1))
 ), proposed AS (SELECT user_id, instrument_id, f AS from_group_id, t AS to_group_id, CASE pass WHEN 1 THEN 'POINTER' ELSE 'REFERENCE' END AS method FROM walk WHERE won)"""
+#: The upload of b9: everyone's postings after it, in their new groups, and the groups that it touches or shortens.
+UPLOADED = """ledger AS (SELECT * EXCLUDE (order_date), CAST(order_date + CAST(tx_id % 1000 AS INTEGER) * INTERVAL 15 DAY AS DATE) AS order_date, account_type = 'EQUITY' AS opening FROM postings WHERE account_type IN ('USER', 'EQUITY')),
+inside AS (SELECT l.tx_id, l.group_id FROM ledger l JOIN windows w ON l.user_id = w.user_id AND l.broker = w.broker WHERE NOT opening AND order_date >= period_from AND order_date < period_before),
+everyone AS (
+  SELECT *, false AS fresh FROM ledger WHERE tx_id NOT IN (SELECT tx_id FROM inside)
+  UNION ALL SELECT * REPLACE (tx_id + CASE WHEN group_id % 3 = 0 THEN 500 ELSE 0 END AS tx_id, CAST(quantity * 2 AS DECIMAL(18,6)) AS quantity), true FROM ledger WHERE tx_id IN (SELECT tx_id FROM inside) AND tx_id % 1000 <> 4
+), sets AS (
+  SELECT user_id, broker, tx_id // 1000 AS token, min(tx_id) AS first FROM everyone WHERE NOT opening AND (tx_id // 1000) % 2 = 0 GROUP BY ALL HAVING count(*) > 1 AND bool_or(fresh)
+), placed AS (
+  SELECT e.*, CASE WHEN s.first IS NOT NULL AND NOT opening THEN -s.first WHEN fresh THEN -e.tx_id ELSE e.group_id END AS to_group
+  FROM everyone e LEFT JOIN sets s ON s.user_id = e.user_id AND s.broker = e.broker AND s.token = e.tx_id // 1000
+), lost AS (SELECT group_id FROM inside UNION SELECT group_id FROM placed WHERE NOT fresh AND to_group < 0),
+touched AS (SELECT group_id FROM lost UNION SELECT to_group FROM placed WHERE to_group < 0),
+settled_rows AS (SELECT * EXCLUDE (group_id, to_group, fresh, opening), to_group AS group_id FROM placed WHERE to_group IN (SELECT group_id FROM touched))"""
+
+
+def _both(old: str, new: str) -> str:
+    return f"SELECT 'removed' AS change, * FROM (({old}) EXCEPT ALL ({new})) UNION ALL SELECT 'added', * FROM (({new}) EXCEPT ALL ({old}))"
+
+
 #: By query: the views it needs, its steps and its last statement.
 PARTS: dict[str, tuple[str, list[str], str]] = {
     "a1_holdings": ("instruments postings splits", [ADJUSTED], f"SELECT user_id, broker, account, instrument_id, coalesce(name, max(description)) AS name, {shown('sum(own)', 'quantity')} FROM adjusted LEFT JOIN (SELECT instrument_id, name FROM instruments) USING (instrument_id) WHERE account_type = 'USER' AND order_date <= DATE '{AS_OF}' GROUP BY user_id, broker, account, instrument_id, name {OPEN}"),
@@ -286,6 +306,14 @@ legs AS (SELECT t.portfolio_id, p.* FROM adjusted p JOIN touched t USING (group_
     "b6_residual_legs": ("instruments postings", [WEIGHTED], f"SELECT group_id, commodity, account_type, {shown('amount', 'amount')} FROM closing"),
     "b8_settled_balance": ("instruments postings", [WEIGHTED], f"SELECT group_id, commodity, {shown('sum(amount)', 'left_over')}, count(*) AS n_legs FROM (SELECT group_id, commodity, weight AS amount FROM weighted WHERE account_type = 'USER' UNION ALL SELECT group_id, commodity, amount FROM edges UNION ALL SELECT group_id, commodity, amount FROM closing) GROUP BY ALL"),
     "b9_replace_by_period": ("postings", ["mine AS (SELECT * FROM postings WHERE user_id = 7 AND broker = 'IBKR' AND order_date >= DATE '1996-01-01' AND order_date < DATE '1999-01-01' AND account_type = 'USER')"], f"SELECT tx_id, user_id, broker, account, order_date, account_type, group_id, {shown('quantity', 'quantity')} FROM postings WHERE tx_id NOT IN (SELECT tx_id FROM mine) AND NOT (group_id IN (SELECT group_id FROM mine) AND account_type IN ('TRANSFER_CLEARING', 'IMBALANCE', 'SOURCE_ROUNDING', 'INCOME', 'EXPENSE')) UNION ALL SELECT tx_id, user_id, broker, account, order_date, account_type, group_id, {shown('quantity * 2', 'quantity')} FROM mine"),
+    "b9_changed_postings": ("instruments postings windows", [UPLOADED], f"""SELECT 'removed' AS change, tx_id, group_id, {shown('quantity', 'quantity')} FROM ledger l WHERE tx_id IN (SELECT tx_id FROM inside UNION SELECT tx_id FROM placed WHERE NOT fresh AND to_group < 0)
+  UNION ALL SELECT 'added', tx_id, to_group, {shown('quantity', 'quantity')} FROM placed WHERE to_group < 0"""),
+    "b9_changed_groups": ("postings windows", [UPLOADED], _both("SELECT group_id, user_id, min(order_date) AS timestamp FROM ledger WHERE group_id IN (SELECT group_id FROM touched) GROUP BY ALL", "SELECT group_id, user_id, min(order_date) AS timestamp FROM settled_rows GROUP BY ALL")),
+    "b9_changed_matches": ("postings windows matches", [UPLOADED], "SELECT DISTINCT 'removed' AS change, user_id, from_group_id, to_group_id, instrument_id FROM matches WHERE from_group_id IN (SELECT group_id FROM touched) OR to_group_id IN (SELECT group_id FROM touched)"),
+    "b9_changed_legs": ("instruments postings windows", [UPLOADED, WEIGHTED.replace("FROM postings", "FROM settled_rows").replace("THEN 'SOURCE_ROUNDING'", "AND group_id NOT IN (SELECT group_id FROM lost) THEN 'SOURCE_ROUNDING'"),
+        WEIGHTED.split("), edges AS")[0].replace("valued AS", "stored_valued AS").replace("FROM valued", "FROM stored_valued").replace("weighted AS", "stored AS") + ")"],
+        _both(f"SELECT group_id, CAST(NULL AS BIGINT) AS of_tx, account_type, commodity, {shown('weight', 'amount')} FROM stored WHERE account_type IN ('TRANSFER_CLEARING', 'IMBALANCE') AND group_id IN (SELECT group_id FROM touched)",
+              f"SELECT group_id, tx_id, account_type, commodity, {shown('amount', 'amount')} FROM edges UNION ALL SELECT group_id, NULL, account_type, commodity, {shown('amount', 'amount')} FROM closing")),
     "b10_class_compatibility": ("instruments", ["classes AS (SELECT DISTINCT asset_class AS c FROM instruments UNION ALL SELECT 'UNKNOWN')"], "SELECT a.c AS implied, b.c AS found, CASE WHEN b.c = 'UNKNOWN' THEN true WHEN a.c = 'UNKNOWN' THEN b.c <> 'CASH' ELSE a.c = b.c OR (a.c = 'ETF' AND b.c IN ('STOCK', 'MUTUAL_FUND')) OR (b.c = 'ETF' AND a.c IN ('STOCK', 'MUTUAL_FUND')) END AS compatible FROM classes a CROSS JOIN classes b"),
     "b11_posting_errors": ("postings", [], "SELECT tx_id, 'description is missing' AS error FROM postings WHERE description = 'PART ' || CAST(user_id % 50 AS VARCHAR) UNION ALL SELECT tx_id, 'settlement_amount without a trade' FROM postings WHERE tx_id % 3 = 0 AND tx_type <> 'TRADE_ASSET' UNION ALL SELECT tx_id, 'settlement_amount is negative' FROM postings WHERE tx_id % 3 = 0 AND settlement_amount < 0"),
     "b12_type_predicates": ("postings", ["sets AS (SELECT group_id, list_sort(list(DISTINCT tx_type)) AS t FROM postings GROUP BY ALL)"], "SELECT group_id, array_to_string(t, ',') AS tx_types, CASE WHEN len(t) = 1 THEN t[1] WHEN t = ['TRADE_ASSET', 'TRADE_CASH'] THEN 'TRADE' ELSE 'AMBIGUOUS' END AS resolved, len(list_filter(t, lambda x: x NOT LIKE 'TRADE%')) = 0 AS must_be_trade, list_contains(t, 'TRADE_ASSET') AS may_be_trade_asset, true AS antichain FROM sets"),

@@ -11,7 +11,7 @@ from ledgerlake.functions.decimals import shown, stated
 from ledgerlake.functions.symbols import bare_ticker, is_isin, occ_padded, parse_option
 from ledgerlake.operators import declarations as decl
 from ledgerlake.functions import idtypes, texts
-from ledgerlake.operators import grouping, holdings, identity, intervals, ledger, listings, matching, splits, telemetry, uploads, valuation
+from ledgerlake.operators import changes, grouping, holdings, identity, intervals, ledger, listings, matching, splits, telemetry, uploads, valuation
 from ledgerlake.sources.fixture import TODAY, Ledger
 
 AS_OF = "1999-12-31"
@@ -272,6 +272,49 @@ def b9_replace_by_period(x):
     return _amounts(ledger.replace_by_period(rows, upload, 7, "IBKR", "1996-01-01", "1999-01-01"), "quantity")
 
 
+def _upload_changes(x: Ledger) -> dict[str, changes.Delta]:
+    """Every user's IBKR postings of a window stated again, doubled, some under new ids and some left out; lines of every other order are one event by broker."""
+    late = F.date_add("order_date", ((F.col("tx_id") % 1000) * 15).cast("int"))
+    own = x["postings"].where("account_type in ('USER', 'EQUITY')").withColumns({"order_date": late, "synthetic_purpose": F.when(F.col("account_type") == "EQUITY", "INITIALIZE")})
+    groups = own.groupBy("group_id", "user_id").agg(F.min("order_date").alias("timestamp"))
+    routed = weighted(x).where("account_type in ('TRANSFER_CLEARING', 'IMBALANCE')").select("group_id", F.lit(None).cast("long").alias("of_tx"), "account_type", "commodity", F.col("weight").alias("amount"))
+    inside = own.where("synthetic_purpose is null").join(x["windows"], ["user_id", "broker"]).where("order_date >= period_from and order_date < period_before").select(*own.columns)
+    again = F.col("tx_id") + F.when(F.col("group_id") % 3 == 0, 500).otherwise(0)
+    uploaded = inside.where("tx_id % 1000 <> 4").withColumns({"tx_id": again, "quantity": (F.col("quantity") * 2).cast("decimal(18,6)")})
+
+    def derive(rows, seeds):
+        rows = rows.where("synthetic_purpose is null")
+        order = F.floor(F.col("tx_id") / 1000).cast("long")
+        said = rows.where(order % 2 == 0).select("tx_id", F.lit(0).alias("position"), F.lit("order").alias("label"), order.cast("string").alias("token"), F.lit("BROKER").alias("scope"), F.lit(1).cast("long").alias("job_id"), F.array(F.lit("EXACT")).alias("matches"))
+        claims = grouping.exact_groups(rows, said)
+        near = claims.join(claims.join(seeds, "tx_id").select("event_id").distinct(), "event_id", "left_semi").select("tx_id", "event_id")
+        alone = seeds.join(claims, "tx_id", "left_anti").select("tx_id", F.col("tx_id").alias("event_id"))
+        return near.unionByName(alone).withColumn("resolved", F.lit(None).cast("string"))
+
+    return changes.upload_changes(changes.Stored(own, groups, _matches(x), routed), x["windows"], uploaded, x["instruments"], derive, lambda first, size, mixed: -first)
+
+
+def _change_rows(x: Ledger, table: str, *columns: str) -> DataFrame:
+    delta = _upload_changes(x)[table]
+    return delta.removed.select(F.lit("removed").alias("change"), *columns).unionByName(delta.added.select(F.lit("added").alias("change"), *columns))
+
+
+def b9_changed_postings(x):
+    return _amounts(_change_rows(x, "postings", "tx_id", "group_id", "quantity"), "quantity")
+
+
+def b9_changed_groups(x):
+    return _change_rows(x, "groups", "group_id", "user_id", "timestamp")
+
+
+def b9_changed_matches(x):
+    return _change_rows(x, "matches", "user_id", "from_group_id", "to_group_id", "instrument_id")
+
+
+def b9_changed_legs(x):
+    return _amounts(_change_rows(x, "routed", *changes.ROUTED), "amount")
+
+
 def b10_class_compatibility(x):
     classes = x["instruments"].select(F.col("asset_class").alias("implied")).distinct().union(x.spark.sql("select 'UNKNOWN'"))
     found = classes.withColumnRenamed("implied", "found")

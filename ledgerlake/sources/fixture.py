@@ -74,6 +74,7 @@ SELECT c_custkey AS portfolio_id, c_custkey AS user_id, 'broker' AS filter_type,
 UNION ALL SELECT c_custkey, c_custkey, 'broker', 'SCHB' FROM customer WHERE c_custkey % 5 = 1
 UNION ALL SELECT c_custkey, c_custkey, 'account', 'ACC-1' FROM customer WHERE c_custkey % 5 = 2
 UNION ALL SELECT c_custkey, c_custkey, 'instrument', CAST(p_partkey AS STRING) FROM customer JOIN part ON c_custkey % 50 = p_partkey % 50 WHERE c_custkey % 5 = 3""",
+    "windows": "SELECT CAST(c_custkey AS BIGINT) AS user_id, 'IBKR' AS broker, CAST(DATE '1994-01-01' + (c_custkey % 3) * INTERVAL 300 DAY AS DATE) AS period_from, DATE '1997-01-01' AS period_before FROM customer",
     "portfolios": "SELECT c_custkey AS portfolio_id, c_custkey AS user_id, c_name AS name FROM customer",
     "matches": """
 SELECT user_id, min(group_id) AS from_group_id, max(group_id) AS to_group_id, instrument_id, 'POINTER' AS method
