@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.bpe import SPELT, Encoder
+from ledgerlake.llm.bpe import SPELT, Encoder, PieceEncoder
 from ledgerlake.llm.shared import free_memory, written
 from ledgerlake.llm.words import in_groups
 
@@ -96,31 +95,29 @@ class Aligner:
     """Encodes texts by a byte-level BPE file (a, with a space before each text) and a piece model (b, which adds it), and aligns the tokens."""
 
     def __init__(self, byte_bpe: str, piece_model: str):
-        from sentencepiece import SentencePieceProcessor
-
-        self.encode_a = Encoder(byte_bpe, special=False, lead=" ").encode
-        self.encode_b = SentencePieceProcessor(model_file=piece_model)
-        entries = Encoder(byte_bpe).tokenizer.get_vocab()
+        byte_level, pieces = Encoder(byte_bpe, special=False, lead=" "), PieceEncoder(piece_model)
+        self.encode_a, self.encode_b = byte_level.encode, pieces.encode
+        entries = byte_level.tokenizer.get_vocab()
         printed = {chr(c): b for b, c in SPELT.items()}
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.bytes_a[i] = bytes(printed[c] for c in entry) if all(c in printed for c in entry) else entry.encode()
-        pieces = [self.encode_b.id_to_piece(i) for i in range(self.encode_b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.encode_b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if pieces.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces.pieces)]
         self.width_a, self.width_b = (np.array([len(x) for x in held], dtype=np.int64) for held in (self.bytes_a, self.bytes_b))
 
-    def align(self, texts: list[str | None]) -> Alignment:
-        """The alignment of texts; null and empty ones, and those whose tokens don't spell a space and the text, have no tokens."""
-        ids_a = [np.frombuffer(x, dtype="<u4") for x in self.encode_a(texts)]
-        ids_b = self.encode_b.encode([t or "" for t in texts], num_threads=1)
-        empty = np.zeros(0, dtype=np.uint32)
+    def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, Alignment]]:
+        """(from, to, alignment) of some texts after others; null and empty ones, and those whose tokens don't spell a space and the text, have no tokens."""
+        ids_a, ids_b = ([np.frombuffer(x, dtype="<u4") for x in encode(texts)] for encode in (self.encode_a, self.encode_b))
+        for i, j in in_groups(texts):
+            yield i, j, self._aligned(texts[i:j], ids_a[i:j], ids_b[i:j])
+
+    def _aligned(self, texts: list[str | None], ids_a: list[np.ndarray], ids_b: list[np.ndarray]) -> Alignment:
+        none = np.zeros(0, dtype=np.uint32)
         for n, text in enumerate(texts):
             said = b" " + (text or "").encode()
-            if not text or any(b"".join(map(spelt.__getitem__, ids)) != said for spelt, ids in ((self.bytes_a, ids_a[n].tolist()), (self.bytes_b, ids_b[n]))):
-                ids_a[n], ids_b[n] = empty, []
-        a, a_at = _joined(ids_a)
-        b_at = np.concatenate(([0], np.cumsum([len(x) for x in ids_b], dtype=np.int64)))
-        b = np.fromiter(chain.from_iterable(ids_b), dtype=np.int64, count=int(b_at[-1]))
+            if not text or any(b"".join(map(spelt.__getitem__, ids.tolist())) != said for spelt, ids in ((self.bytes_a, ids_a[n]), (self.bytes_b, ids_b[n]))):
+                ids_a[n] = ids_b[n] = none
+        (a, a_at), (b, b_at) = _joined(ids_a), _joined(ids_b)
         ends = np.cumsum(self.width_a[a])
         size = int(ends[-1]) if len(ends) else 0
         in_a, in_b = Bits.of(ends - 1, size), Bits.of(np.cumsum(self.width_b[b]) - 1, size)
@@ -165,8 +162,8 @@ def _aligned(batches: Iterator[pa.RecordBatch], byte_bpe: str, piece_model: str)
     aligner, lines = _aligner(byte_bpe, piece_model)
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, j in in_groups(texts):
-            yield ids[i:j], aligner.align(texts[i:j]), lines
+        for i, j, found in aligner.align(texts):
+            yield ids[i:j], found, lines
     _aligners.clear()
     free_memory()
 

@@ -123,6 +123,44 @@ class Encoder:
         return ids.tobytes(), (ends[offsets[1:]] * 4).tolist()
 
 
+#: Texts that a piece model may cut across single spaces, or that hold the sign that stands for a space.
+PIECES_ACROSS = r"  |\A | \z|▁|\x00"
+
+
+class PieceEncoder(Encoder):
+    """Encodes texts as ``SentencePieceProcessor.encode(text)`` does, for a model that puts a space before each text.
+
+    No piece of the model may have a space but at its start, or be of spaces only; then no merge crosses a single
+    space, and each different chunk between spaces is encoded by the library once and remembered as above.
+    Texts with other runs of spaces are encoded whole.
+    """
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any("▁" in p.lstrip("▁") for p in self.pieces):
+            raise ValueError("a piece of this model reaches across a space")
+        self.memo, self.old = {}, {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, dtype="<u4").tobytes() for ids in self.model.encode(texts, num_threads=1)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        new = list(chunks)
+        self.memo.update(zip(new, self._whole(new)))
+
+    def _batch(self, texts: list[str | None]) -> list[bytes]:
+        held = pa.array(texts, pa.string())
+        regular = pc.fill_null(pc.and_(pc.invert(pc.match_substring_regex(held, PIECES_ACROSS)), pc.not_equal(pc.binary_length(held), 0)), False)
+        split = pc.split_pattern(held.filter(regular), " ")
+        chunks = split.flatten().dictionary_encode()
+        ids, ends = self._joined(chunks.dictionary.to_pylist(), chunks.indices.to_numpy(), split.offsets.to_numpy())
+        parts = iter(zip([0, *ends], ends))
+        return [ids[slice(*next(parts))] if r else self._whole([text])[0] if text else b"" for text, r in zip(texts, regular.to_pylist())]
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -30,6 +30,23 @@ def test_encoder_equals_the_library(library):
     assert got == [ids_of(library, t, 0)[:-1].tobytes() for t in texts]
 
 
+def test_encoders_with_a_lead_and_of_pieces_equal_the_libraries(library):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    from ledgerlake.llm.bpe import PieceEncoder
+
+    rnd = random.Random(6)
+    signs = [*"ab1é'.,!&- \n\n  ", "’", "€", "'s", "word", "tion", "<|endoftext|>", "</s>", "\t", "▁", "日", "😀", "\x00"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 16))) for _ in range(8000)] + ["the house of the", "x" * 20_000]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = SentencePieceProcessor(model_file=path)
+    assert PieceEncoder(path).encode([*texts, "", None]) == [*(np.array(pieces.encode(t), dtype="<u4").tobytes() for t in texts), b"", b""]
+    plain = Tokenizer.from_file(TOKENIZER())
+    plain.encode_special_tokens = True
+    assert Encoder(TOKENIZER(), special=False, lead=" ").encode(texts) == [np.array(plain.encode(" " + t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
 def test_token_files_of_a_table(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want, at = {}, 0
