@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.txtypes import may_be, must_be, resolve
 from ledgerlake.operators.ledger import group_residuals, residual_legs
-from ledgerlake.operators.rounds import best_first, components, first_come, settled
+from ledgerlake.operators.rounds import best_first, components, first_come, settled, taken_in_turn
 
 #: Money that differs by less is the same amount; a cash leg may be so far from quantity times price, as a share.
 MONEY, BAND = "0.005", "0.0075"
@@ -85,7 +85,7 @@ def exact_claims(free: DataFrame, correlations: DataFrame) -> DataFrame:
     """Postings whose source gave them one token; tokens in order, and a set of which a posting is gone is left."""
     held = _tokens(free, correlations, "EXACT").select("tx_id", *TOKEN).distinct()
     many = held.groupBy(*TOKEN).agg(F.count("*").alias("n"), F.min("tx_id").alias("anchor")).where("n > 1")
-    taken = first_come(held.join(many.select(*TOKEN), TOKEN, "left_semi"), TOKEN, "tx_id")
+    taken = first_come(held.join(many.select(*TOKEN), TOKEN, "left_semi"), TOKEN, "tx_id", within=["user_id"])
     return taken.join(many, TOKEN).select("tx_id", "anchor", F.lit(None).cast("string").alias("resolved"))
 
 
@@ -95,7 +95,7 @@ def exact_groups(postings: DataFrame, correlations: DataFrame) -> DataFrame:
 
 
 def trade_candidates(free: DataFrame, acquiring: bool) -> DataFrame:
-    """Pairs (asset, cash, distance): a sale with cash of its settlement, a purchase with cash of no more, by account and day.
+    """Pairs (BUCKET, asset, cash, distance): a sale with cash of its settlement, a purchase with cash of no more, by account and day.
 
     Where a price is stated cash must be within BAND of quantity times price; candidates then meet by
     amounts' logarithms, else a sale's by its cents, and a purchase without a price meets its day's cash.
@@ -118,21 +118,21 @@ def trade_candidates(free: DataFrame, acquiring: bool) -> DataFrame:
         met = assets.withColumn("key", _around(_cents(F.col("stated")))).join(cash.withColumn("key", _cents(F.col("paid"))), [*BUCKET, "key"]).drop("key")
         fits = _near(F.col("stated"), F.col("paid"))
     distance = F.array_min(F.transform(_gaps("asset_ordinals", "cash_ordinals"), F.abs))
-    return met.where(fits & consistent).select("asset", "cash", F.coalesce(distance, F.lit(NO_ORDINAL)).alias("distance"))
+    return met.where(fits & consistent).select(*BUCKET, "asset", "cash", F.coalesce(distance, F.lit(NO_ORDINAL)).alias("distance"))
 
 
 def cash_candidates(free: DataFrame) -> DataFrame:
-    """Pairs (asset, cash, distance) of exactly opposite cash, money out first, both a trade's cash under every reading."""
+    """Pairs (BUCKET, asset, cash, distance) of exactly opposite cash, money out first, both a trade's cash under every reading."""
     rows = free.where(_is_money(F.col("tx_types")) & must_be(F.col("tx_types"), "TRADE_CASH"))
     side = lambda sign, name: rows.where(f"quantity {sign} 0").select(*BUCKET, F.abs("quantity").alias("size"), F.col("tx_id").alias(name), F.col("ordinals").alias(f"{name}_ordinals"))
     met = side("<", "asset").join(side(">", "cash"), [*BUCKET, "size"])
     distance = F.array_min(F.transform(_gaps("asset_ordinals", "cash_ordinals"), F.abs))
-    return met.select("asset", "cash", F.coalesce(distance, F.lit(NO_ORDINAL)).alias("distance"))
+    return met.select(*BUCKET, "asset", "cash", F.coalesce(distance, F.lit(NO_ORDINAL)).alias("distance"))
 
 
 def _paired(candidates: DataFrame) -> DataFrame:
     """Nearest references first, then the smallest ids."""
-    return best_first(candidates, ["asset"], ["cash"], ["distance"])
+    return best_first(candidates, ["asset"], ["cash"], ["distance"], within=BUCKET)
 
 
 def _pair_claims(pairs: DataFrame, first: str) -> DataFrame:
@@ -155,8 +155,7 @@ def deposit_runs(free: DataFrame) -> DataFrame:
     """Rows (opener_tx_id, spend_tx_id, arrival_tx_id) of ``free`` (with ordinals): money that arrives as a transfer, is spent, and arrives again.
 
     An opener takes the next spending and the next arrival of its amount in its account within its span.
-    Openers go by reference, so an earlier run takes the rows it needs. A round decides the openers that are
-    the first to want each row that they choose.
+    Openers go by reference, so an earlier run takes the rows it needs.
     """
     types = F.col("tx_types")
     rows = free.where(_is_money(types) & (F.col("quantity") != 0))
@@ -169,19 +168,10 @@ def deposit_runs(free: DataFrame) -> DataFrame:
     steps = steps.select(*keys, place("step"), F.abs("quantity").alias("size"), (F.col("quantity") < 0).alias("spending"), F.col("ordinals").alias("step_ordinals"), _cents(F.abs("quantity")).alias("key"))
     gap = F.get(_gaps("opener_ordinals", "step_ordinals"), F.lit(0))
     met = openers.join(steps, [*keys, "key"]).where(_near(F.col("size"), F.col("opened")) & (gap > 0) & (gap <= F.col("span")))
-    left = settled(met.select("opener", "step", "spending"))
-    found = left.select(F.col("opener.id").alias("opener_tx_id"), F.col("opener.id").alias("spend_tx_id"), F.col("opener.id").alias("arrival_tx_id")).limit(0)
-    while not left.isEmpty():
-        first = left.withColumn("wanted", F.min("opener").over(Window.partitionBy("step")))
-        chosen = first.groupBy("opener", "spending").agg(F.min(F.struct("step", "wanted")).alias("c"))
-        side = lambda spending: F.max(F.when(F.col("spending") == F.lit(spending), F.col("c.step.id")))
-        runs = chosen.groupBy("opener").agg(F.min(F.col("c.wanted") == F.col("opener")).alias("ok"), side(True).alias("spend_tx_id"), side(False).alias("arrival_tx_id"))
-        runs = settled(runs.where("ok").select("opener", F.col("opener.id").alias("opener_tx_id"), "spend_tx_id", "arrival_tx_id"))
-        found = found.unionByName(runs.drop("opener"))
-        used = runs.select(F.explode(F.array("spend_tx_id", "arrival_tx_id")).alias("id")).where("id is not null")
-        left = left.join(runs.select("opener"), "opener", "left_anti").withColumn("id", F.col("step.id"))
-        left = settled(left.join(used, "id", "left_anti").select("opener", "step", "spending"))
-    return found
+    wanted = met.select(*keys, "opener", "step", "spending")
+    chosen = taken_in_turn(wanted, ["opener"], ["step"], ["spending"], keys)
+    side = lambda spending: F.max(F.when(F.col("spending") == F.lit(spending), F.col("step.id")))
+    return chosen.groupBy(F.col("opener.id").alias("opener_tx_id")).agg(side(True).alias("spend_tx_id"), side(False).alias("arrival_tx_id"))
 
 
 def _deposit_claims(free: DataFrame) -> DataFrame:
@@ -219,26 +209,34 @@ def attach_bearers(postings: DataFrame, free: DataFrame, correlations: DataFrame
 
 
 def explaining_charges(gaps: DataFrame, charges: DataFrame) -> DataFrame:
-    """Rows (anchor, size, tx_id): the fewest charges (MAX_CHARGES at most, then the smallest ids) that sum to each gap.
+    """Rows (BUCKET, anchor, size, tx_id): the fewest charges (at most three, then the smallest ids) that sum to each gap.
 
     ``gaps``: BUCKET, anchor, gap; ``charges``: BUCKET, tx_id, amount. Of equal amounts in a bucket only the
-    first MAX_CHARGES can be in an answer, so no more take part. The last charge of a sum is found by its cents.
+    first three can be in an answer, so no more take part. One charge is found by its cents. So are two, and
+    three meet in the middle: a bucket's pairs are made once, and a gap less one charge is looked up among their sums.
     """
     first = F.row_number().over(Window.partitionBy(*BUCKET, "amount").orderBy("tx_id"))
-    usable = settled(charges.withColumn("nth", first).where(F.col("nth") <= MAX_CHARGES).drop("nth"))
-    last = usable.select(*BUCKET, F.col("tx_id").alias("next"), F.col("amount").alias("more"), _cents(F.col("amount")).alias("key"))
-    open_sums, out = gaps.select(*BUCKET, "anchor", "gap", F.array().cast("array<bigint>").alias("ids")), None
-    for size in range(1, MAX_CHARGES + 1):
-        open_sums = settled(open_sums)
-        after = (F.size("ids") == 0) | (F.col("next") > F.try_element_at("ids", F.lit(-1)))
-        met = open_sums.withColumn("key", _around(_cents(F.col("gap")))).join(last, [*BUCKET, "key"]).where(after & _near(F.col("gap"), F.col("more")))
-        best = met.groupBy("anchor").agg(F.min(F.concat("ids", F.array("next"))).alias("ids"))
-        found = settled(best.select("anchor", F.lit(size).alias("size"), F.explode("ids").alias("tx_id")))
+    asked = settled(gaps)
+    usable = charges.withColumn("nth", first).where(F.col("nth") <= MAX_CHARGES).drop("nth")
+    usable = settled(usable.join(asked.select(*BUCKET).distinct(), BUCKET, "left_semi").select(*charges.columns))
+    single = usable.select(*BUCKET, F.array("tx_id").alias("more"), F.col("amount").alias("sum"), _cents(F.col("amount")).alias("key"))
+    # a pair takes part where some gap of its bucket is as large
+    top = asked.groupBy(*BUCKET).agg(F.max("gap").alias("top"))
+    other = usable.select(*BUCKET, F.col("tx_id").alias("next"), F.col("amount").alias("second"))
+    pair = usable.join(other, BUCKET).where(F.col("next") > F.col("tx_id")).join(top, BUCKET)
+    total = F.col("amount") + F.col("second")
+    pair = pair.where(total < F.col("top") + F.lit(MONEY).cast("decimal(4,3)")).select(*BUCKET, F.array("tx_id", "next").alias("more"), total.alias("sum"), _cents(total).alias("key"))
+    whole = asked.select(*BUCKET, "anchor", "gap", F.array().cast("array<bigint>").alias("ids"))
+    less = asked.join(usable, BUCKET).where(F.col("amount") < F.col("gap")).select(*BUCKET, "anchor", (F.col("gap") - F.col("amount")).alias("gap"), F.array("tx_id").alias("ids"))
+    out = None
+    for size, open_sums, ends in ((1, whole, single), (2, whole, pair), (3, less, pair)):
+        if out is not None:
+            open_sums = open_sums.join(out.select("anchor").distinct(), "anchor", "left_anti").select(*open_sums.columns)
+        after = (F.size("ids") == 0) | (F.get("more", F.lit(0)) > F.try_element_at("ids", F.lit(-1)))
+        met = open_sums.withColumn("key", _around(_cents(F.col("gap")))).join(ends, [*BUCKET, "key"]).where(after & _near(F.col("gap"), F.col("sum")))
+        best = met.groupBy(*BUCKET, "anchor").agg(F.min(F.concat("ids", "more")).alias("ids"))
+        found = settled(best.select(*BUCKET, "anchor", F.lit(size).alias("size"), F.explode("ids").alias("tx_id")))
         out = found if out is None else out.unionByName(found)
-        if size < MAX_CHARGES:
-            rest = open_sums.join(found.select("anchor"), "anchor", "left_anti").join(last.drop("key"), BUCKET)
-            rest = rest.where(after & (F.col("more") < F.col("gap")))
-            open_sums = rest.select(*BUCKET, "anchor", (F.col("gap") - F.col("more")).alias("gap"), F.concat("ids", F.array("next")).alias("ids"))
     return out
 
 
@@ -252,7 +250,7 @@ def _charge_claims(postings: DataFrame, free: DataFrame, links: DataFrame) -> Da
     gap = F.abs("settlement_amount").cast("decimal(28,6)") - F.coalesce("spent", F.lit(0).cast("decimal(28,6)"))
     gaps = bought.select(*BUCKET, F.col("tx_id").alias("anchor"), gap.alias("gap")).where("gap > 0")
     charges = free.where(_is_charge()).select(*BUCKET, "tx_id", F.abs("quantity").alias("amount"))
-    taken = first_come(explaining_charges(gaps, charges), ["size", "anchor"], "tx_id")
+    taken = first_come(explaining_charges(gaps, charges), ["size", "anchor"], "tx_id", within=BUCKET)
     return taken.select("tx_id", "anchor", F.lit(None).cast("string").alias("resolved"))
 
 

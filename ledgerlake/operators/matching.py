@@ -54,11 +54,11 @@ def match_transfers(sides: DataFrame) -> DataFrame:
     """
     found = settled(candidates(sides))
     left, right = ["user_id", "instrument_id", "from_group_id"], ["user_id", "instrument_id", "to_group_id"]
-    named = best_first(found.where("pointer").withColumn("distance", F.lit(0).cast("long")), left, right, ["distance", "days"], refuse_ties=True)
+    named = best_first(found.where("pointer").withColumn("distance", F.lit(0).cast("long")), left, right, ["distance", "days"], refuse_ties=True, within=["user_id", "instrument_id"])
     rest = found.where("distance is not null").withColumn("distance", F.col("distance").cast("long"))
     for keys in (left, right):
         rest = rest.join(named.select(*keys).distinct(), keys, "left_anti").select(*found.columns)
-    near = best_first(rest, left, right, ["distance", "days"], refuse_ties=True)
+    near = best_first(rest, left, right, ["distance", "days"], refuse_ties=True, within=["user_id", "instrument_id"])
     columns = ["user_id", "instrument_id", "from_group_id", "to_group_id"]
     return named.select(*columns, F.lit("POINTER").alias("method")).unionByName(near.select(*columns, F.lit("REFERENCE").alias("method")))
 

@@ -513,7 +513,7 @@ def g8_deposit_runs(x):
 def g10_explaining_charges(x):
     charges = x["statements"].where("array_contains(tx_types, 'TRANSACTION_COST')").select(*grouping.BUCKET, "tx_id", F.abs("quantity").alias("amount"))
     gaps = x["statements"].where("settlement_amount is not null and quantity > 0").select(*grouping.BUCKET, F.col("tx_id").alias("anchor"), (F.col("settlement_amount") - 50 + F.col("tx_id") % 3).cast("decimal(28,6)").alias("gap"))
-    return grouping.explaining_charges(gaps, charges)
+    return grouping.explaining_charges(gaps, charges).select("anchor", "size", "tx_id")
 
 
 def g11_membership_diff(x):

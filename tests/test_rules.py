@@ -228,3 +228,35 @@ def test_options_are_restated_from_the_name_in_force_or_not_at_all(spark):
     odd = identifiers.withColumn("value", F.when(F.col("instrument_id") == 1, "NEW001027C00400000").otherwise(F.col("value")))
     huge = instruments.withColumn("strike", F.when(F.col("instrument_id") == 1, F.lit("900000").cast("decimal(18,6)")).otherwise(F.col("strike")))
     assert {r["event_type"] for r in splits.option_faults(pending.where("instrument_id = 1"), huge, odd).collect()} == {"NO_SUCH_SYMBOL"}
+
+
+def test_a_long_chain_and_large_sets_need_few_rounds(spark, monkeypatch):
+    from ledgerlake.operators import rounds
+
+    counted = []
+    settle = rounds.settled
+    monkeypatch.setattr(rounds, "settled", lambda df: counted.append(1) or settle(df))
+    chain = spark.range(20_000).selectExpr("(id + 1) div 2 AS a", "id div 2 AS b", "id AS e", "id % 1 AS user")  # each pair competes with the next
+    want = {(i, i) for i in range(10_000)}
+    found = rounds.best_first(chain, ["a"], ["b"], ["e"], within=["user"])
+    assert {(r["a"], r["b"]) for r in found.collect()} == want and len(counted) < 10
+    counted.clear()
+    found = rounds.best_first(chain, ["a"], ["b"], ["e"])  # without a known bound: rounds, then components
+    assert {(r["a"], r["b"]) for r in found.collect()} == want and len(counted) < 60
+
+
+def test_walks_rounds_and_components_agree(spark, monkeypatch):
+    from ledgerlake.operators import rounds
+
+    rnd = random.Random(4)
+    rows = list({(u, a, b): (u, a, b, rnd.randrange(5)) for u in range(3) for a in range(40) for b in rnd.sample(range(40), 4 if u else 1)}.values())
+    df = spark.createDataFrame([(u, u * 100 + a, u * 100 + b, e) for u, a, b, e in rows], "u int, a int, b int, e int")
+    sets = spark.createDataFrame(list({(u, a % 17, u * 100 + b) for u, a, b, _ in rows}), "u int, s int, i int")
+    results = set()
+    for most in (1_000_000, 100, 1):
+        monkeypatch.setattr(rounds, "WALK_ROWS", most)
+        for refuse in (False, True):
+            pairs = frozenset(tuple(r) for r in rounds.best_first(df, ["a"], ["b"], ["e"], refuse, within=["u"]).collect())
+            results.add((refuse, pairs))
+        results.add(("sets", frozenset(tuple(r) for r in rounds.first_come(sets, ["u", "s"], "i", within=["u"]).collect())))
+    assert len(results) == 3 and all(rows for _, rows in results)
