@@ -250,6 +250,93 @@ def _both(old: str, new: str) -> str:
     return f"SELECT 'removed' AS change, * FROM (({old}) EXCEPT ALL ({new})) UNION ALL SELECT 'added', * FROM (({new}) EXCEPT ALL ({old}))"
 
 
+def _walk(name: str, candidates: str, order: str) -> str:
+    """Steps that take candidates (k, a, c: set and sides) one after another, each side once; the last has the pairs taken."""
+    return f"""{name}_ordered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {order}) AS n FROM ({candidates})),
+{name}_walk AS (
+  SELECT DISTINCT k, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS c, false AS won FROM {name}_ordered
+  UNION ALL
+  SELECT k, n, CASE WHEN free THEN list_concat(used, [a, c]) ELSE used END, a, c, free
+  FROM (SELECT w.k, o.n, w.used, o.a, o.c, NOT list_contains(w.used, o.a) AND NOT list_contains(w.used, o.c) AS free FROM {name}_walk w JOIN {name}_ordered o ON o.k = w.k AND o.n = w.n + 1)
+), {name} AS (SELECT k, a, c FROM {name}_walk WHERE won)"""
+
+
+#: Statements with what the rules ask of them; ``gap`` is the least distance of two rows' references of one label.
+ASKED = """s AS (
+  SELECT *, concat_ws('|', user_id, broker, account, order_date) AS k, NOT list_contains(tx_types, 'TRADE_ASSET') AS money, list_contains(tx_types, 'TRADE_CASH') AS may_cash, tx_types = ['TRADE_CASH'] AS must_cash,
+         abs(quantity * unit_price) AS worth FROM statements WHERE quantity <> 0
+), refs AS (SELECT tx_id, label, ordinal, ordinal_span, position FROM evidence WHERE list_contains(matches, 'ORDINAL') AND ordinal IS NOT NULL
+), gap AS (
+  SELECT p.tx_id AS a, q.tx_id AS c, min(abs(y.ordinal - x.ordinal)) AS distance FROM s p JOIN s q ON p.k = q.k AND p.tx_id <> q.tx_id JOIN refs x ON x.tx_id = p.tx_id JOIN refs y ON y.tx_id = q.tx_id AND y.label = x.label GROUP BY ALL)"""
+
+
+def _traded(name: str, free: str, buys: bool) -> str:
+    """A purchase's or sale's pairs among the rows ``free``."""
+    fits = "abs(x.settlement_amount) - abs(y.quantity) > -0.005" if buys else "abs(abs(x.settlement_amount) - abs(y.quantity)) < 0.005"
+    sides = "x.quantity > 0 AND y.quantity < 0" if buys else "x.quantity < 0 AND y.quantity > 0"
+    candidates = f"""SELECT x.k, x.tx_id AS a, y.tx_id AS c, coalesce(distance, 9223372036854775807) AS distance FROM {free} x JOIN {free} y ON x.k = y.k LEFT JOIN gap g ON g.a = x.tx_id AND g.c = y.tx_id
+  WHERE NOT x.money AND x.settlement_amount IS NOT NULL AND y.money AND y.may_cash AND {sides} AND {fits} AND (coalesce(x.worth, 0) = 0 OR abs(abs(y.quantity) - x.worth) * 10000 <= x.worth * 75)"""
+    return _walk(name, candidates, "distance, a, c")
+
+
+def _left(name: str, free: str, taken: str) -> str:
+    return f"{name} AS (SELECT * FROM {free} WHERE tx_id NOT IN (SELECT a FROM {taken} UNION ALL SELECT c FROM {taken}))"
+
+
+#: Sales, purchases and opposite cash, each of what the ones before leave.
+TRADES = ",\n".join([
+    ASKED, _traded("sold", "s", False), _left("after_sold", "s", "sold"), _traded("bought", "after_sold", True), _left("after_bought", "after_sold", "bought"),
+    _walk("swapped", """SELECT x.k, x.tx_id AS a, y.tx_id AS c, coalesce(distance, 9223372036854775807) AS distance FROM after_bought x JOIN after_bought y ON x.k = y.k AND x.quantity = -y.quantity LEFT JOIN gap g ON g.a = x.tx_id AND g.c = y.tx_id
+  WHERE x.quantity < 0 AND x.money AND y.money AND x.must_cash AND y.must_cash""", "distance, a, c"),
+])
+
+
+def _deposits(free: str) -> str:
+    """Openers one after another; each takes the first free spending and the first free arrival of its amount within its span."""
+    return f"""placed AS (
+  SELECT r.*, concat_ws('|', user_id, broker, account) AS acc, o.ordinal, o.ordinal_span, o.label, len(list_filter(tx_types, lambda t: t IN ('TRANSFER', 'TRANSFER_EXTERNAL', 'TRANSFER_INTERNAL'))) AS transfers
+  FROM {free} r LEFT JOIN refs o ON o.tx_id = r.tx_id WHERE money),
+reach AS (
+  SELECT a.acc, a.ordinal AS from_ordinal, a.tx_id AS opener, b.quantity < 0 AS spending, list(b.tx_id ORDER BY b.ordinal, b.tx_id) AS steps
+  FROM placed a JOIN placed b ON a.acc = b.acc AND a.label = b.label AND b.ordinal > a.ordinal AND b.ordinal <= a.ordinal + a.ordinal_span AND abs(abs(b.quantity) - a.quantity) < 0.005
+  WHERE a.quantity > 0 AND a.transfers = len(a.tx_types) AND NOT (b.quantity > 0 AND b.transfers = len(b.tx_types)) AND (b.may_cash OR b.transfers > 0) GROUP BY ALL),
+openers AS (SELECT acc, opener, max(steps) FILTER (spending) AS spends, max(steps) FILTER (NOT spending) AS arrivals, row_number() OVER (PARTITION BY acc ORDER BY from_ordinal, opener) AS n FROM reach GROUP BY acc, opener, from_ordinal),
+run_walk AS (
+  SELECT DISTINCT acc, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS opener, CAST(NULL AS BIGINT) AS spend, CAST(NULL AS BIGINT) AS arrival FROM openers
+  UNION ALL
+  SELECT acc, n, list_concat(used, list_filter([spend, arrival], lambda x: x IS NOT NULL)), opener, spend, arrival
+  FROM (SELECT w.acc, o.n, w.used, o.opener, list_filter(o.spends, lambda x: NOT list_contains(w.used, x))[1] AS spend, list_filter(o.arrivals, lambda x: NOT list_contains(w.used, x))[1] AS arrival
+        FROM run_walk w JOIN openers o ON o.acc = w.acc AND o.n = w.n + 1)
+), runs AS (SELECT opener, spend, arrival FROM run_walk WHERE spend IS NOT NULL OR arrival IS NOT NULL)"""
+
+
+#: Postings that hold a token that others hold too, and those that point at one such set.
+TOKENS = """said AS (SELECT e.*, t.user_id, t.broker FROM evidence e JOIN statements t ON t.tx_id = e.tx_id WHERE e.scope = 'BROKER'),
+exact AS (SELECT tx_id, min(tx_id) OVER (PARTITION BY label, token, user_id, broker) AS anchor FROM said WHERE list_contains(matches, 'EXACT') QUALIFY count(*) OVER (PARTITION BY label, token, user_id, broker) > 1),
+attached AS (
+  SELECT p.tx_id, min(h.tx_id) AS anchor FROM said p JOIN said h ON h.label = p.label AND h.token = p.token AND h.user_id = p.user_id AND h.broker = p.broker AND h.tx_id <> p.tx_id AND list_contains(h.matches, 'EXACT')
+  WHERE list_contains(p.matches, 'ATTACHES') GROUP BY ALL)"""
+#: All seven rules in order. An account-day of the statements is one customer's, so no two purchases want one charge.
+PARTITION = ",\n".join([
+    TOKENS, TRADES.replace("FROM statements WHERE quantity <> 0", "FROM statements WHERE quantity <> 0 AND tx_id NOT IN (SELECT tx_id FROM exact)"), _left("after_trades", "after_bought", "swapped"), _deposits("after_trades"),
+    """claimed AS (
+  SELECT tx_id, anchor, 'exact' AS rule, NULL AS kind FROM exact
+  UNION ALL SELECT unnest([a, c]), a, 'disposal', unnest(['TRADE_ASSET', 'TRADE_CASH']) FROM sold UNION ALL SELECT unnest([a, c]), a, 'acquisition', unnest(['TRADE_ASSET', 'TRADE_CASH']) FROM bought
+  UNION ALL SELECT unnest([a, c]), a, 'cash_trade', 'TRADE_CASH' FROM swapped
+  UNION ALL SELECT r.leg, opener, 'deposit_run', CASE WHEN p.transfers > 0 THEN 'TRANSFER' END FROM (SELECT opener, unnest([opener, spend, arrival]) AS leg FROM runs) r JOIN placed p ON p.tx_id = r.leg
+), with_bearers AS (SELECT * FROM claimed UNION ALL SELECT a.tx_id, e.anchor, 'attaches', NULL FROM attached a JOIN exact e ON e.tx_id = a.anchor WHERE a.tx_id NOT IN (SELECT tx_id FROM claimed)
+), charges AS (SELECT s.*, abs(quantity) AS amount FROM s WHERE len(list_filter(tx_types, lambda t: t NOT IN ('TRANSACTION_COST', 'HOLDING_COST'))) = 0 AND tx_id NOT IN (SELECT tx_id FROM with_bearers)
+), owed AS (SELECT x.k, x.tx_id AS anchor, x.settlement_amount - coalesce(abs(y.quantity), 0) AS gap FROM s x LEFT JOIN bought b ON b.a = x.tx_id LEFT JOIN s y ON y.tx_id = b.c WHERE NOT x.money AND x.settlement_amount IS NOT NULL AND x.quantity > 0
+), sums AS (
+  SELECT anchor, 1 AS size, [a.tx_id] AS ids FROM owed g JOIN charges a USING (k) WHERE gap > 0 AND abs(gap - a.amount) < 0.005
+  UNION ALL SELECT anchor, 2, [a.tx_id, b.tx_id] FROM owed g JOIN charges a USING (k) JOIN charges b USING (k) WHERE gap > 0 AND a.tx_id < b.tx_id AND abs(gap - a.amount - b.amount) < 0.005
+  UNION ALL SELECT anchor, 3, [a.tx_id, b.tx_id, c.tx_id] FROM owed g JOIN charges a USING (k) JOIN charges b USING (k) JOIN charges c USING (k) WHERE gap > 0 AND a.tx_id < b.tx_id AND b.tx_id < c.tx_id AND abs(gap - a.amount - b.amount - c.amount) < 0.005
+), best AS (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY size, ids) = 1
+), all_claims AS (SELECT * FROM with_bearers UNION ALL SELECT unnest(ids), anchor, 'charge', NULL FROM best)""",
+])
+OWN_TYPE = "CASE WHEN len(tx_types) = 1 THEN tx_types[1] WHEN len(list_filter(tx_types, lambda t: t NOT IN ('INTEREST', 'DIVIDEND'))) = 0 THEN 'INCOME' ELSE 'AMBIGUOUS' END"
+
+
 #: By query: the views it needs, its steps and its last statement.
 PARTS: dict[str, tuple[str, list[str], str]] = {
     "a1_holdings": ("instruments postings splits", [ADJUSTED], f"SELECT user_id, broker, account, instrument_id, coalesce(name, max(description)) AS name, {shown('sum(own)', 'quantity')} FROM adjusted LEFT JOIN (SELECT instrument_id, name FROM instruments) USING (instrument_id) WHERE account_type = 'USER' AND order_date <= DATE '{AS_OF}' GROUP BY user_id, broker, account, instrument_id, name {OPEN}"),
@@ -362,6 +449,10 @@ steps AS (
     OR a.label = b.label AND a.token = b.token AND (list_contains(a.matches, 'EXACT') OR list_contains(a.matches, 'ATTACHES')) AND list_contains(b.matches, 'EXACT') AND (a.scope <> 'ACCOUNT' OR a.account = b.account)
     OR a.label = b.label AND a.account = b.account AND b.ordinal BETWEEN a.ordinal - a.ordinal_span AND a.ordinal + a.ordinal_span)),
 reach AS (SELECT tx_id FROM statements WHERE tx_id % 10000 = 108 UNION SELECT other FROM reach JOIN steps USING (tx_id))"""], "SELECT tx_id FROM reach"),
+    "g0_partition": ("statements evidence", [PARTITION], f"SELECT t.tx_id, CASE WHEN anchor IS NULL AND t.tx_id NOT IN (SELECT anchor FROM all_claims) THEN t.tx_id ELSE min(t.tx_id) OVER (PARTITION BY coalesce(anchor, t.tx_id)) END AS event_id, rule, coalesce(kind, {OWN_TYPE}) AS resolved FROM statements t LEFT JOIN all_claims c ON c.tx_id = t.tx_id"),
+    "g8_deposit_runs": ("statements evidence", [ASKED, _deposits("s")], "SELECT opener AS opener_tx_id, spend AS spend_tx_id, arrival AS arrival_tx_id FROM runs"),
+    "g9_attached_bearers": ("statements evidence", [TOKENS], "SELECT tx_id, anchor FROM attached"),
+    "g3_trade_pairs": ("statements evidence", [TRADES], "SELECT a AS asset_tx_id, c AS cash_tx_id, 'disposal' AS rule FROM sold UNION ALL SELECT a, c, 'acquisition' FROM bought UNION ALL SELECT a, c, 'cash_trade' FROM swapped"),
     "g10_explaining_charges": ("statements", ["""charges AS (SELECT user_id, broker, account, order_date, tx_id, abs(quantity) AS amount FROM statements WHERE list_contains(tx_types, 'TRANSACTION_COST')),
 gaps AS (SELECT user_id, broker, account, order_date, tx_id AS anchor, settlement_amount - 50 + tx_id % 3 AS gap FROM statements WHERE settlement_amount IS NOT NULL AND quantity > 0),
 sums AS (
@@ -419,5 +510,5 @@ def oracle_sql() -> dict[str, str]:
         if name == "g15_apply_partition":
             body = body.replace("WITH valued", f"WITH {MOVED}, valued", 1)
         text = with_views(views.split(), body) if views else body
-        out[name] = f"WITH RECURSIVE{text[4:]}" if TRANSFERS in steps or name in ("g1_neighbourhood", "i7_ensure_instruments") else text
+        out[name] = f"WITH RECURSIVE{text[4:]}" if "_walk AS" in text or TRANSFERS in steps or name in ("g1_neighbourhood", "i7_ensure_instruments") else text
     return out

@@ -510,6 +510,12 @@ def g8_deposit_runs(x):
     return grouping.deposit_runs(rows)
 
 
+def g9_attached_bearers(x):
+    claims = grouping.exact_claims(x["statements"], x["evidence"])
+    free = x["statements"].join(claims.select("tx_id"), "tx_id", "left_anti")
+    return grouping.attach_bearers(x["statements"], free, x["evidence"], claims.select("tx_id", "anchor")).select("tx_id", "anchor")
+
+
 def g10_explaining_charges(x):
     charges = x["statements"].where("array_contains(tx_types, 'TRANSACTION_COST')").select(*grouping.BUCKET, "tx_id", F.abs("quantity").alias("amount"))
     gaps = x["statements"].where("settlement_amount is not null and quantity > 0").select(*grouping.BUCKET, F.col("tx_id").alias("anchor"), (F.col("settlement_amount") - 50 + F.col("tx_id") % 3).cast("decimal(28,6)").alias("gap"))
