@@ -337,6 +337,61 @@ PARTITION = ",\n".join([
 OWN_TYPE = "CASE WHEN len(tx_types) = 1 THEN tx_types[1] WHEN len(list_filter(tx_types, lambda t: t NOT IN ('INTEREST', 'DIVIDEND'))) = 0 THEN 'INCOME' ELSE 'AMBIGUOUS' END"
 
 
+def _compared(name: str, role: str, hints: bool) -> str:
+    """Verdicts of every answer, field by field, on the identifiers of ``role`` and, with ``hints``, on the stated currency and type."""
+    plain = """SELECT key, plugin_id, 'Currency' AS field, want_currency AS hint, currency AS found, CASE WHEN want_currency = '' OR currency = '' THEN 'SILENT' WHEN lower(want_currency) = lower(currency) THEN 'AGREES' ELSE 'CONTRADICTS' END AS verdict FROM ans
+  UNION ALL SELECT key, plugin_id, 'SecurityType', want_type, asset_class, CASE WHEN want_type IN ('', 'UNKNOWN') OR asset_class IN ('', 'UNKNOWN') THEN 'SILENT' WHEN lower(want_type) = lower(asset_class) THEN 'AGREES' ELSE 'CONTRADICTS' END FROM ans
+  UNION ALL """
+    return f"""{name} AS (
+  {plain if hints else ""}SELECT a.key, plugin_id, 'Exchange' AS field, coalesce(first, '') AS hint, mic AS found, CASE WHEN op = '' OR doms IS NULL THEN 'SILENT' WHEN list_contains(doms, op) THEN 'AGREES' ELSE 'CONTRADICTS' END AS verdict
+  FROM ans a LEFT JOIN (SELECT key, min_by(domain, place) AS first, list(dom) AS doms FROM hid WHERE role = '{role}' AND type = 'MIC_TICKER' AND dom <> '' GROUP BY key) t ON t.key = a.key
+  UNION ALL SELECT key, plugin_id, type, value, coalesce(same, ''), CASE WHEN same IS NULL THEN 'SILENT' WHEN same = value THEN 'AGREES' ELSE 'CONTRADICTS' END
+  FROM (SELECT a.key, a.plugin_id, h.type, h.value, (SELECT min_by(i.value, i.place) FROM aid i WHERE i.key = a.key AND i.plugin_id = a.plugin_id AND i.type = h.type AND i.dom = h.dom) AS same FROM ans a JOIN hid h ON h.key = a.key AND h.role = '{role}'))"""
+
+
+def _filled_from(more: str) -> str:
+    """Blanks of ``d`` filled from ``more``, if there is one."""
+    mic = f"CASE WHEN d.mic = '' AND coalesce({more}.mic, '') <> '' AND (d.country = '' OR coalesce({more}.op_country, '') = '' OR lower(d.country) = {more}.op_country) THEN {more}.mic ELSE d.mic END"
+    op = f"(SELECT lower(coalesce(max(operating_mic), '')) FROM venues q WHERE q.mic = {mic})"
+    rest = ", ".join(f"CASE WHEN d.{c} = '' THEN coalesce({more}.{c}, '') ELSE d.{c} END AS {c}" for c in ("country", "name", "cik", "sic_code"))
+    return f"{mic} AS mic, CASE WHEN d.currency = '' AND ({mic} = '' OR {op} = {more}.op) THEN coalesce({more}.currency, '') ELSE d.currency END AS currency, {rest}"
+
+
+#: The answers of every key compared, a winner, those that can be of its instrument, and two steps of filling blanks.
+ANSWERED = ",\n".join([
+    """ans AS (
+  SELECT a.* EXCLUDE (sic_code), coalesce(sic_code, '') AS sic_code, s.currency AS want_currency, s.security_type AS want_type, lower(coalesce(v.operating_mic, a.mic)) AS op, lower(a.country) AS cty, lower(v.country_code) AS op_country
+  FROM answers a JOIN asked s ON s.key = a.key LEFT JOIN venues v ON v.mic = a.mic WHERE error IS NULL),
+aid AS (SELECT i.* EXCLUDE (domain), coalesce(domain, '') AS domain, lower(CASE WHEN type = 'MIC_TICKER' THEN coalesce(operating_mic, domain, '') ELSE coalesce(domain, '') END) AS dom FROM answer_ids i LEFT JOIN venues v ON v.mic = i.domain WHERE type <> 'UNDERLYING'),
+hid AS (SELECT i.* EXCLUDE (domain), coalesce(domain, '') AS domain, lower(CASE WHEN type = 'MIC_TICKER' THEN coalesce(operating_mic, domain, '') ELSE coalesce(domain, '') END) AS dom FROM asked_ids i LEFT JOIN venues v ON v.mic = i.domain)""",
+    _compared("on_stated", "stated", True), _compared("on_proposed", "proposed", False),
+    """tiers AS (
+  SELECT a.key, a.plugin_id, precedence, CASE WHEN s.clear AND s.agrees THEN 0 WHEN s.clear AND p.clear AND p.agrees THEN 1 ELSE 2 END AS tier FROM ans a
+  JOIN (SELECT key, plugin_id, bool_and(verdict <> 'CONTRADICTS') AS clear, bool_or(verdict = 'AGREES') AS agrees FROM on_stated GROUP BY ALL) s ON s.key = a.key AND s.plugin_id = a.plugin_id
+  JOIN (SELECT key, plugin_id, bool_and(verdict <> 'CONTRADICTS') AS clear, bool_or(verdict = 'AGREES') AS agrees FROM on_proposed GROUP BY ALL) p ON p.key = a.key AND p.plugin_id = a.plugin_id
+), winners AS (SELECT a.*, tier FROM tiers t JOIN ans a ON a.key = t.key AND a.plugin_id = t.plugin_id QUALIFY row_number() OVER (PARTITION BY t.key ORDER BY tier, t.precedence, t.plugin_id) = 1
+), judged AS (
+  SELECT o.*, o.plugin_id = w.plugin_id AS won, (w.cur2 = '' OR lower(o.currency) = '' OR w.cur2 = lower(o.currency))
+    AND (o.op = '' OR (w.op = '' AND w.cty = '') OR CASE WHEN w.op <> '' THEN w.op = o.op ELSE coalesce(o.op_country, '') IN ('', w.cty) END)
+    AND (w.op = '' OR (o.op = '' AND o.cty = '') OR CASE WHEN o.op <> '' THEN w.op = o.op ELSE coalesce(w.op_country, '') IN ('', o.cty) END)
+    AND (w.cty = '' OR o.cty = '' OR w.cty = o.cty)
+    AND NOT EXISTS (SELECT 1 FROM aid x JOIN aid y ON y.key = x.key AND y.type = x.type WHERE x.key = o.key AND x.plugin_id = o.plugin_id AND y.plugin_id = w.plugin_id
+      AND ((x.type = 'MIC_TICKER' AND x.dom <> '' AND y.dom <> '' AND x.dom <> y.dom) OR (x.dom = y.dom AND x.value <> y.value))
+      AND NOT EXISTS (SELECT 1 FROM aid z WHERE z.key = x.key AND z.plugin_id = w.plugin_id AND z.type = x.type AND z.dom = x.dom AND z.value = x.value)) AS fits
+  FROM ans o JOIN (SELECT *, lower(currency) AS cur2 FROM winners) w ON w.key = o.key
+), fills AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY precedence, plugin_id) AS n FROM judged WHERE fits AND NOT won
+), once AS (SELECT d.key, d.plugin_id, d.tier, d.asset_class, """ + _filled_from("f") + """ FROM winners d LEFT JOIN fills f ON f.key = d.key AND f.n = 1
+), twice AS (SELECT d.key, d.plugin_id, d.tier, d.asset_class, """ + _filled_from("f") + """ FROM once d LEFT JOIN fills f ON f.key = d.key AND f.n = 2
+), merged_ids AS (SELECT i.key, i.type, i.domain, i.dom, i.value FROM aid i JOIN judged j ON j.key = i.key AND j.plugin_id = i.plugin_id WHERE fits OR won QUALIFY row_number() OVER (PARTITION BY i.key, i.type ORDER BY j.precedence, j.plugin_id, i.place) = 1
+), agreed AS (
+  SELECT t.key, 'Currency' AS field FROM twice t JOIN asked s ON s.key = t.key WHERE t.currency <> '' AND lower(s.currency) = lower(t.currency)
+  UNION ALL SELECT t.key, 'SecurityType' FROM twice t JOIN asked s ON s.key = t.key WHERE s.security_type NOT IN ('', 'UNKNOWN') AND lower(s.security_type) = lower(t.asset_class)
+  UNION ALL SELECT DISTINCT t.key, 'Exchange' FROM twice t JOIN hid h ON h.key = t.key AND role = 'stated' AND h.type = 'MIC_TICKER' AND h.dom <> '' LEFT JOIN venues v ON v.mic = t.mic WHERE h.dom = lower(coalesce(operating_mic, t.mic))
+  UNION ALL SELECT h.key, h.type FROM hid h JOIN merged_ids m ON m.key = h.key AND m.type = h.type AND m.dom = h.dom AND m.value = h.value WHERE role = 'stated'
+), failed AS (SELECT key, bool_or(error = 'TIMEOUT') AS late, bool_or(error <> 'NOT_IDENTIFIED') AS odd FROM answers GROUP BY ALL)""",
+])
+
+
 #: By query: the views it needs, its steps and its last statement.
 PARTS: dict[str, tuple[str, list[str], str]] = {
     "a1_holdings": ("instruments postings splits", [ADJUSTED], f"SELECT user_id, broker, account, instrument_id, coalesce(name, max(description)) AS name, {shown('sum(own)', 'quantity')} FROM adjusted LEFT JOIN (SELECT instrument_id, name FROM instruments) USING (instrument_id) WHERE account_type = 'USER' AND order_date <= DATE '{AS_OF}' GROUP BY user_id, broker, account, instrument_id, name {OPEN}"),
@@ -418,6 +473,16 @@ legs AS (SELECT t.portfolio_id, p.* FROM adjusted p JOIN touched t USING (group_
     "i6_merged_matches": ("instruments identifiers postings matches", [MERGE, "moved AS (SELECT user_id, from_group_id, to_group_id, coalesce(survivor_id, t.instrument_id) AS instrument_id FROM matches t LEFT JOIN mapping m ON m.instrument_id = t.instrument_id)"],
         "SELECT *, false AS conflict FROM moved UNION ALL SELECT *, true FROM (SELECT DISTINCT * FROM moved a WHERE (SELECT count(*) FROM moved b WHERE b.from_group_id = a.from_group_id AND b.instrument_id = a.instrument_id) > 1 OR (SELECT count(*) FROM moved b WHERE b.to_group_id = a.to_group_id AND b.instrument_id = a.instrument_id) > 1)"),
     "i6_merged_instruments": ("instruments identifiers", [MERGE], "SELECT i.instrument_id, name, coalesce(u.survivor_id, underlying_id) AS underlying_id FROM instruments i LEFT JOIN mapping u ON u.instrument_id = i.underlying_id WHERE NOT EXISTS (SELECT 1 FROM mapping m WHERE m.instrument_id = i.instrument_id AND m.survivor_id <> m.instrument_id)"),
+    "i9_outcomes": ("asked asked_ids answers answer_ids venues", [ANSWERED], "SELECT key, plugin_id, CASE WHEN won THEN 'WON' WHEN fits THEN 'SUPERSEDED' ELSE 'DISCARDED' END AS outcome FROM judged"),
+    "i9_resolved": ("asked asked_ids answers answer_ids venues", [ANSWERED], """SELECT s.key,
+    CASE WHEN t.key IS NOT NULL THEN CASE WHEN NOT EXISTS (SELECT 1 FROM hid h WHERE h.key = s.key AND role = 'stated') AND EXISTS (SELECT 1 FROM hid h WHERE h.key = s.key AND role = 'proposed') AND NOT EXISTS (SELECT 1 FROM agreed a WHERE a.key = s.key) THEN 'UNCONFIRMED' ELSE 'IDENTIFIED' END
+         WHEN f.key IS NULL THEN 'NO_PLUGIN' WHEN late THEN 'TIMEOUT' WHEN odd THEN 'ERROR' ELSE 'NOT_IDENTIFIED' END AS status,
+    t.plugin_id, CASE tier WHEN 0 THEN 'stated' WHEN 1 THEN 'proposed' WHEN 2 THEN 'precedence' END AS decided_by, asset_class, t.mic, t.country, t.currency, t.name, t.cik, t.sic_code,
+    CASE WHEN t.key IS NOT NULL THEN coalesce((SELECT string_agg(concat_ws(':', type, domain, value), '|' ORDER BY concat_ws(':', type, domain, value)) FROM merged_ids m WHERE m.key = s.key), '') END AS ids,
+    CASE WHEN t.key IS NOT NULL THEN coalesce((SELECT string_agg(field, '|' ORDER BY field) FROM agreed a WHERE a.key = s.key), '') END AS confirmed,
+    (SELECT min(b.key) FROM answer_ids u JOIN merged_ids b ON b.type = 'ISIN' AND b.value = u.value WHERE u.key = s.key AND u.plugin_id = t.plugin_id AND u.type = 'UNDERLYING' HAVING min(b.key) <> s.key) AS underlying_key
+    FROM asked s LEFT JOIN twice t ON t.key = s.key LEFT JOIN failed f ON f.key = s.key"""),
+    "i10_hint_verdicts": ("asked asked_ids answers answer_ids venues", [ANSWERED], "SELECT * FROM on_stated"),
     "i7_shared_identifiers": ("identifiers", ["shared AS (SELECT instrument_id AS b, min(instrument_id) OVER (PARTITION BY identifier_type, coalesce(domain, ''), value) AS a FROM identifiers WHERE identifier_type IN ('OPENFIGI_TICKER', 'ISIN'))"], "SELECT DISTINCT a, b FROM shared WHERE a <> b"),
     "i8_isin_check": ("identifiers", ["digits AS (SELECT instrument_id, value, reverse('3028' || substr(value, 3)) AS d FROM identifiers WHERE identifier_type = 'ISIN')", "sums AS (SELECT *, list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) * 2 - CASE WHEN CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) END)) AS total FROM digits)"], "SELECT instrument_id, value, total % 10 = 0 AND length(value) = 12 AS valid FROM sums"),
     "i14_plugin_order": (None, [], "SELECT s_name AS plugin_id, CAST(row_number() OVER (ORDER BY CASE s_suppkey WHEN 7 THEN 1 WHEN 3 THEN 2 ELSE 3 END, s_nationkey, s_name) AS INTEGER) AS precedence FROM supplier"),

@@ -11,7 +11,7 @@ from ledgerlake.functions.decimals import shown, stated
 from ledgerlake.functions.symbols import bare_ticker, is_isin, occ_padded, parse_option
 from ledgerlake.operators import declarations as decl
 from ledgerlake.functions import idtypes, texts
-from ledgerlake.operators import changes, grouping, holdings, identity, intervals, ledger, listings, matching, splits, telemetry, uploads, valuation
+from ledgerlake.operators import changes, grouping, holdings, identity, intervals, ledger, listings, matching, resolution, splits, telemetry, uploads, valuation
 from ledgerlake.sources.fixture import TODAY, Ledger
 
 AS_OF = "1999-12-31"
@@ -561,6 +561,36 @@ def t5_broker_exposure(x):
     return _amounts(top, "total")
 
 
+def _gathered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    entry = F.struct("place", "type", "domain", "value")
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["type"].alias("type"), e["domain"].alias("domain"), e["value"].alias("value"))).alias(name))
+
+
+def _asked_and_answers(x: Ledger) -> tuple[DataFrame, DataFrame, DataFrame]:
+    asked, ids, said = x["asked"], x["asked_ids"], x["answer_ids"]
+    for role in ("stated", "proposed"):
+        asked = asked.join(_gathered(ids.where(F.col("role") == role), ["key"], role), "key", "left")
+    answers = x["answers"]
+    under = said.where("type = 'UNDERLYING'").withColumn("type", F.lit("ISIN"))
+    for name, rows in (("ids", said.where("type <> 'UNDERLYING'")), ("underlying_ids", under)):
+        answers = answers.join(_gathered(rows, ["key", "plugin_id"], name), ["key", "plugin_id"], "left")
+    return asked, answers, x["venues"]
+
+
+def i9_resolved(x):
+    found = resolution.with_underlyings(resolution.resolve(*_asked_and_answers(x)))
+    ids = F.array_join(F.array_sort(F.transform("ids", lambda i: F.concat_ws(":", i["type"], i["domain"], i["value"]))), "|")
+    return found.select("key", "status", "plugin_id", "decided_by", "asset_class", *resolution.FIELDS, ids.alias("ids"), F.array_join(F.array_sort("confirmed"), "|").alias("confirmed"), "underlying_key")
+
+
+def i9_outcomes(x):
+    return resolution.resolve(*_asked_and_answers(x)).select("key", F.inline("outcomes"))
+
+
+def i10_hint_verdicts(x):
+    return resolution.hint_verdicts(*_asked_and_answers(x))
+
+
 def i14_plugin_order(x):
     suppliers = x.table("supplier")
     named = [r["s_name"] for r in suppliers.where("s_suppkey in (3, 7)").orderBy(F.desc("s_suppkey")).collect()]  # two plugins

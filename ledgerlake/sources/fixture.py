@@ -107,6 +107,23 @@ UNION ALL SELECT instrument_id, 'OCC', NULL, root || contract || lpad(CAST(CAST(
 UNION ALL SELECT instrument_id, 'OCC', NULL, CASE WHEN instrument_id % 300 = 21 THEN root || ' ADJ' ELSE root || contract || lpad(CAST(CAST(strike * 1000 AS BIGINT) AS STRING), 8, '0') END, true, CASE WHEN instrument_id % 40 = 1 THEN DATE '1998-07-01' END, NULL FROM contracts
 UNION ALL SELECT -1, 'FX_PAIR', NULL, 'EURUSD', true, NULL, NULL
 UNION ALL SELECT -2, 'FX_PAIR', NULL, 'GBPUSD', true, NULL, NULL""",
+    "asked": "SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'eur' ELSE '' END AS currency, CASE p_partkey % 3 WHEN 0 THEN 'STOCK' WHEN 1 THEN 'UNKNOWN' ELSE '' END AS security_type FROM part",
+    "asked_ids": """
+SELECT p_partkey AS key, 'stated' AS role, 0 AS place, 'MIC_TICKER' AS type, CASE p_partkey % 5 WHEN 0 THEN 'XNAS' WHEN 1 THEN 'XNGS' WHEN 2 THEN 'XLON' ELSE '' END AS domain, 'T' || CAST(p_partkey AS STRING) AS value FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, 'stated', 1, 'MIC_TICKER', 'XNYS', 'T' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 10 = 2
+UNION ALL SELECT p_partkey, 'stated', 2, 'ISIN', NULL, 'I' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 'proposed', 0, 'MIC_TICKER', 'xnas', 'T' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 7 < 3""",
+    "answers": """
+SELECT p_partkey AS key, 'plugin-' || CAST(n.i AS STRING) AS plugin_id, n.i AS precedence, CASE WHEN (p_partkey + n.i) % 6 = 0 OR p_partkey % 17 = 0 THEN 'NOT_IDENTIFIED' WHEN (p_partkey + n.i) % 13 = 0 THEN 'TIMEOUT' WHEN (p_partkey + n.i) % 19 = 0 THEN 'REFUSED' END AS error,
+       CASE (p_partkey + n.i) % 5 WHEN 0 THEN 'ETF' WHEN 1 THEN 'OPTION' ELSE 'STOCK' END AS asset_class, CASE (p_partkey * n.i) % 4 WHEN 0 THEN 'usd' WHEN 1 THEN 'EUR' ELSE '' END AS currency,
+       CASE (p_partkey + n.i * 3) % 6 WHEN 0 THEN 'XNAS' WHEN 1 THEN 'XNGS' WHEN 2 THEN 'XLON' WHEN 3 THEN 'XNYS' ELSE '' END AS mic, CASE (p_partkey + n.i) % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' ELSE '' END AS country,
+       CASE WHEN (p_partkey + n.i) % 3 > 0 THEN 'Name ' || CAST(n.i AS STRING) ELSE '' END AS name, CASE WHEN (p_partkey * n.i) % 5 > 2 THEN CAST(n.i AS STRING) ELSE '' END AS cik, CASE WHEN n.i = 3 THEN '6021' END AS sic_code
+FROM part CROSS JOIN (VALUES (1), (2), (3)) AS n(i) WHERE p_partkey % 23 > 0""",
+    "answer_ids": """
+SELECT key, plugin_id, 0 AS place, 'MIC_TICKER' AS type, mic AS domain, CASE WHEN (key + precedence) % 9 = 0 THEN 'Z' ELSE 'T' END || CAST(key AS STRING) AS value FROM answers WHERE (key + precedence) % 4 > 0
+UNION ALL SELECT key, plugin_id, 1, 'ISIN', '', CASE WHEN (key * precedence) % 8 = 5 THEN 'J' ELSE 'I' END || CAST(key AS STRING) FROM answers WHERE (key + precedence) % 3 > 0
+UNION ALL SELECT key, plugin_id, 2, 'UNDERLYING', '', 'I' || CAST(key - key % 10 AS STRING) FROM answers WHERE asset_class = 'OPTION'""",
+    "venues": "SELECT * FROM (VALUES ('XNAS', 'XNAS', 'US'), ('XNGS', 'XNAS', 'US'), ('XNYS', 'XNYS', 'US'), ('XLON', 'XLON', 'GB')) AS e(mic, operating_mic, country_code)",
     "inflation": """
 SELECT c.ccy AS currency, m.month, CAST(100 + m.n * 0.25 AS DECIMAL(18,6)) AS index_value
 FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) % 40 AS n FROM orders GROUP BY 1) m
@@ -150,7 +167,7 @@ FROM statements WHERE tx_id % 100 < 11 AND user_id % 7 <> 0
 UNION ALL SELECT tx_id, 1, 'id', CAST(floor(tx_id / 100) AS STRING), NULL, NULL, 'BROKER', CAST(1 AS BIGINT), split(CASE WHEN tx_id % 100 = 13 THEN 'ATTACHES' ELSE 'EXACT' END, ',')
 FROM statements WHERE tx_id % 100 IN (11, 12, 13)""",
 }
-DEPENDS = {"stated_prices": ["postings"], "contracts": ["instruments"], "identifiers": ["contracts"], "matches": ["postings"], "declarations": ["postings"], "correlations": ["postings"], "journal_evidence": ["journals"], "evidence": ["statements"]}
+DEPENDS = {"answer_ids": ["answers"], "stated_prices": ["postings"], "contracts": ["instruments"], "identifiers": ["contracts"], "matches": ["postings"], "declarations": ["postings"], "correlations": ["postings"], "journal_evidence": ["journals"], "evidence": ["statements"]}
 
 
 def closure(names) -> list[str]:
