@@ -41,8 +41,8 @@ def widened(width: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype="<u2" if width == 2 else "<u4").astype("<u4")
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, chunk, before, n_tokens, width, ids), one per row of ``docs``; ids end with ``end_id``."""
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", remember: bool = False) -> DataFrame:
+    """Rows (doc_id, chunk, before, n_tokens, width, ids), one per row of ``docs``; ids end with ``end_id``. With ``remember`` a worker keeps its encoder for its next task."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
@@ -55,7 +55,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
                 columns = (part.column(0), [chunk] * len(counts), ends - counts, counts, [width] * len(counts), data)
                 before = int(ends[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TOKENS)], schema=_TOKENS)
-        forget()
+        if not remember:
+            forget()
 
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return pairs.mapInArrow(freed(run), "doc_id long, chunk int, before long, n_tokens long, width int, ids binary")

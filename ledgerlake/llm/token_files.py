@@ -119,7 +119,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, id_c
     repeat a doc_id follow one another by their ids' bytes. Every document is tokenised once.
     """
     spark = docs.sparkSession
-    tokens = written(tokenised(docs, tokenizer, end_id, id_col, text_col), "tokens")
+    tokens = written(tokenised(docs, tokenizer, end_id, id_col, text_col, remember=True), "tokens")
     ids = frequency_ranks(tokens)
     by_rank = spark.createDataFrame([(bytearray(ids.tobytes()),)], "content binary")
     _write(by_rank, f"{path}/ranks")
