@@ -392,6 +392,16 @@ hid AS (SELECT i.* EXCLUDE (domain), coalesce(domain, '') AS domain, lower(CASE
 ])
 
 
+#: Pairs of cells under their headers; days by the layouts that the cells have.
+SHEETS = """heads AS (SELECT sheet, place, string_split(cell, '|') AS h FROM sheet_cells WHERE row = 0 AND cell <> ''),
+sheet_rows AS (
+  SELECT d.sheet, d.row, d.place, h, TRY_CAST(c.cell AS DECIMAL(38,18)) AS close,
+         CASE WHEN regexp_matches(trim(d.cell), '^[0-9]{4}-') THEN CAST(trim(d.cell)[1:10] AS DATE) WHEN d.cell LIKE '%/%/%' THEN CAST(strptime(d.cell, '%d/%m/%Y') AS DATE)
+              WHEN TRY_CAST(d.cell AS DOUBLE) > 1 THEN CAST(DATE '1899-12-30' + CAST(floor(TRY_CAST(d.cell AS DOUBLE)) AS INTEGER) AS DATE) END AS day
+  FROM sheet_cells d JOIN sheet_cells c ON c.sheet = d.sheet AND c.row = d.row AND c.place = d.place + 1 JOIN heads k ON k.sheet = d.sheet AND k.place = d.place
+  WHERE d.row > 0 AND d.place % 2 = 0 AND len(h) = 4 AND d.cell NOT IN ('', 'Date') AND c.cell <> '' AND d.cell NOT LIKE '#%' AND c.cell NOT LIKE '#%')"""
+
+
 #: By query: the views it needs, its steps and its last statement.
 PARTS: dict[str, tuple[str, list[str], str]] = {
     "a1_holdings": ("instruments postings splits", [ADJUSTED], f"SELECT user_id, broker, account, instrument_id, coalesce(name, max(description)) AS name, {shown('sum(own)', 'quantity')} FROM adjusted LEFT JOIN (SELECT instrument_id, name FROM instruments) USING (instrument_id) WHERE account_type = 'USER' AND order_date <= DATE '{AS_OF}' GROUP BY user_id, broker, account, instrument_id, name {OPEN}"),
@@ -544,6 +554,8 @@ UNION ALL SELECT 'day', tx_id FROM statements s WHERE EXISTS (SELECT 1 FROM stat
     "s6_ofx_datetimes": (None, ["t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '20011' ELSE strftime(o_orderdate, '%Y%m%d') || CASE WHEN o_orderkey % 3 > 0 THEN lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || '3015.000' ELSE '' END || ['', '[-5:EST]', '[+5.5:IST]', '[0:GMT]'][o_orderkey % 4 + 1] END AS stated FROM orders)"], "SELECT o_orderkey, stated, CASE WHEN length(stated) >= 8 THEN make_timestamp(CAST(stated[1:4] AS BIGINT), CAST(stated[5:6] AS BIGINT), CAST(stated[7:8] AS BIGINT), CASE WHEN stated LIKE '________3015%' OR stated LIKE '__________3015%' THEN CAST(stated[9:10] AS BIGINT) ELSE 0 END, CASE WHEN stated LIKE '__________3015%' THEN 30 ELSE 0 END, CASE WHEN stated LIKE '__________3015%' THEN 15 ELSE 0 END) - CASE WHEN stated LIKE '%EST%' THEN INTERVAL (-300) MINUTE WHEN stated LIKE '%IST%' THEN INTERVAL 330 MINUTE ELSE INTERVAL 0 MINUTE END END AS at FROM t"),
     "s7_csv_fields": (None, [], "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS key, p_name || ', the \"' || p_brand || '\"' AS name, p_type AS type FROM part"),
     "s12_derived_legs": ("postings", [], f"SELECT tx_id, settlement_currency AS currency, 'fee' AS leg, 'TRANSACTION_COST' AS tx_type, 'USER' AS account_type, CAST(-7.5 AS DOUBLE) AS quantity FROM postings WHERE tx_id % 4 = 0 UNION ALL SELECT tx_id, settlement_currency, 'reinvested', 'DIVIDEND', 'INCOME', {shown('-quantity * coalesce(unit_price, 0)', 'quantity')} FROM postings WHERE tx_type = 'DIVIDEND' AND abs(quantity * coalesce(unit_price, 0)) >= 0.005"),
+    "s19_sheet_prices": ("sheet_cells", [SHEETS], f"SELECT sheet, place AS column, h[1] AS identifier_type, h[2] AS domain, h[3] AS value, h[4] AS asset_class, day AS price_date, {shown('close', 'close')}, DATE '2001-11-30' AS share_count_basis FROM sheet_rows WHERE day IS NOT NULL AND close IS NOT NULL"),
+    "s19_sheet_warnings": ("sheet_cells", [SHEETS], "SELECT sheet, 0 AS row, place AS column, 'header' AS warning FROM heads WHERE len(h) <> 4 UNION ALL SELECT sheet, row, CASE WHEN day IS NULL THEN place ELSE place + 1 END, CASE WHEN day IS NULL THEN 'day' ELSE 'close' END FROM sheet_rows WHERE day IS NULL OR close IS NULL"),
     "s22_upload_vintage": (None, [], "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '2001-05-05' WHEN o_orderkey % 3 = 0 THEN o_orderdate WHEN o_orderkey % 2 = 0 THEN date_trunc('day', o_orderdate) - INTERVAL 1 DAY END AS vintage FROM orders"),
     "b3_weight_divergence": ("instruments postings", [WEIGHTED.split("), edges AS")[0].replace("FROM valued)", "FROM candidates)").replace("valued AS (", "valued AS (", 1).replace("), weighted AS", "), candidates AS (SELECT * EXCLUDE (tx_type), unnest(CASE WHEN tx_id % 3 = 0 THEN [tx_type, 'TRADE_ASSET'] ELSE ['TRADE_ASSET', 'TRADE_CASH', 'TRANSFER_INTERNAL'] END) AS tx_type, unnest(CASE WHEN tx_id % 3 = 0 THEN [0, 1] ELSE [0, 1, 2] END) AS place FROM valued WHERE tx_id % 3 < 2), weighted AS") + ")"], "SELECT a.tx_id, a.tx_type AS first_type, arg_min(b.tx_type, b.place) AS other_type FROM weighted a JOIN weighted b ON a.tx_id = b.tx_id AND a.place = 0 AND (a.weight <> b.weight OR a.commodity <> b.commodity) GROUP BY ALL"),
     "b7_routed_legs": ("instruments postings", [WEIGHTED], f"SELECT group_id, user_id, broker, account, order_date, trade_date, tx_type, c.account_type, CASE WHEN commodity LIKE 'cur:%' THEN (SELECT min(i.instrument_id) FROM instruments i WHERE i.asset_class = 'CASH' AND i.currency = commodity[5:]) ELSE (SELECT arg_min(w.instrument_id, (w.order_date, w.tx_id)) FROM weighted w WHERE w.group_id = c.group_id AND w.commodity = c.commodity AND w.account_type = 'USER') END AS instrument_id, CASE WHEN commodity LIKE 'cur:%' THEN commodity[5:] ELSE (SELECT arg_min(w.description, (w.order_date, w.tx_id)) FROM weighted w WHERE w.group_id = c.group_id AND w.commodity = c.commodity AND w.account_type = 'USER') END AS description, {shown('amount', 'quantity')}, commodity FROM closing c JOIN (SELECT * EXCLUDE (account_type, quantity, description, instrument_id) FROM postings WHERE account_type = 'USER' QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY order_date, tx_id) = 1) p USING (group_id)"),

@@ -12,6 +12,7 @@ from ledgerlake.functions.symbols import bare_ticker, is_isin, occ_padded, parse
 from ledgerlake.operators import declarations as decl
 from ledgerlake.functions import idtypes, texts
 from ledgerlake.operators import changes, grouping, holdings, identity, intervals, ledger, listings, matching, resolution, splits, telemetry, uploads, valuation
+from ledgerlake.sources import sheets
 from ledgerlake.sources.fixture import TODAY, Ledger
 
 AS_OF = "1999-12-31"
@@ -614,6 +615,21 @@ def s12_derived_legs(x):
     return _amounts(uploads.derived_legs(rows), "quantity")
 
 
+def _sheets(x: Ledger) -> tuple[DataFrame, DataFrame]:
+    cells = F.map_from_entries(F.collect_list(F.struct("place", "cell")))
+    rows = x["sheet_cells"].groupBy("sheet", "row").agg(cells.alias("held"), F.max("place").alias("last"))
+    grid = rows.select("sheet", "row", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.try_element_at("held", i)).alias("cells"))
+    return sheets.read_grid(grid, "2001-11-30")
+
+
+def s19_sheet_prices(x):
+    return _amounts(_sheets(x)[0], "close")
+
+
+def s19_sheet_warnings(x):
+    return _sheets(x)[1]
+
+
 def s22_upload_vintage(x):
     stated = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate"))
     before = F.when(F.col("o_orderkey") % 2 == 0, F.to_date("o_orderdate"))

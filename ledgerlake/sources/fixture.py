@@ -124,6 +124,14 @@ SELECT key, plugin_id, 0 AS place, 'MIC_TICKER' AS type, mic AS domain, CASE WHE
 UNION ALL SELECT key, plugin_id, 1, 'ISIN', '', CASE WHEN (key * precedence) % 8 = 5 THEN 'J' ELSE 'I' END || CAST(key AS STRING) FROM answers WHERE (key + precedence) % 3 > 0
 UNION ALL SELECT key, plugin_id, 2, 'UNDERLYING', '', 'I' || CAST(key - key % 10 AS STRING) FROM answers WHERE asset_class = 'OPTION'""",
     "venues": "SELECT * FROM (VALUES ('XNAS', 'XNAS', 'US'), ('XNGS', 'XNAS', 'US'), ('XNYS', 'XNYS', 'US'), ('XLON', 'XLON', 'GB')) AS e(mic, operating_mic, country_code)",
+    "sheet_cells": """
+SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS sheet, 0 AS row, CAST(p_partkey % 50 * 2 AS INT) AS place, CASE p_partkey % 13 WHEN 0 THEN '' WHEN 1 THEN 'MIC_TICKER|XNAS|T1' ELSE 'MIC_TICKER|XNAS|T' || CAST(p_partkey AS STRING) || '|STOCK' END AS cell FROM part
+UNION ALL SELECT CAST(floor(l_partkey / 50) AS BIGINT), CAST(l_suppkey % 40 + 1 AS INT), CAST(l_partkey % 50 * 2 AS INT),
+       min(CASE l_suppkey % 7 WHEN 0 THEN substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 10) WHEN 1 THEN ' ' || substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 10) || ' 16:00:00' WHEN 2 THEN 'Date'
+         WHEN 3 THEN CAST(35000 + l_suppkey % 900 AS STRING) || '.6667' WHEN 4 THEN substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 9, 2) || '/' || substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 6, 2) || '/' || substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 4) WHEN 5 THEN '#N/A' ELSE 'soon' END)
+FROM lineitem GROUP BY CAST(floor(l_partkey / 50) AS BIGINT), CAST(l_suppkey % 40 + 1 AS INT), CAST(l_partkey % 50 * 2 AS INT)
+UNION ALL SELECT CAST(floor(l_partkey / 50) AS BIGINT), CAST(l_suppkey % 40 + 1 AS INT), CAST(l_partkey % 50 * 2 + 1 AS INT), min(CASE l_suppkey % 11 WHEN 0 THEN '#ERROR!' WHEN 1 THEN 'n/a' WHEN 2 THEN '1.5E1' WHEN 3 THEN '' ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) END)
+FROM lineitem GROUP BY CAST(floor(l_partkey / 50) AS BIGINT), CAST(l_suppkey % 40 + 1 AS INT), CAST(l_partkey % 50 * 2 + 1 AS INT)""",
     "inflation": """
 SELECT c.ccy AS currency, m.month, CAST(100 + m.n * 0.25 AS DECIMAL(18,6)) AS index_value
 FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) % 40 AS n FROM orders GROUP BY 1) m
