@@ -10,27 +10,28 @@ from itertools import chain, groupby
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that spark.checkpoint.dir names: lineage ends there, and with it what the planner infers from round to round.
-
-    A local session without such a folder gets a temporary one.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A path that no other run uses, in the folder that spark.checkpoint.dir names; a local session without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/ledgerlake/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/ledgerlake/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a table in a new folder: lineage ends there, and with it what the planner infers from round to round."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows of one closed set that a task walks through; larger sets are decided in rounds until they have fallen apart.

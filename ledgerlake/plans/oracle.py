@@ -392,6 +392,9 @@ hid AS (SELECT i.* EXCLUDE (domain), coalesce(domain, '') AS domain, lower(CASE
 ])
 
 
+#: Bars with what the import of e5 finds wrong with them.
+SPOILT = """spoilt AS (SELECT p.*, b.identifier_type, b.domain, b.value, i.asset_class, i.currency, day(price_date) = 13 AS bad_day, CAST(close AS VARCHAR) LIKE '%1.00' AS bad_close, CAST(close AS VARCHAR) LIKE '%2.00' AS bad_volume, i.currency = 'EUR' AS bad_name
+  FROM bars p JOIN best b ON b.instrument_id = p.instrument_id JOIN instruments i ON i.instrument_id = p.instrument_id)"""
 #: Pairs of cells under their headers; days by the layouts that the cells have.
 SHEETS = """heads AS (SELECT sheet, place, string_split(cell, '|') AS h FROM sheet_cells WHERE row = 0 AND cell <> ''),
 sheet_rows AS (
@@ -507,6 +510,14 @@ legs AS (SELECT t.portfolio_id, p.* FROM adjusted p JOIN touched t USING (group_
     "f15_fetch_windows": ("postings", [], f"SELECT user_id, broker, greatest(max(order_date) - 30, DATE '1999-06-01') AS from_date, DATE '{TODAY}' AS before_date FROM postings WHERE account_type = 'USER' GROUP BY user_id, broker HAVING greatest(max(order_date) - 30, DATE '1999-06-01') < DATE '{TODAY}'"),
     "e1_export_prices": ("bars identifiers coverage", [BEST], f"SELECT instrument_id, identifier_type, value, price_date, {shown('close', 'close')}, nullif(share_count_basis, price_date) AS share_count_basis FROM bars JOIN best USING (instrument_id) UNION ALL SELECT instrument_id, identifier_type, value, NULL, NULL, NULL FROM best WHERE instrument_id IN (SELECT instrument_id FROM coverage) AND instrument_id NOT IN (SELECT instrument_id FROM bars)"),
     "e3_export_windows": ("postings", [], "SELECT user_id, broker, min(order_date) AS period_from, max(order_date) + 1 AS period_before, count(*) AS n_postings FROM postings WHERE account_type = 'USER' GROUP BY ALL"),
+    "s3_archive_prices": ("bars identifiers instruments", [BEST], f"SELECT b.identifier_type, coalesce(b.domain, '') AS domain, b.value, asset_class, currency, price_date, {shown('close', 'close')}, share_count_basis FROM bars JOIN best b USING (instrument_id) JOIN instruments i USING (instrument_id)"),
+    "s3_archive_splits": ("splits identifiers instruments", [BEST], f"SELECT b.identifier_type, coalesce(b.domain, '') AS domain, b.value, ex_date, {shown('split_from', 'split_from')}, {shown('split_to', 'split_to')} FROM splits JOIN best b USING (instrument_id)"),
+    "e5_import_status": ("bars splits inflation identifiers instruments", [BEST, SPOILT], """SELECT 'PRICES' AS part, count(*) AS rows, count(*) FILTER (n = 0) AS accepted, CAST(sum(n) AS BIGINT) AS errors FROM (SELECT *, bad_day::INT + bad_close::INT + bad_volume::INT + bad_name::INT AS n FROM spoilt)
+  UNION ALL SELECT 'CORPORATE_EVENTS', count(*), count(*), 0 FROM splits JOIN best USING (instrument_id) UNION ALL SELECT 'INFLATION_INDICES', count(*), count(*) FILTER (month(month) <> 7), count(*) FILTER (month(month) = 7) FROM inflation"""),
+    "e5_import_errors": ("bars identifiers instruments", [BEST, SPOILT], """SELECT CASE WHEN bad_name THEN 'NAME' ELSE identifier_type END AS identifier_type, value, CASE WHEN bad_day THEN strftime(price_date, '%Y-%m-32') ELSE strftime(price_date, '%Y-%m-%d') END AS price_date, field,
+    CASE field WHEN 'instrument' THEN 'no known identifier' ELSE 'can''t be read' END AS fault
+    FROM (SELECT *, unnest([CASE WHEN bad_name THEN 'instrument' END, CASE WHEN bad_day THEN 'price_date' END, CASE WHEN bad_close THEN 'close' END, CASE WHEN bad_volume THEN 'volume' END]) AS field FROM spoilt) WHERE field IS NOT NULL"""),
+    "e5_imported_prices": ("bars identifiers instruments", [BEST, SPOILT], f"SELECT identifier_type, coalesce(domain, '') AS domain, value, asset_class, currency, price_date, {shown('close', 'close')}, share_count_basis FROM spoilt WHERE NOT (bad_day OR bad_close OR bad_volume OR bad_name)"),
     "s14_latest_by_key": ("", [EVENT_ROWS], "SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY key, day ORDER BY event_id % 2 DESC, event_id DESC) = 1"),
     "s15_latest_supplied": ("", [EVENT_ROWS], "SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY key, day ORDER BY event_id DESC) = 1"),
     "s16_earliest_by_key": ("", [EVENT_ROWS], "SELECT key, min(day) AS first_known FROM rows GROUP BY ALL"),

@@ -12,7 +12,8 @@ from ledgerlake.functions.symbols import bare_ticker, is_isin, occ_padded, parse
 from ledgerlake.operators import declarations as decl
 from ledgerlake.functions import idtypes, texts
 from ledgerlake.operators import changes, grouping, holdings, identity, intervals, ledger, listings, matching, resolution, splits, telemetry, uploads, valuation
-from ledgerlake.sources import sheets
+from ledgerlake.operators.rounds import new_folder
+from ledgerlake.sources import parts, sheets
 from ledgerlake.sources.fixture import TODAY, Ledger
 
 AS_OF = "1999-12-31"
@@ -615,6 +616,57 @@ def s12_derived_legs(x):
     return _amounts(uploads.derived_legs(rows), "quantity")
 
 
+def _archive(x: Ledger, odd: bool = False) -> dict[str, DataFrame]:
+    """The groups of a system archive; with ``odd``, of one whose rows are spoilt here and there."""
+    names = identity.best_identifier(x["identifiers"])
+    out = {"PRICES": parts.price_groups(x["bars"], names, x["instruments"]), "CORPORATE_EVENTS": parts.split_groups(x["splits"], names, x["instruments"]), "INFLATION_INDICES": parts.inflation_groups(x["inflation"], 2015)}
+    if not odd:
+        return out
+
+    def spoilt(r):
+        day, close = r["price_date"], r["close"]
+        bad_day = F.when(F.substring(day, 9, 2) == "13", F.concat(F.substring(day, 1, 8), F.lit("32"))).otherwise(day)
+        return r.withField("price_date", bad_day).withField("close", F.when(close.endswith("1.00"), "dear").otherwise(close)).withField("volume", F.when(close.endswith("2.00"), "many"))
+
+    out["PRICES"] = out["PRICES"].withColumn("rows", F.transform("rows", spoilt)).withColumn("instrument", F.when(F.col("currency") == "EUR", F.col("instrument").withField("type", F.lit("NAME"))).otherwise(F.col("instrument")))
+    out["INFLATION_INDICES"] = out["INFLATION_INDICES"].withColumn("rows", F.transform("rows", lambda r: r.withField("month", F.when(F.substring(r["month"], 6, 2) == "07", F.concat(F.substring(r["month"], 1, 8), F.lit("02"))).otherwise(r["month"]))))
+    return out
+
+
+def s3_archive_prices(x):
+    """Prices of an archive that was written and read back."""
+    path = new_folder(x.spark)
+    parts.write_archive(x.spark, path, "SYSTEM", "2002-01-01T00:00:00Z", _archive(x))
+    return _amounts(parts.prices(parts.part_rows("PRICES", parts.read_archive(x.spark, path, "SYSTEM")["PRICES"])), "close")
+
+
+def s3_archive_splits(x):
+    path = new_folder(x.spark)
+    parts.write_archive(x.spark, path, "SYSTEM", "2002-01-01T00:00:00Z", _archive(x))
+    return _amounts(parts.split_rows(parts.part_rows("CORPORATE_EVENTS", parts.read_archive(x.spark, path, "SYSTEM")["CORPORATE_EVENTS"])), "split_from", "split_to")
+
+
+def _imported(x: Ledger, part: str) -> tuple[DataFrame, DataFrame, parts.Status]:
+    path = new_folder(x.spark)
+    groups = _archive(x, odd=True)[part]
+    status = parts.import_part(part, groups.select(F.struct(*groups.columns).alias("g")), path)
+    return *parts.imported(x.spark, part, path, status), status
+
+
+def e5_import_status(x):
+    told = [tuple(_imported(x, part)[2]) for part in ("PRICES", "CORPORATE_EVENTS", "INFLATION_INDICES")]
+    return x.spark.createDataFrame(told, "part string, rows long, accepted long, errors long")  # a row for each part
+
+
+def e5_import_errors(x):
+    _, bad, _ = _imported(x, "PRICES")
+    return bad.select(F.col("g.instrument.type").alias("identifier_type"), F.col("g.instrument.value").alias("value"), F.col("r.price_date").alias("price_date"), "field", "fault")
+
+
+def e5_imported_prices(x):
+    return _amounts(parts.prices(_imported(x, "PRICES")[0]), "close")
+
+
 def _sheets(x: Ledger) -> tuple[DataFrame, DataFrame]:
     cells = F.map_from_entries(F.collect_list(F.struct("place", "cell")))
     rows = x["sheet_cells"].groupBy("sheet", "row").agg(cells.alias("held"), F.max("place").alias("last"))

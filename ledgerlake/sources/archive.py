@@ -27,8 +27,8 @@ def read_archives(spark: SparkSession, path: str, kind: str = "USER") -> DataFra
     """One row for each archive below ``path`` with its file; raises for one without a version, of a newer version, or of another kind."""
     rows = spark.read.schema(SCHEMA).json(path, multiLine=True).withColumn("file", F.input_file_name())
     version = F.coalesce("envelope.format_version", F.lit(0))
-    fault = F.when(version == 0, "archive has no format_version").when(version > FORMAT_VERSION, "archive is of a newer version")
-    fault = fault.when(~F.col("envelope.kind").eqNullSafe(kind), f"archive is not of kind {kind}")
+    fault = F.when(version == 0, "no version is stated").when(version > FORMAT_VERSION, "this version is not known yet")
+    fault = fault.when(~F.col("envelope.kind").eqNullSafe(kind), f"another kind than {kind}")
     return rows.where(F.assert_true(fault.isNull(), F.concat_ws(": ", fault, "file")).isNull())
 
 
