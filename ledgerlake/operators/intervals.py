@@ -22,17 +22,42 @@ def merge_ranges(ranges: DataFrame, keys: list[str], start: str = "from_date", e
 
 
 def subtract_ranges(needed: DataFrame, covered: DataFrame, keys: list[str], start: str = "from_date", end: str = "before_date") -> DataFrame:
-    """What of ``needed`` isn't in ``covered``, by key. Both are merged first; touching bounds leave no empty piece."""
-    want = merge_ranges(needed.select(*keys, start, end), keys, start, end)
-    have = merge_ranges(covered.select(*keys, F.col(start).alias("_from"), F.col(end).alias("_before")), keys, "_from", "_before")
-    within = Window.partitionBy(*keys, start, end).orderBy(F.col("_from").asc_nulls_first())
-    hits = want.join(have, keys).where((F.col("_from") < F.col(end)) & (F.col("_before") > F.col(start)))
-    before = F.greatest(F.lag("_before").over(within), F.col(start))
-    last = F.lead("_from").over(within).isNull()
-    pieces = hits.withColumn("_pieces", F.array(F.struct(before.alias("a"), F.col("_from").alias("b")), F.struct(F.col("_before").alias("a"), F.when(last, F.col(end)).alias("b"))))
-    cut = pieces.select(*keys, F.explode("_pieces").alias("_p")).where("_p.a < _p.b").select(*keys, F.col("_p.a").alias(start), F.col("_p.b").alias(end))
-    whole = want.join(hits.select(*keys, start, end).distinct(), [*keys, start, end], "left_anti").select(*keys, start, end)
-    return cut.unionByName(whole)
+    """What of ``needed`` isn't in ``covered``, by key; touching bounds leave no empty piece.
+
+    Both are merged first. Then all bounds of a key go by in order of days, and what lies between two of them is
+    left where something is needed and nothing covers: rows in proportion to the ranges, without a join.
+    """
+    merged = [merge_ranges(rows.select(*keys, start, end), keys, start, end) for rows in (needed, covered)]
+    bound = lambda day, need, cover: F.struct(F.col(day).alias("_day"), F.lit(need).alias("_need"), F.lit(cover).alias("_cover"))
+    both = [rows.select(*keys, F.inline(F.array(bound(start, *up), bound(end, *(-x for x in up))))) for rows, up in zip(merged, ((1, 0), (0, 1)))]
+    by = Window.partitionBy(*keys).orderBy("_day")
+    so_far = by.rangeBetween(Window.unboundedPreceding, Window.currentRow)  # with all bounds of the day
+    swept = both[0].unionByName(both[1]).select(*keys, F.col("_day").alias(start), F.lead("_day").over(by).alias(end), F.sum("_need").over(so_far).alias("_need"), F.sum("_cover").over(so_far).alias("_cover"))
+    return swept.where((F.col("_need") > 0) & (F.col("_cover") == 0) & (F.col(start) < F.col(end))).select(*keys, start, end)
+
+
+#: Spans of more months are few for each key, as its spans don't overlap, and meet rows by the key alone.
+LONG_MONTHS = 24
+
+
+def _month(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
+
+
+def join_spans(rows: DataFrame, spans: DataFrame, key: str, day: str, start: str, end: str, values: list[str]) -> DataFrame:
+    """``rows`` with ``values`` of the span of ``spans`` (key, start, end, values) that holds their day; null in none.
+
+    Spans of a key don't overlap. They are indexed by key and month, so a row meets those of its month only
+    however many its key has; LONG_MONTHS or more would repeat in too many months and are met apart.
+    """
+    known = spans.select(F.col(key).alias("_key"), F.col(start).alias("_start"), F.col(end).alias("_end"), *(F.col(v).alias(f"_{v}") for v in values))
+    months = _month(F.date_sub("_end", 1)) - _month(F.col("_start"))
+    short = known.where((F.col("_start") < F.col("_end")) & (months < LONG_MONTHS)).withColumn("_in", F.explode(F.sequence(_month(F.col("_start")), _month(F.date_sub("_end", 1)))))
+    long = known.where(months >= LONG_MONTHS).select(*(F.col(c).alias(f"_long{c}") for c in known.columns))
+    holds = lambda p: (F.col(key) == F.col(f"{p}_key")) & (F.col(day) >= F.col(f"{p}_start")) & (F.col(day) < F.col(f"{p}_end"))
+    met = rows.withColumn("_month", _month(F.col(day)))
+    met = met.join(short, (F.col("_month") == F.col("_in")) & holds(""), "left").join(long, holds("_long"), "left")
+    return met.select(*(F.col(f"`{c}`") for c in rows.columns), *(F.coalesce(f"_{v}", f"_long_{v}").alias(v) for v in values))
 
 
 def spans_of_days(days: DataFrame, keys: list[str], day: str, start: str = "from_date", end: str = "before_date") -> DataFrame:

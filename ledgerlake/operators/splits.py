@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.decimals import FACTOR, exact_product, scaled, whole_ratio
 from ledgerlake.functions.symbols import occ_build, parse_option
+from ledgerlake.operators.intervals import join_spans
 
 
 def effective_splits(splits: DataFrame, instruments: DataFrame, today: str) -> DataFrame:
@@ -37,11 +38,9 @@ def split_spans(splits: DataFrame, instruments: DataFrame, today: str) -> DataFr
 
 def with_factor(rows: DataFrame, spans: DataFrame, basis_col: str) -> DataFrame:
     """``rows`` with num and den for their basis date; 1 and 1 where nothing changes it."""
-    s = spans.withColumnRenamed("instrument_id", "_instrument")
-    on = (F.col("instrument_id") == F.col("_instrument")) & (F.col(basis_col) >= F.col("basis_from")) & (F.col(basis_col) < F.col("basis_before"))
     one = F.lit(1).cast(FACTOR)
-    joined = rows.join(s, on, "left").withColumn("num", F.coalesce("num", one)).withColumn("den", F.coalesce("den", one))
-    return joined.drop("_instrument", "basis_from", "basis_before")
+    joined = join_spans(rows, spans, "instrument_id", basis_col, "basis_from", "basis_before", ["num", "den"])
+    return joined.withColumns({c: F.coalesce(c, one) for c in ("num", "den")})
 
 
 def adjust_postings(postings: DataFrame, splits: DataFrame, instruments: DataFrame, today: str) -> DataFrame:

@@ -260,3 +260,16 @@ def test_walks_rounds_and_components_agree(spark, monkeypatch):
             results.add((refuse, pairs))
         results.add(("sets", frozenset(tuple(r) for r in rounds.first_come(sets, ["u", "s"], "i", within=["u"]).collect())))
     assert len(results) == 3 and all(rows for _, rows in results)
+
+
+def test_spans_of_a_hot_instrument_meet_by_month(spark):
+    n = 30_000
+    spans = spark.range(n).selectExpr("7L AS instrument_id", "date_add(DATE '1950-01-01', cast(id AS int)) AS basis_from", "date_add(DATE '1950-01-01', cast(id + 1 AS int)) AS basis_before", "cast(id + 2 AS decimal(18,0)) AS num", "cast(1 AS decimal(18,0)) AS den")
+    old = spark.sql("SELECT 7L AS instrument_id, DATE '0001-01-01' AS basis_from, DATE '1950-01-01' AS basis_before, cast(99999999 AS decimal(18,0)) AS num, cast(1 AS decimal(18,0)) AS den")
+    rows = spark.range(-5, n + 5).selectExpr("id", "7L AS instrument_id", "date_add(DATE '1950-01-01', cast(id AS int)) AS basis")
+    met = intervals.join_spans(rows, spans.union(old), "instrument_id", "basis", "basis_from", "basis_before", ["num", "den"])
+    assert {(r["id"], int(r["num"])) for r in splits.with_factor(rows, spans.union(old), "basis").collect()} == {(i, 99999999 if i < 0 else i + 2 if i < n else 1) for i in range(-5, n + 5)}
+    assert met.columns == [*rows.columns, "num", "den"] and "CartesianProduct" not in met._jdf.queryExecution().toString()
+    half = lambda odd: spark.range(n).selectExpr("1 AS k", f"date_add(DATE '1950-01-01', cast(id * 4 + {odd} AS int)) AS from_date", f"date_add(DATE '1950-01-01', cast(id * 4 + {odd + 2} AS int)) AS before_date")
+    left = intervals.subtract_ranges(half(0), half(1), ["k"])
+    assert left.count() == n and left.where("datediff(before_date, from_date) <> 1").count() == 0 and "Join" not in left._jdf.queryExecution().toString()
