@@ -158,11 +158,18 @@ def reorder_plugins(plugins: DataFrame, named: list[str]) -> DataFrame:
 
 
 def eligible(plugins: DataFrame, asked: DataFrame) -> DataFrame:
-    """Pairs of ``asked`` rows and plugins that accept their asset class, exchange and currency; an unset list or value passes."""
+    """Pairs of ``asked`` rows and plugins that accept their asset class, exchange and currency; an empty list or value passes, currencies compare in upper case."""
     passes = F.lit(True)
-    for held, value in (("asset_classes", "asset_class"), ("exchanges", "exchange_mic"), ("currencies", "currency")):
-        passes = passes & (F.col(held).isNull() | (F.size(held) == 0) | F.col(value).isNull() | F.array_contains(held, F.col(value)))
-    return asked.join(F.broadcast(plugins), passes)  # one row for each configured plugin
+    for held, value in (("asset_classes", F.col("asset_class")), ("exchanges", F.col("exchange_mic")), ("currencies", F.upper("currency"))):
+        named = F.filter(held, lambda x: x != "")
+        passes = passes & (F.coalesce(F.size(named), F.lit(0)) <= 0) | (F.coalesce(value, F.lit("")) == "") & passes | F.array_contains(F.col(held), value) & passes
+    return asked.join(F.broadcast(plugins), F.coalesce(passes, F.lit(False)))  # one row for each configured plugin
+
+
+def supported_identifiers(plugins: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """Pairs of ``identifiers`` and plugins (plugin_id, supported: array of types) that can be asked with them."""
+    kinds = plugins.select("plugin_id", F.explode("supported").alias("identifier_type"))
+    return identifiers.join(F.broadcast(kinds), "identifier_type")  # a few for each configured plugin
 
 
 def operating_mic(rows: DataFrame, exchanges: DataFrame, column: str = "exchange_mic") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.texts import page_token
 from ledgerlake.functions.txtypes import PARENTS, lineage
 
 
@@ -13,13 +14,27 @@ def page_size(asked: int | None) -> int:
     return asked if asked and 0 < asked <= 100 else 50
 
 
-def list_prices(bars: DataFrame, instruments: DataFrame, search: str | None = None, start: str | None = None, before: str | None = None) -> DataFrame:
-    """Bars with instrument names, latest first, names within a day; filters that aren't given don't apply."""
+def paged(rows: DataFrame, order: list[Column], size: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of ``rows`` in ``order``, with total, how many rows there are, and next_token of the page behind it (empty for the last)."""
+    size = page_size(size)
+    counted = rows.agg(F.count("*").alias("total"))
+    page = rows.orderBy(*order).offset(offset).limit(size).crossJoin(F.broadcast(counted))  # one row
+    return page.withColumn("next_token", F.when(F.col("total") > offset + size, page_token(F.lit(offset + size))).otherwise(""))
+
+
+def prices_by() -> list[Column]:
+    """The order of a price listing: latest first, names within a day."""
+    return [F.desc("price_date"), F.lower("name"), F.col("instrument_id")]
+
+
+def list_prices(bars: DataFrame, instruments: DataFrame, search: str | None = None, start: str | None = None, before: str | None = None, provider: str | None = None) -> DataFrame:
+    """Bars with instrument names in order; filters that aren't given don't apply. A provider is looked for in data_provider."""
     rows = bars.join(instruments.select("instrument_id", "name"), "instrument_id")
     rows = rows.where(F.col("name").ilike(f"%{search}%")) if search else rows
     rows = rows.where(F.col("price_date") >= F.lit(start).cast("date")) if start else rows
     rows = rows.where(F.col("price_date") < F.lit(before).cast("date")) if before else rows
-    return rows.orderBy(F.desc("price_date"), F.lower("name"), "instrument_id")
+    rows = rows.where(F.col("data_provider") == provider) if provider else rows
+    return rows.orderBy(*prices_by())
 
 
 def list_instruments(instruments: DataFrame, search: str | None = None, asset_classes: list[str] | None = None) -> DataFrame:
@@ -39,13 +54,21 @@ def list_inflation(indices: DataFrame, currency: str, start: str | None = None,
     return rows.orderBy(F.desc("month"))
 
 
-def list_postings(postings: DataFrame, user_id, groups: int, offset: int = 0, broker: str | None = None) -> DataFrame:
-    """A page of ``groups`` whole groups of a user's postings, by (group's day, group, day, posting); only postings that pass the filter are shown."""
-    rows = postings.where(F.col("user_id") == user_id)
+def list_postings(postings: DataFrame, user_id, groups: int, offset: int = 0, broker: str | None = None, account: str | None = None, start: str | None = None, before: str | None = None, descending: bool = False) -> DataFrame:
+    """A page of ``groups`` whole groups of a user's postings, by (group's day, group, day, posting); only postings that pass the filters are shown.
+
+    A group's day is its first posting's, whether that passes the filters or not. With no ``user_id``, postings
+    of any user, for instance a portfolio's members, are listed.
+    """
+    days = postings.groupBy("group_id").agg(F.min("order_date").alias("timestamp"))
+    rows = postings if user_id is None else postings.where(F.col("user_id") == user_id)
     rows = rows.where(F.col("broker") == broker) if broker else rows
-    order = rows.groupBy("group_id").agg(F.min("order_date").alias("timestamp")).orderBy("timestamp", "group_id")
-    page = order.offset(offset).limit(groups)
-    return rows.join(page, "group_id").orderBy("timestamp", "group_id", "order_date", "tx_id")
+    rows = rows.where(F.col("account") == account) if account else rows
+    rows = rows.where(F.col("order_date") >= F.lit(start).cast("date")) if start else rows
+    rows = rows.where(F.col("order_date") < F.lit(before).cast("date")) if before else rows
+    by = lambda *columns: [F.desc(c) if descending else F.asc(c) for c in columns]
+    page = days.join(rows.select("group_id").distinct(), "group_id").orderBy(*by("timestamp", "group_id")).offset(offset).limit(groups)
+    return rows.join(page, "group_id").orderBy(*by("timestamp", "group_id", "order_date", "tx_id"))
 
 
 def brokers_and_accounts(postings: DataFrame) -> DataFrame:
@@ -116,16 +139,21 @@ def fetch_windows(postings: DataFrame, today: str, lookback: int, history_start:
     return latest.select("user_id", "broker", start.alias("from_date"), F.lit(today).cast("date").alias("before_date")).where("from_date < before_date")
 
 
-def export_events(splits: DataFrame, coverage: DataFrame, best: DataFrame) -> DataFrame:
-    """Rows (instrument_id, identifier_type, value, splits, spans): each instrument's splits by day and its coverage, by its best identifier.
+def export_events(splits: DataFrame, coverage: DataFrame, best: DataFrame, dividends: DataFrame | None = None) -> DataFrame:
+    """Rows (instrument_id, identifier_type, value, splits, dividends, spans): each instrument's events by day and its coverage, by its best identifier.
 
-    Instruments with coverage and no splits are listed too; one without an identifier isn't.
+    Instruments with coverage and no events are listed too; one without an identifier isn't.
     """
     ratio = F.struct("ex_date", F.col("split_from").cast("decimal(18,6)").alias("split_from"), F.col("split_to").cast("decimal(18,6)").alias("split_to"))
     events = splits.groupBy("instrument_id").agg(F.array_sort(F.collect_list(ratio)).alias("splits"))
     spans = coverage.groupBy("instrument_id").agg(F.array_sort(F.collect_list(F.struct("from_date", "before_date"))).alias("spans"))
-    rows = events.join(spans, "instrument_id", "full").join(best.select("instrument_id", "identifier_type", "value"), "instrument_id")
-    return rows.withColumn("splits", F.coalesce("splits", F.array())).withColumn("spans", F.coalesce("spans", F.array()))
+    rows = events.join(spans, "instrument_id", "full")
+    held = ["splits", "spans"]
+    if dividends is not None:
+        paid = dividends.groupBy("instrument_id").agg(F.array_sort(F.collect_list(F.struct("ex_date", "amount", "currency"))).alias("dividends"))
+        rows, held = rows.join(paid, "instrument_id", "full"), [*held, "dividends"]
+    rows = rows.join(best.select("instrument_id", "identifier_type", "value"), "instrument_id")
+    return rows.withColumns({c: F.coalesce(c, F.array()) for c in held})
 
 
 def list_unhandled_events(events: DataFrame, instruments: DataFrame, include_resolved: bool = False) -> DataFrame:

@@ -142,6 +142,20 @@ def unhandled_splits(splits: DataFrame) -> DataFrame:
     return splits.withColumn("event_type", kind).where("event_type is not null")
 
 
+def special_dividends(dividends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dividends to store, events that need a person) of ``dividends`` (instrument_id, ex_date, pay_date, amount, currency, dividend_type, provider).
+
+    A special dividend (SC) moves option terms and prices in ways that no rule covers, so it isn't stored but told
+    of: (instrument_id, ex_date, event_type, detail, data), data being JSON of what is known.
+    """
+    special = F.coalesce(F.col("dividend_type") == "SC", F.lit(False))
+    amount = F.col("amount").cast("string")
+    known = F.to_json(F.struct(amount.alias("amount"), "currency", F.col("pay_date").cast("string").alias("pay_date"), "dividend_type", F.col("provider").alias("data_provider")))
+    detail = F.concat(F.lit("special dividend of "), amount, F.lit(" "), "currency", F.lit(", told by "), "provider")
+    told = dividends.where(special).select("instrument_id", "ex_date", F.lit("SPECIAL_CASH_DIVIDEND").alias("event_type"), detail.alias("detail"), known.alias("data"))
+    return dividends.where(~special), told
+
+
 def apply_restatement(restated: DataFrame, instruments: DataFrame, identifiers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(instruments, identifiers, mapping of merged instruments) after ``restated`` (instrument_id, valid_from, valid_before, strike, symbol) is written.
 

@@ -142,7 +142,7 @@ CHECKED = f"""{EFFECTIVE}, kinds AS (
          (SELECT coalesce(product(split_from), 1) FROM effective e WHERE e.instrument_id = k.instrument_id AND e.ex_date > k.share_count_basis) AS den_d FROM kinds k
 ), posting_factor AS (
   SELECT p.*, (SELECT coalesce(product(split_to), 1) FROM effective e WHERE e.instrument_id = p.instrument_id AND e.ex_date > p.share_count_basis) AS num,
-         (SELECT coalesce(product(split_from), 1) FROM effective e WHERE e.instrument_id = p.instrument_id AND e.ex_date > p.share_count_basis) AS den FROM postings p WHERE account_type = 'USER' AND user_id % 7 = 0
+         (SELECT coalesce(product(split_from), 1) FROM effective e WHERE e.instrument_id = p.instrument_id AND e.ex_date > p.share_count_basis) AS den FROM postings p WHERE account_type = 'USER' AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
 ), by_basis AS (
   SELECT d.user_id, d.broker, d.account, d.instrument_id, d.as_of_date, d.declared_qty, d.kind, num * den_d AS up, den * num_d AS down, sum(p.quantity) AS raw, count(p.tx_id) AS n
   FROM declared_factor d LEFT JOIN posting_factor p ON p.user_id = d.user_id AND p.broker = d.broker AND p.account = d.account AND p.instrument_id = d.instrument_id AND p.order_date <= d.as_of_date
@@ -438,6 +438,9 @@ PARTS: dict[str, tuple[str, list[str], str]] = {
     "c8_restated_options": ("instruments splits postings identifiers", [PENDING, RESTATED], f"SELECT instrument_id, valid_from, valid_before, {shown('moved_strike', 'strike')}, symbol FROM named"),
     "c9_option_symbols": ("instruments", [f"named AS (SELECT *, {_symbol('strike')} AS symbol FROM instruments WHERE asset_class = 'OPTION')"], f"SELECT instrument_id, symbol, rpad('U' || CAST(underlying_id AS VARCHAR), 6, ' ') || right(symbol, 15) AS padded, CASE WHEN symbol IS NOT NULL THEN 'U' || CAST(underlying_id AS VARCHAR) END AS root, CASE WHEN symbol IS NOT NULL THEN expiry END AS expiry, CASE WHEN symbol IS NOT NULL THEN put_call END AS put_call, {shown('CASE WHEN symbol IS NOT NULL THEN strike END', 'strike')} FROM named"),
     "c11_unhandled_splits": ("splits", [], f"SELECT instrument_id, ex_date, {shown('split_from', 'split_from')}, {shown('split_to', 'split_to')}, CASE WHEN split_to < split_from THEN 'REVERSE_SPLIT' ELSE 'NON_WHOLE_SPLIT' END AS event_type FROM splits WHERE NOT ({WHOLE})"),
+    "c11_special_dividends": ("dividends", [], """SELECT instrument_id, ex_date, 'SPECIAL_CASH_DIVIDEND' AS event_type, 'special dividend of ' || amount || ' USD, told by eod' AS detail,
+    '{"amount":"' || amount || '","currency":"USD",' || CASE WHEN pay_date IS NULL THEN '' ELSE '"pay_date":"' || pay_date || '",' END || '"dividend_type":"SC","data_provider":"eod"}' AS data FROM dividends WHERE dividend_type = 'SC'"""),
+    "c11_stored_dividends": ("dividends", [], f"SELECT * EXCLUDE (amount), {shown('amount', 'amount')} FROM dividends WHERE dividend_type IS NULL OR dividend_type <> 'SC'"),
     "c12_instruments_with_splits": ("instruments splits", [EFFECTIVE], "SELECT DISTINCT instrument_id FROM effective"),
     "p1_portfolio_members": ("instruments postings splits filters", [ADJUSTED, MEMBERS], "SELECT portfolio_id, tx_id FROM members"),
     "p2_in_flight": ("instruments postings splits filters matches", [ADJUSTED, MEMBERS, SIDES, FLIGHT], "SELECT * FROM flight"),
@@ -499,11 +502,15 @@ legs AS (SELECT t.portfolio_id, p.* FROM adjusted p JOIN touched t USING (group_
     "i7_shared_identifiers": ("identifiers", ["shared AS (SELECT instrument_id AS b, min(instrument_id) OVER (PARTITION BY identifier_type, coalesce(domain, ''), value) AS a FROM identifiers WHERE identifier_type IN ('OPENFIGI_TICKER', 'ISIN'))"], "SELECT DISTINCT a, b FROM shared WHERE a <> b"),
     "i8_isin_check": ("identifiers", ["digits AS (SELECT instrument_id, value, reverse('3028' || substr(value, 3)) AS d FROM identifiers WHERE identifier_type = 'ISIN')", "sums AS (SELECT *, list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) * 2 - CASE WHEN CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) END)) AS total FROM digits)"], "SELECT instrument_id, value, total % 10 = 0 AND length(value) = 12 AS valid FROM sums"),
     "i14_plugin_order": (None, [], "SELECT s_name AS plugin_id, CAST(row_number() OVER (ORDER BY CASE s_suppkey WHEN 7 THEN 1 WHEN 3 THEN 2 ELSE 3 END, s_nationkey, s_name) AS INTEGER) AS precedence FROM supplier"),
+    "i13_eligible_plugins": ("plugins instruments", [], "SELECT plugin_id, instrument_id FROM plugins CROSS JOIN instruments WHERE (asset_classes = [''] OR coalesce(asset_class, '') = '' OR list_contains(asset_classes, asset_class)) AND (exchanges = [''] OR coalesce(exchange_mic, '') = '' OR list_contains(exchanges, exchange_mic)) AND (currencies = [''] OR coalesce(currency, '') = '' OR list_contains(currencies, upper(currency)))"),
+    "i13_supported_identifiers": ("plugins identifiers", [], "SELECT plugin_id, instrument_id, identifier_type, value, valid_from FROM plugins CROSS JOIN identifiers WHERE CASE WHEN asset_classes = ['OPTION'] THEN identifier_type = 'OCC' ELSE identifier_type IN ('ISIN', 'MIC_TICKER') END"),
     "i15_export_closure": ("instruments postings", ["chosen AS (SELECT DISTINCT instrument_id FROM postings WHERE instrument_id IS NOT NULL)"], "SELECT instrument_id, name, asset_class, underlying_id FROM instruments WHERE instrument_id IN (SELECT instrument_id FROM chosen UNION SELECT underlying_id FROM instruments JOIN chosen USING (instrument_id) WHERE underlying_id IS NOT NULL)"),
     "f1_list_prices": ("bars instruments", [], f"SELECT instrument_id, name, price_date, {shown('close', 'close')} FROM bars JOIN instruments USING (instrument_id) WHERE name ILIKE '%1%' AND price_date >= DATE '1999-01-01' AND price_date < DATE '1999-02-01'"),
+    "f1_price_page": ("bars instruments", ["found AS (SELECT instrument_id, name, price_date, close FROM bars JOIN instruments USING (instrument_id) WHERE close > 50000 AND price_date >= DATE '1998-01-01' AND price_date < DATE '1999-01-01')"], f"SELECT instrument_id, name, price_date, {shown('close', 'close')}, (SELECT count(*) FROM found) AS total, CASE WHEN (SELECT count(*) FROM found) > 80 THEN to_base64('80'::BLOB) ELSE '' END AS next_token FROM found ORDER BY price_date DESC, lower(name), instrument_id LIMIT 40 OFFSET 40"),
     "f2_list_instruments": ("instruments", [], "SELECT instrument_id, name, asset_class, currency FROM instruments WHERE name ILIKE '%7%' AND (asset_class IN ('STOCK', 'UNKNOWN') OR coalesce(asset_class, '') = '')"),
     "f3_list_inflation": ("inflation", [], f"SELECT currency, month, {shown('index_value', 'index_value')} FROM inflation WHERE currency = 'GBP' AND month >= DATE '1996-01-01' AND month < DATE '2000-01-01'"),
     "f4_list_postings": ("postings", ["page AS (SELECT group_id, min(order_date) AS timestamp FROM postings WHERE user_id = 7 GROUP BY ALL ORDER BY 2, 1 LIMIT 5 OFFSET 2)"], f"SELECT timestamp, group_id, order_date, tx_id, broker, {shown('quantity', 'quantity')} FROM postings JOIN page USING (group_id) WHERE user_id = 7"),
+    "f4_portfolio_page": ("instruments postings splits filters", [ADJUSTED, MEMBERS, "chosen AS (SELECT DISTINCT group_id, order_date, tx_id, quantity FROM members WHERE broker = 'IBKR' AND account = 'ACC-1' AND order_date >= DATE '1997-01-01' AND order_date < DATE '1998-01-01')", "page AS (SELECT DISTINCT group_id, timestamp FROM chosen JOIN (SELECT group_id, min(order_date) AS timestamp FROM members GROUP BY ALL) USING (group_id) ORDER BY timestamp DESC, group_id DESC LIMIT 50 OFFSET 10)"], f"SELECT timestamp, group_id, order_date, tx_id, {shown('quantity', 'quantity')} FROM chosen JOIN page USING (group_id)"),
     "f7_display_currencies": ("users", [], "SELECT DISTINCT display_currency FROM users WHERE display_currency <> ''"),
     "f8_brokers_and_accounts": ("postings", [], "SELECT DISTINCT user_id, broker, account FROM postings WHERE account_type = 'USER'"),
     "f9_start_dates": ("postings", [], "SELECT user_id, min(order_date) AS start_date FROM postings WHERE account_type = 'USER' GROUP BY ALL"),
@@ -549,16 +556,16 @@ sums AS (
 ), best AS (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY size, ids) = 1)"""], "SELECT anchor, size, unnest(ids) AS tx_id FROM best"),
     "g12_divergence": ("postings", ["""derived AS (SELECT tx_id, group_id, CASE WHEN tx_id % 1000 > 3 THEN group_id * 1000 + 4 ELSE group_id * 1000 + 1 END AS event_id FROM postings WHERE account_type = 'USER')""", "by_event AS (SELECT event_id, count(DISTINCT group_id) AS n, count(*) AS size, min(group_id) AS group_id FROM derived GROUP BY ALL)", "by_group AS (SELECT group_id, count(DISTINCT event_id) AS n, count(*) AS size FROM derived GROUP BY ALL)"], "SELECT (SELECT count(*) FROM by_event) AS n_derived, (SELECT count(*) FROM by_group) AS n_stored, (SELECT count(*) FROM by_event e JOIN by_group g USING (group_id) WHERE e.n = 1 AND e.size = g.size) AS agreed, (SELECT count(*) FROM by_event WHERE n > 1) AS joined, (SELECT count(*) FROM by_group WHERE n > 1) AS split"),
     "g13_seeds": ("postings matches", [SIDES], "SELECT tx_id FROM postings u WHERE account_type = 'USER' AND EXISTS (SELECT 1 FROM postings p WHERE p.group_id = u.group_id AND p.account_type IN ('IMBALANCE', 'TRANSFER_CLEARING') AND " + UNMATCHED + ")"),
-    "g14_readers": ("statements evidence", ["said AS (SELECT s.tx_id, user_id, broker, account, e.* EXCLUDE (tx_id) FROM statements s JOIN evidence e USING (tx_id))"], """SELECT DISTINCT 'token' AS reader, b.tx_id FROM said a JOIN said b ON a.user_id = b.user_id AND a.broker = b.broker AND a.label = b.label AND a.token = b.token WHERE a.user_id % 5 = 0 AND a.ordinal IS NULL AND list_contains(b.matches, 'EXACT') AND (a.tx_id % 2 = 0 OR a.account = b.account)
-UNION ALL SELECT DISTINCT 'ordinal', b.tx_id FROM said a JOIN said b ON a.user_id = b.user_id AND a.broker = b.broker AND a.account = b.account AND a.label = b.label WHERE a.user_id % 5 = 0 AND b.ordinal BETWEEN a.ordinal - a.ordinal_span AND a.ordinal + a.ordinal_span
-UNION ALL SELECT 'day', tx_id FROM statements s WHERE EXISTS (SELECT 1 FROM statements a WHERE a.user_id % 11 = 0 AND a.user_id = s.user_id AND a.broker = s.broker AND a.account = s.account AND a.order_date = s.order_date)"""),
+    "g14_readers": ("statements evidence", ["said AS (SELECT s.tx_id, user_id, broker, account, e.* EXCLUDE (tx_id) FROM statements s JOIN evidence e USING (tx_id))"], """SELECT DISTINCT 'token' AS reader, b.tx_id FROM said a JOIN said b ON a.user_id = b.user_id AND a.broker = b.broker AND a.label = b.label AND a.token = b.token WHERE a.broker = 'IBKR' AND a.ordinal IS NULL AND list_contains(b.matches, 'EXACT') AND (a.tx_id % 2 = 0 OR a.account = b.account)
+UNION ALL SELECT DISTINCT 'ordinal', b.tx_id FROM said a JOIN said b ON a.user_id = b.user_id AND a.broker = b.broker AND a.account = b.account AND a.label = b.label WHERE a.broker = 'IBKR' AND b.ordinal BETWEEN a.ordinal - a.ordinal_span AND a.ordinal + a.ordinal_span
+UNION ALL SELECT 'day', tx_id FROM statements s WHERE EXISTS (SELECT 1 FROM statements a WHERE a.account = 'ACC-0' AND a.user_id = s.user_id AND a.broker = s.broker AND a.account = s.account AND a.order_date = s.order_date)"""),
     "g15_apply_partition": ("instruments postings", [WEIGHTED.replace("FROM postings p LEFT JOIN", "FROM moved p LEFT JOIN").replace("FROM postings GROUP BY ALL", "FROM moved GROUP BY ALL")], f"SELECT group_id, commodity, account_type, {shown('amount', 'amount')} FROM closing"),
     "g11_membership_diff": ("postings", ["named AS (SELECT tx_id, min(tx_id) OVER (PARTITION BY group_id) AS old_event_id, min(tx_id) OVER (PARTITION BY CASE WHEN tx_id % 1000 > 4 THEN group_id + 1 ELSE group_id END) AS new_event_id FROM postings)"], "SELECT * FROM named WHERE old_event_id <> new_event_id"),
     "t5_broker_exposure": ("instruments postings splits matches", [ADJUSTED, SIDES, BALANCES, EXPOSURE], f"SELECT broker, broker_rank, {shown('sum(total)', 'total')} FROM exposure WHERE row_rank <= 3 GROUP BY ALL"),
     "st1_event_windows": ("", [], "SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL"),
-    "e2_export_events": ("splits coverage identifiers", [COVERED, BEST, "events AS (SELECT instrument_id, string_agg(ex_date || ' ' || CAST(split_from AS DOUBLE) || ' ' || CAST(split_to AS DOUBLE), '|' ORDER BY ex_date, split_from, split_to) AS splits FROM splits GROUP BY ALL)", "held AS (SELECT instrument_id, string_agg(from_date || '/' || before_date, '|' ORDER BY from_date) AS spans FROM covered GROUP BY ALL)"], "SELECT instrument_id, identifier_type, value, coalesce(splits, '') AS splits, coalesce(spans, '') AS spans FROM events FULL JOIN held USING (instrument_id) JOIN best USING (instrument_id)"),
+    "e2_export_events": ("splits coverage identifiers dividends", [COVERED, BEST, "paid AS (SELECT instrument_id, string_agg(ex_date || ' ' || amount || ' ' || currency, '|' ORDER BY ex_date, amount) AS dividends FROM dividends WHERE dividend_type IS NULL OR dividend_type <> 'SC' GROUP BY ALL)", "events AS (SELECT instrument_id, string_agg(ex_date || ' ' || CAST(split_from AS DOUBLE) || ' ' || CAST(split_to AS DOUBLE), '|' ORDER BY ex_date, split_from, split_to) AS splits FROM splits GROUP BY ALL)", "held AS (SELECT instrument_id, string_agg(from_date || '/' || before_date, '|' ORDER BY from_date) AS spans FROM covered GROUP BY ALL)"], "SELECT instrument_id, identifier_type, value, coalesce(splits, '') AS splits, coalesce(dividends, '') AS dividends, coalesce(spans, '') AS spans FROM events FULL JOIN held USING (instrument_id) FULL JOIN paid USING (instrument_id) JOIN best USING (instrument_id)"),
     "f5_unhandled_events": ("splits instruments", [], f"SELECT s.instrument_id * 10 + dayofweek(ex_date) + 1 AS event_id, s.instrument_id, ex_date, CASE WHEN split_to < split_from THEN 'REVERSE_SPLIT' ELSE 'NON_WHOLE_SPLIT' END AS event_type, false AS resolved, name FROM splits s JOIN instruments USING (instrument_id) WHERE NOT ({WHOLE}) AND s.instrument_id % 4 <> 0"),
-    "f6_jobs": (None, [], "SELECT o_orderkey AS job_id, o_orderstatus AS status, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey % 7 = 0 AND l_returnflag = 'R') AS n_row, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey % 7 = 0 AND l_returnflag <> 'R') AS n_file FROM orders"),
+    "f6_jobs": (None, [], "SELECT o_orderkey AS job_id, o_orderstatus AS status, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_tax > 0.05 AND l_returnflag = 'R') AS n_row, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_tax > 0.05 AND l_returnflag <> 'R') AS n_file FROM orders"),
     "r14_overlap_probe": ("identifiers", ["n AS (SELECT identifier_type, coalesce(domain, '') AS domain, value, instrument_id, valid_from, valid_before FROM identifiers)"], "SELECT a.identifier_type, a.domain, a.value, a.instrument_id, a.valid_from, a.valid_before, min(b.instrument_id) AS other_holder FROM n a JOIN n b ON a.identifier_type = b.identifier_type AND a.domain = b.domain AND a.value = b.value AND a.instrument_id <> b.instrument_id AND coalesce(b.valid_from, DATE '0001-01-01') < coalesce(a.valid_before, DATE '9999-12-31') AND coalesce(b.valid_before, DATE '9999-12-31') > coalesce(a.valid_from, DATE '0001-01-01') GROUP BY ALL"),
     "st3_session_totals": (None, ["marked AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS opens FROM events)", "numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM marked)"], "SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM numbered GROUP BY user_id, session"),
     "i11_identifier_types": ("identifiers", [], "SELECT identifier_type, count(*) AS n, true AS known, identifier_type LIKE '%TICKER' AS listing, identifier_type = 'ISIN' AS mediates FROM identifiers GROUP BY ALL UNION ALL SELECT 'CUSIP', 0, true, false, true UNION ALL SELECT 'NO_SUCH', 0, false, false, false"),
@@ -576,7 +583,7 @@ UNION ALL SELECT 'day', tx_id FROM statements s WHERE EXISTS (SELECT 1 FROM stat
   UNION ALL SELECT instrument_id, max(ex_date), 'UNREADABLE_NAME', CAST(instrument_id AS VARCHAR) FROM waiting WHERE NOT blocked AND NOT readable GROUP BY instrument_id"""),
     "c10_applied_restatement": ("instruments splits postings identifiers", [PENDING, RESTATED, """mints AS (SELECT instrument_id, symbol, valid_from, valid_before, min(valid_from) OVER (PARTITION BY instrument_id) AS first FROM named)"""], """SELECT instrument_id, symbol AS value, valid_from, valid_before FROM mints UNION
 SELECT d.instrument_id, d.value, d.valid_from, CASE WHEN d.valid_before IS NULL THEN m.first ELSE d.valid_before END FROM identifiers d LEFT JOIN (SELECT DISTINCT instrument_id, first FROM mints) m USING (instrument_id) WHERE d.identifier_type = 'OCC' AND NOT coalesce(d.valid_from >= m.first, false)"""),
-    "d5_recalculated_pads": ("declarations instruments splits postings", ["starts AS (SELECT user_id, min(order_date) AS start FROM postings WHERE account_type = 'USER' AND (user_id % 14 > 0 OR order_date >= DATE '1999-01-01') GROUP BY ALL)", "declared AS (SELECT d.* FROM declarations d JOIN starts USING (user_id) WHERE as_of_date >= start QUALIFY row_number() OVER (PARTITION BY user_id, broker, account, instrument_id ORDER BY as_of_date, declared_qty) = 1)", CHECKED.replace("WHERE account_type = 'USER' AND user_id % 7 = 0", "WHERE account_type = 'USER' AND (user_id % 14 > 0 OR order_date >= DATE '1999-01-01')")], f"SELECT user_id, broker, account, instrument_id, start AS order_date, account_type, {shown('sign * (declared_qty - computed)', 'quantity')}, share_count_basis FROM checked c JOIN starts USING (user_id) JOIN declared d USING (user_id, broker, account, instrument_id, as_of_date, declared_qty) CROSS JOIN (VALUES ('USER', 1), ('EQUITY', -1)) AS s(account_type, sign)"),
+    "d5_recalculated_pads": ("declarations instruments splits postings", ["starts AS (SELECT user_id, min(order_date) AS start FROM postings WHERE account_type = 'USER' AND (broker <> 'SCHB' OR order_date >= DATE '1999-01-01') GROUP BY ALL)", "declared AS (SELECT d.* FROM declarations d JOIN starts USING (user_id) WHERE as_of_date >= start QUALIFY row_number() OVER (PARTITION BY user_id, broker, account, instrument_id ORDER BY as_of_date, declared_qty) = 1)", CHECKED.replace("WHERE account_type = 'USER' AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", "WHERE account_type = 'USER' AND (broker <> 'SCHB' OR order_date >= DATE '1999-01-01')")], f"SELECT user_id, broker, account, instrument_id, start AS order_date, account_type, {shown('sign * (declared_qty - computed)', 'quantity')}, share_count_basis FROM checked c JOIN starts USING (user_id) JOIN declared d USING (user_id, broker, account, instrument_id, as_of_date, declared_qty) CROSS JOIN (VALUES ('USER', 1), ('EQUITY', -1)) AS s(account_type, sign)"),
     "i7_ensure_instruments": ("identifiers", ["""asked AS (SELECT p_partkey AS r, 'MIC_TICKER' AS t, 'XNAS' AS d, 'T' || p_partkey % 1000 AS v FROM part UNION ALL SELECT p_partkey, 'OPENFIGI_TICKER', 'US', 'F.' || p_partkey % 700 FROM part)""",
         """known AS (SELECT identifier_type AS t, domain AS d, value AS v, instrument_id AS i FROM identifiers WHERE domain IS NOT NULL QUALIFY row_number() OVER (PARTITION BY identifier_type, domain, value ORDER BY valid_before DESC NULLS FIRST, instrument_id) = 1)""",
         """edges AS (SELECT 'r' || a.r AS x, 'i' || k.i AS y FROM asked a JOIN known k USING (t, d, v) UNION SELECT 'r' || a.r, 'r' || b.r FROM asked a JOIN asked b USING (t, d, v))""", "both_ways AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges)",
@@ -585,7 +592,7 @@ SELECT d.instrument_id, d.value, d.valid_from, CASE WHEN d.valid_before IS NULL
     "i8_operating_mic": ("instruments", [], "SELECT instrument_id, CASE exchange_mic WHEN 'XLON' THEN 'XLOM' ELSE exchange_mic END AS exchange_mic, CASE WHEN exchange_mic IN ('XNAS', 'XNYS') THEN 'US' WHEN exchange_mic = 'XLON' THEN 'GB' ELSE '' END AS country_code FROM instruments"),
     "f14_page_tokens": (None, [], "SELECT c_custkey, to_base64(encode(CAST(c_custkey * 7 AS VARCHAR))) AS token, CASE WHEN c_custkey % 5 < 2 THEN 0 ELSE c_custkey * 7 END AS offset FROM customer"),
     "a12_dashboard_counts": ("instruments postings splits matches coverage", [ADJUSTED, SIDES, BALANCES, held(True), COVERED, f"gaps AS ({less('SELECT * FROM held', 'SELECT instrument_id, from_date, before_date FROM covered', 'instrument_id')})"], f"SELECT 'balances' AS key, count(*) AS n FROM balances WHERE account_type <> 'SOURCE_ROUNDING' UNION ALL SELECT 'imbalances', count(*) FROM balances WHERE account_type = 'IMBALANCE' UNION ALL SELECT 'gap_instruments', count(DISTINCT instrument_id) FROM gaps UNION ALL SELECT 'unhandled_events', count(*) FROM splits WHERE NOT ({WHOLE})"),
-    "e8_gap_outcomes": (None, ["calls AS (SELECT l_orderkey AS gap_id, l_linenumber AS r, l_returnflag <> 'R' AS ok, CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS bars FROM lineitem WHERE l_suppkey % 3 > 0)", "sums AS (SELECT o_orderkey AS gap_id, CAST(o_orderkey % 4 AS BIGINT) AS n_ranges, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END AS BIGINT) AS n_eligible, count(c.r) AS n_calls, CAST(coalesce(sum(bars) FILTER (ok), 0) AS BIGINT) AS n_bars, count(DISTINCT r) FILTER (ok) AS covered FROM orders LEFT JOIN calls c ON c.gap_id = o_orderkey GROUP BY o_orderkey)"], "SELECT gap_id, n_ranges, n_eligible, n_calls, n_bars, CASE WHEN n_ranges > 0 AND covered >= n_ranges THEN CASE WHEN n_bars > 0 THEN 'filled' ELSE 'settled_empty' END WHEN n_eligible = 0 THEN 'no_eligible_plugin' WHEN n_calls = 0 THEN 'settled_empty' ELSE 'all_plugins_failed' END AS outcome FROM sums"),
+    "e8_gap_outcomes": (None, ["calls AS (SELECT l_orderkey AS gap_id, l_linenumber AS r, l_returnflag <> 'R' AS ok, CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS bars FROM lineitem WHERE l_discount > 0.02)", "sums AS (SELECT o_orderkey AS gap_id, CAST(o_orderkey % 4 AS BIGINT) AS n_ranges, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END AS BIGINT) AS n_eligible, count(c.r) AS n_calls, CAST(coalesce(sum(bars) FILTER (ok), 0) AS BIGINT) AS n_bars, count(DISTINCT r) FILTER (ok) AS covered FROM orders LEFT JOIN calls c ON c.gap_id = o_orderkey GROUP BY o_orderkey)"], "SELECT gap_id, n_ranges, n_eligible, n_calls, n_bars, CASE WHEN n_ranges > 0 AND covered >= n_ranges THEN CASE WHEN n_bars > 0 THEN 'filled' ELSE 'settled_empty' END WHEN n_eligible = 0 THEN 'no_eligible_plugin' WHEN n_calls = 0 THEN 'settled_empty' ELSE 'all_plugins_failed' END AS outcome FROM sums"),
     "e7_kept_runs": (None, [], "SELECT event_id AS run_id, CASE WHEN event_id % 4 > 0 THEN 'DONE' ELSE 'INCOMPLETE' END AS status, CASE WHEN event_id % 4 > 0 THEN ts ELSE TIMESTAMP '2030-01-01' END AS ended_at FROM events WHERE ts >= TIMESTAMP '1970-01-01'"),
 }
 

@@ -187,6 +187,14 @@ def c11_unhandled_splits(x):
     return _amounts(splits.unhandled_splits(x["splits"]), "split_from", "split_to")
 
 
+def c11_special_dividends(x):
+    return splits.special_dividends(x["dividends"])[1]
+
+
+def c11_stored_dividends(x):
+    return _amounts(splits.special_dividends(x["dividends"])[0], "amount")
+
+
 def c12_instruments_with_splits(x):
     return splits.instruments_with_splits(x["splits"], x["instruments"], TODAY)
 
@@ -409,6 +417,12 @@ def f1_list_prices(x):
     return _amounts(listings.list_prices(x["bars"], x["instruments"], "1", "1999-01-01", "1999-02-01").select("instrument_id", "name", "price_date", "close"), "close")
 
 
+def f1_price_page(x):
+    """The second page of prices that one source supplied, with its total."""
+    rows = listings.list_prices(x["bars"].withColumn("data_provider", F.when(F.col("close") > 50_000, "eod").otherwise("feed")), x["instruments"], None, "1998-01-01", "1999-01-01", "eod")
+    return _amounts(listings.paged(rows, listings.prices_by(), 40, 40).select("instrument_id", "name", "price_date", "close", "total", "next_token"), "close")
+
+
 def f2_list_instruments(x):
     return listings.list_instruments(x["instruments"], "7", ["STOCK", "UNKNOWN"]).select("instrument_id", "name", "asset_class", "currency")
 
@@ -421,6 +435,12 @@ def f4_list_postings(x):
     return _amounts(listings.list_postings(x["postings"], 7, 5, 2).select("timestamp", "group_id", "order_date", "tx_id", "broker", "quantity"), "quantity")
 
 
+def f4_portfolio_page(x):
+    """The last groups of 1997 in any portfolio, at one broker and account."""
+    members = holdings.portfolio_members(x["postings"], x["filters"]).select(*x["postings"].columns).dropDuplicates(["tx_id"])
+    return _amounts(listings.list_postings(members, None, 50, 10, "IBKR", "ACC-1", "1997-01-01", "1998-01-01", descending=True).select("timestamp", "group_id", "order_date", "tx_id", "quantity"), "quantity")
+
+
 def f7_display_currencies(x):
     return listings.display_currencies(x["users"])
 
@@ -540,10 +560,10 @@ def g13_seeds(x):
 
 
 def g14_readers(x):
-    ask = x["evidence"].join(x["statements"].select("tx_id", "user_id", "broker", "account"), "tx_id").where("user_id % 5 = 0")
+    ask = x["evidence"].join(x["statements"].select("tx_id", "user_id", "broker", "account"), "tx_id").where("broker = 'IBKR'")
     tokens = grouping.by_tokens(x["statements"], x["evidence"], ask.where("ordinal is null").withColumn("any_account", F.col("tx_id") % 2 == 0))
     spans = ask.where("ordinal_span is not null").withColumn("low", F.col("ordinal") - F.col("ordinal_span")).withColumn("high", F.col("ordinal") + F.col("ordinal_span"))
-    days = grouping.by_days(x["statements"], x["statements"].where("user_id % 11 = 0"))
+    days = grouping.by_days(x["statements"], x["statements"].where("account = 'ACC-0'"))
     named = {"token": tokens, "ordinal": grouping.by_ordinals(x["statements"], x["evidence"], spans), "day": days}
     out = None
     for reader, rows in named.items():
@@ -593,6 +613,15 @@ def i10_hint_verdicts(x):
     return resolution.hint_verdicts(*_asked_and_answers(x))
 
 
+def i13_eligible_plugins(x):
+    return identity.eligible(x["plugins"], x["instruments"].select("instrument_id", "asset_class", "exchange_mic", "currency")).select("plugin_id", "instrument_id")
+
+
+def i13_supported_identifiers(x):
+    supported = x["plugins"].select("plugin_id", F.when(F.col("asset_classes") == F.array(F.lit("OPTION")), F.array(F.lit("OCC"))).otherwise(F.array(F.lit("ISIN"), F.lit("MIC_TICKER"))).alias("supported"))
+    return identity.supported_identifiers(supported, x["identifiers"]).select("plugin_id", "instrument_id", "identifier_type", "value", "valid_from")
+
+
 def i14_plugin_order(x):
     suppliers = x.table("supplier")
     named = [r["s_name"] for r in suppliers.where("s_suppkey in (3, 7)").orderBy(F.desc("s_suppkey")).collect()]  # two plugins
@@ -712,7 +741,7 @@ def c10_applied_restatement(x):
 
 
 def d5_recalculated_pads(x):
-    moved = x["postings"].where("user_id % 14 > 0 or order_date >= date '1999-01-01'")
+    moved = x["postings"].where("broker <> 'SCHB' or order_date >= date '1999-01-01'")
     return _amounts(decl.recalculated_pads(x["declarations"], moved, x["splits"], x["instruments"], TODAY), "quantity")
 
 
@@ -741,7 +770,7 @@ def a12_dashboard_counts(x):
 
 def e8_gap_outcomes(x):
     gaps = x.table("orders").select(F.col("o_orderkey").alias("gap_id"), (F.col("o_orderkey") % 4).cast("long").alias("n_ranges"), F.when(F.col("o_orderkey") % 5 == 0, 0).otherwise(2).cast("long").alias("n_eligible"))
-    calls = x.table("lineitem").where("l_suppkey % 3 > 0").select(F.col("l_orderkey").alias("gap_id"), F.col("l_linenumber").alias("range"), (F.col("l_returnflag") != "R").alias("ok"), F.when(F.col("l_linestatus") == "F", F.col("l_quantity").cast("long")).otherwise(0).cast("long").alias("bars"))
+    calls = x.table("lineitem").where("l_discount > 0.02").select(F.col("l_orderkey").alias("gap_id"), F.col("l_linenumber").alias("range"), (F.col("l_returnflag") != "R").alias("ok"), F.when(F.col("l_linestatus") == "F", F.col("l_quantity").cast("long")).otherwise(0).cast("long").alias("bars"))
     return telemetry.gap_outcomes(gaps, calls)
 
 
@@ -751,11 +780,12 @@ def e7_kept_runs(x):
 
 
 def e2_export_events(x):
-    rows = listings.export_events(x["splits"], intervals.merged_coverage(x["coverage"]), identity.best_identifier(x["identifiers"]))
+    rows = listings.export_events(x["splits"], intervals.merged_coverage(x["coverage"]), identity.best_identifier(x["identifiers"]), splits.special_dividends(x["dividends"])[0])
     day = lambda d: d.cast("string")
     said = F.transform("splits", lambda e: F.concat_ws(" ", day(e["ex_date"]), e["split_from"].cast("double").cast("string"), e["split_to"].cast("double").cast("string")))
+    paid = F.transform("dividends", lambda e: F.concat_ws(" ", day(e["ex_date"]), e["amount"].cast("string"), e["currency"]))
     spans = F.transform("spans", lambda e: F.concat_ws("/", day(e["from_date"]), day(e["before_date"])))
-    return rows.select("instrument_id", "identifier_type", "value", F.array_join(said, "|").alias("splits"), F.array_join(spans, "|").alias("spans"))
+    return rows.select("instrument_id", "identifier_type", "value", F.array_join(said, "|").alias("splits"), F.array_join(paid, "|").alias("dividends"), F.array_join(spans, "|").alias("spans"))
 
 
 def f5_unhandled_events(x):
@@ -765,7 +795,7 @@ def f5_unhandled_events(x):
 
 def f6_jobs(x):
     jobs = x.table("orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"))
-    errors = x.table("lineitem").where("l_suppkey % 7 = 0").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_returnflag") == "R", "row").otherwise("file").alias("kind"))
+    errors = x.table("lineitem").where("l_tax > 0.05").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_returnflag") == "R", "row").otherwise("file").alias("kind"))
     return listings.list_jobs(jobs, errors, ["row", "file"])
 
 

@@ -43,6 +43,13 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 SELECT tx_id, CASE tx_id % 6 WHEN 0 THEN CAST(unit_price AS STRING) WHEN 1 THEN CAST(unit_price AS STRING) || '0' WHEN 2 THEN '0.' || lpad(CAST(tx_id % 9973 AS STRING), 4, '0')
        WHEN 3 THEN ' 3.' || lpad(CAST(tx_id % 99991 AS STRING), 5, '0') WHEN 4 THEN '0.004' ELSE '1.234567' END AS price
 FROM postings WHERE unit_price IS NOT NULL""",
+    "dividends": """
+SELECT l_partkey AS instrument_id, CAST(l_shipdate AS DATE) AS ex_date, CAST(MIN(CASE WHEN l_returnflag <> 'N' THEN CAST(l_shipdate AS DATE) END) + INTERVAL 14 DAY AS DATE) AS pay_date, CAST(MAX(l_tax) + 0.25 AS DECIMAL(18,2)) AS amount, 'USD' AS currency,
+       CASE WHEN MAX(l_discount) > 0.08 THEN 'SC' WHEN MAX(l_discount) > 0.04 THEN 'CD' END AS dividend_type, 'eod' AS provider
+FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_partkey, CAST(l_shipdate AS DATE)""",
+    "plugins": """
+SELECT n_name AS plugin_id, split(CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'STOCK,ETF' ELSE 'OPTION' END, ',') AS asset_classes, split(CASE n_regionkey WHEN 0 THEN 'XNAS,XNYS' WHEN 1 THEN 'XLON' ELSE '' END, ',') AS exchanges, split(CASE n_nationkey % 4 WHEN 0 THEN 'USD' ELSE '' END, ',') AS currencies
+FROM nation""",
     "splits": """
 SELECT p_partkey AS instrument_id, CAST(DATE '1998-01-01' + (p_partkey % 365) * INTERVAL 1 DAY AS DATE) AS ex_date,
        CASE p_partkey % 30 WHEN 20 THEN 3 ELSE 1 END AS split_from, CASE p_partkey % 30 WHEN 0 THEN 2 WHEN 10 THEN 3 ELSE 1 END AS split_to
@@ -87,10 +94,10 @@ GROUP BY user_id HAVING min(group_id) < max(group_id) AND count(DISTINCT instrum
     "declarations": """
 SELECT DISTINCT user_id, broker, account, instrument_id, CAST(instrument_id % 40 + 1 AS DECIMAL(18,6)) AS declared_qty,
        DATE '1998-06-30' AS as_of_date, DATE '1998-06-30' AS share_count_basis
-FROM postings WHERE user_id % 7 = 0 AND instrument_id IS NOT NULL AND account_type = 'USER'
+FROM postings WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND instrument_id IS NOT NULL AND account_type = 'USER'
 UNION ALL
 SELECT user_id, broker, account, instrument_id, CAST(sum(quantity) AS DECIMAL(18,6)), DATE '2000-06-30', DATE '2000-06-30'
-FROM postings WHERE user_id % 7 = 0 AND instrument_id IS NOT NULL AND account_type = 'USER'
+FROM postings WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND instrument_id IS NOT NULL AND account_type = 'USER'
 GROUP BY user_id, broker, account, instrument_id""",
     "contracts": """
 SELECT instrument_id, strike, CASE WHEN instrument_id % 60 = 1 THEN 'Q' ELSE 'U' END || CAST(underlying_id AS STRING) AS root,
