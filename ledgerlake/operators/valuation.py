@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.decimals import qty_is_zero
@@ -55,28 +55,27 @@ def daily_positions(source: DataFrame, start: str, before: str) -> DataFrame:
     return still.withColumn("day", F.explode(F.sequence("from_date", F.date_sub("before_date", 1)))).drop("from_date", "before_date")
 
 
-def filled_prices(bars: DataFrame, coverage: DataFrame, wanted: DataFrame, start: str, before: str, adjust: Callable[[DataFrame], DataFrame] = lambda bars: bars) -> DataFrame:
-    """Rows (instrument_id, day, close, split_adjusted_close) for covered days in [start, before).
+def price_runs(bars: DataFrame, coverage: DataFrame, wanted: DataFrame, start: str, before: str, adjust: Callable[[DataFrame], DataFrame] = lambda bars: bars) -> DataFrame:
+    """Rows (instrument_id, from_day, to_day, close, split_adjusted_close): the runs of days in [start, before) on which one bar is the last so far of its merged span of coverage.
 
-    Each day has the last bar so far of its own merged span of coverage, the last before ``start`` included;
-    nothing crosses the edge of a span. ``wanted`` (instrument_id) says for which instruments. ``adjust`` adds
-    split_adjusted_close to bars; it sees only those that are shown: one before ``start`` for each span at most.
+    A bar counts from its own day to the next bar's, or to the end of its span; nothing crosses the edge of a
+    span. ``wanted`` (instrument_id) says for which instruments. ``adjust`` adds split_adjusted_close to bars; it
+    sees only those that are shown: one before ``start`` for each span at most.
     """
     first, last = F.lit(start).cast("date"), F.lit(before).cast("date")
     spans = merged_coverage(coverage.join(wanted, "instrument_id", "left_semi")).select("instrument_id", F.col("from_date").alias("span_from"), F.col("before_date").alias("span_before"))
     spans = spans.where((F.col("span_from") < last) & (F.col("span_before") > first))
     inside = bars.where(F.col("price_date") < last).join(spans, "instrument_id").where("price_date >= span_from and price_date < span_before")
-    columns = [c for c in ("close", "share_count_basis", "split_adjusted_close") if c in bars.columns]
-    seeds = inside.where(F.col("price_date") < first).groupBy("instrument_id", "span_from").agg(F.max_by(F.struct("price_date", *columns), "price_date").alias("bar"))
-    shown = seeds.select("instrument_id", "span_from", "bar.*").unionByName(inside.where(F.col("price_date") >= first).select("instrument_id", "span_from", "price_date", *columns))
-    bar = F.struct("close", "split_adjusted_close").alias("bar")
-    points = adjust(shown).select("instrument_id", "span_from", F.greatest("price_date", F.date_sub(first, 1)).alias("day"), bar)
-    seeds, now = points.where(F.col("day") < first), points.where(F.col("day") >= first)
-    grid = spans.withColumn("day", F.explode(F.sequence(F.greatest("span_from", first), F.date_sub(F.least("span_before", last), 1)))).select("instrument_id", "span_from", "day")
-    points = grid.join(now, ["instrument_id", "span_from", "day"], "left").unionByName(seeds)
-    by = Window.partitionBy("instrument_id", "span_from").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    filled = points.withColumn("bar", F.last("bar", ignorenulls=True).over(by))
-    return filled.where(F.col("bar").isNotNull() & (F.col("day") >= first)).select("instrument_id", "day", "bar.close", "bar.split_adjusted_close")
+    by = Window.partitionBy("instrument_id", "span_from").orderBy("price_date")
+    until = F.least(F.coalesce(F.lead("price_date").over(by), "span_before"), last)
+    shown = inside.withColumns({"from_day": F.greatest("price_date", first), "to_day": until}).where("from_day < to_day").drop("span_from", "span_before")
+    return adjust(shown).select("instrument_id", "from_day", "to_day", "close", "split_adjusted_close")
+
+
+def filled_prices(bars: DataFrame, coverage: DataFrame, wanted: DataFrame, start: str, before: str, adjust: Callable[[DataFrame], DataFrame] = lambda bars: bars) -> DataFrame:
+    """Rows (instrument_id, day, close, split_adjusted_close) for covered days in [start, before): the days of ``price_runs``."""
+    runs = price_runs(bars, coverage, wanted, start, before, adjust)
+    return runs.select("instrument_id", F.explode(F.sequence("from_day", F.date_sub("to_day", 1))).alias("day"), "close", "split_adjusted_close")
 
 
 def currency_pairs(identifiers: DataFrame) -> DataFrame:
@@ -85,13 +84,21 @@ def currency_pairs(identifiers: DataFrame) -> DataFrame:
     return rows.select("instrument_id", F.substring("value", 1, 3).alias("currency"))
 
 
-def price_arrays(filled: DataFrame, start: str, before: str) -> DataFrame:
-    """Rows (instrument_id, prices, rates): adjusted and plain closes of each day in [start, before) as doubles, null where there are none; an array is as long as the window."""
-    days = F.explode(F.sequence(F.lit(start).cast("date"), F.date_sub(F.lit(before).cast("date"), 1))).alias("day")
-    grid = filled.select("instrument_id").distinct().select("instrument_id", days)
-    both = grid.join(filled, ["instrument_id", "day"], "left").select("instrument_id", F.struct("day", F.col("split_adjusted_close").cast("double").alias("price"), F.col("close").cast("double").alias("rate")).alias("p"))
-    ordered = both.groupBy("instrument_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return ordered.select("instrument_id", F.col("p.price").alias("prices"), F.col("p.rate").alias("rates"))
+def price_arrays(runs: DataFrame, start: str, before: str) -> DataFrame:
+    """Rows (instrument_id, prices, rates): adjusted and plain closes of each day in [start, before) as doubles, null where there are none; an array is as long as the window.
+
+    Runs are laid side by side with nulls between them, so days are never spelt out as rows.
+    """
+    first, last = F.lit(start).cast("date"), F.lit(before).cast("date")
+    run = F.struct(F.datediff("from_day", first).alias("at"), F.datediff("to_day", first).alias("to"), F.col("split_adjusted_close").cast("double").alias("price"), F.col("close").cast("double").alias("rate"))
+    held = runs.groupBy("instrument_id").agg(F.array_sort(F.collect_list(run)).alias("r"))  # one for each day at most
+    blank = F.lit(None).cast("double")
+
+    def laid(value: str) -> Column:
+        one = lambda x, i: F.concat(F.array_repeat(blank, x["at"] - F.coalesce(F.get("r", i - 1)["to"], F.lit(0))), F.array_repeat(x[value], x["to"] - x["at"]))
+        return F.concat(F.flatten(F.transform("r", one)), F.array_repeat(blank, F.datediff(last, first) - F.element_at("r", -1)["to"]))
+
+    return held.select("instrument_id", laid("price").alias("prices"), laid("rate").alias("rates"))
 
 
 def valued_positions(source: DataFrame, instruments: DataFrame, pairs: DataFrame, bars: DataFrame, coverage: DataFrame, start: str, before: str, display: str, adjust: Callable[[DataFrame], DataFrame] = lambda bars: bars, wanted: DataFrame | None = None) -> DataFrame:
@@ -103,7 +110,7 @@ def valued_positions(source: DataFrame, instruments: DataFrame, pairs: DataFrame
     first = F.lit(start).cast("date")
     ids = (source if wanted is None else wanted).where("instrument_id is not null").select("instrument_id")
     ids = ids.unionByName(pairs.select("instrument_id")).distinct()
-    arrays = settled(price_arrays(filled_prices(bars, coverage, ids, start, before, adjust), start, before))
+    arrays = settled(price_arrays(price_runs(bars, coverage, ids, start, before, adjust), start, before))
     rates = settled(arrays.join(pairs, "instrument_id").select("currency", "rates"))
     shown = rates.where(F.col("currency") == display).agg(F.max("rates").alias("shown_rates"))
     known = instruments.select("instrument_id", "name", "asset_class", "currency").join(arrays.select("instrument_id", "prices"), "instrument_id", "left")
