@@ -33,6 +33,22 @@ def merged(source: str, keys: str) -> str:
     return islands(days(source, keys), keys)
 
 
+IS_IMPORT = "kind LIKE '%_import' AS is_import"
+OF_CYCLE = "r.kind AS run_kind, r.started_at AS run_started_at, r.outcome AS run_outcome, r.telemetry_incomplete AS run_telemetry_incomplete, r.kind LIKE '%_import' AS is_import"
+OF_RUN = f"r.job_id AS run_job_id, r.user_id AS run_user_id, r.broker AS run_broker, r.source AS run_source, {OF_CYCLE}"
+OF_ATTEMPT = "a.purpose AS attempt_purpose, a.depth AS attempt_depth, a.outcome AS attempt_outcome, a.asset_class AS attempt_asset_class"
+REACHED = "a.outcome <> 'db_short_circuit' AND a.outcome <> 'no_eligible_plugins' AS reached_plugins"
+CHAIN = "run_attempts a JOIN run_keys k ON k.id = a.resolution_key_id JOIN runs r ON r.id = k.run_id"
+GAP_SETTLED = "coalesce(g.outcome, '') IN ('filled', 'settled_empty')"
+
+
+def resolved(name: str) -> str:
+    return f"coalesce(k.outcome, '') IN ('identified', 'db_identifier_hints', 'db_source_description') AS {name}"
+
+
+OF_KEY = f"k.source AS key_source, k.description AS key_description, k.tx_count AS key_tx_count, k.outcome AS key_outcome, {resolved('key_resolved')}"
+
+
 # ---------------------------------------------------------------- shared steps
 
 EFFECTIVE = f"""effective AS (
@@ -593,6 +609,21 @@ SELECT d.instrument_id, d.value, d.valid_from, CASE WHEN d.valid_before IS NULL
     "f14_page_tokens": (None, [], "SELECT c_custkey, to_base64(encode(CAST(c_custkey * 7 AS VARCHAR))) AS token, CASE WHEN c_custkey % 5 < 2 THEN 0 ELSE c_custkey * 7 END AS offset FROM customer"),
     "a12_dashboard_counts": ("instruments postings splits matches coverage", [ADJUSTED, SIDES, BALANCES, held(True), COVERED, f"gaps AS ({less('SELECT * FROM held', 'SELECT instrument_id, from_date, before_date FROM covered', 'instrument_id')})"], f"SELECT 'balances' AS key, count(*) AS n FROM balances WHERE account_type <> 'SOURCE_ROUNDING' UNION ALL SELECT 'imbalances', count(*) FROM balances WHERE account_type = 'IMBALANCE' UNION ALL SELECT 'gap_instruments', count(DISTINCT instrument_id) FROM gaps UNION ALL SELECT 'unhandled_events', count(*) FROM splits WHERE NOT ({WHOLE})"),
     "e8_gap_outcomes": (None, ["calls AS (SELECT l_orderkey AS gap_id, l_linenumber AS r, l_returnflag <> 'R' AS ok, CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS bars FROM lineitem WHERE l_discount > 0.02)", "sums AS (SELECT o_orderkey AS gap_id, CAST(o_orderkey % 4 AS BIGINT) AS n_ranges, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END AS BIGINT) AS n_eligible, count(c.r) AS n_calls, CAST(coalesce(sum(bars) FILTER (ok), 0) AS BIGINT) AS n_bars, count(DISTINCT r) FILTER (ok) AS covered FROM orders LEFT JOIN calls c ON c.gap_id = o_orderkey GROUP BY o_orderkey)"], "SELECT gap_id, n_ranges, n_eligible, n_calls, n_bars, CASE WHEN n_ranges > 0 AND covered >= n_ranges THEN CASE WHEN n_bars > 0 THEN 'filled' ELSE 'settled_empty' END WHEN n_eligible = 0 THEN 'no_eligible_plugin' WHEN n_calls = 0 THEN 'settled_empty' ELSE 'all_plugins_failed' END AS outcome FROM sums"),
+    "e6_runs": ("runs run_keys run_candidate_calls run_gaps", [], f"SELECT r.*, {IS_IMPORT}, CAST(round(CAST(epoch_us(ended_at) - epoch_us(started_at) AS DECIMAL(20,0)) / 1000) AS BIGINT) AS duration_ms, (SELECT count(*) FROM run_keys WHERE run_id = r.id) AS key_count, (SELECT CAST(coalesce(sum(tx_count), 0) AS BIGINT) FROM run_keys WHERE run_id = r.id) AS key_tx_count, (SELECT count(*) FROM run_candidate_calls WHERE run_id = r.id) AS candidate_call_count, (SELECT count(*) FROM run_gaps WHERE run_id = r.id) AS gap_count FROM runs r"),
+    "e6_resolution_keys": ("runs run_keys run_attempts", [], f"SELECT k.*, {resolved('resolved')}, k.id IN (SELECT resolution_key_id FROM run_attempts) AS had_attempt, {OF_RUN} FROM run_keys k JOIN runs r ON r.id = k.run_id"),
+    "e6_attempts": ("runs run_keys run_attempts", [], f"SELECT a.*, {REACHED}, {OF_KEY}, k.mismatch_detected AS key_mismatch_detected, r.id AS run_id, {OF_RUN} FROM {CHAIN}"),
+    "e6_plugin_calls": ("runs run_keys run_attempts run_calls", [], f"SELECT c.*, c.outcome IN ('rate_limited', 'timeout', 'error') AS transport_failed, {OF_ATTEMPT}, a.security_type_hint AS attempt_security_type_hint, a.had_identifier_hints AS attempt_had_identifier_hints, {REACHED}, k.id AS resolution_key_id, {OF_KEY}, r.id AS run_id, {OF_RUN} FROM run_calls c JOIN {CHAIN.replace('run_attempts a', 'run_attempts a ON a.id = c.identification_attempt_id')}"),
+    "e6_claims": ("runs run_keys run_attempts run_calls run_claims", [], f"SELECT cl.*, c.plugin_id, c.outcome AS call_outcome, c.identification_attempt_id, {OF_ATTEMPT}, {REACHED}, k.id AS resolution_key_id, {OF_KEY}, r.id AS run_id, {OF_RUN} FROM run_claims cl JOIN run_calls c ON c.id = cl.call_id JOIN {CHAIN.replace('run_attempts a', 'run_attempts a ON a.id = c.identification_attempt_id')}"),
+    "e6_candidate_calls": ("runs run_candidate_calls", [], f"SELECT c.*, c.outcome NOT IN ('hints_returned', 'no_hints') AS call_failed, {OF_RUN} FROM run_candidate_calls c JOIN runs r ON r.id = c.run_id"),
+    "e6_candidate_fields": ("runs run_keys run_candidate_calls run_fields", [], f"SELECT f.*, f.outcome NOT IN ('untested', 'unused') AS was_tested, c.plugin_id, c.precedence, c.total_tokens AS call_total_tokens, c.batch_size AS call_batch_size, k.source, k.description, k.tx_count, k.had_identifier_hints, k.security_type_hint, k.candidate_outcome, k.outcome AS key_outcome, k.instrument_id, r.id AS run_id, {OF_RUN} FROM run_fields f JOIN run_candidate_calls c ON c.id = f.call_id JOIN run_keys k ON k.id = f.resolution_key_id JOIN runs r ON r.id = k.run_id"),
+    "e6_gaps": ("runs run_gaps run_gap_calls", [], f"SELECT g.*, {GAP_SETTLED} AS settled, g.id IN (SELECT price_gap_id FROM run_gap_calls) AS had_call, {OF_CYCLE} FROM run_gaps g JOIN runs r ON r.id = g.run_id"),
+    "e6_gap_calls": ("runs run_gaps run_gap_calls", [], f"SELECT c.*, CAST(range_before - range_from AS INTEGER) AS days, c.outcome IN ('timeout', 'error') AS transport_failed, c.outcome = 'upsert_failed' AS write_failed, g.instrument_id AS gap_instrument_id, g.is_fx AS gap_is_fx, g.asset_class AS gap_asset_class, g.currency AS gap_currency, g.exchange AS gap_exchange, g.days_outstanding AS gap_days_outstanding, g.outcome AS gap_outcome, {GAP_SETTLED} AS gap_settled, r.id AS run_id, {OF_CYCLE} FROM run_gap_calls c JOIN run_gaps g ON g.id = c.price_gap_id JOIN runs r ON r.id = g.run_id"),
+    "e7_labelled_keys": ("runs run_keys instruments", [], f"SELECT k.id, k.run_id, k.description, {resolved('resolved')}, k.instrument_id, i.name AS label, i.exchange_mic AS instrument_exchange, i.asset_class AS instrument_asset_class, i.currency AS instrument_currency FROM run_keys k LEFT JOIN instruments i USING (instrument_id)"),
+    "e7_purged": ("runs run_keys run_attempts run_calls run_claims run_candidate_calls run_fields run_gaps run_gap_calls", [f"old AS (SELECT id FROM runs WHERE started_at < TIMESTAMP '{CUTOFF}')", "old_keys AS (SELECT id FROM run_keys WHERE run_id IN (SELECT id FROM old))", "old_attempts AS (SELECT id FROM run_attempts WHERE resolution_key_id IN (SELECT id FROM old_keys))", "old_calls AS (SELECT id FROM run_calls WHERE identification_attempt_id IN (SELECT id FROM old_attempts))", "old_gaps AS (SELECT id FROM run_gaps WHERE run_id IN (SELECT id FROM old))"], """SELECT 'runs' AS table_name, id FROM runs WHERE id NOT IN (SELECT id FROM old)
+UNION ALL SELECT 'keys', id FROM run_keys WHERE id NOT IN (SELECT id FROM old_keys) UNION ALL SELECT 'attempts', id FROM run_attempts WHERE id NOT IN (SELECT id FROM old_attempts)
+UNION ALL SELECT 'calls', id FROM run_calls WHERE id NOT IN (SELECT id FROM old_calls) UNION ALL SELECT 'claims', id FROM run_claims WHERE call_id NOT IN (SELECT id FROM old_calls)
+UNION ALL SELECT 'candidate_calls', id FROM run_candidate_calls WHERE run_id NOT IN (SELECT id FROM old) UNION ALL SELECT 'candidate_fields', id FROM run_fields WHERE resolution_key_id NOT IN (SELECT id FROM old_keys)
+UNION ALL SELECT 'gaps', id FROM run_gaps WHERE id NOT IN (SELECT id FROM old_gaps) UNION ALL SELECT 'gap_calls', id FROM run_gap_calls WHERE price_gap_id NOT IN (SELECT id FROM old_gaps)"""),
     "e7_kept_runs": (None, [], "SELECT event_id AS run_id, CASE WHEN event_id % 4 > 0 THEN 'DONE' ELSE 'INCOMPLETE' END AS status, CASE WHEN event_id % 4 > 0 THEN ts ELSE TIMESTAMP '2030-01-01' END AS ended_at FROM events WHERE ts >= TIMESTAMP '1970-01-01'"),
 }
 

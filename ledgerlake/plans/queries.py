@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from ledgerlake.functions.decimals import shown, stated
 from ledgerlake.functions.symbols import bare_ticker, is_isin, occ_padded, parse_option
 from ledgerlake.operators import declarations as decl
 from ledgerlake.functions import idtypes, texts
-from ledgerlake.operators import changes, grouping, holdings, identity, intervals, ledger, listings, matching, resolution, splits, telemetry, uploads, valuation
+from ledgerlake.operators import changes, grouping, holdings, identity, intervals, ledger, listings, matching, resolution, run_views, splits, telemetry, uploads, valuation
 from ledgerlake.operators.rounds import new_folder
 from ledgerlake.sources import parts, sheets
 from ledgerlake.sources.fixture import TODAY, Ledger
@@ -779,6 +780,52 @@ def e7_kept_runs(x):
     return telemetry.kept_runs(runs, "1970-01-01", "2030-01-01").select("run_id", "status", "ended_at")
 
 
+def e6_runs(x):
+    return run_views.runs_view(x["runs"], x["run_keys"], x["run_candidate_calls"], x["run_gaps"])
+
+
+def e6_resolution_keys(x):
+    return run_views.keys_view(x["runs"], x["run_keys"], x["run_attempts"])
+
+
+def e6_attempts(x):
+    return run_views.attempts_view(x["runs"], x["run_keys"], x["run_attempts"])
+
+
+def e6_plugin_calls(x):
+    return run_views.calls_view(x["runs"], x["run_keys"], x["run_attempts"], x["run_calls"])
+
+
+def e6_claims(x):
+    return run_views.claims_view(x["runs"], x["run_keys"], x["run_attempts"], x["run_calls"], x["run_claims"])
+
+
+def e6_candidate_calls(x):
+    return run_views.candidate_calls_view(x["runs"], x["run_candidate_calls"])
+
+
+def e6_candidate_fields(x):
+    return run_views.candidate_fields_view(x["runs"], x["run_keys"], x["run_candidate_calls"], x["run_fields"])
+
+
+def e6_gaps(x):
+    return run_views.gaps_view(x["runs"], x["run_gaps"], x["run_gap_calls"])
+
+
+def e6_gap_calls(x):
+    return run_views.gap_calls_view(x["runs"], x["run_gaps"], x["run_gap_calls"])
+
+
+def e7_labelled_keys(x):
+    return run_views.labelled(run_views.keys_view(x["runs"], x["run_keys"], x["run_attempts"]).select("id", "run_id", "description", "resolved", "instrument_id"), x["instruments"])
+
+
+def e7_purged(x):
+    tables = {"runs": x["runs"], "keys": x["run_keys"], "attempts": x["run_attempts"], "calls": x["run_calls"], "claims": x["run_claims"], "candidate_calls": x["run_candidate_calls"], "candidate_fields": x["run_fields"], "gaps": x["run_gaps"], "gap_calls": x["run_gap_calls"]}
+    left = [rows.select(F.lit(name).alias("table_name"), "id") for name, rows in run_views.purged(tables, CUTOFF).items()]
+    return functools.reduce(DataFrame.unionByName, left)
+
+
 def e2_export_events(x):
     rows = listings.export_events(x["splits"], intervals.merged_coverage(x["coverage"]), identity.best_identifier(x["identifiers"]), splits.special_dividends(x["dividends"])[0])
     day = lambda d: d.cast("string")

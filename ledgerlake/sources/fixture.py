@@ -181,8 +181,50 @@ SELECT tx_id, 0 AS position, 'ref' AS label, '' AS token, CAST(tx_id % 100 + use
 FROM statements WHERE tx_id % 100 < 11 AND user_id % 7 <> 0
 UNION ALL SELECT tx_id, 1, 'id', CAST(floor(tx_id / 100) AS STRING), NULL, NULL, 'BROKER', CAST(1 AS BIGINT), split(CASE WHEN tx_id % 100 = 13 THEN 'ATTACHES' ELSE 'EXACT' END, ',')
 FROM statements WHERE tx_id % 100 IN (11, 12, 13)""",
+    "runs": """
+SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN 'tx_import' WHEN 1 THEN 'user_archive_import' WHEN 2 THEN 'system_archive_import' WHEN 3 THEN 'grouping_cycle' WHEN 4 THEN 'transfer_match_cycle' WHEN 5 THEN 'corporate_event_cycle' WHEN 6 THEN 'price_fetch_cycle' ELSE 'inflation_cycle' END AS kind,
+       CASE WHEN o_orderkey % 8 < 3 THEN o_orderkey * 7 END AS job_id, CASE WHEN o_orderkey % 8 < 2 THEN o_custkey END AS user_id, CASE o_orderkey % 8 WHEN 0 THEN 'IBKR' END AS broker, CASE o_orderkey % 8 WHEN 0 THEN o_orderpriority END AS source,
+       o_orderdate AS started_at, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + o_custkey * INTERVAL 1 SECOND + o_orderkey % 1000000 * INTERVAL 1 MICROSECOND END AS ended_at,
+       CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN CASE o_orderkey % 3 WHEN 0 THEN 'failed' ELSE 'success' END ELSE CASE o_orderkey % 4 WHEN 0 THEN 'incomplete' END END AS outcome, o_totalprice > 400000 AS telemetry_incomplete
+FROM orders""",
+    "run_keys": """
+SELECT tx_id AS id, group_id AS run_id, broker AS source, description, CAST(abs(quantity) AS INT) AS tx_count, account_type = 'USER' AS had_identifier_hints, tx_type AS security_type_hint, CASE WHEN quantity < 0 THEN 'OPTION' END AS instrument_kind,
+       CASE tx_id % 6 WHEN 0 THEN 'fields_proposed' WHEN 1 THEN 'nothing_proposed' WHEN 2 THEN 'not_attempted_db_hit' WHEN 3 THEN 'not_attempted_run_kind' WHEN 4 THEN 'not_attempted_no_plugins' END AS candidate_outcome,
+       CASE tx_id % 11 WHEN 0 THEN 'db_source_description' WHEN 1 THEN 'db_identifier_hints' WHEN 2 THEN 'broker_description_only' WHEN 3 THEN 'extraction_failed' WHEN 4 THEN 'plugin_timeout' WHEN 5 THEN 'conflicting_hints' WHEN 6 THEN 'proposal_unconfirmed' WHEN 7 THEN NULL ELSE 'identified' END AS outcome,
+       CASE WHEN settlement_amount > 90000 THEN 'figi_vs_ticker' END AS mismatch_detected, instrument_id
+FROM postings""",
+    "run_attempts": """
+SELECT tx_id * 4 + n.i AS id, tx_id AS resolution_key_id, CASE n.i WHEN 0 THEN 'primary' WHEN 1 THEN 'mismatch_check' ELSE 'underlying' END AS purpose, CASE WHEN n.i = 2 THEN 1 ELSE 0 END AS depth,
+       CASE (tx_id + n.i) % 7 WHEN 0 THEN 'db_short_circuit' WHEN 1 THEN 'no_eligible_plugins' WHEN 2 THEN 'not_identified' WHEN 3 THEN 'plugin_timeout' WHEN 4 THEN 'plugin_error' WHEN 5 THEN 'proposal_unconfirmed' ELSE 'identified' END AS outcome,
+       tx_type AS security_type_hint, CASE WHEN n.i < 2 THEN 'STOCK' END AS asset_class, account_type = 'USER' AS had_identifier_hints
+FROM postings CROSS JOIN (VALUES (0), (1), (2)) AS n(i) WHERE tx_type <> 'DIVIDEND' AND (n.i = 0 OR tx_type = 'TRADE_ASSET')""",
+    "run_calls": """
+SELECT id * 2 + n.i AS id, id AS identification_attempt_id, 'plugin-' || CAST(n.i AS STRING) AS plugin_id,
+       CASE (id + n.i) % 8 WHEN 0 THEN 'won' WHEN 1 THEN 'superseded' WHEN 2 THEN 'discarded_inconsistent' WHEN 3 THEN 'not_identified' WHEN 4 THEN 'rate_limited' WHEN 5 THEN 'timeout' WHEN 6 THEN 'error' ELSE 'skipped_expired' END AS outcome,
+       CAST(id % 3 AS INT) AS retries, CAST(id % 900 + n.i AS INT) AS duration_ms
+FROM run_attempts CROSS JOIN (VALUES (0), (1)) AS n(i) WHERE outcome <> 'db_short_circuit' AND outcome <> 'no_eligible_plugins'""",
+    "run_claims": """
+SELECT id AS id, id AS call_id, CASE WHEN retries = 0 THEN 'ISIN' ELSE 'MIC_TICKER' END AS identifier_type, CASE WHEN retries > 0 THEN 'XNAS' END AS domain, 'V' || CAST(duration_ms AS STRING) AS value, CASE WHEN outcome = 'superseded' THEN 'filtered' ELSE 'returned' END AS role
+FROM run_calls WHERE outcome IN ('won', 'superseded', 'discarded_inconsistent')""",
+    "run_candidate_calls": """
+SELECT o_orderkey * 2 + n.i AS id, o_orderkey AS run_id, 'model-' || CAST(n.i AS STRING) AS plugin_id, n.i AS precedence, CAST(o_custkey % 20 + 1 AS INT) AS batch_size, CAST(o_custkey % 20 AS INT) AS items_completed, CAST(o_custkey % 9 AS INT) AS fields_proposed,
+       CASE (o_orderkey + n.i) % 6 WHEN 0 THEN 'hints_returned' WHEN 1 THEN 'no_hints' WHEN 2 THEN 'error' WHEN 3 THEN 'rate_limited' WHEN 4 THEN 'quota_exceeded' ELSE 'model_not_found' END AS outcome,
+       CASE WHEN o_totalprice > 100000 THEN o_custkey * 3 END AS prompt_tokens, CASE WHEN o_totalprice > 100000 THEN o_custkey END AS completion_tokens, CASE WHEN o_totalprice > 100000 THEN o_custkey * 4 END AS total_tokens, CAST(o_custkey % 5000 AS INT) AS duration_ms
+FROM orders CROSS JOIN (VALUES (0), (1)) AS n(i) WHERE o_orderstatus <> 'P'""",
+    "run_fields": """
+SELECT k.id * 4 + n.i AS id, k.id AS resolution_key_id, c.id AS call_id, CASE n.i WHEN 0 THEN 'ticker' WHEN 1 THEN 'exchange' WHEN 2 THEN 'currency' ELSE 'key' END AS field, k.description AS value, CASE WHEN n.i < 3 THEN CAST(0.25 AS DOUBLE) * n.i END AS confidence,
+       CASE (k.id + n.i) % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'untested' ELSE 'unused' END AS outcome
+FROM run_keys k JOIN run_candidate_calls c ON c.run_id = k.run_id CROSS JOIN (VALUES (0), (1), (2), (3)) AS n(i) WHERE k.candidate_outcome = 'fields_proposed' AND c.precedence = 0""",
+    "run_gaps": """
+SELECT tx_id AS id, group_id AS run_id, instrument_id, quantity < 0 AS is_fx, CASE WHEN quantity > 0 THEN 'STOCK' END AS asset_class, settlement_currency AS currency, CASE broker WHEN 'IBKR' THEN 'XNAS' END AS exchange, CAST(abs(quantity) AS INT) AS days_outstanding,
+       CASE tx_id % 6 WHEN 0 THEN 'filled' WHEN 1 THEN 'settled_empty' WHEN 2 THEN 'no_eligible_plugin' WHEN 3 THEN 'all_plugins_failed' WHEN 4 THEN 'instrument_missing' END AS outcome
+FROM postings WHERE instrument_id IS NOT NULL AND account_type <> 'USER'""",
+    "run_gap_calls": """
+SELECT id * 2 + n.i AS id, id AS price_gap_id, 'eod-' || CAST(n.i AS STRING) AS plugin_id, n.i AS precedence, DATE '1999-01-04' AS range_from, CAST(DATE '1999-01-04' + days_outstanding * INTERVAL 1 DAY AS DATE) AS range_before, days_outstanding - n.i AS bars,
+       CASE (id + n.i) % 7 WHEN 0 THEN 'bars_returned' WHEN 1 THEN 'no_data' WHEN 2 THEN 'history_limit' WHEN 3 THEN 'permanent_block' WHEN 4 THEN 'timeout' WHEN 5 THEN 'error' ELSE 'upsert_failed' END AS outcome, CASE WHEN n.i = 0 THEN days_outstanding * 10 END AS duration_ms
+FROM run_gaps CROSS JOIN (VALUES (0), (1)) AS n(i) WHERE outcome IS NULL OR (outcome <> 'instrument_missing' AND outcome <> 'no_eligible_plugin')""",
 }
-DEPENDS = {"answer_ids": ["answers"], "stated_prices": ["postings"], "contracts": ["instruments"], "identifiers": ["contracts"], "matches": ["postings"], "declarations": ["postings"], "correlations": ["postings"], "journal_evidence": ["journals"], "evidence": ["statements"]}
+DEPENDS = {"run_keys": ["postings"], "run_attempts": ["postings"], "run_calls": ["run_attempts"], "run_claims": ["run_calls"], "run_fields": ["run_keys", "run_candidate_calls"], "run_gaps": ["postings"], "run_gap_calls": ["run_gaps"], "answer_ids": ["answers"], "stated_prices": ["postings"], "contracts": ["instruments"], "identifiers": ["contracts"], "matches": ["postings"], "declarations": ["postings"], "correlations": ["postings"], "journal_evidence": ["journals"], "evidence": ["statements"]}
 
 
 def closure(names) -> list[str]:
