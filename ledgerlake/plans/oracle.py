@@ -179,6 +179,17 @@ BEST = f"""ranked AS (SELECT *, {_rank("MIC_TICKER OPENFIGI_TICKER OCC ISIN OPEN
 best AS (SELECT instrument_id, identifier_type, domain, value FROM ranked QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY r, coalesce(domain, ''), value, identifier_type) = 1)"""
 SHOWN_NAMES = f"ranked AS (SELECT *, {_rank('MIC_TICKER OPENFIGI_TICKER OCC BROKER_DESCRIPTION CURRENCY FX_PAIR')} AS r FROM identifiers WHERE valid_before IS NULL)"
 PRICE_NAMES = f"ranked AS (SELECT *, {_rank('MIC_TICKER OPENFIGI_TICKER FX_PAIR ISIN')} AS r FROM identifiers WHERE valid_before IS NULL)"
+NEEDS = """needs AS (
+  SELECT currency AS need, from_date, before_date FROM held JOIN instruments USING (instrument_id) WHERE asset_class <> 'FX' AND currency <> 'USD'
+  UNION ALL SELECT u.d, from_date, before_date FROM held JOIN instruments USING (instrument_id) JOIN (SELECT DISTINCT display_currency AS d FROM users WHERE display_currency NOT IN ('', 'USD')) u ON u.d <> currency WHERE asset_class <> 'FX'
+), pairs AS (SELECT n.from_date, n.before_date, i.instrument_id FROM needs n JOIN identifiers i ON i.identifier_type = 'FX_PAIR' AND i.value = n.need || 'USD' AND i.valid_before IS NULL)"""
+REQUESTS = f"""gaps AS ({less('SELECT * FROM held', 'SELECT * FROM covered', 'instrument_id')} UNION ALL {less('SELECT instrument_id, from_date, before_date FROM pairs', 'SELECT * FROM covered', 'instrument_id')}),
+best AS (SELECT * FROM ranked WHERE r < 99 QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY r, coalesce(domain, ''), value) = 1),
+told AS (SELECT g.*, name, asset_class, identifier_type AS t, coalesce(domain, '') AS d, value, CASE WHEN identifier_type = 'MIC_TICKER' AND domain <> '' THEN domain ELSE coalesce(exchange_mic, '') END AS venue FROM gaps g JOIN instruments USING (instrument_id) JOIN best USING (instrument_id)),
+coded AS (SELECT *, CASE venue WHEN 'XNAS' THEN 'NASDAQ' WHEN 'XNYS' THEN 'NYSE' WHEN 'XLON' THEN 'LON' END AS code FROM told),
+chunks AS (SELECT *, CAST(unnest(generate_series(from_date, before_date - INTERVAL 1 DAY, INTERVAL 365 DAY)) AS DATE) AS c FROM coded WHERE t = 'FX_PAIR' OR (t IN ('MIC_TICKER', 'OPENFIGI_TICKER') AND code IS NOT NULL)),
+asked AS (SELECT *, least(CAST(c + INTERVAL 364 DAY AS DATE), CAST(before_date - INTERVAL 1 DAY AS DATE)) AS e, CAST(floor(instrument_id / 50) AS BIGINT) AS sheet FROM chunks),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY sheet ORDER BY instrument_id, c) * 2 - 2 AS INTEGER) AS place FROM asked)"""
 EXPOSURE = """totals AS (SELECT broker, instrument_id, sum(balance) AS total FROM balances GROUP BY ALL),
 widest AS (SELECT broker, max(abs(total)) AS w FROM totals GROUP BY ALL),
 exposure AS (
@@ -435,10 +446,7 @@ PARTS: dict[str, tuple[str, list[str], str]] = {
     "r3_coverage_upsert": ("coverage", [], f"SELECT *, covered_from AS last_fetched_at FROM ({islands(days('SELECT * FROM coverage', 'instrument_id, plugin_id', 'covered_from', 'covered_before'), 'instrument_id, plugin_id', 'covered_from', 'covered_before')})"),
     "r4_held_ranges": ("postings", [held(True)], "SELECT * FROM held"),
     "r5_price_gaps": ("postings coverage", [held(True), COVERED], less("SELECT * FROM held", "SELECT * FROM covered", "instrument_id")),
-    "r6_fx_gaps": ("postings coverage instruments users identifiers", [held(True), COVERED, """needs AS (
-  SELECT currency AS need, from_date, before_date FROM held JOIN instruments USING (instrument_id) WHERE asset_class <> 'FX' AND currency <> 'USD'
-  UNION ALL SELECT u.d, from_date, before_date FROM held JOIN instruments USING (instrument_id) JOIN (SELECT DISTINCT display_currency AS d FROM users WHERE display_currency NOT IN ('', 'USD')) u ON u.d <> currency WHERE asset_class <> 'FX'
-), pairs AS (SELECT n.from_date, n.before_date, i.instrument_id FROM needs n JOIN identifiers i ON i.identifier_type = 'FX_PAIR' AND i.value = n.need || 'USD' AND i.valid_before IS NULL)"""], less("SELECT instrument_id, from_date, before_date FROM pairs", "SELECT * FROM covered", "instrument_id")),
+    "r6_fx_gaps": ("postings coverage instruments users identifiers", [held(True), COVERED, NEEDS], less("SELECT instrument_id, from_date, before_date FROM pairs", "SELECT * FROM covered", "instrument_id")),
     "r7_merged_coverage": ("coverage", [COVERED], "SELECT * FROM covered"),
     "r8_supplied_spans": ("bars", [], islands("SELECT DISTINCT instrument_id, price_date AS day FROM bars", "instrument_id")),
     "r9_event_gaps": ("postings instruments coverage", [FIRST_HELD, COVERED], less(f"SELECT instrument_id, first_date AS from_date, DATE '{TODAY}' AS before_date FROM first_held", "SELECT * FROM covered", "instrument_id")),
@@ -588,6 +596,9 @@ UNION ALL SELECT 'day', tx_id FROM statements s WHERE EXISTS (SELECT 1 FROM stat
     "s6_ofx_datetimes": (None, ["t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '20011' ELSE strftime(o_orderdate, '%Y%m%d') || CASE WHEN o_orderkey % 3 > 0 THEN lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || '3015.000' ELSE '' END || ['', '[-5:EST]', '[+5.5:IST]', '[0:GMT]'][o_orderkey % 4 + 1] END AS stated FROM orders)"], "SELECT o_orderkey, stated, CASE WHEN length(stated) >= 8 THEN make_timestamp(CAST(stated[1:4] AS BIGINT), CAST(stated[5:6] AS BIGINT), CAST(stated[7:8] AS BIGINT), CASE WHEN stated LIKE '________3015%' OR stated LIKE '__________3015%' THEN CAST(stated[9:10] AS BIGINT) ELSE 0 END, CASE WHEN stated LIKE '__________3015%' THEN 30 ELSE 0 END, CASE WHEN stated LIKE '__________3015%' THEN 15 ELSE 0 END) - CASE WHEN stated LIKE '%EST%' THEN INTERVAL (-300) MINUTE WHEN stated LIKE '%IST%' THEN INTERVAL 330 MINUTE ELSE INTERVAL 0 MINUTE END END AS at FROM t"),
     "s7_csv_fields": (None, [], "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS key, p_name || ', the \"' || p_brand || '\"' AS name, p_type AS type FROM part"),
     "s12_derived_legs": ("postings", [], f"SELECT tx_id, settlement_currency AS currency, 'fee' AS leg, 'TRANSACTION_COST' AS tx_type, 'USER' AS account_type, CAST(-7.5 AS DOUBLE) AS quantity FROM postings WHERE tx_id % 4 = 0 UNION ALL SELECT tx_id, settlement_currency, 'reinvested', 'DIVIDEND', 'INCOME', {shown('-quantity * coalesce(unit_price, 0)', 'quantity')} FROM postings WHERE tx_type = 'DIVIDEND' AND abs(quantity * coalesce(unit_price, 0)) >= 0.005"),
+    "s18_sheet_requests": ("postings coverage instruments users identifiers", [held(True), COVERED, NEEDS, PRICE_NAMES, REQUESTS], """SELECT sheet, 0 AS row, place AS column, concat_ws('|', t, d, value, asset_class) AS cell FROM placed
+UNION ALL SELECT sheet, 1, place, '=GOOGLEFINANCE("' || coalesce(CASE t WHEN 'FX_PAIR' THEN 'CURRENCY' END, code) || ':' || value || '","close",DATE(' || strftime(c, '%Y,%-m,%-d') || '),DATE(' || strftime(e, '%Y,%-m,%-d') || '),"DAILY")' FROM placed"""),
+    "s18_sheet_skipped": ("postings coverage instruments users identifiers", [held(True), COVERED, NEEDS, PRICE_NAMES, REQUESTS], "SELECT DISTINCT instrument_id, name, CASE WHEN t = 'ISIN' THEN 'UNSUPPORTED_TYPE' WHEN venue = '' THEN 'NO_VENUE' ELSE 'UNKNOWN_VENUE' END AS reason, venue FROM coded WHERE t = 'ISIN' OR (t <> 'FX_PAIR' AND code IS NULL)"),
     "s19_sheet_prices": ("sheet_cells", [SHEETS], f"SELECT sheet, place AS column, h[1] AS identifier_type, h[2] AS domain, h[3] AS value, h[4] AS asset_class, day AS price_date, {shown('close', 'close')}, DATE '2001-11-30' AS share_count_basis FROM sheet_rows WHERE day IS NOT NULL AND close IS NOT NULL"),
     "s19_sheet_warnings": ("sheet_cells", [SHEETS], "SELECT sheet, 0 AS row, place AS column, 'header' AS warning FROM heads WHERE len(h) <> 4 UNION ALL SELECT sheet, row, CASE WHEN day IS NULL THEN place ELSE place + 1 END, CASE WHEN day IS NULL THEN 'day' ELSE 'close' END FROM sheet_rows WHERE day IS NULL OR close IS NULL"),
     "s22_upload_vintage": (None, [], "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '2001-05-05' WHEN o_orderkey % 3 = 0 THEN o_orderdate WHEN o_orderkey % 2 = 0 THEN date_trunc('day', o_orderdate) - INTERVAL 1 DAY END AS vintage FROM orders"),

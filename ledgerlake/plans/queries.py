@@ -712,6 +712,20 @@ def s19_sheet_warnings(x):
     return _sheets(x)[1]
 
 
+def _sheet_requests(x: Ledger) -> tuple[DataFrame, DataFrame]:
+    gaps = r5_price_gaps(x).unionByName(r6_fx_gaps(x))
+    return sheets.requests(gaps, x["instruments"], x["identifiers"], F.floor(F.col("instrument_id") / 50))
+
+
+def s18_sheet_requests(x):
+    cells = sheets.request_grid(_sheet_requests(x)[0]).select("sheet", "row", F.posexplode("cells").alias("column", "cell"))
+    return cells.where("cell <> ''")
+
+
+def s18_sheet_skipped(x):
+    return _sheet_requests(x)[1]
+
+
 def s22_upload_vintage(x):
     stated = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate"))
     before = F.when(F.col("o_orderkey") % 2 == 0, F.to_date("o_orderdate"))
