@@ -168,6 +168,26 @@ def resolve(asked: DataFrame, answers: DataFrame, venues: DataFrame) -> DataFram
     return asked.select("key").join(done, "key", "left").join(failed, "key", "left").select("key", status.alias("status"), *done.columns[2:])
 
 
+def proposal_outcomes(proposals: DataFrame, resolved: DataFrame, venues: DataFrame) -> DataFrame:
+    """``proposals`` (key, type, domain, value) with outcome: what the key's row of ``resolve`` established about each.
+
+    A proposal is one claim, venue included: CONTRADICTED by another value of its type or by another venue,
+    CONFIRMED by its value, UNTESTED where the answer holds neither, UNUSED where nothing was resolved. A
+    currency goes by the instrument's. A listing's venue is compared whether or not its symbol was returned;
+    repeated proposals each get their row.
+    """
+    found = resolved.select("key", F.col("plugin_id").isNotNull().alias("_found"), F.col("mic").alias("_mic"), F.col("currency").alias("_currency"), F.col("ids").alias("_ids"))
+    rows = _with_venues(proposals.join(found, "key", "left"), venues)
+    of_type = F.filter("_ids", lambda i: (i["type"] == F.col("type")) & (_text(i["value"]) != ""))
+    carried = F.coalesce(F.size(of_type) > 0, F.lit(False))
+    other = carried & (_low(F.get(of_type, F.lit(0))["value"]) != _low(F.col("value")))
+    elsewhere = (_text(F.col("domain")) != "") & (_text(F.col("_mic")) != "") & (_operating(F.col("domain")) != _operating(F.col("_mic")))
+    listing = F.when(other | elsewhere, "CONTRADICTED").when(carried, "CONFIRMED").otherwise("UNTESTED")
+    money = F.when(_text(F.col("_currency")) == "", "UNTESTED").when(_low(F.col("_currency")) == _low(F.col("value")), "CONFIRMED").otherwise("CONTRADICTED")
+    outcome = F.when(~F.coalesce("_found", F.lit(False)), "UNUSED").when(F.col("type") == "CURRENCY", money).otherwise(listing)
+    return rows.withColumn("outcome", outcome).select(*proposals.columns, "outcome")
+
+
 def with_underlyings(resolved: DataFrame, steps: int = 2) -> DataFrame:
     """``resolved`` with underlying_key: the key that bears the first underlying identifier that any bears, and root_key after ``steps`` of it at most.
 

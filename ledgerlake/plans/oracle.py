@@ -179,6 +179,14 @@ BEST = f"""ranked AS (SELECT *, {_rank("MIC_TICKER OPENFIGI_TICKER OCC ISIN OPEN
 best AS (SELECT instrument_id, identifier_type, domain, value FROM ranked QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY r, coalesce(domain, ''), value, identifier_type) = 1)"""
 SHOWN_NAMES = f"ranked AS (SELECT *, {_rank('MIC_TICKER OPENFIGI_TICKER OCC BROKER_DESCRIPTION CURRENCY FX_PAIR')} AS r FROM identifiers WHERE valid_before IS NULL)"
 PRICE_NAMES = f"ranked AS (SELECT *, {_rank('MIC_TICKER OPENFIGI_TICKER FX_PAIR ISIN')} AS r FROM identifiers WHERE valid_before IS NULL)"
+RESOLUTION = """SELECT s.key,
+    CASE WHEN t.key IS NOT NULL THEN CASE WHEN NOT EXISTS (SELECT 1 FROM hid h WHERE h.key = s.key AND role = 'stated') AND EXISTS (SELECT 1 FROM hid h WHERE h.key = s.key AND role = 'proposed') AND NOT EXISTS (SELECT 1 FROM agreed a WHERE a.key = s.key) THEN 'UNCONFIRMED' ELSE 'IDENTIFIED' END
+         WHEN f.key IS NULL THEN 'NO_PLUGIN' WHEN late THEN 'TIMEOUT' WHEN odd THEN 'ERROR' ELSE 'NOT_IDENTIFIED' END AS status,
+    t.plugin_id, CASE tier WHEN 0 THEN 'stated' WHEN 1 THEN 'proposed' WHEN 2 THEN 'precedence' END AS decided_by, asset_class, t.mic, t.country, t.currency, t.name, t.cik, t.sic_code,
+    CASE WHEN t.key IS NOT NULL THEN coalesce((SELECT string_agg(concat_ws(':', type, domain, value), '|' ORDER BY concat_ws(':', type, domain, value)) FROM merged_ids m WHERE m.key = s.key), '') END AS ids,
+    CASE WHEN t.key IS NOT NULL THEN coalesce((SELECT string_agg(field, '|' ORDER BY field) FROM agreed a WHERE a.key = s.key), '') END AS confirmed,
+    (SELECT min(b.key) FROM answer_ids u JOIN merged_ids b ON b.type = 'ISIN' AND b.value = u.value WHERE u.key = s.key AND u.plugin_id = t.plugin_id AND u.type = 'UNDERLYING' HAVING min(b.key) <> s.key) AS underlying_key
+    FROM asked s LEFT JOIN twice t ON t.key = s.key LEFT JOIN failed f ON f.key = s.key"""
 NEEDS = """needs AS (
   SELECT currency AS need, from_date, before_date FROM held JOIN instruments USING (instrument_id) WHERE asset_class <> 'FX' AND currency <> 'USD'
   UNION ALL SELECT u.d, from_date, before_date FROM held JOIN instruments USING (instrument_id) JOIN (SELECT DISTINCT display_currency AS d FROM users WHERE display_currency NOT IN ('', 'USD')) u ON u.d <> currency WHERE asset_class <> 'FX'
@@ -514,14 +522,11 @@ legs AS (SELECT t.portfolio_id, p.* FROM adjusted p JOIN touched t USING (group_
         "SELECT *, false AS conflict FROM moved UNION ALL SELECT *, true FROM (SELECT DISTINCT * FROM moved a WHERE (SELECT count(*) FROM moved b WHERE b.from_group_id = a.from_group_id AND b.instrument_id = a.instrument_id) > 1 OR (SELECT count(*) FROM moved b WHERE b.to_group_id = a.to_group_id AND b.instrument_id = a.instrument_id) > 1)"),
     "i6_merged_instruments": ("instruments identifiers", [MERGE], "SELECT i.instrument_id, name, coalesce(u.survivor_id, underlying_id) AS underlying_id FROM instruments i LEFT JOIN mapping u ON u.instrument_id = i.underlying_id WHERE NOT EXISTS (SELECT 1 FROM mapping m WHERE m.instrument_id = i.instrument_id AND m.survivor_id <> m.instrument_id)"),
     "i9_outcomes": ("asked asked_ids answers answer_ids venues", [ANSWERED], "SELECT key, plugin_id, CASE WHEN won THEN 'WON' WHEN fits THEN 'SUPERSEDED' ELSE 'DISCARDED' END AS outcome FROM judged"),
-    "i9_resolved": ("asked asked_ids answers answer_ids venues", [ANSWERED], """SELECT s.key,
-    CASE WHEN t.key IS NOT NULL THEN CASE WHEN NOT EXISTS (SELECT 1 FROM hid h WHERE h.key = s.key AND role = 'stated') AND EXISTS (SELECT 1 FROM hid h WHERE h.key = s.key AND role = 'proposed') AND NOT EXISTS (SELECT 1 FROM agreed a WHERE a.key = s.key) THEN 'UNCONFIRMED' ELSE 'IDENTIFIED' END
-         WHEN f.key IS NULL THEN 'NO_PLUGIN' WHEN late THEN 'TIMEOUT' WHEN odd THEN 'ERROR' ELSE 'NOT_IDENTIFIED' END AS status,
-    t.plugin_id, CASE tier WHEN 0 THEN 'stated' WHEN 1 THEN 'proposed' WHEN 2 THEN 'precedence' END AS decided_by, asset_class, t.mic, t.country, t.currency, t.name, t.cik, t.sic_code,
-    CASE WHEN t.key IS NOT NULL THEN coalesce((SELECT string_agg(concat_ws(':', type, domain, value), '|' ORDER BY concat_ws(':', type, domain, value)) FROM merged_ids m WHERE m.key = s.key), '') END AS ids,
-    CASE WHEN t.key IS NOT NULL THEN coalesce((SELECT string_agg(field, '|' ORDER BY field) FROM agreed a WHERE a.key = s.key), '') END AS confirmed,
-    (SELECT min(b.key) FROM answer_ids u JOIN merged_ids b ON b.type = 'ISIN' AND b.value = u.value WHERE u.key = s.key AND u.plugin_id = t.plugin_id AND u.type = 'UNDERLYING' HAVING min(b.key) <> s.key) AS underlying_key
-    FROM asked s LEFT JOIN twice t ON t.key = s.key LEFT JOIN failed f ON f.key = s.key"""),
+    "i9_resolved": ("asked asked_ids answers answer_ids venues", [ANSWERED], RESOLUTION),
+    "i10_proposals": ("asked asked_ids answers answer_ids venues", [ANSWERED, f"settled AS ({RESOLUTION})", "said AS (SELECT key, type, coalesce(domain, '') AS domain, value FROM asked_ids WHERE role = 'proposed' UNION ALL SELECT key, 'CURRENCY', '', currency FROM asked WHERE currency <> '' UNION ALL SELECT key, 'ISIN', '', 'i' || key FROM asked)",
+        """known AS (SELECT p.*, s.plugin_id, lower(s.currency) AS cur, lower(coalesce((SELECT operating_mic FROM venues WHERE mic = p.domain), p.domain)) AS there, lower(coalesce((SELECT operating_mic FROM venues WHERE mic = s.mic), s.mic)) AS here,
+          (SELECT lower(value) FROM merged_ids m WHERE m.key = p.key AND m.type = p.type AND m.value <> '') AS held FROM said p JOIN settled s ON s.key = p.key)"""], """SELECT key, type, domain, value, CASE WHEN plugin_id IS NULL THEN 'UNUSED' WHEN type = 'CURRENCY' AND cur = '' THEN 'UNTESTED' WHEN type = 'CURRENCY' AND cur = lower(value) THEN 'CONFIRMED' WHEN type = 'CURRENCY' THEN 'CONTRADICTED'
+    WHEN held <> lower(value) OR (there <> '' AND here <> '' AND there <> here) THEN 'CONTRADICTED' WHEN held IS NULL THEN 'UNTESTED' ELSE 'CONFIRMED' END AS outcome FROM known"""),
     "i10_hint_verdicts": ("asked asked_ids answers answer_ids venues", [ANSWERED], "SELECT * FROM on_stated"),
     "i7_shared_identifiers": ("identifiers", ["shared AS (SELECT instrument_id AS b, min(instrument_id) OVER (PARTITION BY identifier_type, coalesce(domain, ''), value) AS a FROM identifiers WHERE identifier_type IN ('OPENFIGI_TICKER', 'ISIN'))"], "SELECT DISTINCT a, b FROM shared WHERE a <> b"),
     "i8_isin_check": ("identifiers", ["digits AS (SELECT instrument_id, value, reverse('3028' || substr(value, 3)) AS d FROM identifiers WHERE identifier_type = 'ISIN')", "sums AS (SELECT *, list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) * 2 - CASE WHEN CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST(substr(d, CAST(i AS INTEGER), 1) AS INTEGER) END)) AS total FROM digits)"], "SELECT instrument_id, value, total % 10 = 0 AND length(value) = 12 AS valid FROM sums"),

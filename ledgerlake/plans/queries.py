@@ -614,6 +614,14 @@ def i10_hint_verdicts(x):
     return resolution.hint_verdicts(*_asked_and_answers(x))
 
 
+def i10_proposals(x):
+    ids, asked = x["asked_ids"], x["asked"]
+    proposals = ids.where("role = 'proposed'").select("key", "type", "domain", "value")
+    proposals = proposals.unionByName(asked.where("currency <> ''").select("key", F.lit("CURRENCY").alias("type"), F.lit("").alias("domain"), F.col("currency").alias("value")))
+    proposals = proposals.unionByName(asked.select("key", F.lit("ISIN").alias("type"), F.lit("").alias("domain"), F.concat(F.lit("i"), "key").alias("value")))
+    return resolution.proposal_outcomes(proposals, resolution.resolve(*_asked_and_answers(x)), x["venues"])
+
+
 def i13_eligible_plugins(x):
     return identity.eligible(x["plugins"], x["instruments"].select("instrument_id", "asset_class", "exchange_mic", "currency")).select("plugin_id", "instrument_id")
 
