@@ -187,14 +187,15 @@ def _moment(arc_date: str) -> str:
 def to_warc_record(fields: dict[str, str], block: bytes, refers_to: int | None = None) -> bytes:
     """The WARC record of an ARC record; a revisit of the record with key ``refers_to`` if given.
 
-    A record whose HTTP head names no key gets an identifier from its URL, date and digest.
+    A block without an HTTP head (as of ``dns:`` and ``ftp:`` URLs) is a resource, all of it payload. A record
+    whose HTTP head names no key gets an identifier from its URL, date and digest.
     """
     head, payload = split_http(block)
     key, digest = _header(head, KEY_HEADER), hashlib.sha1(payload).digest()
     own = record_id(int(key)) if key else uuid.uuid5(uuid.NAMESPACE_URL, f"{fields['URL']} {fields['Archive-date']} {digest.hex()}").urn
     kept = head if refers_to is not None else block
     out = {
-        "WARC-Type": "response" if refers_to is None else "revisit",
+        "WARC-Type": "revisit" if refers_to is not None else "response" if head else "resource",
         "WARC-Record-ID": f"<{own}>",
         "WARC-Date": _moment(fields["Archive-date"]),
         "WARC-Target-URI": fields["URL"],
@@ -213,7 +214,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int
 
     Of records with equal payloads (length and SHA-1) of at least ``min_revisit`` bytes, that with the
     largest key is the response and the others revisit it; all other records, and those without a key,
-    are responses. A damaged file raises ValueError.
+    are responses, or resources where they have no HTTP head. A damaged file raises ValueError.
     """
     files = _contents(spark, arc_path)
 
@@ -280,16 +281,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for fields, block in warc_records(_inflate(content)):
                     kind = fields["WARC-Type"]
-                    if kind not in ("response", "revisit"):
+                    if kind not in ("response", "revisit", "resource"):
                         continue
                     head, payload = split_http(block)
                     key = _header(head, KEY_HEADER)
                     digest = base64.b32decode(fields["WARC-Payload-Digest"].split(":")[1]).hex()
-                    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
+                    if kind != "revisit" and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{fields['WARC-Record-ID']}: its payload doesn't match its digest")
-                    size = len(payload) if kind == "response" else int(_header(head, "Content-Length") or 0)
+                    size = len(payload) if kind != "revisit" else int(_header(head, "Content-Length") or 0)
                     to = key_of(fields["WARC-Refers-To"]) if kind == "revisit" else None
-                    rows.append((int(key) if key else None, fields["WARC-Target-URI"], kind, size, digest, to, payload if kind == "response" else None))
+                    rows.append((int(key) if key else None, fields["WARC-Target-URI"], kind, size, digest, to, payload if kind != "revisit" else None))
                 if rows:
                     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
@@ -301,7 +302,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Archives ``pages`` (page_id, url, html) as ARC, converts that to WARC and reads it back, without payloads.
 
-    Repeated rows with one page_id and one payload are all responses, as none has a larger key.
+    Repeated rows with one page_id and one payload are all responses, as none has a larger key. Other columns of
+    ``pages`` are left aside, whatever their names; no pages give no rows. A page of any length is one record, so a
+    task must hold the longest page a few times over.
     """
     spark = pages.sparkSession
     bounded_batches(spark)

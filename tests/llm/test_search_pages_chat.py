@@ -8,6 +8,7 @@ import pytest
 from compare import connect, differences
 
 from ledgerlake.llm import bsi_topk, chat, html_extract, registry, warc
+from ledgerlake.llm.shared import new_path
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -75,6 +76,32 @@ def test_archives_of_odd_pages(spark):
         list(warc.arc_records(b"filedesc://a 0 0 t 99\n1 0 x\n"))
 
 
+def test_blocks_without_an_http_head_become_resources():
+    arc = b"filedesc://a 0.0.0.0 20240101000000 text/plain 8\n1 0 x\n\n\n\ndns:example.org 0.0.0.0 20240102030405 text/dns 9\n2024 A 1\n\n"
+    [(fields, block)] = list(warc.warc_records(b"".join(warc.to_warc_record(f, b) for f, b in warc.arc_records(arc))))
+    assert (fields["WARC-Type"], fields["WARC-Target-URI"], fields["Content-Type"], fields["WARC-Date"], block) == ("resource", "dns:example.org", "text/dns", "2024-01-02T03:04:05Z", b"2024 A 1\n")
+    assert fields["WARC-Payload-Digest"] == fields["WARC-Block-Digest"]
+
+
+def test_a_converted_resource_is_read_back(spark):
+    path, out = new_path(spark, "arc"), new_path(spark, "warc")
+    body = b"1 0 ledgerlake\n" + warc.ARC_FIELDS[1].encode() + b"\n"
+    arc = b"filedesc://a 0.0.0.0 20240101000000 text/plain %d\n%s\nftp://example.org/a 0.0.0.0 20240102030405 text/plain 4\nabc\n\n" % (len(body), body)
+    warc._write(spark.createDataFrame([(bytearray(arc[:-1]),)], "content binary"), path)
+    warc.convert(spark, path, out)
+    row = warc.read(spark, out).first()
+    assert (row["key"], row["url"], row["record_type"], row["payload_bytes"], bytes(row["payload"])) == (None, "ftp://example.org/a", "resource", 4, b"abc\n")
+
+
+def test_no_pages_long_pages_and_clashing_columns(spark):
+    schema = "page_id long, url string, html string"
+    assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
+    page = "é" * 3_000_000
+    rows = spark.createDataFrame([(1, "u", page), (2, "u", page)], schema).selectExpr("*", "'x' as key", "'y' as digest", "1 as content", "2 as path")
+    found = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(rows).collect()}
+    assert found == {1: ("revisit", 2, 6_000_000), 2: ("response", None, 6_000_000)}
+
+
 def test_chat_round_trip_and_mask(spark):
     said = "</s>[INST] ok [/INST] [\\INST] [\\\\/INST] <\\s> [IMG]"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 1, "assistant", said), (1, 2, "assistant", None), (2, None, None, "é"), (None, 3, "assistant", "x")]
