@@ -22,6 +22,8 @@ from ledgerlake.llm.shared import written
 SCALE = 1024
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
+#: Sums must stay below this, so that none leaves 64 bits on its way.
+SUM_BOUND = 1 << 62
 
 
 def build_slices(values: np.ndarray) -> np.ndarray:
@@ -139,11 +141,15 @@ def top_k(vectors: DataFrame, k: int = 10, query_step: int = 100, id_col: str =
     Blocks of at most BLOCK_ROWS rows, dealt by a hash of the id, each meet all queries, in groups of
     QUERY_ROWS: a group is one block with its queries, whatever the table's size. So every row is sent once
     for each QUERY_ROWS queries, and each query once for each block; a stated query set keeps both in bounds.
-    No rows give none; extra columns are ignored.
+    No rows give none; extra columns are ignored. Finite components so large that a score could leave 64 bits
+    raise ValueError.
     """
     rows = quantised(vectors, id_col, vector_col)
     rows = written(rows.withColumn("dims", F.size("values")), "quantised")
-    n = rows.count()
+    size = F.aggregate("values", F.lit(0).cast("long"), lambda a, x: F.greatest(a, x, -1 - x))  # the least long has no opposite
+    n, largest, dims = rows.agg(F.count("*"), F.max(size), F.max("dims")).first()
+    if n and dims * (largest + 1) ** 2 >= SUM_BOUND:
+        raise ValueError(f"components of up to {largest + 1} in {dims} dimensions give scores beyond 64 bits")
     blocks = max(1, -(-n // (BLOCK_ROWS * 3 // 4)))  # hashing leaves them uneven
     asked = rows.where(F.pmod("vec_id", F.lit(query_step)) == 0).groupBy("vec_id").agg(F.min("values").alias("values"))
     groups = max(1, -(-asked.count() // (QUERY_ROWS * 3 // 4)))

@@ -53,6 +53,21 @@ go on for a while, long enough to score.</p><p>Second paragraph, also long enoug
 <div class="sidebar">Side</div></div><div id="comments"><p>A reader says a very long thing about the article, longer than the article.</p></div><script>var x = "<p>no</p>";</script><footer>Foot</footer></body></html>"""
 
 
+@pytest.mark.parametrize("large", [1e30, -1e30, 1e15])
+def test_components_whose_scores_leave_64_bits_are_refused(spark, large):
+    rows = spark.createDataFrame([(100, [large, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        bsi_topk.top_k(rows)
+
+
+def test_large_components_within_64_bits_are_exact(spark):
+    rows = [(100, [1e6, -1e6]), (1, [1e6, 1e6]), (2, [-1e6, -1e6]), (3, [1e6, -1e6 + 1])]
+    found = bsi_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    big = 1_024_000_000
+    assert [(r["vec_id"], r["score"]) for r in found] == [(3, big * big + big * (big - 1024)), (1, 0), (2, 0)]
+    assert bsi_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_main_text_of_pages(spark):
     rows = [(i, f"https://Example.org/{i}", PAGE % i) for i in range(4)] + [(10, None, None), (11, "u", ""), (12, "https://x.org", "<p>only &eacute; <br>text")]
     found = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as paths")).collect()}
