@@ -1,6 +1,7 @@
 """Near-duplicates by Jaccard similarity of word shingles.
 
-The keys of a set of shingles depend on its size, so that there are few of either kind:
+Pairs that an index of fingerprints proposes (``simhash``) are decided by their whole sets first. This module
+finds those that fingerprints can't see, among sets that are still apart. The keys of a set of shingles depend on its size, so that there are few of either kind:
 
 - below LONG shingles, the set's prefix. All shingles stand in one order, the same for every document; two sets
   whose similarity is t or more share a shingle among the first n - ceil(t n) + 1 of each. No pair is lost.
@@ -18,6 +19,7 @@ replaced by the prefixes of these sets: those of them that are similar share a s
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -171,12 +173,14 @@ def _tries(shared: DataFrame, turn: int, pivots: int, tries: int, near: Column)
     return near.select("node", "root", F.explode("near").alias("p")).select("node", "p.node_b", "root", "p.root_b")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+def similar_documents(docs: DataFrame, sketch: Callable[[np.ndarray], int], proposals: Sequence[Callable[[DataFrame], DataFrame]], shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, component_id), one per row of ``docs`` (doc_id, text) with a doc_id.
 
     component_id is the smallest doc_id reachable over pairs of texts whose sets of word shingles have a
     Jaccard similarity of ``similarity`` (SIMILARITY at least, for which BANDS are set) or more; texts without
-    words link to each other. Equal sets form one node first. In ROUNDS a node is compared with a few of those
+    words link to each other. Equal sets form one node first, with the fingerprint ``sketch`` of the set. Each of
+    ``proposals`` in turn gets all nodes (node, root, fp) and gives pairs of them (the same columns, and with _b);
+    those whose whole sets are similar come under one root. Then in ROUNDS a node is compared with a few of those
     that share a key, which contracts dense groups in linear work; then every pair that shares one and
     isn't connected yet. Repeated rows come like others; no rows give none.
     """
@@ -191,8 +195,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIM
             for i, j in in_groups(held):
                 found = shingle_sets(held[i:j], shingle)
                 keys, places = zip(*(keys_of(x, order.value, similarity) for x in found))
-                columns = [batch.column(0).slice(i, j - i), pa.array([_node(x) for x in found], pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "key", "place"])
+                columns = [batch.column(0).slice(i, j - i), pa.array([_node(x) for x in found], pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(map(sketch, found), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "key", "place"])
 
     def whole(batches):
         for batch in batches:
@@ -210,21 +214,31 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIM
             keys = np.concatenate([np.zeros(0, dtype=np.uint64), *first]).view(np.int64)
             yield pa.RecordBatch.from_arrays([*map(spread, batch.columns[:3]), pa.array(keys), pa.array(places)], ["node", "n", "root", "key", "place"])
 
-    rows = written(texts.mapInArrow(freed(run), "doc_id long, node long, n long, key array<long>, place array<int>"), "keys")
+    rows = written(texts.mapInArrow(freed(run), "doc_id long, node long, n long, fp long, key array<long>, place array<int>"), "keys")
     # equal sets are one node, so that no copy is indexed or compared
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value(F.arrays_zip("key", "place")).alias("keys")), "nodes")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value(F.arrays_zip("key", "place")).alias("keys")), "nodes")
     ids = nodes.select("node", "rep")
     shared = written(meeting(nodes.select("node", "n", F.col("node").alias("root"), F.inline("keys"))), "shared")
-    # whole sets are kept only of nodes that meet another, by one row each; another row with its doc_id may come along
+    # whole sets are kept only of nodes that meet another, as any similar pair does; by one row each; another row with its doc_id may come along
     asked = ids.join(shared.select("node").distinct(), "node", "left_semi")
     asked = texts.join(asked.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text").mapInArrow(freed(whole), "node long, found binary")
     sets = written(asked.dropDuplicates(["node"]), "sets")
+    apart = nodes.select("node", F.col("node").alias("root"), "fp")
+    links = None
+    roots = apart
+    for propose in proposals:
+        pairs = propose(roots).select("node", "node_b", "root", "root_b").distinct()
+        found = written(_verified(pairs, sets, similarity), "links")
+        links = found if links is None else links.unionByName(found)
+        roots = _moved(apart, links)
+    roots = roots.drop("fp")
+    if links is not None:
+        shared = written(meeting(_moved(shared, links).drop("blocks")), "shared")
     sizes = (F.col("n") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n") - 1e-9)
     # what two sets can share from their first shingle in common on
     room = 1 + F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
     enough = (F.col("place") == 0) | (F.col("place_b") == 0) | (room >= similarity / (1 + similarity) * (F.col("n") + F.col("n_b")) - 1e-9)
     near = sizes & enough
-    roots = ids.select("node", F.col("node").alias("root"))
     for turn, (pivots, tries) in enumerate(ROUNDS):
         links = written(_verified(_tries(shared, turn, pivots, tries, near), sets, similarity), "links")
         roots = _moved(roots, links)

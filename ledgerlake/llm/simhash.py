@@ -1,7 +1,7 @@
 """SimHash near-duplicates, found through deletion-variant signatures.
 
 A fingerprint has 64 bits. Of three segments (22, 21 and 21 bits) at least one differs by at most one bit
-when two fingerprints differ in at most four, since five differences are needed to put two into each.
+when two fingerprints differ in at most five (REACH), since six differences are needed to put two into each.
 The index holds, for each fingerprint and each of its 64 bits, the bit's segment with that bit left out:
 two segments that differ by at most one bit share such a variant. An equality join on variants therefore
 proposes every pair within reach, and the exact distance decides.
@@ -21,9 +21,22 @@ from ledgerlake.llm.shared import freed, whole_row, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
+#: So many differing bits leave a segment with one of them at most.
+REACH = 2 * len(SEGMENTS) - 1
+#: Fingerprints of sets at a similarity of 0.8 differ in about so many bits.
+SIMILAR_BITS = 10
 SEED = 42
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of unsigned 64-bit hashes: a bit is 1 if set in over half of them; 0 of none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: bytes | None, shingle: int) -> int:
     """The signed 64-bit SimHash of a UTF-8 text; 0 without words."""
     words = text.lower().split() if text else []  # of bytes: A-Z only, and ASCII white space only
@@ -34,12 +47,7 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     width = min(shingle, len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[i:j], SEED) for i, j in zip(starts, ends[width - 1 :].tolist())], dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    return majority(np.array([digest(line[i:j], SEED) for i, j in zip(starts, ends[width - 1 :].tolist())], dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -95,26 +103,43 @@ def _first_shared_variant() -> Column:
     return first
 
 
+def star_pairs(rows: DataFrame, max_bits: int = SIMILAR_BITS) -> DataFrame:
+    """Pairs of ``rows`` (node, root, fp) within ``max_bits``: each row with the smallest node of its whole segments, where that has another root.
+
+    Columns come as they are and with _b. At most three pairs a row, so dense groups are contracted in linear work.
+    """
+    whole = rows.select("*", F.posexplode(_segments()).alias("segment", "key"))
+    pivots = whole.groupBy("segment", "key").agg(F.min(F.struct("node", "root", "fp")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    pivots = pivots.select("segment", "key", *(F.col(f"least.{c}").alias(f"{c}_b") for c in ("node", "root", "fp")))
+    return whole.join(pivots, ["segment", "key"]).where((F.col("root") != F.col("root_b")) & (_distance("fp", "fp_b") <= max_bits))
+
+
+def variant_pairs(rows: DataFrame, max_bits: int = SIMILAR_BITS) -> DataFrame:
+    """Pairs of ``rows`` (root, fp and others) within ``max_bits`` that share a variant, under different roots, each once.
+
+    Up to REACH that is every pair. Columns come as they are and with _b. Variants under one root only are left
+    out of the join, and those of many rows meet block by block.
+    """
+    shared = written(meeting(_variants(rows)), "variants")
+    payload = [c for c in rows.columns if c != "root"]
+    return meeting_pairs(shared, (_distance("fp", "fp_b") <= max_bits) & _first_shared_variant(), [*payload, "bit"])  # only verified pairs leave the join
+
+
 def linked_classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Rows (fp, component_id) for each distinct fingerprint of ``prints`` (doc_id, fp).
 
     Equal fingerprints form a class first, so copies never meet in a join. Before pairs are sought, each
     class is compared with the smallest class that shares a whole segment: that contracts dense groups in
     linear work. Pairs are then sought between different components only, so a dense group isn't spelt out
-    pair by pair; every pair within reach that isn't already connected is found, once. Variants of one
-    component only are left out of the join, and those of many fingerprints meet block by block.
+    pair by pair; every pair within reach that isn't already connected is found, once.
     """
-    if max_bits > 4:
-        raise ValueError("three segments prove pairs of up to four bits only")
+    if max_bits > REACH:
+        raise ValueError(f"{len(SEGMENTS)} segments prove pairs of up to {REACH} bits only")
     classes = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    whole = classes.select("rep", "fp", F.posexplode(_segments()).alias("segment", "key"))
-    pivots = whole.groupBy("segment", "key").agg(F.min(F.struct("rep", "fp")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    pivots = pivots.select("segment", "key", F.col("least.rep").alias("rep_b"), F.col("least.fp").alias("fp_b"))
-    stars = whole.join(pivots, ["segment", "key"]).where((F.col("rep") != F.col("rep_b")) & (_distance("fp", "fp_b") <= max_bits))
-    roots = components(stars.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")))
+    stars = star_pairs(classes.select(F.col("rep").alias("node"), F.col("rep").alias("root"), "fp"), max_bits)
+    roots = components(stars.select(F.col("root").alias("a"), F.col("root_b").alias("b")))
     contracted = written(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("root")), "contracted")
-    shared = written(meeting(_variants(contracted)), "variants")
-    pairs = meeting_pairs(shared, (_distance("fp", "fp_b") <= max_bits) & _first_shared_variant(), ["fp", "bit"])  # only verified pairs leave the join
+    pairs = variant_pairs(contracted, max_bits)
     merged = components(pairs.select(F.col("root").alias("a"), F.col("root_b").alias("b")))
     merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
     return contracted.join(merged, "root", "left").select("fp", F.coalesce("top", "root").alias("component_id"))
@@ -136,12 +161,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = jaccard.SIMILARITY) -> DataFrame:
     """``docs`` (doc_id, text) without near-duplicates: of each component the row with the smallest doc_id stays, whole.
 
-    Texts are linked by the Jaccard similarity of their word shingles, every pair of ``similarity`` or more
-    (``jaccard``): at 0.8 fingerprints of 64 bits differ in about 10, which MAX_BITS reach in part only.
+    Texts are linked by the Jaccard similarity of their word shingles, every pair of ``similarity`` or more. The
+    fingerprints of all sets of shingles are indexed by deletion variants: stars over whole segments contract
+    dense groups, then the join on variants proposes every pair within REACH and, up to SIMILAR_BITS, those that
+    share a variant; whole sets decide. Fingerprints can't see every similar pair, so the rest is sought among
+    the sets that they have left apart (``jaccard``).
     Of rows that repeat that doc_id the one with the smallest text stays (null first). Rows with a null doc_id
     stay. Columns of any name stay as they are. No rows give none.
     """
-    found = jaccard.similar_documents(docs, shingle, similarity)
+    found = jaccard.similar_documents(docs, majority, (star_pairs, variant_pairs), shingle, similarity)
     best = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct(), "kept")
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("words"), whole_row(docs))
     kept = rows.join(best, rows["id"] == best["kept"], "left_semi")
